@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equiscope.llm import decontaminate, exact, langid, minhash, mixing, tokens
+from equiscope.llm import decontaminate, exact, htmltext, langid, minhash, mixing, sentences, suffix, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,10 +20,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents")).drop("in_index")
 
 
+def op4_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
     model = langid.fit(docs.filter(~F.col("held_out")))
@@ -42,8 +50,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    ops = (op1_token_counts, op3_exact_dedup, op5_language_id, op6_minhash_near_dedup, op8_mixing, op9_decontamination)
+    ops = (
+        op1_token_counts, op2_suffix_dedup, op3_exact_dedup, op4_sentence_dedup, op5_language_id,
+        op6_minhash_near_dedup, op8_mixing, op9_decontamination, op10_html_extraction,
+    )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
