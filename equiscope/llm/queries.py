@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equiscope.llm import decontaminate, exact, htmltext, langid, minhash, mixing, sentences, suffix, tokens
+from equiscope.llm import decontaminate, exact, htmltext, langid, lm, minhash, mixing, sentences, suffix, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,12 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", third)
+    return lm.scores(docs, docs.filter(~F.col("held_out")), keep=["doc_id", "held_out"])
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("epochs", "source")
 
@@ -59,6 +65,6 @@ def queries() -> dict[str, Query]:
 
     ops = (
         op1_token_counts, op2_suffix_dedup, op3_exact_dedup, op4_sentence_dedup, op5_language_id,
-        op6_minhash_near_dedup, op8_mixing, op9_decontamination, op10_html_extraction,
+        op6_minhash_near_dedup, op7_lm_scoring, op8_mixing, op9_decontamination, op10_html_extraction,
     )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
