@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+BITMAP_BITS = 1 << 25
+
+
+def maybe_among(ids: DataFrame, *keys: str) -> Callable[..., Column]:
+    """A test by which rows of a large table can be kept from a shuffle: false only for keys that ids does not hold.
+
+    It is a bitmap of a fixed 4 MB over a hash of the keys. The larger ids is, the more strangers pass, and a join after it sorts
+    those out; its size never changes.
+    """
+    h = F.pmod(F.xxhash64(*keys), F.lit(BITMAP_BITS))
+    words = ids.select(h.alias("h")).selectExpr("cast(h div 32 as int) as w", "shiftleft(1L, cast(h % 32 as int)) as b")
+    bits = np.zeros(BITMAP_BITS // 32, np.uint32)
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most a row for each word of the bitmap
+    bits[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(at: pd.Series) -> pd.Series:
+        at = at.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
+    return lambda *cols: test(F.pmod(F.xxhash64(*cols), F.lit(BITMAP_BITS)))
+
+
 def utf8(col: str) -> Column:
     """A text column as bytes, null as empty."""
     return F.coalesce(F.col(col).cast("binary"), F.lit(b"").cast("binary"))

@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equiscope.llm.common import utf8
+from equiscope.llm.common import maybe_among, staged, utf8
 
 #: stands for a null id while spans are sought
 NO_ID = -(1 << 63)
@@ -63,7 +63,13 @@ def with_cuts(docs: DataFrame, cuts: DataFrame, make: Callable[[bytes, list[tupl
     """Each row's id and what `make` says of its text and its merged spans."""
     names = [x.split()[0] for x in schema.split(", ")]
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = numbered(docs, id_col, text_col).join(cuts, ["doc", "th"], "left").select("doc", "text", "cut")
+    cuts = staged(cuts, "cuts")
+    rows = numbered(docs, id_col, text_col)
+    test = maybe_among(cuts, "doc", "th")("doc", "th")
+    # texts without cuts stay where they are; only the others go to the join
+    rows = rows.withColumn("maybe", test)
+    whole = rows.filter("not maybe").select("doc", "text", F.lit(None).cast(cuts.schema["cut"].dataType).alias("cut"))
+    rows = rows.filter("maybe").join(cuts, ["doc", "th"], "left").select("doc", "text", "cut").unionByName(whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -77,7 +83,3 @@ def with_cuts(docs: DataFrame, cuts: DataFrame, make: Callable[[bytes, list[tupl
 
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
-
-
-def pack(*cols: Column) -> Column:
-    return F.struct(*cols)

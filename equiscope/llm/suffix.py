@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from equiscope.llm.common import byte_slices, mix, prefix_hash, span_hash, staged
+from equiscope.llm.common import byte_slices, maybe_among, mix, prefix_hash, span_hash, staged
 from equiscope.llm.spans import batch_firsts, by_document, numbered, outside, sha256, with_cuts
 
 GRAM = 32
@@ -88,8 +88,8 @@ def piece_rows(docs: DataFrame, length: int) -> DataFrame:
 
 def part_rows(docs: DataFrame, pieces: DataFrame, length: int) -> DataFrame:
     """(core, doc, th, a, part): the pieces' bytes in parts of at most STEP windows, with a hash of what all its windows share."""
-    wanted = pieces.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "w", "m", "h")).alias("want"))
-    rows = docs.dropDuplicates(["doc", "th"]).join(wanted, ["doc", "th"]).select("doc", "th", "text", "want")
+    wanted = staged(pieces.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "w", "m", "h")).alias("want")), "wanted")
+    rows = docs.filter(maybe_among(wanted, "doc", "th")("doc", "th")).dropDuplicates(["doc", "th"]).join(wanted, ["doc", "th"]).select("doc", "th", "text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
