@@ -1,0 +1,13 @@
+"""Session settings that the operators count on."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def session(app: str = "equiscope", **conf: str) -> SparkSession:
+    """A session in UTC with adaptive execution; cluster settings come from the submitter."""
+    b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    for k, v in conf.items():
+        b = b.config(k.replace("__", "."), v)
+    return b.getOrCreate()
