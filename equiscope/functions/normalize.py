@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 
 from equiscope.functions.scalar import clip, not_nan
 
-DATE = Window.partitionBy("as_of")
 
+def by_date() -> WindowSpec:
+    return Window.partitionBy("as_of")
 
-def minmax(x: Column, w: WindowSpec = DATE) -> Column:
+
+def minmax(x: Column, w: WindowSpec | None = None) -> Column:
     """To [0, 1] within the window; 0.5 where all are equal."""
+    w = w or by_date()
     low, high = F.min(x).over(w), F.max(x).over(w)
     return F.when(low.isNull() | (low == high), F.lit(0.5)).otherwise((x - low) / (high - low))
 
 
-def component(name: str, *, invert: bool = False, bounds: tuple[float, float] | None = None, fill: float = 0.0, w: WindowSpec = DATE) -> Column:
+def component(name: str, *, invert: bool = False, bounds: tuple[float, float] | None = None, fill: float = 0.0, w: WindowSpec | None = None) -> Column:
     x = F.coalesce(not_nan(F.col(name).cast("double")), F.lit(float(fill)))
     m = minmax(clip(x, *bounds) if bounds else x, w)
     return 1 - m if invert else m
 
 
-def present(name: str, w: WindowSpec = DATE) -> Column:
+def present(name: str, w: WindowSpec | None = None) -> Column:
     """Whether the date's rows hold any value of the column: an all-null column counts as absent."""
-    return F.count(F.col(name)).over(w) > 0
+    return F.count(F.col(name)).over(w or by_date()) > 0
 
 
 def mean_of(parts: list[tuple[Column, Column]]) -> Column:
@@ -34,15 +37,16 @@ def mean_of(parts: list[tuple[Column, Column]]) -> Column:
     return F.coalesce(F.try_divide(total, n), F.lit(0.5))
 
 
-def winsorize(x: Column, n_std: float = 3.0, w: WindowSpec = DATE) -> Column:
+def winsorize(x: Column, n_std: float = 3.0, w: WindowSpec | None = None) -> Column:
     """Within n_std sample deviations of the mean; NaN becomes null first, and a constant or single row stays."""
-    x = not_nan(x)
+    x, w = not_nan(x), w or by_date()
     mean, std = F.avg(x).over(w), F.stddev_samp(x).over(w)
     return F.when(std.isNull() | (std == 0), x).otherwise(clip(x, mean - n_std * std, mean + n_std * std))
 
 
-def zscores(df: DataFrame, signals: dict[str, bool], w: WindowSpec = DATE) -> DataFrame:
+def zscores(df: DataFrame, signals: dict[str, bool], w: WindowSpec | None = None) -> DataFrame:
     """For each raw signal column its z_<name>: winsorized, standardized again, flipped if lower is better, null as 0."""
+    w = w or by_date()
     df = df.withColumns({f"_w_{s}": winsorize(F.col(s), w=w) for s in signals})
     made = {}
     for s, higher in signals.items():

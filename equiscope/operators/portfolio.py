@@ -48,7 +48,7 @@ def turnover(picks: DataFrame, dates: DataFrame, bps: float, keys: tuple[str, ..
     first = F.col("n_before") == 0
     traded = F.when(first, F.lit(1.0)).otherwise(F.col("symdiff") / F.col("n"))
     out = out.withColumns({"traded": traded, "swaps": F.when(first, F.lit(0)).otherwise(F.floor(F.col("symdiff") / 2)).cast("long")})
-    return out.select(*keys, "as_of", "n", "symdiff", "traded", "swaps", "drift", ((F.col("traded") + F.col("drift")) * bps / 10000).alias("cost"))
+    return out.select(*keys, "as_of", "n", "n_before", "symdiff", "traded", "swaps", "drift", ((F.col("traded") + F.col("drift")) * bps / 10000).alias("cost"))
 
 
 def portfolio_returns(picks: DataFrame, returns: DataFrame, keys: tuple[str, ...] = (), stop: float = 0.0) -> DataFrame:

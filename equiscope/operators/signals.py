@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, GroupedData, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from equiscope.functions.normalize import DATE, component, mean_of, minmax, present
+from equiscope.functions.normalize import by_date, component, mean_of, minmax, present
 from equiscope.functions.scalar import clip
 
 
@@ -81,11 +81,12 @@ def filter_counts(df: DataFrame, chain: list[tuple[str, dict]]) -> DataFrame:
 
 
 def _z(name: str, **how) -> tuple[Column, Column]:
-    return present(name, how.get("w", DATE)), component(name, **how)
+    return present(name, how.get("w")), component(name, **how)
 
 
 @SIGNALS.add("piotroski_f", higher=True)
-def piotroski_f(w: WindowSpec = DATE) -> Column:
+def piotroski_f(w: WindowSpec | None = None) -> Column:
+    w = w or by_date()
     v = lambda name, fill=0.0: F.coalesce(F.col(name), F.lit(fill))
     here = lambda *names: [present(n, w) for n in names]
     checks = [
@@ -103,15 +104,16 @@ def piotroski_f(w: WindowSpec = DATE) -> Column:
 
 
 @SIGNALS.add("momentum_12m", higher=True)
-def momentum_12m(w: WindowSpec = DATE) -> Column:
+def momentum_12m(w: WindowSpec | None = None) -> Column:
     """The 12-month return where the date has any, else revenue growth, else the standardized close."""
+    w = w or by_date()
     std = F.stddev_samp("close").over(w)
     close = F.when(std.isNull() | (std == 0), F.lit(0.0)).otherwise((F.col("close") - F.avg("close").over(w)) / std)
     return F.when(present("momentum_12m_return", w), F.coalesce("momentum_12m_return", F.lit(0.0))).when(present("revenue_growth", w), F.col("revenue_growth")).otherwise(close)
 
 
 @SIGNALS.add("low_leverage_growth", higher=True)
-def low_leverage_growth(w: WindowSpec = DATE) -> Column:
+def low_leverage_growth(w: WindowSpec | None = None) -> Column:
     return mean_of([_z("momentum_12m_return", w=w), _z("net_debt_to_ebitda", invert=True, w=w), _z("fcf_yield", w=w), _z("capex_to_revenue", invert=True, bounds=(0.0, 0.5), w=w)])
 
 
@@ -125,17 +127,17 @@ def _quality(w: WindowSpec) -> list[tuple[Column, Column]]:
 
 
 @SIGNALS.add("quality_score", higher=True)
-def quality_score(w: WindowSpec = DATE) -> Column:
+def quality_score(w: WindowSpec | None = None) -> Column:
     return mean_of([*_quality(w), _z("earnings_stability", fill=0.5, w=w)])
 
 
 @SIGNALS.add("quality_midcap", higher=True)
-def quality_midcap(w: WindowSpec = DATE) -> Column:
+def quality_midcap(w: WindowSpec | None = None) -> Column:
     return mean_of([*_quality(w), _z("earnings_yield", w=w), _z("earnings_stability", fill=0.5, w=w)])
 
 
 @SIGNALS.add("margin_expansion", higher=True)
-def margin_expansion(w: WindowSpec = DATE) -> Column:
+def margin_expansion(w: WindowSpec | None = None) -> Column:
     def change(a: str, b: str, most: float) -> tuple[Column, Column]:
         zero = F.lit(0.0)
         return present(a, w) & present(b, w), minmax(clip(F.coalesce(F.col(a), zero) - F.coalesce(F.col(b), zero), -most, most), w)
@@ -144,11 +146,11 @@ def margin_expansion(w: WindowSpec = DATE) -> Column:
 
 
 @SIGNALS.add("quality_at_discount_midcap", higher=True)
-def quality_at_discount_midcap(w: WindowSpec = DATE) -> Column:
+def quality_at_discount_midcap(w: WindowSpec | None = None) -> Column:
     return mean_of([_z("gross_margin_current", w=w), _z("momentum_12m_return", invert=True, w=w), _z("fcf_yield", w=w), _z("net_debt_to_ebitda", invert=True, w=w)])
 
 
-def with_signals(df: DataFrame, names: list[str], w: WindowSpec = DATE) -> DataFrame:
+def with_signals(df: DataFrame, names: list[str], w: WindowSpec | None = None) -> DataFrame:
     return df.withColumns({n: SIGNALS.bind(n)(w) for n in names})
 
 

@@ -30,12 +30,12 @@ def without_feedback(frame: DataFrame, returns: DataFrame, dates: list[date], sp
     for s in specs:
         p = screen(frame, s).select(F.lit(s.name).alias("strategy_id"), F.lit(s.cost_bps).alias("bps"), F.lit(s.weighting != "equal").alias("drifts"), "as_of", "ticker", "target_weight")
         picks = p if picks is None else picks.unionByName(p)
-    picks = picks.join(F.broadcast(cal.select("as_of")), "as_of", "left_semi")
+    picks = picks.join(F.broadcast(cal.select("as_of")), "as_of", "left_semi").persist()
     keys = ("strategy_id", "bps", "drifts")
     gross = portfolio_returns(picks, returns, keys)
     moved = turnover(picks, cal, 10000.0, keys)
     cost = (F.col("traded") + F.when(F.col("drifts"), F.col("drift")).otherwise(0.0)) * F.col("bps") / 10000
-    net = gross.join(moved.drop("n", "cost"), [*keys, "as_of"]).withColumn("cost", cost)
+    net = gross.join(moved.drop("n", "n_before", "cost"), [*keys, "as_of"]).withColumn("cost", cost)
     grid = cal.withColumn("strategy_id", F.explode(F.array(*(F.lit(s.name) for s in specs))))
     out = grid.join(net, ["strategy_id", "as_of"], "left")
     zero = F.lit(0)

@@ -239,7 +239,7 @@ _TURN = """pw AS (SELECT w.as_of, w.ticker, w.target_weight AS w, c.next_as_of F
 @query("b07_b08_turnover_and_drift", using(*PANEL, INVERSE, _TURN, query="SELECT as_of, n, symdiff, round(traded,6) AS traded, swaps, round(drift,6) AS drift, round((traded+drift)*10/10000,8) AS cost FROM tv"))
 def turnover(spark, sf_dir):
     t = portfolio.turnover(screen.screen(frame(spark, sf_dir), Spec(weighting="inverse_vol")), calendar.calendar(spark, START, END), 10.0)
-    return rounded(rounded(t, "traded", "drift"), "cost", digits=8)
+    return rounded(rounded(t, "traded", "drift"), "cost", digits=8).drop("n_before")
 
 
 @query("a10_a11_portfolio_returns", using(*PANEL, INVERSE, RETS, query="""SELECT as_of, count(*) AS n, count(ret) AS priced, count(*) FILTER (coalesce(min_low<start_price*0.85,false)) AS stopped, round(sum(target_weight*CASE WHEN coalesce(min_low<start_price*0.85,false) THEN -0.15 ELSE coalesce(ret,0) END),6) AS gross FROM wts LEFT JOIN rets USING (as_of, ticker) GROUP BY as_of"""))
