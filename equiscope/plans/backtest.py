@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from equiscope.operators.metrics import bundle
 from equiscope.operators.portfolio import by_score, portfolio_returns, top_n, turnover
-from equiscope.plans.screen import Spec, scored, screen, weighted
+from equiscope.plans.screen import Spec, by_chain, scored, screen, weighted
 
 RETURNS = "strategy_id string, t int, as_of date, ret double, n int, swaps int, cost double, stopped int"
 
@@ -26,9 +26,9 @@ def without_feedback(frame: DataFrame, returns: DataFrame, dates: list[date], sp
     A period without picks returns 0; one whose picks have no price at all returns minus its cost.
     """
     cal = calendar_frame(frame, dates)
-    picks = None
+    picks, ready = None, by_chain(frame, specs)
     for s in specs:
-        p = screen(frame, s).select(F.lit(s.name).alias("strategy_id"), F.lit(s.cost_bps).alias("bps"), F.lit(s.weighting != "equal").alias("drifts"), "as_of", "ticker", "target_weight")
+        p = screen(frame, s, ready[repr(s.chain())]).select(F.lit(s.name).alias("strategy_id"), F.lit(s.cost_bps).alias("bps"), F.lit(s.weighting != "equal").alias("drifts"), "as_of", "ticker", "target_weight")
         picks = p if picks is None else picks.unionByName(p)
     picks = picks.join(F.broadcast(cal.select("as_of")), "as_of", "left_semi").persist()
     keys = ("strategy_id", "bps", "drifts")
@@ -107,9 +107,9 @@ def with_feedback(frame: DataFrame, returns: DataFrame, dates: list[date], specs
     folded per strategy, all strategies in parallel.
     """
     cols = ["strategy_id", "as_of", "ticker", "composite_score", "sector", "realized_vol_20d", "ret", "min_low", "start_price"]
-    rows = None
+    rows, ready = None, by_chain(frame, specs)
     for s in specs:
-        p = pruned(scored(frame, s), s).withColumn("strategy_id", F.lit(s.name)).join(returns.select("as_of", "ticker", "ret", "min_low", "start_price"), ["as_of", "ticker"], "left").select(cols)
+        p = pruned(scored(frame, s, ready[repr(s.chain())]), s).withColumn("strategy_id", F.lit(s.name)).join(returns.select("as_of", "ticker", "ret", "min_low", "start_price"), ["as_of", "ticker"], "left").select(cols)
         rows = p if rows is None else rows.unionByName(p)
     # a strategy without any row still has its periods
     names = frame.sparkSession.createDataFrame([(s.name,) for s in specs], "strategy_id string")

@@ -239,9 +239,9 @@ def benchmark_summary(spark, sf_dir):
 def turnover_series(spark, sf_dir):
     """Symmetric difference over union of consecutive pick sets, the first 1, averaged per strategy."""
     f, cal = frame(spark, sf_dir).persist(), calendar.calendar(spark, START, END)
-    out = None
+    out, ready = None, screen.by_chain(f, VARIANTS)
     for v in VARIANTS:
-        p = screen.screen(f, v).filter(F.col("as_of") < F.lit(END)).select(F.lit(v.name).alias("strategy_id"), "as_of", "ticker", "target_weight")
+        p = screen.screen(f, v, ready[repr(v.chain())]).filter(F.col("as_of") < F.lit(END)).select(F.lit(v.name).alias("strategy_id"), "as_of", "ticker", "target_weight")
         out = p if out is None else out.unionByName(p)
     t = portfolio.turnover(out, cal, 10.0, ("strategy_id",))
     union = (F.col("n") + F.col("n_before") + F.col("symdiff")) / 2

@@ -58,21 +58,34 @@ def screening_frame(facts: DataFrame, bars: DataFrame, sectors: DataFrame, dates
     return wide.join(market, ["as_of", "ticker"], "left").join(sectors, "ticker", "left")
 
 
-def scored(frame: DataFrame, spec: Spec) -> DataFrame:
-    """Filtered rows with z_<signal> and composite_score."""
+def standardized(frame: DataFrame, chain: list[tuple[str, dict]], names: list[str]) -> DataFrame:
+    """Rows that pass the chain with z_<signal> of each name, which depends on the rows alone."""
+    kept = apply_filters(frame, chain)
+    return zscores(with_signals(kept, names), {s: SIGNALS.items[s][1]["higher"] for s in names})
+
+
+def scored(frame: DataFrame, spec: Spec, ready: DataFrame | None = None) -> DataFrame:
+    """Filtered rows with z_<signal> and composite_score; ready rows of the same chain are taken as they are."""
     weights = normalized_weights(spec.signals)
-    kept = apply_filters(frame, spec.chain())
-    kept = zscores(with_signals(kept, list(weights)), {s: SIGNALS.items[s][1]["higher"] for s in weights})
-    return kept.withColumn("composite_score", F.round(composite(weights), 9))
+    rows = standardized(frame, spec.chain(), list(weights)) if ready is None else ready
+    return rows.withColumn("composite_score", F.round(composite(weights), 9))
+
+
+def by_chain(frame: DataFrame, specs: list[Spec]) -> dict[str, DataFrame]:
+    """One persisted standardized frame per distinct filter chain, with the signals of all specs that share it."""
+    groups: dict[str, list[Spec]] = {}
+    for s in specs:
+        groups.setdefault(repr(s.chain()), []).append(s)
+    return {k: standardized(frame, v[0].chain(), sorted({n for s in v for n in s.signals})).persist() for k, v in groups.items()}
 
 
 def weighted(picks: DataFrame, weighting: str, keys: tuple[str, ...] = ("as_of",)) -> DataFrame:
     return picks.withColumn("target_weight", equal_weight(keys) if weighting == "equal" else inverse_vol_weight(keys=keys))
 
 
-def screen(frame: DataFrame, spec: Spec) -> DataFrame:
+def screen(frame: DataFrame, spec: Spec, ready: DataFrame | None = None) -> DataFrame:
     """The picks of every date with rank and target_weight."""
-    return weighted(top_n(scored(frame, spec), spec.top_n, spec.max_per_sector), spec.weighting)
+    return weighted(top_n(scored(frame, spec, ready), spec.top_n, spec.max_per_sector), spec.weighting)
 
 
 def index_universe(members: DataFrame, index: str, bars: DataFrame, dates: list[date]) -> DataFrame:
