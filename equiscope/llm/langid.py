@@ -95,7 +95,7 @@ class LangModel:
 
 
 def train(x: np.ndarray, y: np.ndarray, langs: list[str], dim: int = 16, epochs: int = 30, rate: float = 0.5, seed: int = 7, spare: float = 0.2, smooth: float = 0.05, refuse: float = 0.001) -> LangModel:
-    """Stochastic gradient descent on embeddings and weights; the spare rows set the temperature and the rejection floor.
+    """Stochastic gradient descent on embeddings and weights, over x (which is scaled in place); the spare rows set the temperature and the rejection floor.
 
     The floor is the `refuse` quantile of the spare rows' best calibrated probabilities among those predicted right, at
     most 0.5: rows that look like the learned languages stay, and rows between languages or foreign to all go.
@@ -105,7 +105,7 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], dim: int = 16, epochs:
     order = rng.permutation(n)
     held, used = order[: int(n * spare)], order[int(n * spare) :]
     idf = 1.0 / (np.sqrt(x.mean(axis=0)) + 1e-3)
-    z = (x * idf).astype(np.float32)
+    x *= idf.astype(np.float32)  # in place: the sample is the largest thing the driver holds
     e = rng.normal(0, 0.1, (x.shape[1], dim)).astype(np.float32)
     w, b = rng.normal(0, 0.1, (dim, k)).astype(np.float32), np.zeros(k, np.float32)
     for epoch in range(epochs):
@@ -113,7 +113,7 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], dim: int = 16, epochs:
         rng.shuffle(used)
         for i in range(0, len(used), 16):
             at = used[i : i + 16]
-            hidden = z[at] @ e
+            hidden = x[at] @ e
             p = hidden @ w + b
             p = np.exp(p - p.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -123,10 +123,10 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], dim: int = 16, epochs:
             back = p @ w.T
             w -= step * (hidden.T @ p)
             b -= step * p.sum(axis=0)
-            e -= step * (z[at].T @ back)
+            e -= step * (x[at].T @ back)
     model = LangModel(langs, ((idf[:, None] * e) @ w).astype(np.float64), b.astype(np.float64), 1.0, 0.0)
     if len(held):
-        means = x[held].astype(np.float64) @ model.table
+        means = x[held].astype(np.float64) @ (e @ w)
         losses = []
         for t in np.geomspace(1, 16, 25):
             model.temperature = float(t)
@@ -166,8 +166,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     chosen = rows.filter(u < share).mapInArrow(shares, "i string, l string, x binary").limit(2 * sample).toPandas().sort_values(["i", "l", "x"], kind="stable")
     if not len(chosen):
         return LangModel(["und"], np.zeros((buckets, 1)), np.zeros(1), 1.0, 0.0)
-    x = np.frombuffer(b"".join(map(bytes, chosen["x"])), np.float32).reshape(-1, buckets)
-    return train(x, np.array([place[v] for v in chosen["l"]]), langs, **how)
+    y = np.array([place[v] for v in chosen["l"]])
+    x = np.empty((len(chosen), buckets), np.float32)
+    for i, row in enumerate(chosen.pop("x")):
+        x[i] = np.frombuffer(row, np.float32)
+    del chosen
+    return train(x, y, langs, **how)
 
 
 def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
