@@ -19,7 +19,7 @@ NO_ID = -(1 << 63)
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, th, text): a null id becomes the smallest number, and th tells apart rows of one id whose texts differ."""
     text = utf8(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.pmod(F.hash(text), F.lit(1 << 13)).alias("th"), text.alias("text"))
 
 
 def batch_firsts(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -4,8 +4,8 @@ Strings of `length` bytes that occur again are found in three steps. (1) Every w
 least hash among its 32-byte grams. Windows that follow one another and share it make a piece. Equal windows have equal
 minimizers, so pieces whose minimizer occurs once in the corpus hold no repeat and go no further; of pieces equal as a whole
 (128 bits of hash) all but the first repeat, and only the first goes on. (2) Unequal pieces with one minimizer are cut into
-parts of 17 windows, which share a core of length - 16 bytes, and parts whose core occurs once go. (3) The parts that are left,
-dealt by core, are indexed shard by shard: each shard gets its suffix array and BWT, and the shards' BWTs are merged by
+parts of 17 windows, which share a core of length - 16 bytes; parts whose core occurs once go, and of equal parts again only the
+first goes on. (3) The parts that are left, unequal ones with a common core, dealt by core, are indexed shard by shard: each shard gets its suffix array and BWT, and the shards' BWTs are merged by
 refining their interleave `length` times, which also gives the classes of equal prefixes, so no suffix is sorted again.
 """
 
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from equiscope.llm.spans import batch_firsts, by_document, numbered, outside, sh
 
 GRAM = 32
 STEP = 17
+MASK = (1 << 64) - 1
 
 
 def minimizer_runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,8 +70,27 @@ def runs_by_text(texts: list[bytes], length: int, limit: int = 1 << 18) -> Itera
             yield text + i, a - begin, b - a, span_hash(p, place, place + GRAM).view(np.int64), span_hash(p, a, b + length - 1).view(np.int64), place - begin
 
 
+#: a piece or part in one number: first window (36 bits), windows (7), minimizer's distance from it (7), text tag (13)
+PACK_A, PACK_W, PACK_M = 27, 20, 13
+PLACE = ("h", "ph", "doc", "at", "late")
+
+
+def _pack(a: np.ndarray, w: np.ndarray, off: np.ndarray, th: np.ndarray) -> np.ndarray:
+    return (a.astype(np.int64) << PACK_A) | (w.astype(np.int64) << PACK_W) | (off.astype(np.int64) << PACK_M) | th.astype(np.int64)
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """The packed numbers back in columns a, w, m (the minimizer's place) and th."""
+    bits = lambda shift, n: F.shiftright("at", shift).bitwiseAND((1 << n) - 1).cast("int")
+    a = F.shiftright("at", PACK_A)
+    return rows.select("*", a.cast("int").alias("a"), bits(PACK_W, 7).alias("w"), (a + bits(PACK_M, 7)).cast("int").alias("m"), bits(0, 13).alias("th"))
+
+
 def piece_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(h, ph, doc, th, a, w, m, first): the pieces of every text; those that their batch already holds are marked not first."""
+    """(h, ph, doc, at, late): the pieces of every text, packed; late are those that their batch already holds.
+
+    Those need no more looking up. Their h is made one of their own, so that a passage in very many documents spreads out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,38 +100,59 @@ def piece_rows(docs: DataFrame, length: int) -> DataFrame:
                 continue
             text, a, w, h, ph, m = found
             doc, th = b.column(0).to_numpy()[text], b.column(1).to_numpy()[text]
-            first = batch_firsts(mix(h.view(np.uint64) * np.uint64(3)) ^ ph.view(np.uint64), doc, a)
-            narrow = [pa.array(x.astype(np.int32)) for x in (a, w, m)]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ph), pa.array(doc), pa.array(th), *narrow, pa.array(first)], ["h", "ph", "doc", "th", "a", "w", "m", "first"])
+            late = ~batch_firsts(mix(h.view(np.uint64) * np.uint64(3)) ^ ph.view(np.uint64), doc, a)
+            at = _pack(a, w, m - a, th)
+            h = np.where(late, mix(at.view(np.uint64) ^ (doc.view(np.uint64) << np.uint64(20))).view(np.int64), h)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ph), pa.array(doc), pa.array(at), pa.array(late)], list(PLACE))
+
+    return docs.mapInArrow(run, "h long, ph long, doc long, at long, late boolean")
+
 
-    return docs.mapInArrow(run, "h long, ph long, doc long, th int, a int, w int, m int, first boolean")
+def settled(rows: DataFrame, *keep: str) -> DataFrame:
+    """Of rows (h, ph, doc, at, late): with `again`, whether an equal one (same h and ph) comes first elsewhere, and `mixed`, whether
+    its h has unequal ones too. Rows alone with their h go. One shuffle on h."""
+    by_h = Window.partitionBy("h")
+    rank = F.rank().over(Window.partitionBy("h", "ph").orderBy("doc", F.shiftright("at", PACK_A)))
+    met = rows.withColumn("n", F.count(F.lit(1)).over(by_h)).filter("n > 1 or late")
+    met = met.withColumn("again", F.col("late") | (rank > 1)).withColumn("mixed", F.min("ph").over(by_h) != F.max("ph").over(by_h))
+    return met.select("h", "doc", "at", "again", "mixed", *keep)
 
 
 def part_rows(docs: DataFrame, pieces: DataFrame, length: int) -> DataFrame:
-    """(core, doc, th, a, part): the pieces' bytes in parts of at most STEP windows, with a hash of what all its windows share."""
+    """(h, ph, doc, at, late, part): the bytes of pieces in parts of at most STEP windows; h is a hash of what all of a part's windows share."""
     wanted = staged(pieces.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "w", "m", "h")).alias("want")), "wanted")
     rows = docs.filter(maybe_among(wanted, "doc", "th")("doc", "th")).dropDuplicates(["doc", "th"]).join(wanted, ["doc", "th"]).select("doc", "th", "text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for doc, th, t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+            core, whole, doc, at, to, dist, tag, part = [], [], [], [], [], [], [], []
+            for d, th, t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 text = t.as_py()
                 for x in want:
-                    a, end = x["a"], x["a"] + x["w"]
+                    a, end, m = x["a"], x["a"] + x["w"], x["m"]
                     # cut where the distance to the minimizer is a multiple of STEP, which is the same for equal windows
                     while a < end:
-                        k = (x["m"] - a) // STEP
-                        stop = min(end, x["m"] - k * STEP + 1)
-                        core = text[x["m"] - k * STEP : x["m"] - (k + 1) * STEP + 1 + length]
-                        out.append((doc, th, a, x["h"], k, core, text[a : stop + length - 1]))
+                        k = (m - a) // STEP
+                        stop = min(end, m - k * STEP + 1)
+                        core.append(xxhash.xxh3_64_digest(text[m - k * STEP : m - (k + 1) * STEP + 1 + length], x["h"] & MASK ^ k))
+                        part.append(text[a : stop + length - 1])
+                        whole.append(xxhash.xxh3_64_digest(part[-1], k))
+                        doc.append(d)
+                        at.append(a)
+                        to.append(stop)
+                        dist.append(m - a)
+                        tag.append(th)
                         a = stop
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc", "th", "a", "h", "k", "c", "part"])
+            if not core:
+                continue
+            h, ph = (np.frombuffer(b"".join(x), np.int64) for x in (core, whole))
+            doc_a, a, w = np.array(doc, np.int64), np.array(at, np.int64), np.array(to, np.int64) - np.array(at, np.int64)
+            late = ~batch_firsts(mix(h.view(np.uint64) * np.uint64(3)) ^ ph.view(np.uint64), doc_a, a)
+            where = _pack(a, w, np.array(dist), np.array(tag))
+            h = np.where(late, mix(where.view(np.uint64) ^ (doc_a.view(np.uint64) << np.uint64(20))).view(np.int64), h)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ph), pa.array(doc_a), pa.array(where), pa.array(late), pa.array([None if x else p for x, p in zip(late, part, strict=True)], pa.binary())], [*PLACE, "part"])
 
-    made = rows.mapInArrow(run, "doc long, th int, a int, h long, k int, c binary, part binary")
-    return made.select(F.xxhash64("h", "k", "c").alias("core"), F.xxhash64("c", F.lit(1)).alias("core2"), "doc", "th", "a", "part")
+    return rows.mapInArrow(run, "h long, ph long, doc long, at long, late boolean, part binary")
 
 
 class Shard:
@@ -231,20 +273,18 @@ def later_windows(parts: DataFrame, length: int, block_bytes: int) -> DataFrame:
 
 def repeated_strings(docs: DataFrame, length: int, crowd: int, block_bytes: int) -> DataFrame:
     """(doc, th, s, e): stretches of (doc, th, text) rows whose windows all start earlier too."""
-    pieces = staged(piece_rows(docs, length), "pieces")
-    by_h = Window.partitionBy("h")
-    many = pieces.filter("first").withColumn("n", F.count(F.lit(1)).over(by_h)).filter("n > 1")
-    rank = F.rank().over(Window.partitionBy("h", "ph").orderBy("doc", "a"))
-    many = staged(many.withColumn("r", rank).withColumn("mixed", F.min("ph").over(by_h) != F.max("ph").over(by_h)).drop("n", "first"), "many")
-    whole = pieces.filter("not first").select("doc", "th", "a", "w").unionByName(many.filter("r > 1").select("doc", "th", "a", "w"))
-    whole = whole.select("doc", "th", F.col("a").alias("s"), (F.col("a") + F.col("w") + (length - 1)).alias("e"))
-    parts = staged(part_rows(docs, many.filter("mixed and r = 1"), length), "parts")
-    counts = parts.groupBy("core", "core2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    parts = staged(parts.join(counts, ["core", "core2"]), "cores")
-    few = parts.filter(F.col("n") <= crowd).select("core", "doc", "th", "a", "part")
+    spans = lambda rows: placed(rows.select("doc", "at")).select("doc", "th", F.col("a").alias("s"), (F.col("a") + F.col("w") + (length - 1)).alias("e"))
+    pieces = staged(settled(piece_rows(docs, length)), "pieces")
+    parts = part_rows(docs, placed(pieces.filter("mixed and not again")), length)
+    parts = staged(settled(parts, "part").filter("again or mixed"), "parts")
+    whole = spans(pieces.filter("again").unionByName(parts.filter("again").drop("part"), allowMissingColumns=True))
+    parts = placed(parts.filter("mixed and not again")).withColumnRenamed("h", "core")
+    crowds = parts.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("core", F.lit(True).alias("crowded"))
+    parts = staged(parts.join(crowds, "core", "left").select("core", "doc", "th", "a", "part", "crowded"), "cores")
+    few = parts.filter("crowded is null").select("core", "doc", "th", "a", "part")
     late = later_windows(few.repartition("core").sortWithinPartitions("core"), length, block_bytes)
     # of a core that very many parts share, each window is a class of its own; nothing is gathered
-    windows = parts.filter(F.col("n") > crowd).select("doc", "th", "a", F.explode(F.expr(f"transform(sequence(0, octet_length(part) - {length}), i -> struct(i, substring(part, i + 1, {length}) as w))")).alias("x"))
+    windows = parts.filter("crowded").select("doc", "th", "a", F.explode(F.expr(f"transform(sequence(0, octet_length(part) - {length}), i -> struct(i, substring(part, i + 1, {length}) as w))")).alias("x"))
     windows = windows.select("doc", "th", (F.col("a") + F.col("x.i")).alias("s"), F.sha2("x.w", 256).alias("w"))
     first = windows.groupBy("w").agg(F.min(F.struct("doc", "s")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     crowded = windows.join(first, "w").filter(F.struct("doc", "s") != F.col("first")).select("doc", "th", "s", (F.col("s") + length).alias("e"))
