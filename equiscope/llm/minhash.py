@@ -87,6 +87,60 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("c", "d", "ct", "dt").mapInArrow(run, f"c {kind}, d {kind}")
 
 
+SLOTS = 1 << 20
+
+
+def left_over(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(c, d): the pairs of `left` (doc, label) with different labels whose similarity can reach the bound, by an exact prefix filter.
+
+    Shingles are ordered from rare to frequent (counts by hash slot, a fixed 1M of them; any order is exact). Two sets that reach
+    the bound share one of the first n - ceil(n * percent / 100) + 1 shingles of both, so a template that a family shares makes
+    no pairs unless it is that large a part of its texts; the first shared place bounds the overlap.
+    """
+    kind = left.schema["doc"].dataType.simpleString()
+    wanted = staged(left.select("doc", "label").distinct().join(texts, "doc"), "leftover")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(h, size) for _, h in words_by_text([v.as_py() for v in b.column(0)])]
+            slot, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]) % np.uint64(SLOTS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(n.astype(np.int64))], ["slot", "n"])
+
+    met = wanted.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
+    often = np.zeros(SLOTS, np.int64)
+    often[met["slot"].to_numpy(np.int64)] = met["n"].to_numpy(np.int64)
+    shared = left.sparkSession.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, place, n, token = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+            for i, h in words_by_text([v.as_py() for v in b.column(2)]):
+                s = shingles(h, size)
+                k = len(s) - -(-len(s) * percent // 100) + 1
+                first = s[np.lexsort((s, shared.value[(s % np.uint64(SLOTS)).astype(np.int64)]))[:k]]
+                at.append(np.full(len(first), i))
+                place.append(np.arange(len(first), dtype=np.int32))
+                n.append(np.full(len(first), len(s), np.int32))
+                token.append(first)
+            at = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(place)), pa.array(np.concatenate(n))], ["doc", "label", "token", "place", "n"])
+
+    rows = wanted.select("doc", "label", "text").mapInArrow(prefixes, f"doc {kind}, label {kind}, token long, place int, n int")
+    rows = staged(rows, "prefixes")
+    several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
+    rows = staged(rows.join(several, "token"), "prefixes")
+    other = rows.select("token", *(F.col(x).alias(f"_{x}") for x in ("doc", "label", "place", "n")))
+    # overlap needed: o >= percent * (n + _n) / (100 + percent); what a shared place leaves is the most there can be
+    most = F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place"))
+    near = (F.col("doc") < F.col("_doc")) & (F.col("label") != F.col("_label")) & (most * (100 + percent) >= percent * (F.col("n") + F.col("_n")))
+    return rows.hint("merge").join(other, "token").filter(near).select(F.col("doc").alias("c"), F.col("_doc").alias("d")).distinct()
+
+
+def named(links: DataFrame) -> DataFrame:
+    """(doc, label): the smallest class that each linked class reaches."""
+    return staged(components(links.select(F.col("c").alias("u"), F.col("d").alias("v"))).withColumnsRenamed({"id": "doc", "component": "label"}), "labels")
+
+
 def near_duplicates(docs: DataFrame, *, bands: int = 26, rows: int = 5, size: int = 5, percent: int = 85, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable over links, itself included), kept.
 
@@ -95,7 +149,8 @@ def near_duplicates(docs: DataFrame, *, bands: int = 26, rows: int = 5, size: in
     smallest id goes on. Classes that share a bucket of any band are candidates: in the first round each bucket's most popular
     class (the one whose buckets are largest together) is tested against the others, so a bucket of m gives m - 1 pairs; later
     rounds take the next most popular class of the buckets whose classes are not all linked to one centre, against the classes
-    that are not under its centre. Every candidate is confirmed on whole sets. At similarity 0.85 a pair shares no bucket with probability 2e-7.
+    that are not under its centre. What then still shares a bucket untested, under different components, goes through an exact
+    prefix filter (left_over), so no candidate is given up. Every candidate is confirmed on whole sets. At similarity 0.85 a pair shares no bucket with probability 2e-7.
     Repeated rows fall into one class; null text counts as empty; rows with a null id get a null component and are not kept.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -137,7 +192,20 @@ def near_duplicates(docs: DataFrame, *, bands: int = 26, rows: int = 5, size: in
         tested = both if tested is None else tested.unionByName(both)
         found = staged(confirmed(pairs, texts, size, percent), "links")
         links = found if links is None else links.unionByName(found)
-    labels = None if links is None else components(links.select(F.col("c").alias("u"), F.col("d").alias("v"))).withColumnsRenamed({"id": "doc", "component": "label"})
+    labels = None if links is None else named(links)
+    if used is not None:
+        # classes that were no centre of their bucket have not met each other there
+        rest = hits.join(used.withColumnRenamed("c", "doc"), ["key", "doc"], "left_anti")
+        rest = rest.withColumn("label", F.col("doc")) if labels is None else rest.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+        several = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+        rest = staged(rest.join(several, "key").select("doc", "label").distinct(), "rest")
+        if not rest.isEmpty():
+            pairs = left_over(rest, texts, size, percent)
+            pairs = staged(pairs if tested is None else pairs.join(tested, ["c", "d"], "left_anti"), "pairs")
+            found = staged(confirmed(pairs, texts, size, percent), "links")
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                labels = named(links)
     roots = classes.select("fp", "rep")
     if labels is not None:
         roots = roots.join(labels.select(F.col("doc").alias("rep"), "label"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("rep"))

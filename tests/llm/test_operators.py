@@ -235,6 +235,31 @@ def test_near_duplicates_around_a_base_and_in_chains(spark):
     assert near_rows(spark, texts) == brute.groups(texts)
 
 
+def family(twins, others, slots=20, seed=7):
+    """Texts of a pool of passages, two for each slot: any two differ in at least two slots, but for `twins` pairs that differ in one."""
+    rng = random.Random(seed)
+    pool = [[" ".join(f"w{rng.randint(0, 10**7)}" for _ in range(12)) for _ in range(2)] for _ in range(slots)]
+    chosen = []
+
+    def add(codes, alone):
+        if all(sum(x != y for x, y in zip(c, o, strict=True)) >= 2 for c in codes for o in alone):
+            chosen.extend(codes)
+
+    while len(chosen) < 2 * twins + others:
+        c = [int(rng.random() < 0.15) for _ in range(slots)]
+        k = rng.randrange(slots)
+        add([c, [*c[:k], 1 - c[k], *c[k + 1 :]]] if len(chosen) < 2 * twins else [c], list(chosen))
+    return {i: " ".join(pool[k][v] for k, v in enumerate(c)) for i, c in enumerate(chosen)}
+
+
+def test_near_duplicates_inside_a_template_family(spark):
+    texts = family(60, 300)
+    want = brute.groups(texts)
+    assert sum(c != i for i, (_, c) in want.items()) == 60
+    # one row a band crowds the buckets of this small family as a family of many thousands crowds those of five
+    assert near_rows(spark, texts, rows=1) == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = minhash.near_duplicates(table(spark, ODD)).collect()
     assert len(rows) == len(ODD) and [r["kept"] for r in rows if r["doc_id"] == 5] == [True, True]
