@@ -14,25 +14,48 @@ from pyspark.sql import functions as F
 from equiscope.llm.spans import batch_firsts, by_document, numbered, sha256, union_spans, with_cuts
 from equiscope.llm.spans import outside as without_spans
 
-_END = re.compile(rb"(?<=[.!?\xbc\x82])[ \t\r\f\v]+|[ \t\r\f\v]*\n[\s]*")
-_WORD = re.compile(rb"\S+")
-_CLAUSE = re.compile(rb"(?<=[,;:])[ \t\r\f\v]+")
+_END = re.compile(rb"(?<=[.!?\xbc\x82])[ \t\r\f\v]+|[ \t\r\f\v]*\n[\s]*|(?<=\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)")
+#: a character of the scripts written without blanks (Thai, Lao, Burmese, Khmer, kana, Han, full-width forms)
+_ALONE = rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1(?:[\x80-\x82]|[\x9e\x9f])[\x80-\xbf]|[\xe3-\xe9][\x80-\xbf]{2}|\xef[\xbc-\xbe][\x80-\xbf]|\xf0[\xa0-\xb3][\x80-\xbf]{2}"
+_WORD = re.compile(rb"%s|(?:(?!%s)\S)+" % (_ALONE, _ALONE))
+_BLANKLESS = re.compile(_ALONE)
+_CLAUSE = re.compile(rb"(?<=[,;:])[ \t\r\f\v]+|(?<=\xef\xbc\x8c|\xe3\x80\x81|\xef\xbc\x9b)")
+#: a long clause is cut before a word whose hash is the only least one among so many words before and after it
+_NEAR = 3
+
+
+def word_places(text: bytes, s: int, e: int) -> list[tuple[int, int]]:
+    return [m.span() for m in _WORD.finditer(text, s, e)]
+
+
+def clause_cuts(words: list[bytes], long_words: int) -> list[int]:
+    """Where the parts of a long clause start: at places that the words around them choose, so that copies are cut alike
+    wherever they stand; a part of more than long_words words (words that repeat choose none) also every long_words."""
+    h = [xxhash.xxh3_64_intdigest(w) for w in words]
+    n, out = len(h), [0]
+    for i in range(_NEAR, n - _NEAR):
+        if h[i] < min(h[i - _NEAR : i]) and h[i] < min(h[i + 1 : i + 1 + _NEAR]):
+            out.append(i)
+    return [k for a, b in zip(out, [*out[1:], n], strict=True) for k in range(a, b, long_words)]
 
 
 def sentences(text: bytes, long_words: int = 24) -> list[tuple[int, int, int]]:
-    """(start, end, words) of each sentence: cut at blanks after . ! ? and at line ends, long ones also at blanks after , ; : and then every long_words words."""
+    """(start, end, words) of each sentence: cut at blanks after . ! ? and at line ends, long ones also at blanks after , ; : and then
+    at places that the words choose (clause_cuts). A character of a script without blanks counts as a word, and its full stops and commas need no blank."""
     out: list[tuple[int, int, int]] = []
+    blankless = _BLANKLESS.search(text) is not None
 
     def add(s: int, e: int, pattern: re.Pattern | None) -> None:
-        n = len(text[s:e].split())
+        n = len(word_places(text, s, e)) if blankless else len(text[s:e].split())
         if not n:
             return
         if n <= long_words:
             out.append((s, e, n))
             return
-        if pattern is None:  # a long clause: so many words each, from its start
-            words = [m.span() for m in _WORD.finditer(text, s, e)]
-            out.extend((words[k][0], words[min(k + long_words, n) - 1][1], min(long_words, n - k)) for k in range(0, n, long_words))
+        if pattern is None:
+            words = word_places(text, s, e)
+            cuts = clause_cuts([text[a:b] for a, b in words], long_words)
+            out.extend((words[a][0], words[b - 1][1], b - a) for a, b in zip(cuts, [*cuts[1:], n], strict=True))
             return
         i = s
         for m in pattern.finditer(text, s, e):
@@ -48,21 +71,32 @@ def sentences(text: bytes, long_words: int = 24) -> list[tuple[int, int, int]]:
     return out
 
 
-def runs(parts: list[tuple[int, int, int]], least: int, words: int) -> Iterator[tuple[int, int]]:
+def _from_each(sizes: list[int], least: int, words: int) -> Iterator[tuple[int, int]]:
     """From each sentence the shortest run of at least `least` sentences and `words` words, as [first, last + 1)."""
-    n = len(parts)
-    if 0 < n < least and sum(p[2] for p in parts) >= words:
-        yield 0, n
-        return
+    n = len(sizes)
     j, held = 0, 0
     for i in range(n):
         while j < n and (j - i < least or held < words):
-            held += parts[j][2]
+            held += sizes[j]
             j += 1
         if j - i < least or held < words:
             return
         yield i, j
-        held -= parts[i][2]
+        held -= sizes[i]
+
+
+def runs(parts: list[tuple[int, int, int]], least: int, words: int) -> Iterator[tuple[int, int]]:
+    """The shortest runs of at least `least` sentences and `words` words from each sentence and up to each, in order.
+
+    Those inside a passage that is long enough cover all of it: the ones that start there all but its last sentences, and the one
+    that ends at its end those.
+    """
+    n, sizes = len(parts), [p[2] for p in parts]
+    if 0 < n < least and sum(sizes) >= words:
+        yield 0, n
+        return
+    back = ((n - j, n - i) for i, j in _from_each(sizes[::-1], least, words))
+    yield from sorted({*_from_each(sizes, least, words), *back})
 
 
 def span_rows(docs: DataFrame, least: int, words: int) -> DataFrame:
@@ -101,7 +135,7 @@ def repeated_spans(docs: DataFrame, least: int, words: int) -> DataFrame:
 def sentence_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: int = 2, words: int = 20) -> DataFrame:
     """Per row: id, n_sentences, n_removed (sentences), n_bytes, n_removed_bytes, n_spans, kept_sha256, kept_text.
 
-    From each sentence the shortest run of at least `least` sentences and `words` words is hashed (a shorter document of enough
+    From each sentence, and up to each, the shortest run of at least `least` sentences and `words` words is hashed (a shorter document of enough
     words is one run; blanks count as one). A run that occurs in several places stays where it comes first (smallest id, then
     place); everywhere else its sentences are removed, judged on the input. kept_text is the text without the removed stretches.
     A null text is empty; a null id counts as the smallest; repeated rows are one document and each gives the same row; an empty

@@ -172,6 +172,22 @@ def test_sentence_spans_match_brute_force(spark, sf):
     assert got == {i: (len(gone[i]),) for i in texts} and sum(map(len, gone.values()))
 
 
+def test_repeated_passages_go_to_their_ends_at_any_offset(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(n))
+    short = " ".join(say(n) + "." for n in (8, 8, 8, 3))  # no run from its last sentences is long enough
+    plain = say(60)  # no mark in it, behind different numbers of words
+    blankless = "".join(han(12) + "。" for _ in range(4))
+    texts = {1: f"{say(30)}. {short} {say(30)}.", 2: f"{say(9)}. {short} {say(9)}.", 3: f"{say(5)} {plain} {say(40)}", 4: f"{say(18)} {plain} {say(33)}"}
+    texts |= {5: han(9) + "。" + blankless + han(7), 6: han(5) + "。" + blankless + han(8)}
+    rows = {r["doc_id"]: r for r in sentences.sentence_dedup(table(spark, texts.items())).collect()}
+    assert rows[2]["kept_text"] == texts[2].replace(short, "")
+    assert rows[4]["n_removed_bytes"] > 0.5 * len(plain) and set(texts[4].split()) - set(plain.split()) <= set(rows[4]["kept_text"].split())
+    assert rows[6]["kept_text"] == texts[6].replace(blankless, "")
+    assert all(rows[i]["n_removed"] == 0 for i in (1, 3, 5))
+
+
 def test_sentence_dedup_of_odd_rows(spark):
     rows = sentences.sentence_dedup(table(spark, ODD)).collect()
     assert len(rows) == len(ODD) and all(r["n_removed"] == 0 for r in rows if r["doc_id"] not in (11, 12))
