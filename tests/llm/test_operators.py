@@ -446,6 +446,17 @@ def test_articles_of_the_tables_are_whole(spark, sf):
         assert r["text"] == " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|br)>", " ", inner[1]))).split())
 
 
+def test_names_alone_do_not_drop_an_article():
+    story = "<h1>Head</h1><p>A first paragraph of some length.</p><p>And a second one.</p>"
+    text = "Head A first paragraph of some length. And a second one."
+    for wrapper in ("<div class='layout with-sidebar'>", "<div class=no-sidebar>", "<div class=search-results>", "<div id=header-and-content>", "<div class=sidebar>", "<form>"):
+        end = "</form>" if wrapper == "<form>" else "</div>"
+        assert htmltext.article(f"{wrapper}<article>{story}</article>{end}", set()) == text, wrapper
+        assert htmltext.article(f"{wrapper}{story}{end}<p class=ad>buy", set()) == text, wrapper
+    assert htmltext.article(f"<div>{story}</div><div class='sidebar-left'>x</div><div class=userComments>y</div>", set()) == text
+    assert htmltext.article(f"<article>{story}</article><div class=comments><article>{story}</article></div>", set()) == text
+
+
 def test_broken_markup():
     assert htmltext.article("a < b <p title=\"x>y\">c</p <i>d</i> <!-- e", set()) is not None
     for s in ("<", "</", "<a href='", "<script>", "<p" * 50, "<!doctype", "&#x110000; &bogus;", "</p></p>"):
