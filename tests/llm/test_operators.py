@@ -446,6 +446,14 @@ def test_articles_of_the_tables_are_whole(spark, sf):
         assert r["text"] == " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|br)>", " ", inner[1]))).split())
 
 
+def test_copies_of_an_article_are_no_template(spark):
+    body = "<html><body><nav>menu {n}</nav><div><p>The one article of {i}.</p><p>Its end {i}.</p></div></body></html>"
+    rows = [(k, f"http://c.example/a?utm={k}", body.replace("{i}", "a").replace("{n}", str(k % 2)), 1) for k in range(7)]
+    rows += [(10 + k, f"http://c.example/{k}", body.replace("{i}", f"b{k}"), 1) for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, host int")).collect()}
+    assert got == {k: "The one article of a. Its end a." for k in range(7)} | {10 + k: f"The one article of b{k}. Its end b{k}." for k in range(3)}
+
+
 def test_names_alone_do_not_drop_an_article():
     story = "<h1>Head</h1><p>A first paragraph of some length.</p><p>And a second one.</p>"
     text = "Head A first paragraph of some length. And a second one."
