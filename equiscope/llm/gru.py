@@ -203,14 +203,20 @@ def score(model: Gru, docs: list[np.ndarray], window: int = 64) -> np.ndarray:
 
 
 def train(model: Gru, docs: list[np.ndarray], rate: float = 0.03, window: int = 32, slots: int = 64, clip: float = 1.0) -> Gru:
-    """One pass of truncated backpropagation with Adam; the rate falls linearly.
+    """One pass of truncated backpropagation with Adam over all documents; the rate falls linearly.
 
     Every tenth document is kept back, and of the points on the way from the old weights to the new ones that score best on those
-    is taken, so that few or odd documents can't make the model worse than it was.
+    is taken, so that few or odd documents can't make the model worse than it was. Those kept back are then learned in the
+    same way, judged on every ninth of the others. A single document has nothing to judge it and is not learned.
     """
     held, used = docs[::10], [d for i, d in enumerate(docs) if i % 10]
     if not used:
         return model
+    model = _judged(model, used, held, rate, window, slots, clip)
+    return _judged(model, held, used[::9], rate, window, slots, clip)
+
+
+def _judged(model: Gru, used: list[np.ndarray], held: list[np.ndarray], rate: float, window: int, slots: int, clip: float) -> Gru:
     ids, owner = streams(used, 8, slots)
     fresh = starts(owner)
     old = model.vector()

@@ -74,20 +74,21 @@ def chance(id_col: str, salt: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(2**32)
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, model: gru.Gru, id_col: str, text_col: str, *, fraction: float, rounds: int, docs_per_shard: int) -> gru.Gru:
-    """The model after `rounds` rounds: each round, shards of documents train copies of it in parallel, and the weights are averaged.
+def fit(docs: DataFrame, vocab: Vocabulary, model: gru.Gru, id_col: str, text_col: str, *, fraction: float, docs_per_shard: int) -> gru.Gru:
+    """The model after one pass over all documents: each round, shards of documents train copies of it in parallel, and the weights are averaged.
 
-    Each round reads a `fraction` of the documents by a hash of the id, so training grows with the corpus; shards hold
+    Each round reads another slice, a `fraction` of the documents by a hash of the id, until all are read once; shards hold
     docs_per_shard documents on average. The average is a sum by place of the weight vector; the driver gets one vector.
     """
     spark = docs.sparkSession
     n_docs = docs.count()
     shards = max(1, math.ceil(n_docs * fraction / docs_per_shard))
     words = spark.sparkContext.broadcast(vocab)
+    rounds = max(1, math.ceil(1 / fraction))
     for k in range(rounds):
         at = spark.sparkContext.broadcast(model)
         u = chance(id_col, "lm:")
-        chosen = docs.filter((u >= k * fraction) & (u < (k + 1) * fraction)).select(utf8(text_col).alias("_text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)).alias("shard"))
+        chosen = docs.filter((u >= k / rounds) & (u < (k + 1) / rounds)).select(utf8(text_col).alias("_text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)).alias("shard"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own: list[np.ndarray] = []
@@ -107,12 +108,12 @@ def fit(docs: DataFrame, vocab: Vocabulary, model: gru.Gru, id_col: str, text_co
 
 def scores(
     docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, *,
-    listed: int = 1024, frequent: int = 1 << 16, hidden: int = 32, per_class: int = 32, fraction: float = 0.08, rounds: int = 2, docs_per_shard: int = 2000,
+    listed: int = 1024, frequent: int = 1 << 16, hidden: int = 32, per_class: int = 32, fraction: float = 0.08, docs_per_shard: int = 2000,
 ) -> DataFrame:
     """Per row of docs: the columns in keep, n_tokens, n_known, train_tokens, base_score, score (both log10), learned from `train`.
 
     Tokens: words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased (64-bit hashes), then one end. Counts c, their sum N and number V come from
-    all of train. base_score: sum of log10((c + 0.5) / (N + 0.5 (V + 1))). score: the recurrent model gives P(class), P(word | class)
+    all of train, and the recurrent model reads all of it once, in 1 / fraction rounds. base_score: sum of log10((c + 0.5) / (N + 0.5 (V + 1))). score: the recurrent model gives P(class), P(word | class)
     for the `listed` most frequent words and P(outside the list); a word outside has (c + 0.5) / (that mass), where one unseen
     word stands for all, so the probabilities of what can follow add up to one. Counts of the `frequent` most frequent words are
     broadcast (a fixed bound); the other words of each document are joined with the counts. A null text is its end alone; repeated
@@ -127,7 +128,7 @@ def scores(
     outside = (big_n - int(c_listed.sum())) + 0.5 * (big_v - vocab.listed) + 0.5
     model = gru.Gru.start(c_listed if vocab.listed else np.zeros(1), outside, hidden, per_class)
     if vocab.listed:
-        model = fit(train, vocab, model, id_col, text_col, fraction=fraction, rounds=rounds, docs_per_shard=docs_per_shard)
+        model = fit(train, vocab, model, id_col, text_col, fraction=fraction, docs_per_shard=docs_per_shard)
     else:
         vocab = Vocabulary(np.array([END]), np.zeros(1, np.int64), np.zeros(1, np.int64), 1)
     words, best = spark.sparkContext.broadcast(vocab), spark.sparkContext.broadcast(model)

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -326,6 +327,24 @@ def test_rare_words_are_joined_whatever_the_broadcast(spark, sf):
         assert a == pytest.approx(many[i], rel=1e-9)
 
 
+def test_every_training_document_is_read_and_learned_once(spark, monkeypatch, tmp_path):
+    @F.udf("string")
+    def noted(i, text):
+        with open(tmp_path / str(os.getpid()), "a") as f:
+            f.write(f"{i}\n")
+        return text
+
+    rows = table(spark, [(i, f"a b c{i}") for i in range(400)])
+    vocab, counts = lm.vocabulary(lm.word_counts(rows, "text"), 64, 8)
+    docs = rows.withColumn("text", noted("doc_id", "text"))
+    lm.fit(docs, vocab, gru.Gru.start(counts, 1.0, 4, 8), "doc_id", "text", fraction=0.3, docs_per_shard=50)
+    assert sorted(int(x) for f in tmp_path.iterdir() for x in f.read_text().split()) == list(range(400))
+    learned = []
+    monkeypatch.setattr(gru, "_judged", lambda model, used, *rest: learned.extend(used) or model)
+    gru.train(None, list(range(35)))
+    assert sorted(learned) == list(range(35))
+
+
 def test_lm_of_odd_rows(spark, sf):
     rows = lm.scores(table(spark, ODD), read(spark, sf), listed=64, hidden=4, per_class=8).collect()
     assert len(rows) == len(ODD) and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2, 3, 6)} == {1}
