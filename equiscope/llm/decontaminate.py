@@ -126,7 +126,7 @@ def automata(bench: DataFrame, window: int, id_col: str, text_col: str, most_wor
     shards = max(1, -(-int(total) // most_words))
     shard = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(shards))
     for k in range(shards):
-        part = bench.filter(shard == k).select(F.col(id_col).cast("string").alias("i"), utf8(text_col).alias("t")).filter(F.col("i").isNotNull()).orderBy("i", "t")
+        part = bench.filter(shard == k).select(F.col(id_col).cast("string").alias("i"), utf8(text_col).alias("t")).orderBy("i", "t")
         yield ItemAutomaton([(r["i"], w) for r in part.toLocalIterator() if (w := words(bytes(r["t"])))], window)
 
 
@@ -139,8 +139,8 @@ def contamination(
     or a whole shorter item. Every word inside an occurrence of a window is hit; a document is contaminated when it has hits
     and they are at least `share` of its words. clean_text is the text without the hit spans (from the first hit word's first
     byte to the last one's last). The documents are streamed past broadcast automata of bounded size, one after the other;
-    no shuffle. A null or wordless text has 0 words and is not contaminated; items without words, or with a null id, match
-    nothing; equal item ids count once; an empty benchmark hits nothing; repeated rows each give a row.
+    no shuffle. A null or wordless text has 0 words and is not contaminated; items without words match nothing;
+    equal item ids count once, null ones too, which hit and count in n_items but are not in the list that is hashed; an empty benchmark hits nothing; repeated rows each give a row.
     """
     spark = docs.sparkSession
     machines = [spark.sparkContext.broadcast(a) for a in automata(bench, window, item_id, item_text, most_words)]
@@ -153,14 +153,14 @@ def contamination(
                 text = raw.as_py()
                 ws = words(text)
                 hit: list[tuple[int, int]] = []
-                items: set[str] = set()
+                items: set[str | None] = set()
                 for m in machines:
                     spans, found = m.value.match(ws)
                     hit += spans
                     items |= {m.value.ids[k] for k in found}
                 hit = merged(hit)
                 n_hit = sum(e - s for s, e in hit)
-                digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+                digest = hashlib.sha256(",".join(sorted(items - {None})).encode()).hexdigest()
                 out.append((len(ws), n_hit, len(items), digest, n_hit > 0 and n_hit >= share * len(ws) - 1e-9, without(text, hit).decode("utf-8", "replace") if keep_text else None))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string())

@@ -432,6 +432,13 @@ def test_automaton_with_short_and_overlapping_items(spark):
         assert got == brute.contaminated(texts, items, 5)
 
 
+def test_items_without_an_id_hit(spark):
+    bench = spark.createDataFrame([(None, "alpha beta gamma"), (7, "delta")], "item_id long, text string")
+    rows = table(spark, [(1, "say alpha beta gamma delta"), (2, "alpha beta")])
+    got = as_dict(decontaminate.contamination(rows, bench), "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == {1: (4, 2, brute.sha(b"7"), True), 2: (0, 0, brute.sha(b""), False)}
+
+
 def test_hit_spans_leave_the_text(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     rows = {r["doc_id"]: r for r in decontaminate.contamination(table(spark, [*ODD, (30, "Say: ALPHA, beta--gamma! ok")]), bench, keep_text=True).collect()}
