@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,14 @@ from equiscope.llm import decontaminate, exact, langid, minhash, mixing
 from equiscope.llm.common import staged
 
 
+def judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], null_last: bool) -> DataFrame:
+    """The rows whose ids `judge` gives. A row without an id goes under a hash of its columns, beyond all other ids on one side."""
+    h = F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 61)) + F.lit(1 << 62)
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), h if null_last else -h))
+    kept = judge(keyed.withColumn("doc_id", F.col("_id")).select(docs.columns)).select(F.col("doc_id").alias("_id")).distinct()
+    return keyed.join(kept, "_id", "left_semi").select(docs.columns)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the language model, learned from the labelled rows that are not held out, rejects."""
     model = langid.fit(docs.filter(~langid.held_out()))
@@ -16,22 +26,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of equal texts the row with the largest doc_id."""
-    kept = exact.exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Keep of equal texts the row with the largest doc_id; one without an id only if no other has its text."""
+    return judged(docs, lambda d: exact.exact_dedup(d).filter("kept"), null_last=False)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near-duplicates."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Keep the smallest doc_id of each group of near-duplicates; a row without an id only if no other is in its group."""
+    return judged(docs, lambda d: minhash.near_duplicates(d).filter("kept"), null_last=True)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop contaminated documents; the others stay as they are."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    clean = decontaminate.contamination(docs, bench).filter("not contaminated").select("doc_id").distinct()
-    return docs.join(clean, "doc_id", "left_semi").select(docs.columns)
+    return judged(docs, lambda d: decontaminate.contamination(d, bench).filter("not contaminated"), null_last=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,14 +142,20 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
+#: bounds the model, which holds a column of weights for each label
+MOST_LABELS = 1024
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample: int = 3000, buckets: int = 4096, **how) -> LangModel:
-    """A model learned from a sample of at most `sample` labelled rows, about as many of each language (up to 256 languages).
+    """A model learned from a sample of at most `sample` labelled rows, about as many of each language; more than MOST_LABELS labels are an error.
 
     Rows are chosen by a hash of their id, below a share per language that the counts of all rows give. Tasks turn whole texts
     into bucket shares, so the driver gets at most sample x buckets numbers. No labelled row with text: a model that knows `und` only.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), utf8(text_col).alias("_text")).filter("_lang is not null and octet_length(_text) > 0")
-    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(256).collect()
+    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MOST_LABELS + 1).collect()
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels in {lang_col}")
     langs = sorted(r["_lang"] for r in counts)
     if not langs:
         return LangModel(["und"], np.zeros((buckets, 1)), np.zeros(1), 1.0, 0.0)

@@ -519,6 +519,24 @@ def test_pipeline_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).agg(F.count("doc_id")).first()[0] == docs.count()
 
 
+def test_pipeline_keeps_clean_rows_without_an_id(spark, sf):
+    import corpus_pipeline
+
+    rows = table(spark, [(5, "one two three"), (None, "one two three"), (None, "four five six seven"), (6, "eight nine")])
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        got = sorted((r["doc_id"] or 0, r["text"]) for r in stage(spark, rows, sf).collect())
+        assert [x for x in got if x[1] != "one two three"] == [(0, "four five six seven"), (6, "eight nine")]
+        assert (5, "one two three") in got
+
+
+def test_every_label_can_be_predicted(spark, monkeypatch):
+    rows = table(spark, [(i, f"text {i}") for i in range(300)]).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id").cast("string")))
+    assert len(langid.fit(rows).langs) == 300
+    monkeypatch.setattr(langid, "MOST_LABELS", 299)
+    with pytest.raises(ValueError):
+        langid.fit(rows)
+
+
 def test_queries_and_oracles_have_the_same_names(spark):
     from equiscope.llm import oracles
 
