@@ -36,7 +36,7 @@ def facts_as_of(facts: DataFrame, dates: list[date]) -> DataFrame:
 
 def facts_as_of_one(facts: DataFrame, tickers: DataFrame, fields: list[str], at: date) -> DataFrame:
     """(ticker, one column per field) at one date; every requested ticker stays. Filters reach the scan; one aggregation."""
-    seen = facts.filter(F.col("field").isin(fields) & (F.col("observed_at") <= F.lit(at).cast("timestamp"))).join(F.broadcast(tickers), "ticker", "left_semi")
+    seen = facts.filter(F.col("field").isin(fields) & (F.col("observed_at") <= F.lit(at).cast("timestamp"))).join(tickers, "ticker", "left_semi")
     return tickers.join(pivoted(seen.groupBy("ticker", "field").agg(F.max_by("value", F.struct("report_date", "observed_at")).alias("value")), ["ticker"], fields), "ticker", "left")
 
 
@@ -97,6 +97,26 @@ def filing_as_of(rows: DataFrame, period: str, names: list[str], other: DataFram
     return rows.join(best, ["ticker", "calendardate", "datekey"], "left")
 
 
+def with_compared(filings: DataFrame, periods: dict[str, Column], names: list[str]) -> DataFrame:
+    """Each filing with, under `<name>_<tag>`, the columns of the latest filing of each period in `periods` that was public on its datekey.
+
+    A period is an expression over calendardate and prev_period, the period before among those the ticker has. Each filing asks its
+    periods for their values, and the answers come back by windows that all keep to the ticker: one shuffle, no join.
+    """
+    before = F.max("calendardate").over(Window.partitionBy("ticker").orderBy(F.unix_date("calendardate")).rangeBetween(Window.unboundedPreceding, -1))
+    rows = filings.withColumn("prev_period", before)
+    own = F.struct(*(F.col(c) for c in rows.columns if c != "ticker"))
+    asks = [F.struct(F.lit("").alias("tag"), F.col("calendardate").alias("at"), own.alias("own"))]
+    asks += [F.struct(F.lit(t).alias("tag"), p.alias("at"), F.when(F.lit(False), own).alias("own")) for t, p in periods.items()]
+    rows = rows.select("ticker", F.col("calendardate").alias("p"), F.col("datekey").alias("d"), F.explode(F.array(*asks)).alias("x")).select("ticker", "p", "d", "x.*")
+    public = Window.partitionBy("ticker", "at").orderBy("d").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    filed = F.when(F.col("tag") == "", F.struct("d", *(F.col(f"own.{n}").alias(n) for n in names)))
+    rows = rows.filter("at is not null or tag = ''").withColumn("_f", F.max(filed).over(public))
+    whose = Window.partitionBy("ticker", "p", "d")
+    rows = rows.withColumns({f"_{t}": F.max(F.when(F.col("tag") == t, F.col("_f"))).over(whose) for t in periods}).filter("tag = ''")
+    return rows.select("ticker", "own.*", *(F.col(f"_{t}.{n}").alias(f"{n}_{t}") for t in periods for n in names))
+
+
 def preceding_period(rows: DataFrame) -> DataFrame:
     """(ticker, calendardate, prev_period): the period before among those the ticker has."""
     periods = rows.select("ticker", "calendardate").distinct()

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equiscope.functions.scalar import clip, growth, ratio
-from equiscope.operators.asof import filing_as_of, latest_filing, preceding_period
+from equiscope.operators import asof
+from equiscope.operators.asof import latest_filing
 
 
 def statement_fields() -> dict[str, Column]:
@@ -32,27 +33,42 @@ def quarterly_facts(filings: DataFrame) -> DataFrame:
     Comparisons are with the latest filing of the compared period that was public by then: the period before among those the ticker
     has, the same quarter a year before, and that of the period before. A period that is missing gives no comparison.
     """
+    rows = asof.with_compared(filings, compared_periods(), ["revenue", "eps", "sgna"])
+    return to_facts(rows, statement_fields() | comparisons(), "calendardate", F.col("datekey").cast("timestamp"), "arq")
+
+
+def compared_periods() -> dict[str, Column]:
+    """What a filing is compared with: the period before (a), the same quarter a year before (b) and that of the period before (c)."""
     year_ago = lambda p: F.when(F.date_format(p, "MM-dd") != "02-29", F.last_day(F.add_months(p, -12)))
-    rows = filings.join(preceding_period(filings), ["ticker", "calendardate"], "left")
-    rows = rows.withColumns({"py": year_ago(F.col("calendardate")), "ppy": year_ago(F.col("prev_period"))})
-    names = ["revenue", "eps", "sgna"]
-    for at, tag in (("prev_period", "a"), ("py", "b"), ("ppy", "c")):
-        rows = filing_as_of(rows, at, names, filings).withColumnsRenamed({f"_{n}": f"{n}_{tag}" for n in names})
+    before = F.col("prev_period")
+    return {"a": before, "b": year_ago(F.col("calendardate")), "c": year_ago(before)}
+
+
+def comparisons() -> dict[str, Column]:
+    """Fields that compare a filing with those of compared_periods."""
     c = F.col
-    fields = statement_fields() | {
+    return {
         "sga_to_revenue_prior": ratio(c("sgna_a"), c("revenue_a")), "rev_growth_current": growth(c("revenue"), c("revenue_b")), "eps_growth_current": growth(c("eps"), c("eps_b")),
         "rev_growth_prior": growth(c("revenue_a"), c("revenue_c")), "eps_growth_prior": growth(c("eps_a"), c("eps_c")),
     }
-    return to_facts(rows, fields, "calendardate", F.col("datekey").cast("timestamp"), "arq")
+
+
+def margins() -> dict[str, Column]:
+    c = F.col
+    return {"gross_margin_current": c("grossmargin"), "op_margin_current": ratio(c("opinc"), c("revenue")), "gross_margin_prior": c("grossmargin_a"), "op_margin_prior": ratio(c("opinc_a"), c("revenue_a"))}
 
 
 def annual_facts(filings: DataFrame) -> DataFrame:
     """Margins of a filing and of the period before it."""
-    rows = filings.join(preceding_period(filings), ["ticker", "calendardate"], "left")
-    rows = filing_as_of(rows, "prev_period", ["grossmargin", "opinc", "revenue"], filings)
-    c = F.col
-    fields = {"gross_margin_current": c("grossmargin"), "op_margin_current": ratio(c("opinc"), c("revenue")), "gross_margin_prior": c("_grossmargin"), "op_margin_prior": ratio(c("_opinc"), c("_revenue"))}
-    return to_facts(rows, fields, "calendardate", F.col("datekey").cast("timestamp"), "ary")
+    rows = asof.with_compared(filings, {"a": F.col("prev_period")}, ["grossmargin", "opinc", "revenue"])
+    return to_facts(rows, margins(), "calendardate", F.col("datekey").cast("timestamp"), "ary")
+
+
+def filing_facts(filings: DataFrame) -> DataFrame:
+    """quarterly_facts and annual_facts of the same filings in one pass over them."""
+    rows = asof.with_compared(filings, compared_periods(), ["revenue", "eps", "sgna", "grossmargin", "opinc"])
+    out = to_facts(rows, statement_fields() | comparisons() | margins(), "calendardate", F.col("datekey").cast("timestamp"), "arq")
+    return out.withColumn("source", F.when(F.col("field").isin(list(margins())), "ary").otherwise("arq"))
 
 
 def to_facts(rows: DataFrame, fields: dict[str, Column], report: str, observed: Column, source: str) -> DataFrame:
@@ -72,7 +88,7 @@ def latest_screen(filings: DataFrame, bars: DataFrame, removed: DataFrame | None
     b = bars.withColumn("_r", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))).filter("_r <= 20")
     tail = b.groupBy("ticker").agg(F.max_by("close", "date").alias("close"), F.avg("volume").alias("avg_volume_20d"))
     out = out.join(tail, "ticker", "left")
-    return out if removed is None else out.join(F.broadcast(removed), "ticker", "left_anti")
+    return out if removed is None else out.join(removed, "ticker", "left_anti")
 
 
 def stints(events: DataFrame, current: DataFrame, unknown_start: date = date(1957, 3, 4)) -> DataFrame:
@@ -142,15 +158,20 @@ def vendor_facts(records: DataFrame, fields: list[str], lag_days: int, priors: d
     return to_facts(rows, {n: F.col(n) for n in names}, "date", F.date_add("date", lag_days).cast("timestamp"), source)
 
 
-def merged_live(annual: DataFrame, quarterly: DataFrame, fields: list[str]) -> DataFrame:
+def merged_live(annual: DataFrame, quarterly: DataFrame, fields: list[str], yearly: DataFrame | None = None) -> DataFrame:
     """One row per ticker: the newest quarterly values where there are any, else the annual ones; revenue and EPS growth on
-    quarters 0/4 and 1/5, EPS only from a positive base."""
+    quarters 0/4 and 1/5, EPS only from a positive base. With fewer than five quarters the growth is that of the two newest
+    records of yearly (ticker, date, rev_growth, eps_growth)."""
     newest = annual.groupBy("ticker").agg(*(F.max_by(f, "date").alias(f"{f}_y") for f in fields))
     w = Window.partitionBy("ticker").orderBy(F.desc("date"))
     at = lambda c, k: F.max(F.when(F.col("r") == k + 1, F.col(c)))
     q = quarterly.withColumn("r", F.row_number().over(w)).filter("r <= 6").groupBy("ticker").agg(
-        *(at(f, 0).alias(f"{f}_q") for f in fields), *(at(c, k).alias(f"{c}_{k}") for c in ("revenue", "eps") for k in (0, 1, 4, 5))
+        F.count(F.lit(1)).alias("n_q"), *(at(f, 0).alias(f"{f}_q") for f in fields), *(at(c, k).alias(f"{c}_{k}") for c in ("revenue", "eps") for k in (0, 1, 4, 5))
     )
     m = newest.join(q, "ticker", "full")
     g = {f"{n}_{tag}": growth(F.col(f"{c}_{a}"), F.col(f"{c}_{b}")) for n, c in (("rev_growth", "revenue"), ("eps_growth", "eps")) for tag, a, b in (("current", 0, 4), ("prior", 1, 5))}
+    if yearly is not None:
+        y = yearly.withColumn("r", F.row_number().over(w)).filter("r <= 2").groupBy("ticker").agg(*(at(n, k).alias(f"{n}_{tag}_y") for n in ("rev_growth", "eps_growth") for k, tag in enumerate(("current", "prior"))))
+        m = m.join(y, "ticker", "left")
+        g = {k: F.when(F.coalesce("n_q", F.lit(0)) < 5, F.col(f"{k}_y")).otherwise(v) for k, v in g.items()}
     return m.select("ticker", *(F.coalesce(f"{f}_q", f"{f}_y").alias(f) for f in fields), *(v.alias(k) for k, v in g.items()))

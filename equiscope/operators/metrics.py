@@ -34,14 +34,17 @@ def psr(per_period: Column, n: Column, skew: Column, kurt: Column, hurdle: Colum
     return F.when(n < 2, F.lit(0.0)).when(se == 0, F.lit(0.5)).otherwise(normal_cdf(F.try_divide(per_period - hurdle, se)))
 
 
-def bundle(series: DataFrame, ppy: int = 12, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """One row per series: n, total_return, sharpe, cagr, max_drawdown, calmar, skew, kurt, psr, significant (n >= 30)."""
+def bundle(series: DataFrame, ppy: int = 12, keys: tuple[str, ...] = KEYS, years: float | None = None) -> DataFrame:
+    """One row per series: n, total_return, sharpe, cagr, max_drawdown, calmar, skew, kurt, psr, significant (n >= 30).
+
+    years is the span that the growth rate is for; n / ppy where it is not given.
+    """
     s = equity(series, keys).groupBy(*keys).agg(
         F.count("ret").alias("n"), F.avg("ret").alias("mean_ret"), F.stddev_samp("ret").alias("std_ret"), F.max_by("equity", "t").alias("final"), F.min("drawdown").alias("max_drawdown"),
         F.coalesce(F.skewness("ret"), F.lit(0.0)).alias("skew"), (F.coalesce(F.kurtosis("ret"), F.lit(0.0)) + 3).alias("kurt"),
     )
     s = s.withColumn("total_return", F.col("final") - 1).withColumn("sharpe", sharpe(F.lit(ppy), F.col("std_ret"), F.col("mean_ret")))
-    s = s.withColumn("cagr", cagr(F.col("total_return"), F.col("n") / ppy))
+    s = s.withColumn("cagr", cagr(F.col("total_return"), F.col("n") / ppy if years is None else F.lit(years)))
     s = s.withColumn("calmar", F.coalesce(F.try_divide(F.col("cagr"), F.abs("max_drawdown")), F.lit(0.0)))
     s = s.withColumn("psr", psr(F.col("sharpe") / F.sqrt(F.lit(ppy)), F.col("n"), F.col("skew"), F.col("kurt")))
     return s.select(*keys, "n", "total_return", "sharpe", "cagr", "max_drawdown", "calmar", "skew", "kurt", "psr", (F.col("n") >= 30).alias("significant"))

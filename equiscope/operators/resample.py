@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from equiscope.functions.scalar import EULER_GAMMA, draw, normal_ppf
+from equiscope.functions.scalar import EULER_GAMMA, draw, normal_ppf, per_period_sharpe
 from equiscope.operators.metrics import cagr, equity, psr, sharpe
 
 
@@ -61,7 +61,7 @@ def expected_max_sharpe(n_trials, sigma):
 def deflated(stats: DataFrame, ppy: int = 12) -> DataFrame:
     """Metric rows with (n_trials, sigma, hurdle, dsr): trials are the rows themselves, sigma the deviation of their per-period ratios."""
     w = Window.partitionBy()  # one row per strategy
-    per = F.col("sharpe") / F.sqrt(F.lit(ppy))
+    per = per_period_sharpe(F.col("sharpe"), F.lit(ppy))
     s = stats.withColumns({"n_trials": F.count(F.lit(1)).over(w), "sigma": F.coalesce(F.stddev_samp(per).over(w), F.lit(0.0))})
     s = s.withColumn("hurdle", expected_max_sharpe(F.col("n_trials"), F.col("sigma")))
     return s.withColumn("dsr", psr(per, F.col("n"), F.col("skew"), F.col("kurt"), F.col("hurdle")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from equiscope.functions.scalar import bps, file_time, first_positive, signed
@@ -16,31 +16,40 @@ def variant_chain(doc: Column, kind: str, *paths: str) -> Column:
 
 
 def read_logs(texts: DataFrame) -> DataFrame:
-    """(broker, ts, date, executed, equity, holdings, orders) from (name, text) of log documents whose schema drifts.
+    """(broker, ts, date, executed, equity, holdings, orders, weights) from (name, text) of log documents whose schema drifts.
 
     account may be an object or a string, equity may stand in three places, holdings may be a list of names or the keys of an
     object; a document that is no JSON is dropped.
     """
     d = texts.withColumn("doc", F.try_parse_json("text")).filter("doc is not null")
     g = lambda kind, *paths: variant_chain(F.col("doc"), kind, *paths)
-    label = g("string", "$.broker", "$.account.broker", "$.account")
+    is_object = F.try_variant_get(F.col("doc"), "$.account", "map<string,variant>").isNotNull()
+    label = F.coalesce(g("string", "$.broker", "$.account.broker"), F.when(~is_object, g("string", "$.account")))
     mode = g("string", "$.mode")
     broker = F.when(label.isNull() | (label == "alpaca"), F.when(mode == "live", "alpaca-live").otherwise("alpaca-paper")).otherwise(label)
     day = g("string", "$.date")
     names = F.coalesce(g("array<string>", "$.picks", "$.holdings"), F.array_sort(F.map_keys(F.try_variant_get(F.col("doc"), "$.holdings", "map<string,variant>"))))
     orders = g("array<struct<ticker:string,side:string,notional:double,status:string,arrival_price:double,fill_price:double>>", "$.orders")
+    weights = F.try_variant_get(F.col("doc"), "$.weights", "map<string,double>")
     return d.select(
         broker.alias("broker"), file_time(F.col("name"), day).alias("ts"), F.try_to_timestamp(day).cast("date").alias("date"),
         (~F.coalesce(g("boolean", "$.dry_run"), F.lit(False))).alias("executed"), g("double", "$.account.equity", "$.account_after.total_value", "$.account.portfolio_value").alias("equity"),
-        F.coalesce(names, F.array().cast("array<string>")).alias("holdings"), orders.alias("orders"),
+        F.coalesce(names, F.array().cast("array<string>")).alias("holdings"), orders.alias("orders"), weights.alias("weights"),
     )
 
 
+def read_log_files(spark: SparkSession, path: str) -> DataFrame:
+    """read_logs of the JSON files under a folder, one document a file; its name gives the time."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    return read_logs(files)
+
+
 def log_documents(events: DataFrame) -> DataFrame:
-    """(name, text): one JSON document per event (broker, ts, equity, orders array)."""
+    """(name, text): one JSON document per event (broker, ts, equity, holdings, orders array; weights and screen_results where there are)."""
+    extra = [F.col(c) for c in ("weights", "screen_results") if c in events.columns]
     doc = F.struct(
         F.date_format("ts", "yyyy-MM-dd").alias("date"), F.lit("paper").alias("mode"), (~F.col("executed")).alias("dry_run"),
-        F.struct(F.col("broker").alias("broker"), F.col("equity").alias("equity")).alias("account"), F.col("holdings").alias("picks"), F.col("orders").alias("orders"),
+        F.struct(F.col("broker").alias("broker"), F.col("equity").alias("equity")).alias("account"), F.col("holdings").alias("picks"), F.col("orders").alias("orders"), *extra,
     )
     return events.select(F.concat(F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("_"), F.col("broker"), F.lit(".json")).alias("name"), F.to_json(doc).alias("text"))
 
@@ -59,6 +68,20 @@ def detected_flows(obs: DataFrame, least: float = 500.0, share: float = 0.02) ->
     return o.filter(hit).select("broker", F.to_date("ts").alias("date"), "ts", F.round("amount", 2).alias("amount"))
 
 
+def ledger(spark: SparkSession, path: str, detected: DataFrame, again: bool = False) -> DataFrame:
+    """The stored cash flows (broker, date, amount, note, inferred, ts), which people edit; where there are none yet, or `again`, seeded.
+
+    detected is (broker, date, ts, amount) and a note where there is one; what it seeds is marked as inferred. Stored as JSON lines.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if again or not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        note = F.col("note") if "note" in detected.columns else F.lit("")
+        rows = detected.select("broker", F.col("date").cast("string").alias("date"), "amount", note.alias("note"), F.lit(True).alias("inferred"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"))
+        rows.write.mode("overwrite").json(path)
+    raw = spark.read.schema("broker string, date string, amount double, note string, inferred boolean, ts string").json(path)
+    return raw.select("broker", F.try_to_timestamp("date").cast("date").alias("date"), "amount", F.coalesce("note", F.lit("")).alias("note"), F.coalesce("inferred", F.lit(False)).alias("inferred"), F.try_to_timestamp("ts").cast("timestamp_ntz").alias("ts"))
+
+
 def periods(events: DataFrame) -> DataFrame:
     """(broker, start, end, start_ts, end_ts, holdings, start_equity, end_equity) between consecutive events of a broker."""
     w = Window.partitionBy("broker").orderBy("ts")
@@ -84,12 +107,28 @@ def model_returns(p: DataFrame, forward: DataFrame) -> DataFrame:
     return p.join(m, ["broker", "start", "end"], "left")
 
 
+def flows_inside(p: DataFrame, flows: DataFrame) -> DataFrame:
+    """p with `flows`: what went in after start_ts and by end_ts; a flow without time counts at noon of its day.
+
+    Periods of one broker don't overlap, so a flow belongs to the last period that starts before it, if that has not ended: one
+    sorted pass over both, one shuffle on broker, and no pairs of periods and flows.
+    """
+    none = F.lit(None)
+    at = F.coalesce(F.col("ts"), F.expr("timestampadd(HOUR, 12, cast(date as timestamp_ntz))"))
+    own = F.struct(*(F.col(c) for c in p.columns if c != "broker"))
+    starts = p.select("broker", F.col("start_ts").alias("at"), F.lit(1).alias("kind"), own.alias("own"), none.cast("double").alias("amount"))
+    given = flows.select("broker", at.alias("at"), F.lit(0).alias("kind"), none.cast(starts.schema["own"].dataType).alias("own"), "amount")
+    # at one time a flow comes before the start, as it is not inside what starts then
+    w = Window.partitionBy("broker").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = starts.unionByName(given).withColumn("last", F.last(F.when(F.col("kind") == 1, F.struct(F.col("own.start_ts").alias("s"), F.col("own.end_ts").alias("e"))), ignorenulls=True).over(w))
+    counted = F.when((F.col("kind") == 0) & (F.col("at") <= F.col("last.e")), F.col("amount"))
+    both = both.withColumn("flows", F.coalesce(F.sum(counted).over(Window.partitionBy("broker", F.col("last.s"))), F.lit(0.0)))
+    return both.filter("kind = 1").select("broker", "own.*", "flows")
+
+
 def live_periods(p: DataFrame, forward: DataFrame, market: DataFrame, flows: DataFrame) -> DataFrame:
     """Periods with model, benchmark and realized returns: (end equity) / (start equity + flows inside) - 1, and flags."""
-    f = flows.select("broker", F.coalesce(F.col("ts"), F.expr("timestampadd(HOUR, 12, cast(date as timestamp_ntz))")).alias("fts"), "amount")
-    inside = p.select("broker", "start_ts", "end_ts").join(f, "broker").filter((F.col("fts") > F.col("start_ts")) & (F.col("fts") <= F.col("end_ts")))
-    sums = inside.groupBy("broker", "start_ts").agg(F.sum("amount").alias("flows"))
-    m = model_returns(p, forward).join(sums, ["broker", "start_ts"], "left").withColumn("flows", F.coalesce("flows", F.lit(0.0)))
+    m = model_returns(flows_inside(p, flows), forward)
     b = lambda day, name: market.select(F.col("day").alias(day), F.col("close").alias(name))
     m = m.join(b("start", "b0"), "start", "left").join(b("end", "b1"), "end", "left")
     m = m.withColumns({"realized_ret": F.try_divide(F.col("end_equity"), F.col("start_equity") + F.col("flows")) - 1, "bench_ret": F.try_divide(F.col("b1"), F.col("b0")) - 1})
@@ -203,8 +242,12 @@ def valued_positions(positions: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def stop_levels(positions: DataFrame, stop: float) -> DataFrame:
-    """(account, ticker, shares, stop_price): whole shares, and the price less the stop to the cent."""
-    return positions.select("account", "ticker", F.floor("quantity").cast("long").alias("shares"), F.round(F.col("price") * (1 - stop), 2).alias("stop_price")).filter("shares > 0")
+    """(account, ticker, shares, stop_price): whole shares, and the price less the stop to the cent, half a cent up.
+
+    A price within a millionth of half a cent counts as half a cent, so that the last digits of a product don't decide.
+    """
+    cents = F.floor(F.round(F.col("price") * (1 - stop) * 100, 6) + 0.5)
+    return positions.select("account", "ticker", F.floor("quantity").cast("long").alias("shares"), (cents / 100).alias("stop_price")).filter("shares > 0")
 
 
 def resolvable_picks(picks: DataFrame, known: DataFrame) -> DataFrame:

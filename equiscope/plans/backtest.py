@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from equiscope.operators.metrics import bundle
-from equiscope.operators.portfolio import by_score, portfolio_returns, top_n, turnover
-from equiscope.plans.screen import Spec, by_chain, scored, screen, weighted
+from equiscope.operators.portfolio import by_score, portfolio_returns, turnover
+from equiscope.plans.screen import STRATEGY, Spec, picks_by_strategy, scored_by_strategy
+from equiscope.sources.stage import staged
 
 RETURNS = "strategy_id string, t int, as_of date, ret double, n int, swaps int, cost double, stopped int"
 
@@ -23,18 +24,15 @@ def calendar_frame(like: DataFrame, dates: list[date]) -> DataFrame:
 def without_feedback(frame: DataFrame, returns: DataFrame, dates: list[date], specs: list[Spec]) -> DataFrame:
     """(strategy_id, t, as_of, ret, n, swaps, cost) of strategies whose picks don't depend on what was held.
 
-    A period without picks returns 0; one whose picks have no price at all returns minus its cost.
+    A period without picks returns 0; one whose picks have no price at all returns minus its cost. The picks, a few rows a date
+    and strategy, are written once and read by the returns and by the turnover.
     """
     cal = calendar_frame(frame, dates)
-    picks, ready = None, by_chain(frame, specs)
-    for s in specs:
-        p = screen(frame, s, ready[repr(s.chain())]).select(F.lit(s.name).alias("strategy_id"), F.lit(s.cost_bps).alias("bps"), F.lit(s.weighting != "equal").alias("drifts"), "as_of", "ticker", "target_weight")
-        picks = p if picks is None else picks.unionByName(p)
-    picks = picks.join(F.broadcast(cal.select("as_of")), "as_of", "left_semi").persist()
-    keys = ("strategy_id", "bps", "drifts")
+    picks = staged(picks_by_strategy(frame.filter(F.col("as_of") < F.lit(dates[-1])), specs), "picks")
+    keys = ("strategy_id", "bps", "by_vol")
     gross = portfolio_returns(picks, returns, keys)
     moved = turnover(picks, cal, 10000.0, keys)
-    cost = (F.col("traded") + F.when(F.col("drifts"), F.col("drift")).otherwise(0.0)) * F.col("bps") / 10000
+    cost = (F.col("traded") + F.when(F.col("by_vol"), F.col("drift")).otherwise(0.0)) * F.col("bps") / 10000
     net = gross.join(moved.drop("n", "n_before", "cost"), [*keys, "as_of"]).withColumn("cost", cost)
     grid = cal.withColumn("strategy_id", F.explode(F.array(*(F.lit(s.name) for s in specs))))
     out = grid.join(net, ["strategy_id", "as_of"], "left")
@@ -42,11 +40,24 @@ def without_feedback(frame: DataFrame, returns: DataFrame, dates: list[date], sp
     return out.select("strategy_id", "t", "as_of", F.coalesce(F.col("gross") - F.col("cost"), F.lit(0.0)).alias("ret"), F.coalesce("n", zero).alias("n"), F.coalesce("swaps", zero).alias("swaps"), F.coalesce("cost", F.lit(0.0)).alias("cost"))
 
 
+def within_bonus(scores: DataFrame) -> DataFrame:
+    """Names that the fold can ever pick: a score within the bonus of the n-th best of the capped selection without bonus.
+
+    scores are rows of scored_by_strategy; windows over one strategy's date, which hold one cross-section each.
+    """
+    day = Window.partitionBy(*STRATEGY)
+    of_sector = F.row_number().over(Window.partitionBy(*STRATEGY, F.coalesce("sector", F.lit("__unknown__"))).orderBy(*by_score()))
+    rows = scores.withColumn("_open", (F.col("max_per_sector") == 0) | (of_sector <= F.col("max_per_sector")))
+    rows = rows.withColumn("_k", F.count_if("_open").over(day.orderBy(*by_score()).rowsBetween(Window.unboundedPreceding, 0)))
+    top = F.col("_open") & (F.col("_k") <= F.col("top_n"))
+    rows = rows.withColumns({"_edge": F.min(F.when(top, F.col("composite_score"))).over(day), "_n": F.count_if(top).over(day)})
+    return rows.filter((F.col("_n") < F.col("top_n")) | (F.col("composite_score") >= F.col("_edge") - F.col("hold_bonus"))).drop("_open", "_k", "_edge", "_n")
+
+
 def pruned(scores: DataFrame, spec: Spec) -> DataFrame:
-    """Names that the fold can ever pick: a score within the bonus of the n-th best of the capped selection without bonus."""
-    best = top_n(scores, spec.top_n, spec.max_per_sector).groupBy("as_of").agg(F.min("composite_score").alias("edge"), F.count(F.lit(1)).alias("k"))
-    met = scores.join(best, "as_of")
-    return met.filter((F.col("k") < spec.top_n) | (F.col("composite_score") >= F.col("edge") - spec.hold_bonus)).drop("edge", "k")
+    """within_bonus of one strategy."""
+    own = {"strategy_id": spec.name, "top_n": spec.top_n, "max_per_sector": spec.max_per_sector, "hold_bonus": float(spec.hold_bonus)}
+    return within_bonus(scores.withColumns({k: F.lit(v) for k, v in own.items()})).drop(*own)
 
 
 def _weights(vols: pd.Series, how: str) -> pd.Series:
@@ -65,7 +76,7 @@ def fold(rows: pd.DataFrame, spec: Spec, dates: list[date]) -> pd.DataFrame:
     cash, out = False, []
     for t, d in enumerate(dates[:-1]):
         if spec.portfolio_stop_loss > 0 and out:
-            cash = out[-1][3] < -spec.portfolio_stop_loss or (cash and False)
+            cash = out[-1][3] < -spec.portfolio_stop_loss
         if cash or d not in by_date:
             out.append((spec.name, t, d, 0.0, 0, 0, 0.0, 0))
             held = set()
@@ -104,13 +115,12 @@ def with_feedback(frame: DataFrame, returns: DataFrame, dates: list[date], specs
     """(strategy_id, t, as_of, ret, n, swaps, cost, stopped) of strategies with hold bonus or stops.
 
     Spark scores every date at once and prunes what can't be picked; what is left, a few rows more than the picks of each date, is
-    folded per strategy, all strategies in parallel.
+    folded per strategy, all strategies in parallel. A fold's task holds dates x (top_n + names within the bonus of the last pick)
+    rows of one strategy: with n names in all and a bonus beyond their spread, dates x n, a few hundred thousand for a market of
+    thousands of names.
     """
     cols = ["strategy_id", "as_of", "ticker", "composite_score", "sector", "realized_vol_20d", "ret", "min_low", "start_price"]
-    rows, ready = None, by_chain(frame, specs)
-    for s in specs:
-        p = pruned(scored(frame, s, ready[repr(s.chain())]), s).withColumn("strategy_id", F.lit(s.name)).join(returns.select("as_of", "ticker", "ret", "min_low", "start_price"), ["as_of", "ticker"], "left").select(cols)
-        rows = p if rows is None else rows.unionByName(p)
+    rows = within_bonus(scored_by_strategy(frame, specs)).join(returns.select("as_of", "ticker", "ret", "min_low", "start_price"), ["as_of", "ticker"], "left").select(cols)
     # a strategy without any row still has its periods
     names = frame.sparkSession.createDataFrame([(s.name,) for s in specs], "strategy_id string")
     rows = rows.join(names, "strategy_id", "right")
@@ -133,10 +143,14 @@ def backtest(frame: DataFrame, returns: DataFrame, dates: list[date], specs: lis
     return out
 
 
-def summary(returns: DataFrame, ppy: int = 12) -> DataFrame:
-    """Metric rows of a backtest with its swaps and mean cost."""
+def years_between(start: date, end: date) -> float:
+    return (end - start).days / 365.25
+
+
+def summary(returns: DataFrame, start: date, end: date, ppy: int = 12) -> DataFrame:
+    """Metric rows of a backtest from start to end, annualized by its days, with its swaps and mean cost."""
     extra = returns.groupBy("strategy_id").agg(F.sum("swaps").alias("swaps"), F.avg("cost").alias("mean_cost"))
-    return bundle(returns.select("strategy_id", "t", "ret"), ppy).join(extra, "strategy_id")
+    return bundle(returns.select("strategy_id", "t", "ret"), ppy, years=years_between(start, end)).join(extra, "strategy_id")
 
 
 def equal_weight_market(returns: DataFrame, dates: list[date]) -> DataFrame:
@@ -145,4 +159,4 @@ def equal_weight_market(returns: DataFrame, dates: list[date]) -> DataFrame:
     return returns.groupBy("as_of").agg(F.avg("within_ret").alias("mkt")).join(F.broadcast(cal), "as_of").select("t", "mkt")
 
 
-__all__ = ["Window", "backtest", "by_score", "calendar_frame", "equal_weight_market", "fold", "pruned", "summary", "weighted", "with_feedback", "without_feedback"]
+__all__ = ["backtest", "calendar_frame", "equal_weight_market", "fold", "pruned", "summary", "with_feedback", "within_bonus", "without_feedback", "years_between"]

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from equiscope.functions.scalar import date_prefix, file_time
 from equiscope.operators import tracking
+from equiscope.plans import evaluate
 from equiscope.plans.catalog import query
 from equiscope.plans.queries_panel import rounded
 from equiscope.sources import domain
 from equiscope.sources.domain_sql import ACCOUNT_OBS, BARS, BENCHMARK, using
+from equiscope.sources.stage import scratch
 from equiscope.streaming import ingest
 
 SINCE = date(1994, 1, 1)
@@ -26,7 +26,7 @@ EVENTS = """ln AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus, o_t
 FORWARD = """fwd AS (SELECT ticker, CAST(unnest(generate_series(CASE WHEN p IS NULL THEN least(DATE '1994-01-01',date) ELSE p+1 END, date, INTERVAL 1 DAY)) AS DATE) AS day, date AS bar_date, close FROM (SELECT *, lag(date) OVER (PARTITION BY ticker ORDER BY date) AS p FROM bars))"""
 MODEL = """mdl AS (SELECT broker, start, "end", avg(b.close/nullif(a.close,0)-1) AS model_ret, count(*) AS n_held, count(b.close/nullif(a.close,0)) AS n_priced FROM (SELECT broker, start, "end", unnest(holdings) AS ticker FROM pr) h LEFT JOIN fwd a ON a.ticker=h.ticker AND a.day=h.start LEFT JOIN fwd b ON b.ticker=h.ticker AND b.day=h."end" GROUP BY ALL)"""
 MARKET = """mk AS (SELECT CAST(unnest(generate_series(CASE WHEN p IS NULL THEN least(DATE '1994-01-01',date) ELSE p+1 END, date, INTERVAL 1 DAY)) AS DATE) AS day, close FROM (SELECT *, lag(date) OVER (ORDER BY date) AS p FROM bench))"""
-FLOWS = """fl AS (SELECT CAST(o_custkey AS VARCHAR) AS broker, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey%2=0 THEN CAST(o_orderdate AS TIMESTAMP)+INTERVAL 1 HOUR END AS ts, round(o_totalprice/50,2) AS amount FROM orders WHERE o_orderstatus='P')"""
+FLOWS = """fl AS (SELECT CAST(o_custkey AS VARCHAR) AS broker, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey%2=0 THEN CAST(o_orderdate AS TIMESTAMP)+INTERVAL 1 HOUR END AS ts, floor(o_totalprice/50) AS amount FROM orders WHERE o_orderstatus='P')"""
 
 
 def lines(spark, sf_dir):
@@ -53,7 +53,7 @@ def market(spark, sf_dir):
 def flows(spark, sf_dir):
     o = domain.read(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
     ts = F.when(F.col("o_orderkey") % 2 == 0, F.expr("timestampadd(HOUR, 1, o_orderdate)"))
-    return o.select(F.col("o_custkey").cast("string").alias("broker"), F.to_date("o_orderdate").alias("date"), ts.alias("ts"), F.round(F.col("o_totalprice") / 50, 2).alias("amount"))
+    return o.select(F.col("o_custkey").cast("string").alias("broker"), F.to_date("o_orderdate").alias("date"), ts.alias("ts"), F.floor(F.col("o_totalprice") / 50).cast("double").alias("amount"))
 
 
 @query("t04_detected_flows", using(ACCOUNT_OBS, query="SELECT broker, CAST(ts AS DATE) AS date, event_id, round(equity-pe,2) AS amount FROM (SELECT *, lag(equity) OVER w AS pe, lag(ts) OVER w AS pt FROM account_obs WINDOW w AS (PARTITION BY broker ORDER BY ts, event_id)) WHERE CAST(pt AS DATE)=CAST(ts AS DATE) AND abs(equity-pe)>=500 AND abs(equity-pe)>=0.02*pe"))
@@ -86,11 +86,11 @@ def live_periods(spark, sf_dir):
     return rounded(rounded(v, "model_ret", "realized_ret", "bench_ret"), "flows", digits=2).select("broker", "start", "end", "model_ret", "realized_ret", "bench_ret", "flows", F.concat_ws(",", "flags").alias("flags"))
 
 
-@query("t08_cumulative_live", using(*LIVE, query="SELECT broker, count(*) AS n, round(product(1+model_ret)-1,5) AS cum_model, round(product(1+bench_ret)-1,5) AS cum_bench FROM lv WHERE model_ret IS NOT NULL AND realized_ret IS NOT NULL AND bench_ret IS NOT NULL GROUP BY broker"))
+@query("t08_cumulative_live", using(*LIVE, query="SELECT broker, count(*) AS n, product(1+model_ret)-1 AS cum_model, product(1+realized_ret)-1 AS cum_realized, product(1+bench_ret)-1 AS cum_bench FROM lv WHERE model_ret IS NOT NULL AND realized_ret IS NOT NULL AND bench_ret IS NOT NULL GROUP BY broker"))
 def cumulative_live(spark, sf_dir):
     p = tracking.periods(tracking.last_of_day(events(spark, sf_dir)))
     v = tracking.live_periods(p, forward(spark, sf_dir), market(spark, sf_dir), flows(spark, sf_dir))
-    return rounded(tracking.cumulative(v), "cum_model", "cum_bench", digits=5).drop("cum_realized")
+    return tracking.cumulative(v)
 
 
 _ORD = """ot AS (SELECT CAST(o_custkey AS VARCHAR) AS broker, CAST(o_orderdate AS DATE) AS date, ticker, side, notional, CASE WHEN l_linenumber%3<>0 THEN f.close*(1+l_tax*0.01) END AS ap, f.close*(1+l_discount*0.1) AS fp, f.close AS c FROM ln JOIN fwd f USING (ticker) WHERE f.day=CAST(o_orderdate AS DATE))"""
@@ -207,10 +207,9 @@ def valued_positions(spark, sf_dir):
     return rounded(rounded(_valued(spark, sf_dir), "price"), "value", digits=4)
 
 
-@query("t14_stop_levels", using(_VAL, query="SELECT account, ticker, CAST(floor(quantity) AS BIGINT) AS shares, round(price*0.92,2) AS stop_price FROM vp WHERE floor(quantity)>0 AND abs(price*92-floor(price*92)-0.5)>1e-6"))
+@query("t14_stop_levels", using(_VAL, query="SELECT account, ticker, CAST(floor(quantity) AS BIGINT) AS shares, floor(round(price*0.92*100,6)+0.5)/100 AS stop_price FROM vp WHERE floor(quantity)>0"))
 def stop_levels(spark, sf_dir):
-    v = _valued(spark, sf_dir).filter(F.abs(F.col("price") * 92 - F.floor(F.col("price") * 92) - 0.5) > 1e-6)  # cents that two engines may round apart
-    return tracking.stop_levels(v, 0.08)
+    return tracking.stop_levels(_valued(spark, sf_dir), 0.08)
 
 
 @query("t15_resolvable_picks", using(EVENTS, _ACC, query="SELECT account, ticker, round(weight/sum(weight) OVER (PARTITION BY account),6) AS weight FROM (SELECT account, ticker, 0.25::DOUBLE AS weight FROM tgt WHERE CAST(ticker AS BIGINT)%10<>9)"))
@@ -221,26 +220,53 @@ def resolvable_picks(spark, sf_dir):
     return rounded(tracking.resolvable_picks(picks.join(some, "account", "left_semi"), known), "weight")
 
 
-@query("s18_s19_rebalance_logs", using(EVENTS, query="SELECT broker, strftime(ts,'%Y-%m-%d') AS date, executed, round(equity,4) AS equity, array_to_string(holdings, ',') AS holdings FROM ev"))
+@query("s18_s19_rebalance_logs", using(EVENTS, """tr AS (SELECT o_orderkey AS event_id, o_orderstatus<>'P' AS executed, count(*) AS n_orders, round(sum(notional),4) AS notional, count(*) FILTER (side='buy') AS buys FROM ln GROUP BY ALL)""", query="SELECT broker, strftime(ts,'%Y-%m-%d') AS date, executed, round(equity,4) AS equity, array_to_string(holdings, ',') AS holdings, n_orders, notional, buys, len(holdings)::BIGINT AS n_weights FROM ev JOIN tr USING (event_id, executed)"))
 def rebalance_logs(spark, sf_dir):
-    """Events written as one JSON document each and read back from it as drifting documents are."""
-    e = events(spark, sf_dir).withColumn("orders", F.array(F.struct(F.lit("x").alias("ticker"), F.lit("buy").alias("side"), F.lit(1.0).alias("notional"))))
-    r = tracking.read_logs(tracking.log_documents(e))
-    return r.select("broker", F.col("date").cast("string").alias("date"), "executed", F.round("equity", 4).alias("equity"), F.array_join("holdings", ",").alias("holdings"))
+    """Events written as one JSON document each, with orders and weights, and read back from it as drifting documents are."""
+    ln = lines(spark, sf_dir)
+    traded = ln.groupBy(F.col("o_orderkey").alias("event_id")).agg(F.array_sort(F.collect_list(F.struct("ticker", "side", "notional"))).alias("orders"))
+    weights = F.map_from_arrays("holdings", F.transform("holdings", lambda h: 1 / F.size("holdings")))
+    r = tracking.read_logs(tracking.log_documents(events(spark, sf_dir).join(traded, "event_id").withColumn("weights", weights)))
+    total = F.aggregate("orders", F.lit(0.0), lambda a, o: a + o.notional)
+    return r.select(
+        "broker", F.col("date").cast("string").alias("date"), "executed", F.round("equity", 4).alias("equity"), F.array_join("holdings", ",").alias("holdings"), F.size("orders").cast("long").alias("n_orders"),
+        F.round(total, 4).alias("notional"), F.size(F.filter("orders", lambda o: o.side == "buy")).cast("long").alias("buys"), F.size(F.map_keys("weights")).cast("long").alias("n_weights"),
+    )
 
 
-@query("s20_ledger", using(FLOWS, query="SELECT broker, date, round(sum(amount),2) AS amount, count(*) AS n, count(ts) AS timed FROM fl GROUP BY ALL"))
+@query("s20_ledger", using(ACCOUNT_OBS, query="SELECT broker, CAST(ts AS DATE) AS date, round(equity-pe,2) AS amount, CASE WHEN CAST(broker AS BIGINT)%2=0 THEN 'seen' ELSE '' END AS note, true AS inferred, ts FROM (SELECT *, lag(equity) OVER w AS pe, lag(ts) OVER w AS pt FROM account_obs WINDOW w AS (PARTITION BY broker ORDER BY ts, event_id)) WHERE CAST(pt AS DATE)=CAST(ts AS DATE) AND abs(equity-pe)>=500 AND abs(equity-pe)>=0.02*pe"))
 def ledger(spark, sf_dir):
-    return flows(spark, sf_dir).groupBy("broker", "date").agg(F.round(F.sum("amount"), 2).alias("amount"), F.count(F.lit(1)).alias("n"), F.count("ts").alias("timed"))
+    """A ledger seeded from detected flows; asked again with others, it keeps what is stored."""
+    found = tracking.detected_flows(domain.account_obs(spark, sf_dir)).withColumn("note", F.when(F.col("broker").cast("long") % 2 == 0, "seen").otherwise(""))
+    at = scratch(spark, "ledger")
+    tracking.ledger(spark, at, found)
+    return tracking.ledger(spark, at, found.withColumn("amount", F.lit(0.0)))
+
+
+_RUNS = "lg AS (SELECT o_orderpriority AS experiment_name, o_orderstatus='F' AS used, o_totalprice+CASE WHEN o_orderkey%2=0 THEN 1 ELSE 0 END AS sharpe FROM orders WHERE o_orderkey%3<>0 OR o_orderkey%2=0)"
 
 
-@query("s14_research_log", "SELECT o_orderpriority AS experiment_name, count(*) AS n, count(*) FILTER (o_orderstatus='F') AS holdout_used, round(max(o_totalprice),2) AS best FROM orders GROUP BY 1")
+def _log(spark, sf_dir):
+    """A research log of one row per order, to which every second order is logged again with a better result."""
+    o, k = domain.read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    at = F.col("o_orderdate").cast("timestamp")
+    runs = lambda d, more: d.select(
+        k.cast("string").alias("experiment_id"), F.col("o_orderpriority").alias("experiment_name"), F.lit("{}").alias("config_json"), at.alias("started_at"), (at + F.expr("interval 1 hour")).alias("completed_at"),
+        (F.col("o_orderstatus") == "F").alias("holdout_used"), F.to_json(F.struct((F.col("o_totalprice") + more).alias("sharpe"))).alias("metrics_json"), F.lit("completed").alias("status"),
+    )
+    return evaluate.append_runs(runs(o.filter(k % 3 != 0), 0), runs(o.filter(k % 2 == 0), 1))
+
+
+@query("s14_research_log", using(_RUNS, query="SELECT experiment_name, count(*) AS n, round(max(sharpe),2) AS best FROM lg GROUP BY 1"))
 def research_log(spark, sf_dir):
-    """Runs per experiment and how many used their holdout, from metrics kept as JSON."""
-    o = domain.read(spark, sf_dir, "orders")
-    log = o.select(F.col("o_orderpriority").alias("experiment_name"), (F.col("o_orderstatus") == "F").alias("holdout_used"), F.to_json(F.struct(F.col("o_totalprice").alias("sharpe"))).alias("metrics_json"))
+    """Runs per experiment and the best of them, from metrics kept as JSON."""
     best = F.try_variant_get(F.try_parse_json("metrics_json"), "$.sharpe", "double")
-    return log.groupBy("experiment_name").agg(F.count(F.lit(1)).alias("n"), F.count_if("holdout_used").alias("holdout_used"), F.round(F.max(best), 2).alias("best"))
+    return _log(spark, sf_dir).groupBy("experiment_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(best), 2).alias("best"))
+
+
+@query("q13_experiment_budget", using(_RUNS, query="SELECT experiment_name, count(*) AS n, count(*) FILTER (used) AS holdout_used, greatest(2000-count(*),0) AS \"left\", count(*) FILTER (used)=0 AS may_use_holdout FROM lg GROUP BY 1"))
+def experiment_budget(spark, sf_dir):
+    return evaluate.budgets(_log(spark, sf_dir), 2000)
 
 
 @query("h15_h16_lenient_times", """SELECT o_orderkey, CASE WHEN o_orderkey%4=0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey%3=0 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)+INTERVAL 12 HOUR ELSE date_trunc('second', o_orderdate) END AS at FROM orders""")
@@ -252,11 +278,6 @@ def lenient_times(spark, sf_dir):
     return o.select("o_orderkey", date_prefix(text).alias("day"), file_time(name, day).cast("timestamp_ntz").alias("at"))
 
 
-def _shared(spark):
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(at or tempfile.mkdtemp(prefix='equiscope-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _ticks(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     s = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
@@ -267,25 +288,24 @@ def _ticks(spark, sf_dir):
  FROM (SELECT *, CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS date FROM events) WHERE date+1 <= (SELECT max(ts)-INTERVAL 2 HOUR FROM events) GROUP BY ticker, date""")
 def streamed_daily_bars(spark, sf_dir):
     """Daily bars of the event stream, run over what is there; a day counts once the watermark has passed it."""
-    at = _shared(spark)
+    at = scratch(spark, "stream")
     return rounded(ingest.drained(ingest.daily_bars(_ticks(spark, sf_dir)), f"{at}/out", f"{at}/state"), "open", "close")
 
 
 @query("x01_streamed_first_of_day", "SELECT CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS date, count(*)>0 AS seen FROM events GROUP BY ALL")
 def streamed_first_of_day(spark, sf_dir):
     """One bar per ticker and day of the stream, whatever the duplicates."""
-    at = _shared(spark)
-    s = ingest.bar_stream(_ticks(spark, sf_dir).withColumn("date", F.to_date("ts")).select("ticker", "date", "ts"), "4000 days")
+    at = scratch(spark, "stream")
+    s = ingest.bar_stream(_ticks(spark, sf_dir).withColumn("date", F.to_date("ts")).select("ticker", "date", "ts"))
     return ingest.drained(s, f"{at}/out", f"{at}/state").select("ticker", "date", F.lit(True).alias("seen"))
 
 
 @query("x02_streamed_fact_upsert", "SELECT CAST(user_id AS VARCHAR) AS ticker, event_type AS field, arg_max(value,(ts,event_id)) AS value FROM events GROUP BY ALL")
 def streamed_fact_upsert(spark, sf_dir):
     """The last value of each (ticker, field), upserted batch by batch."""
-    at = _shared(spark)
+    at = scratch(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     s = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").select(F.col("user_id").cast("string").alias("ticker"), F.col("event_type").alias("field"), "value", "ts", "event_id")
-    q = s.writeStream.foreachBatch(ingest.upsert_facts(spark, f"{at}/table", ["ticker", "field"], ["ts", "event_id"])).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q = s.writeStream.foreachBatch(ingest.upsert_facts(f"{at}/table", ["ticker", "field"], ["ts", "event_id"])).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max((p["batchId"] for p in q.recentProgress if p["numInputRows"]), default=0)
-    return spark.read.parquet(f"{at}/table/v={last}").select("ticker", "field", "value")
+    return ingest.current_facts(spark.read.parquet(f"{at}/table"), ["ticker", "field"], ["ts", "event_id"]).select("ticker", "field", "value")

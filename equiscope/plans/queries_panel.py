@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from equiscope.functions.normalize import zscores
+from equiscope.functions.scalar import periods_per_year
 from equiscope.operators import asof, calendar, portfolio, rolling, signals
 from equiscope.plans import screen
 from equiscope.plans.catalog import query
@@ -35,7 +36,8 @@ ROLLED = """r0 AS (SELECT *, close/nullif(lag(close) OVER w,0)-1 AS ret, row_num
   avg(volume) OVER (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING) AS avg_volume_20d,
   close/nullif(first_value(close) OVER (PARTITION BY ticker ORDER BY date ROWS 251 PRECEDING),0)-1 AS trailing_return FROM r0 WINDOW w AS (PARTITION BY ticker ORDER BY date)),
  feat AS (SELECT c.as_of, r.* FROM rolled r JOIN cal c ON r.date < c.as_of AND (r.next_date IS NULL OR c.as_of <= r.next_date))"""
-FRAME = "frame AS (SELECT p.*, f.close, f.avg_volume_20d, f.sma_200, f.momentum_12m_return, f.realized_vol_20d, f.n_days, s.sector FROM pit p LEFT JOIN feat f USING (as_of, ticker) LEFT JOIN sectors s USING (ticker))"
+UNIVERSE = "mem AS (SELECT DISTINCT c.as_of, m.ticker FROM cal c JOIN membership m ON m.added_date<=c.as_of AND (m.removed_date IS NULL OR m.removed_date<=m.added_date OR m.removed_date>c.as_of)), uni AS (SELECT m.* FROM mem m JOIN (SELECT DISTINCT c.as_of, b.ticker FROM cal c JOIN bars b ON b.date BETWEEN c.as_of-30 AND c.as_of) USING (as_of, ticker))"
+FRAME = ",\n".join([MEMBERSHIP, UNIVERSE, "frame AS (SELECT p.*, f.close, f.avg_volume_20d, f.sma_200, f.momentum_12m_return, f.realized_vol_20d, f.n_days, s.sector FROM pit p SEMI JOIN uni USING (as_of, ticker) LEFT JOIN feat f USING (as_of, ticker) LEFT JOIN sectors s USING (ticker))"])
 FILTERED = "kept AS (SELECT * FROM frame WHERE market_cap>=1e6 AND avg_volume_20d>=10 AND coalesce(realized_vol_20d,1.0::DOUBLE)>=0.01)"
 
 
@@ -100,24 +102,27 @@ def rounded(df, *cols, digits: int = 6):
 
 
 def frame(spark, sf_dir, dates=DATES):
-    return screen.screening_frame(all_facts(spark, sf_dir), domain.bars(spark, sf_dir), domain.sectors(spark, sf_dir), dates)
+    """What a screen sees at every date: the members that trade then, and nothing of names that left or came later."""
+    bars = domain.bars(spark, sf_dir)
+    members = asof.universe_as_of(domain.membership(spark, sf_dir), bars, dates)
+    return screen.screening_frame(all_facts(spark, sf_dir), bars, domain.sectors(spark, sf_dir), dates, members)
 
 
 def returns(spark, sf_dir, dates=DATES):
     return rolling.period_returns(domain.bars(spark, sf_dir), dates)
 
 
-@query("b01_rebalance_calendars", using(CAL, BARS, query="""SELECT 'monthly' AS frequency, c.as_of, c.next_as_of, count(b.date) AS bars FROM cal c LEFT JOIN bars b ON b.date=c.as_of GROUP BY ALL
+@query("b01_rebalance_calendars", using(CAL, BARS, query="""SELECT *, CASE frequency WHEN 'weekly' THEN 52 WHEN 'quarterly' THEN 4 ELSE 12 END AS ppy FROM (SELECT 'monthly' AS frequency, c.as_of, c.next_as_of, count(b.date) AS bars FROM cal c LEFT JOIN bars b ON b.date=c.as_of GROUP BY ALL
  UNION ALL SELECT 'weekly', w.as_of, w.next_as_of, count(b.date) FROM (SELECT CAST(d AS DATE) AS as_of, lead(CAST(d AS DATE)) OVER (ORDER BY d) AS next_as_of FROM generate_series(DATE '1997-01-06', DATE '2001-11-01', INTERVAL 7 DAY) g(d)) w LEFT JOIN bars b ON b.date=w.as_of GROUP BY ALL
- UNION ALL SELECT 'quarterly', w.as_of, w.next_as_of, count(b.date) FROM (SELECT CAST(d AS DATE) AS as_of, lead(CAST(d AS DATE)) OVER (ORDER BY d) AS next_as_of FROM generate_series(DATE '1997-01-01', DATE '2001-11-01', INTERVAL 3 MONTH) g(d)) w LEFT JOIN bars b ON b.date=w.as_of GROUP BY ALL"""))
+ UNION ALL SELECT 'quarterly', w.as_of, w.next_as_of, count(b.date) FROM (SELECT CAST(d AS DATE) AS as_of, lead(CAST(d AS DATE)) OVER (ORDER BY d) AS next_as_of FROM generate_series(DATE '1997-01-01', DATE '2001-11-01', INTERVAL 3 MONTH) g(d)) w LEFT JOIN bars b ON b.date=w.as_of GROUP BY ALL)"""))
 def calendars(spark, sf_dir):
-    """Rebalance dates of each frequency with the number of bars on the day."""
+    """Rebalance dates of each frequency with the number of bars on the day and the periods of a year."""
     n = domain.bars(spark, sf_dir).groupBy(F.col("date").alias("as_of")).agg(F.count(F.lit(1)).alias("bars"))
     out = None
     for f in ("monthly", "weekly", "quarterly"):
         c = calendar.calendar(spark, START, END, f).select(F.lit(f).alias("frequency"), "as_of", "next_as_of")
         out = c if out is None else out.unionByName(c)
-    return out.join(n, "as_of", "left").withColumn("bars", F.coalesce("bars", F.lit(0)))
+    return out.join(n, "as_of", "left").withColumns({"bars": F.coalesce("bars", F.lit(0)), "ppy": periods_per_year(F.col("frequency"))})
 
 
 @query("j01_facts_as_of", using(FACTS, CAL, LONG, query="SELECT as_of, ticker, field, round(value,6) AS value, report_date FROM known"))
@@ -182,10 +187,10 @@ def all_signals(spark, sf_dir):
     return rounded(signals.with_signals(kept, ALL_SIGNALS), *ALL_SIGNALS).select("as_of", "ticker", *ALL_SIGNALS)
 
 
-@query("h05_h07_scores", using(*PANEL[:10], query="SELECT as_of, ticker, round(z_momentum_12m,6) AS z_momentum_12m, round(z_quality_score,6) AS z_quality_score, round(composite_score,6) AS composite_score FROM scored"))
+@query("h05_h07_scores", using(*PANEL[:10], query="SELECT as_of, ticker, z_momentum_12m, z_quality_score, composite_score FROM scored"))
 def composite_scores(spark, sf_dir):
     s = screen.scored(frame(spark, sf_dir), BASE)
-    return rounded(s, "z_momentum_12m", "z_quality_score", "composite_score").select("as_of", "ticker", "z_momentum_12m", "z_quality_score", "composite_score")
+    return s.select("as_of", "ticker", "z_momentum_12m", "z_quality_score", "composite_score")
 
 
 @query("h05_winsorized_volumes", using(BARS, query="""SELECT as_of, ticker, round(coalesce(CASE WHEN stddev_samp(w) OVER d IS NULL OR stddev_samp(w) OVER d=0 THEN 0 ELSE -(w-avg(w) OVER d)/stddev_samp(w) OVER d END,0),6) AS z_volume FROM
@@ -196,16 +201,16 @@ def winsorized_volumes(spark, sf_dir):
     return rounded(zscores(b, {"volume": False}), "z_volume").select("as_of", "ticker", "z_volume")
 
 
-@query("b03_screen_all_dates", using(*PANEL, EQUAL, query="SELECT as_of, ticker, rank, round(composite_score,6) AS composite_score, round(target_weight,6) AS target_weight FROM wts"))
+@query("b03_screen_all_dates", using(*PANEL, EQUAL, query="SELECT as_of, ticker, rank, composite_score, round(target_weight,6) AS target_weight FROM wts"))
 def screen_all_dates(spark, sf_dir):
-    return rounded(screen.screen(frame(spark, sf_dir), BASE), "composite_score", "target_weight").select("as_of", "ticker", "rank", "composite_score", "target_weight")
+    return rounded(screen.screen(frame(spark, sf_dir), BASE), "target_weight").select("as_of", "ticker", "rank", "composite_score", "target_weight")
 
 
-@query("b06_screen_inverse_vol", using(BARS, SECTORS, FACTS, ONE_CAL, LONG, WIDE, ROLLED, FRAME, FILTERED, SCORED, TOP, INVERSE, query="SELECT as_of, ticker, rank, round(composite_score,6) AS composite_score, round(target_weight,6) AS target_weight FROM wts"))
+@query("b06_screen_inverse_vol", using(BARS, SECTORS, FACTS, ONE_CAL, LONG, WIDE, ROLLED, FRAME, FILTERED, SCORED, TOP, INVERSE, query="SELECT as_of, ticker, rank, composite_score, round(target_weight,6) AS target_weight FROM wts"))
 def screen_inverse_vol(spark, sf_dir):
     """The flagship: one cross-section, ranked and weighted by inverse volatility."""
     s = screen.screen(frame(spark, sf_dir, [ONE]), Spec(weighting="inverse_vol"))
-    return rounded(s, "composite_score", "target_weight").select("as_of", "ticker", "rank", "composite_score", "target_weight")
+    return rounded(s, "target_weight").select("as_of", "ticker", "rank", "composite_score", "target_weight")
 
 
 @query("k02_sector_capped_top_n", using(*PANEL[:10], query="""SELECT as_of, ticker, sector, rank FROM (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY composite_score DESC, ticker) AS rank FROM
@@ -214,10 +219,25 @@ def sector_capped(spark, sf_dir):
     return portfolio.top_n(screen.scored(frame(spark, sf_dir), BASE), 8, 1).select("as_of", "ticker", "sector", "rank")
 
 
-@query("s17_result_view", using(BARS, SECTORS, FACTS, ONE_CAL, LONG, WIDE, ROLLED, FRAME, FILTERED, SCORED, TOP, EQUAL, query="SELECT as_of, ticker, round(composite_score,6) AS composite_score, round(target_weight,6) AS target_weight, round(z_momentum_12m,6) AS z_momentum_12m, round(z_quality_score,6) AS z_quality_score FROM wts ORDER BY wts.composite_score DESC, ticker LIMIT 5"))
+@query("s17_result_view", using(BARS, SECTORS, FACTS, ONE_CAL, LONG, WIDE, ROLLED, FRAME, FILTERED, SCORED, TOP, EQUAL, query="SELECT as_of, ticker, composite_score, round(target_weight,6) AS target_weight, z_momentum_12m, z_quality_score FROM wts ORDER BY wts.composite_score DESC, ticker LIMIT 5"))
 def result_view(spark, sf_dir):
     v = screen.view(screen.screen(frame(spark, sf_dir, [ONE]), BASE), 5)
-    return rounded(v, "composite_score", "target_weight", "z_momentum_12m", "z_quality_score")
+    return rounded(v, "target_weight")
+
+
+@query("k07_candidates", using(*PANEL[:10], "many AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY composite_score DESC, ticker) AS rank FROM scored QUALIFY rank<=50)", query="SELECT as_of, ticker, rank, composite_score, round(1.0::DOUBLE/count(*) OVER (PARTITION BY as_of),6) AS target_weight FROM many"))
+def candidates(spark, sf_dir):
+    """The wider screen of a live account that wants ten names."""
+    c = screen.candidates(frame(spark, sf_dir), BASE)
+    return rounded(c, "target_weight").select("as_of", "ticker", "rank", "composite_score", "target_weight")
+
+
+@query("p02_python_signal", using(*PANEL[:9], query="SELECT as_of, ticker, round(percent_rank() OVER (PARTITION BY as_of ORDER BY coalesce(roe,0)),6) AS roe_rank FROM kept"))
+def python_signal(spark, sf_dir):
+    """A signal in Python over one date's frame: the share of the other names with a lower return on equity."""
+    kept = signals.apply_filters(frame(spark, sf_dir), BASE.chain()).select("as_of", "ticker", "roe")
+    share = lambda p: (p["roe"].fillna(0.0).rank(method="min") - 1) / max(1, len(p) - 1)
+    return rounded(signals.python_signal(kept, "roe_rank", share), "roe_rank").drop("roe")
 
 
 @query("j07_first_on_or_after", using(BARS, CAL, query="SELECT b.ticker, c.as_of, min(b.date) AS date, arg_min(close,date) AS close FROM bars b JOIN cal c ON b.date>=c.as_of GROUP BY ALL"))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from equiscope.functions import scalar
 from equiscope.operators import asof, calendar, metrics, portfolio, resample, rolling
 from equiscope.plans import backtest, evaluate, screen
 from equiscope.plans.catalog import query
-from equiscope.plans.queries_panel import BASE, CAL, DATES, END, EQUAL, INVERSE, PANEL, RETS, SCORED, START, frame, returns, rounded, scores_sql
+from equiscope.plans.queries_panel import BASE, CAL, DATES, END, EQUAL, INVERSE, PANEL, RETS, START, UNIVERSE, frame, returns, rounded, scores_sql
 from equiscope.plans.queries_tables import all_facts
 from equiscope.plans.screen import Spec
 from equiscope.sources import domain
 from equiscope.sources.domain_sql import BARS, BENCHMARK, MEMBERSHIP, using
+from equiscope.sources.stage import staged
 
 VARIANTS = [
     Spec("equal"), Spec("inverse_vol", weighting="inverse_vol"), Spec("value", signals={"low_leverage_growth": 0.5, "quality_midcap": 0.5}, top_n=5),
@@ -46,9 +49,13 @@ _BT = (
 )
 
 
+YEARS = backtest.years_between(START, END)
+
+
 def all_returns(spark, sf_dir):
-    """Period returns of the variants. The scored panel and the result are persisted: every statistic reads them again."""
-    return backtest.without_feedback(frame(spark, sf_dir).persist(), returns(spark, sf_dir).persist(), DATES, VARIANTS).persist()
+    """Period returns of the variants. The panel is written once, as each filter chain reads it, and so is the result, as statistics do."""
+    panel = staged(frame(spark, sf_dir), "frame")
+    return staged(backtest.without_feedback(panel, returns(spark, sf_dir), DATES, VARIANTS), "returns")
 
 
 @query("b12_backtest_without_feedback", using(*_BT, query="SELECT strategy_id, t, as_of, round(ret,6) AS ret, n, swaps, round(cost,8) AS cost FROM bt"))
@@ -56,10 +63,47 @@ def backtest_without_feedback(spark, sf_dir):
     return rounded(rounded(all_returns(spark, sf_dir), "ret"), "cost", digits=8)
 
 
-@query("b12_backtest_with_feedback")
+def _fold_sql(v: Spec) -> str:
+    """The backtest of one strategy with feedback as a recursive query: a row per period carries what is held, its weights and the last return."""
+    n, cap = v.name, v.max_per_sector
+    near = f"""SELECT s.t AS ot, p.t, p.as_of, p.ticker, p.realized_vol_20d AS vol, p.ret, p.min_low, p.start_price, p.sector, s.held, s.weights, p.composite_score+CASE WHEN list_contains(s.held, p.ticker) THEN {v.hold_bonus!r}::DOUBLE ELSE 0 END AS s
+   FROM st_{n} s JOIN cand_{n} p ON p.t=s.t+1 WHERE NOT ({v.portfolio_stop_loss!r}>0 AND s.t>=0 AND s.ret < -{v.portfolio_stop_loss!r}::DOUBLE)"""
+    capped = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(sector,'__unknown__') ORDER BY s DESC, ticker) AS ks FROM ({near})) WHERE {cap}=0 OR ks<={cap}"
+    top = f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY s DESC, ticker) AS k FROM ({capped})) WHERE k<={v.top_n}"
+    weight = "1.0::DOUBLE/count(*) OVER ()" if v.weighting == "equal" else "coalesce(f/nullif(sum(f) OVER (),0), 1.0::DOUBLE/count(*) OVER ())"
+    inverse = "CASE WHEN vol>0 THEN 1/vol END"
+    now = f"SELECT *, {weight} AS w FROM (SELECT *, coalesce({inverse}, median({inverse}) OVER ()) AS f, coalesce({v.position_stop_loss!r}>0 AND min_low<start_price*(1-{v.position_stop_loss!r}::DOUBLE),false) AS hit FROM ({top}))"
+    drift = "0" if v.weighting == "equal" else "coalesce(sum(CASE WHEN list_contains(held,ticker) AND len(map_keys(weights))>0 AND abs(w-coalesce(weights[ticker],0))>0.05::DOUBLE*w THEN abs(w-coalesce(weights[ticker],0)) END),0)"
+    rate = f"({v.cost_bps!r}::DOUBLE/10000)"
+    one = f"""SELECT t, as_of, count(*) AS n, count(ret) AS priced, sum(w*CASE WHEN hit THEN -{v.position_stop_loss!r}::DOUBLE ELSE coalesce(ret,0) END) AS gross, count(*) FILTER (hit) AS stopped, list(ticker) FILTER (NOT hit) AS left_, list(ticker) AS all_, map_from_entries(list((ticker,w))) AS ws, {drift} AS drift,
+   any_value(len(held)) AS nh, any_value(len(held))+count(*)-2*count(*) FILTER (list_contains(held,ticker)) AS sd FROM ({now}) GROUP BY t, as_of"""
+    priced = f"SELECT *, priced>0 AS ok, ((CASE WHEN nh=0 THEN 1.0::DOUBLE ELSE sd::DOUBLE/n END)+drift)*{rate} AS c0, CASE WHEN nh=0 THEN 0 ELSE sd//2 END AS sw FROM ({one})"
+    weights = "MAP {}::MAP(VARCHAR,DOUBLE)" if v.weighting == "equal" else "ws"
+    return f"""cand_{n} AS (SELECT c.t, k.as_of, k.ticker, k.composite_score, k.sector, k.realized_vol_20d, r.ret, r.min_low, r.start_price FROM sc_{n} k JOIN cal c ON c.as_of=k.as_of AND c.next_as_of IS NOT NULL LEFT JOIN rets r ON r.as_of=k.as_of AND r.ticker=k.ticker),
+ st_{n} AS (SELECT CAST(-1 AS INTEGER) AS t, CAST(NULL AS DATE) AS as_of, 0.0::DOUBLE AS ret, 0::BIGINT AS n, 0::BIGINT AS swaps, 0.0::DOUBLE AS cost, 0::BIGINT AS stopped, []::VARCHAR[] AS held, MAP {{}}::MAP(VARCHAR,DOUBLE) AS weights
+  UNION ALL SELECT c.t, c.as_of, coalesce(CASE WHEN ok THEN gross-c0-x.stopped::DOUBLE/x.n*{rate} ELSE -c0 END,0.0::DOUBLE), coalesce(x.n,0)::BIGINT, coalesce(sw+CASE WHEN ok THEN x.stopped ELSE 0 END,0)::BIGINT, coalesce(c0+CASE WHEN ok THEN x.stopped::DOUBLE/x.n*{rate} ELSE 0 END,0.0::DOUBLE), coalesce(CASE WHEN ok THEN x.stopped END,0)::BIGINT,
+   CASE WHEN x.t IS NULL THEN []::VARCHAR[] WHEN ok THEN coalesce(left_,[]::VARCHAR[]) ELSE all_ END, CASE WHEN x.t IS NULL THEN s.weights ELSE {weights} END
+  FROM st_{n} s JOIN cal c ON c.t=s.t+1 AND c.next_as_of IS NOT NULL LEFT JOIN ({priced}) x ON x.t=c.t)"""
+
+
+_FOLD = (*PANEL[:9], RETS, *(f"kept_{v.name} AS (SELECT * FROM kept),\n{scores_sql(v.signals, f'kept_{v.name}', f'sc_{v.name}')},\n{_fold_sql(v)}" for v in FEEDBACK))
+
+
+@query("b12_backtest_with_feedback", using(*_FOLD, query=" UNION ALL ".join(f"SELECT '{v.name}' AS strategy_id, t, as_of, round(ret,6) AS ret, n, swaps, round(cost,6) AS cost, stopped FROM st_{v.name} WHERE t>=0" for v in FEEDBACK)).replace("WITH ", "WITH RECURSIVE ", 1))
 def backtest_with_feedback(spark, sf_dir):
-    """Hold bonus, position and portfolio stops: a fold over the dates; tests hold it against an unpruned one."""
-    return rounded(backtest.with_feedback(frame(spark, sf_dir).persist(), returns(spark, sf_dir).persist(), DATES, FEEDBACK), "ret", "cost")
+    """Hold bonus, position and portfolio stops: a fold over the dates."""
+    return rounded(backtest.with_feedback(frame(spark, sf_dir), returns(spark, sf_dir), DATES, FEEDBACK), "ret", "cost")
+
+
+@query("b12_backtest_summary", using(*_FOLD, "al AS (" + " UNION ALL ".join(f"SELECT '{v.name}' AS strategy_id, t, ret, swaps, cost FROM st_{v.name} WHERE t>=0" for v in FEEDBACK) + ")",
+ f"ga AS (SELECT strategy_id, count(*) AS n, sum(swaps)::BIGINT AS swaps, avg(cost) AS mean_cost, CASE WHEN stddev_samp(ret)=0 THEN 0 ELSE avg(ret)/stddev_samp(ret)*sqrt(12.0::DOUBLE) END AS sharpe, exp(sum(ln(1+ret)))-1 AS total FROM al GROUP BY strategy_id)",
+ query=f"SELECT strategy_id, n, swaps, round(mean_cost,6) AS mean_cost, round(sharpe,6) AS sharpe, round(total,6) AS total_return, round(pow(1+total,1/{YEARS!r}::DOUBLE)-1,6) AS cagr FROM ga").replace("WITH ", "WITH RECURSIVE ", 1))
+def backtest_summary(spark, sf_dir):
+    """The metric rows of one backtest call with strategies of both kinds."""
+    panel = staged(frame(spark, sf_dir), "frame")
+    r = staged(backtest.backtest(panel, returns(spark, sf_dir), DATES, [*FEEDBACK, VARIANTS[0]]), "returns")
+    m = backtest.summary(r, START, END).filter(F.col("strategy_id") != VARIANTS[0].name)
+    return rounded(m.select("strategy_id", "n", "swaps", "mean_cost", "sharpe", "total_return", "cagr"), "mean_cost", "sharpe", "total_return", "cagr")
 
 
 def _poly(cs: tuple[float, ...], x: str) -> str:
@@ -82,8 +126,8 @@ def ppf_sql(p: str) -> str:
 
 
 _EQ = "eq AS (SELECT *, greatest(1.0::DOUBLE, max(e) OVER (PARTITION BY strategy_id ORDER BY t)) AS pk FROM (SELECT *, exp(sum(ln(1+ret)) OVER (PARTITION BY strategy_id ORDER BY t)) AS e FROM bt))"
-_MET = """m0 AS (SELECT strategy_id, count(*) AS n, avg(ret) AS mu, stddev_samp(ret) AS sd, arg_max(e,t)-1 AS total, min(e/pk-1) AS maxdd, avg(ret) AS mm, stddev_pop(ret) AS sp FROM eq GROUP BY strategy_id),
- m1 AS (SELECT m0.*, CASE WHEN sd IS NULL OR sd=0 THEN 0 ELSE mu/sd*sqrt(12.0::DOUBLE) END AS sharpe, CASE WHEN total<=-1 THEN 0 ELSE pow(1+total,12.0::DOUBLE/n)-1 END AS cagr,
+_MET = f"""m0 AS (SELECT strategy_id, count(*) AS n, avg(ret) AS mu, stddev_samp(ret) AS sd, arg_max(e,t)-1 AS total, min(e/pk-1) AS maxdd, avg(ret) AS mm, stddev_pop(ret) AS sp FROM eq GROUP BY strategy_id),
+ m1 AS (SELECT m0.*, CASE WHEN sd IS NULL OR sd=0 THEN 0 ELSE mu/sd*sqrt(12.0::DOUBLE) END AS sharpe, CASE WHEN total<=-1 THEN 0 ELSE pow(1+total,1/{YEARS!r}::DOUBLE)-1 END AS cagr,
   (SELECT avg(pow((ret-m0.mm)/nullif(m0.sp,0),3)) FROM bt WHERE bt.strategy_id=m0.strategy_id) AS sk, (SELECT avg(pow((ret-m0.mm)/nullif(m0.sp,0),4)) FROM bt WHERE bt.strategy_id=m0.strategy_id) AS ku FROM m0),
  m2 AS (SELECT *, sharpe/sqrt(12.0::DOUBLE) AS sr, coalesce(sk,0) AS skew, coalesce(ku,3) AS kurt FROM m1),
  m3 AS (SELECT *, sqrt(greatest(1-skew*sr+(kurt-1)/4*sr*sr,0)/greatest(n-1,1)) AS se FROM m2)"""
@@ -91,7 +135,7 @@ _MET = """m0 AS (SELECT strategy_id, count(*) AS n, avg(ret) AS mu, stddev_samp(
 
 @query("a13_a20_metric_bundle", using(*_BT, _EQ, _MET, query=f"SELECT strategy_id, n, round(total,6) AS total_return, round(sharpe,6) AS sharpe, round(cagr,6) AS cagr, round(maxdd,6) AS max_drawdown, round(coalesce(cagr/nullif(abs(maxdd),0),0),5) AS calmar, round(skew,6) AS skew, round(kurt,6) AS kurt, round(CASE WHEN n<2 THEN 0 WHEN se=0 THEN 0.5 ELSE {cdf_sql('(sr/se)')} END,6) AS psr, n>=30 AS significant FROM m3"))
 def metric_bundle(spark, sf_dir):
-    m = metrics.bundle(all_returns(spark, sf_dir).select("strategy_id", "t", "ret"))
+    m = metrics.bundle(all_returns(spark, sf_dir).select("strategy_id", "t", "ret"), years=YEARS)
     return rounded(rounded(m, "total_return", "sharpe", "cagr", "max_drawdown", "skew", "kurt", "psr"), "calmar", digits=5)
 
 
@@ -130,28 +174,45 @@ def regimes(spark, sf_dir):
     return rounded(rounded(r, "avg_ret"), "sharpe", digits=5)
 
 
-_UNI = "mem AS (SELECT DISTINCT c.as_of, m.ticker FROM cal c JOIN membership m ON m.added_date<=c.as_of AND (m.removed_date IS NULL OR m.removed_date<=m.added_date OR m.removed_date>c.as_of)), uni AS (SELECT m.* FROM mem m JOIN (SELECT DISTINCT c.as_of, b.ticker FROM cal c JOIN bars b ON b.date BETWEEN c.as_of-30 AND c.as_of) USING (as_of, ticker))"
 _FACTOR = f"""fr AS (SELECT r.as_of, r.ticker, r.within_ret AS r, trailing_return AS mom, earnings_yield, roe, p.ticker IS NOT NULL AS has FROM rets r JOIN uni u USING (as_of, ticker) LEFT JOIN feat f USING (as_of, ticker) LEFT JOIN pit p USING (as_of, ticker)),
  mo AS (SELECT f.as_of, f.ticker, f.trailing_return AS mom FROM feat f JOIN uni USING (as_of, ticker)),
  mp AS (SELECT as_of, ticker FROM (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY mom DESC NULLS LAST, ticker) AS k, count(*) OVER (PARTITION BY as_of) AS n FROM mo) WHERE k<=greatest(n//10,1)),
  dec AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY has DESC, earnings_yield DESC NULLS LAST, ticker) AS kv, row_number() OVER (PARTITION BY as_of ORDER BY has DESC, roe DESC NULLS LAST, ticker) AS kq, count(*) FILTER (has) OVER (PARTITION BY as_of) AS n FROM fr),
- fac AS (SELECT as_of, avg(r) AS market, coalesce(avg(r) FILTER ((as_of,ticker) IN (SELECT (as_of,ticker) FROM mp)),0) AS momentum, avg(r) FILTER (kv<=greatest(n//10,1) AND has) AS value, avg(r) FILTER (kq<=greatest(n//10,1) AND has) AS quality FROM dec GROUP BY as_of)"""
+ fac0 AS (SELECT as_of, avg(r) AS market, coalesce(avg(r) FILTER ((as_of,ticker) IN (SELECT (as_of,ticker) FROM mp)),0) AS momentum, avg(r) FILTER (kv<=greatest(n//10,1) AND has) AS value, avg(r) FILTER (kq<=greatest(n//10,1) AND has) AS quality FROM dec GROUP BY as_of),
+ fac AS (SELECT as_of, CASE WHEN k>=20 THEN market ELSE 0 END AS market, CASE WHEN k>=20 THEN momentum ELSE 0 END AS momentum, CASE WHEN k>=20 THEN coalesce(value,market) ELSE 0 END AS value, CASE WHEN k>=20 THEN coalesce(quality,market) ELSE 0 END AS quality FROM fac0 JOIN (SELECT as_of, count(*) AS k FROM uni GROUP BY as_of) USING (as_of))"""
 
 
 def factor_returns(spark, sf_dir):
     b = domain.bars(spark, sf_dir)
     u = asof.universe_as_of(domain.membership(spark, sf_dir), b, DATES)
-    return evaluate.factor_returns(screen.pivoted(asof.facts_as_of(all_facts(spark, sf_dir), DATES), ["as_of", "ticker"], ["earnings_yield", "roe"]), rolling.features_as_of(b, DATES), rolling.period_returns(b, DATES), u, least_names=3)
+    return evaluate.factor_returns(screen.pivoted(asof.facts_as_of(all_facts(spark, sf_dir), DATES), ["as_of", "ticker"], ["earnings_yield", "roe"]), rolling.features_as_of(b, DATES), rolling.period_returns(b, DATES), u)
 
 
-@query("a24_factor_returns", using(*PANEL[:7], MEMBERSHIP, _UNI, RETS, _FACTOR, query="SELECT as_of, round(market,6) AS market, round(momentum,6) AS momentum, round(coalesce(value,market),6) AS value, round(coalesce(quality,market),6) AS quality FROM fac"))
+@query("a24_factor_returns", using(*PANEL[:7], MEMBERSHIP, UNIVERSE, RETS, _FACTOR, query="SELECT as_of, round(market,6) AS market, round(momentum,6) AS momentum, round(value,6) AS value, round(quality,6) AS quality FROM fac"))
 def factor_portfolios(spark, sf_dir):
     return rounded(factor_returns(spark, sf_dir), "market", "momentum", "value", "quality")
 
 
-@query("a23_factor_attribution")
+# least squares by taking each factor's part that the ones before it do not explain
+_D = lambda x, y: f"sum({x}*{y}) OVER p"
+_OLS = f"""o0 AS (SELECT strategy_id, ret, market, momentum, value, quality, ret-avg(ret) OVER p AS y, market-avg(market) OVER p AS e1, momentum-avg(momentum) OVER p AS m2, value-avg(value) OVER p AS m3, quality-avg(quality) OVER p AS m4 FROM bt JOIN fac USING (as_of) WINDOW p AS (PARTITION BY strategy_id)),
+ o1 AS (SELECT *, {_D('m2', 'e1')}/nullif({_D('e1', 'e1')},0) AS r21, {_D('m3', 'e1')}/nullif({_D('e1', 'e1')},0) AS r31, {_D('m4', 'e1')}/nullif({_D('e1', 'e1')},0) AS r41 FROM o0 WINDOW p AS (PARTITION BY strategy_id)),
+ o2 AS (SELECT *, m2-r21*e1 AS e2 FROM o1),
+ o3 AS (SELECT *, {_D('m3', 'e2')}/nullif({_D('e2', 'e2')},0) AS r32, {_D('m4', 'e2')}/nullif({_D('e2', 'e2')},0) AS r42 FROM o2 WINDOW p AS (PARTITION BY strategy_id)),
+ o4 AS (SELECT *, m3-r31*e1-r32*e2 AS e3 FROM o3),
+ o5 AS (SELECT *, {_D('m4', 'e3')}/nullif({_D('e3', 'e3')},0) AS r43 FROM o4 WINDOW p AS (PARTITION BY strategy_id)),
+ o6 AS (SELECT *, m4-r41*e1-r42*e2-r43*e3 AS e4 FROM o5),
+ o7 AS (SELECT strategy_id, count(*) AS n, avg(ret) AS my, avg(market) AS x1, avg(momentum) AS x2, avg(value) AS x3, avg(quality) AS x4, any_value(r21) AS r21, any_value(r31) AS r31, any_value(r41) AS r41, any_value(r32) AS r32, any_value(r42) AS r42, any_value(r43) AS r43,
+  sum(y*e1)/nullif(sum(e1*e1),0) AS g1, sum(y*e2)/nullif(sum(e2*e2),0) AS g2, sum(y*e3)/nullif(sum(e3*e3),0) AS g3, sum(y*e4)/nullif(sum(e4*e4),0) AS g4, sum(y*y) AS syy, least(sum(e1*e1),sum(e2*e2),sum(e3*e3),sum(e4*e4)) AS small FROM o6 GROUP BY strategy_id),
+ o8 AS (SELECT *, g4 AS b4, g3-r43*g4 AS b3 FROM o7), o9 AS (SELECT *, g2-r32*b3-r42*b4 AS b2 FROM o8), o10 AS (SELECT *, g1-r21*b2-r31*b3-r41*b4 AS b1 FROM o9),
+ fit AS (SELECT *, n>=6 AND coalesce(small,0)>1e-11 AS ok FROM o10),
+ res AS (SELECT f.strategy_id, sum(pow(o.ret-f.my-f.b1*(o.market-f.x1)-f.b2*(o.momentum-f.x2)-f.b3*(o.value-f.x3)-f.b4*(o.quality-f.x4),2)) AS sse FROM o0 o JOIN fit f ON f.strategy_id=o.strategy_id GROUP BY f.strategy_id),
+ load AS (SELECT strategy_id, unnest(['const','market','momentum','value','quality']) AS term, unnest([CASE WHEN ok THEN my-b1*x1-b2*x2-b3*x3-b4*x4 ELSE 0 END, CASE WHEN ok THEN b1 ELSE 0 END, CASE WHEN ok THEN b2 ELSE 0 END, CASE WHEN ok THEN b3 ELSE 0 END, CASE WHEN ok THEN b4 ELSE 0 END]) AS coef, CASE WHEN ok AND syy>0 THEN greatest(0,1-sse/syy) ELSE 0 END AS r2 FROM fit JOIN res USING (strategy_id))"""
+
+
+@query("a23_factor_attribution", using(*_BT, _FACTOR, _OLS, query="SELECT strategy_id, term, round(coef,6) AS coef, round(r2,6) AS r2 FROM load"))
 def factor_attribution(spark, sf_dir):
-    """Loadings on four factors from one pass of cross moments; tests hold it against a direct fit."""
+    """Loadings on four factors from one pass of cross moments."""
     r = all_returns(spark, sf_dir).join(factor_returns(spark, sf_dir), "as_of")
     return rounded(metrics.ols(r, "ret", ["market", "momentum", "value", "quality"]), "coef", "r2")
 
@@ -159,21 +220,28 @@ def factor_attribution(spark, sf_dir):
 _CORR = ["momentum_12m", "quality_score", "margin_expansion", "low_leverage_growth"]
 
 
-@query("a25_signal_correlations", using(*PANEL[:9], scores_sql(dict.fromkeys(_CORR, 1.0), "kept", "c4"), "lng AS (" + " UNION ALL ".join(f"SELECT as_of, ticker, '{s}' AS sg, round(s_{s},9) AS v FROM c4" for s in _CORR) + ")",
+_RANKS = (scores_sql(dict.fromkeys(_CORR, 1.0), "kept", "c4"), "lng AS (" + " UNION ALL ".join(f"SELECT as_of, ticker, '{s}' AS sg, round(s_{s},9) AS v FROM c4" for s in _CORR) + ")",
  "rk AS (SELECT as_of, ticker, sg, rank() OVER (PARTITION BY as_of, sg ORDER BY v)+(count(*) OVER (PARTITION BY as_of, sg, v)-1)/2.0::DOUBLE AS r FROM lng)",
- "cr AS (SELECT x.as_of, x.sg AS a, y.sg AS b, covar_samp(x.r,y.r)/nullif(stddev_samp(x.r)*stddev_samp(y.r),0) AS c, count(*) AS n FROM rk x JOIN rk y ON x.as_of=y.as_of AND x.ticker=y.ticker AND x.sg<y.sg GROUP BY ALL)",
- query="SELECT a, b, count(c) AS n_dates, round(avg(c),6) AS corr, abs(avg(c))>0.7 AS high FROM cr WHERE n>=5 AND c IS NOT NULL GROUP BY a, b"))
+ "cr AS (SELECT x.as_of, x.sg AS a, y.sg AS b, covar_samp(x.r,y.r)/nullif(stddev_samp(x.r)*stddev_samp(y.r),0) AS c, count(*) AS n FROM rk x JOIN rk y ON x.as_of=y.as_of AND x.ticker=y.ticker AND x.sg<y.sg GROUP BY ALL)")
+
+
+@query("a25_signal_correlations", using(*PANEL[:9], *_RANKS, query="SELECT a, b, count(c) AS n_dates, round(avg(c),6) AS corr, abs(avg(c))>0.7 AS high FROM cr WHERE n>=20 AND c IS NOT NULL GROUP BY a, b"))
 def signal_correlations(spark, sf_dir):
-    s = screen.with_signals(screen.apply_filters(frame(spark, sf_dir), BASE.chain()), _CORR)
+    return rounded(correlations(frame(spark, sf_dir)), "corr")
+
+
+def correlations(panel):
+    """Mean rank correlations of four signals over the dates of a screening frame."""
+    s = screen.with_signals(screen.apply_filters(panel, BASE.chain()), _CORR)
     long = s.select("as_of", "ticker", *(F.round(c, 9).alias(c) for c in _CORR)).unpivot(["as_of", "ticker"], _CORR, "signal", "value")
-    return rounded(metrics.rank_correlations(long, least_names=5), "corr")
+    return metrics.rank_correlations(long)
 
 
 def _draw(*key: str) -> str:
     return f"(CAST(('0x'||substr(md5(concat_ws(':',{','.join(key)})),1,13)) AS BIGINT)/pow(16.0::DOUBLE,13))"
 
 
-_ITER = 40
+_ITER = 500
 _MC = f"""dr AS (SELECT i, as_of, ticker FROM uni, range({_ITER}) q(i) WHERE as_of<DATE '2001-11-01' QUALIFY row_number() OVER (PARTITION BY i, as_of ORDER BY {_draw("'42'", "i::VARCHAR", "as_of::VARCHAR", "ticker")}, ticker)<=5),
  mp0 AS (SELECT i, d.as_of, coalesce(avg(within_ret),0)-0.002::DOUBLE AS ret FROM dr d LEFT JOIN rets USING (as_of, ticker) GROUP BY ALL),
  tr AS (SELECT i, CASE WHEN stddev_samp(ret) IS NULL OR stddev_samp(ret)=0 THEN 0 ELSE avg(ret)/stddev_samp(ret)*sqrt(12.0::DOUBLE) END AS sharpe FROM mp0 GROUP BY i)"""
@@ -185,18 +253,18 @@ def _trials(spark, sf_dir):
     return resample.random_portfolios(u, rolling.period_returns(b, DATES), _ITER, 5)
 
 
-@query("a27_random_portfolios", using(BARS, MEMBERSHIP, CAL, _UNI, RETS, _MC, query="SELECT i AS iteration, round(sharpe,6) AS sharpe FROM tr"))
+@query("a27_random_portfolios", using(BARS, MEMBERSHIP, CAL, UNIVERSE, RETS, _MC, query="SELECT i AS iteration, round(sharpe,6) AS sharpe FROM tr"))
 def random_portfolios(spark, sf_dir):
     return rounded(_trials(spark, sf_dir), "sharpe")
 
 
-@query("a27_monte_carlo_percentile", using(*_BT, MEMBERSHIP, _UNI, _MC, "own AS (SELECT strategy_id, CASE WHEN stddev_samp(ret)=0 OR stddev_samp(ret) IS NULL THEN 0 ELSE avg(ret)/stddev_samp(ret)*sqrt(12.0::DOUBLE) END AS s FROM bt GROUP BY strategy_id)", query="SELECT strategy_id, round(s,6) AS sharpe, count(*) AS n_trials, round(avg(sharpe),6) AS mean_trial, round(avg(CASE WHEN sharpe<s THEN 1.0::DOUBLE ELSE 0 END)*100,6) AS percentile FROM own, tr GROUP BY strategy_id, s"))
+@query("a27_monte_carlo_percentile", using(*_BT, _MC, "own AS (SELECT strategy_id, CASE WHEN stddev_samp(ret)=0 OR stddev_samp(ret) IS NULL THEN 0 ELSE avg(ret)/stddev_samp(ret)*sqrt(12.0::DOUBLE) END AS s FROM bt GROUP BY strategy_id)", query="SELECT strategy_id, round(s,6) AS sharpe, count(*) AS n_trials, round(avg(sharpe),6) AS mean_trial, round(avg(CASE WHEN sharpe<s THEN 1.0::DOUBLE ELSE 0 END)*100,6) AS percentile FROM own, tr GROUP BY strategy_id, s"))
 def monte_carlo_percentile(spark, sf_dir):
     own = metrics.bundle(all_returns(spark, sf_dir).select("strategy_id", "t", "ret")).select("strategy_id", "sharpe")
     return rounded(resample.percentile_of(_trials(spark, sf_dir), own), "sharpe", "mean_trial", "percentile")
 
 
-_REPS = 200
+_REPS = 5000
 _BOOT = f"""n AS (SELECT count(*) AS n FROM bm), grid AS (SELECT r.rep, bm.t, n.n, (bm.t=0 OR {_draw("'42'", "rep::VARCHAR", "bm.t::VARCHAR", "'go'")}>=1-1/3.0::DOUBLE) AS go, CAST(floor({_draw("'42'", "rep::VARCHAR", "bm.t::VARCHAR", "'at'")}*n.n) AS BIGINT) AS st FROM bm, n, range({_REPS}) r(rep)),
  blk AS (SELECT rep, t, n, last_value(CASE WHEN go THEN st END IGNORE NULLS) OVER w AS s, last_value(CASE WHEN go THEN t END IGNORE NULLS) OVER w AS t0 FROM grid WINDOW w AS (PARTITION BY rep ORDER BY t ROWS UNBOUNDED PRECEDING)),
  smp AS (SELECT rep, blk.t, mkt AS ret FROM blk JOIN bm ON bm.t=(s+blk.t-t0)%n),
@@ -238,12 +306,9 @@ def benchmark_summary(spark, sf_dir):
 @query("a39_a40_turnover", using(*_BT, query="SELECT strategy_id, count(*) AS n, round(avg(CASE WHEN np=0 THEN 1.0::DOUBLE ELSE sd::DOUBLE/((n+np+sd)/2.0::DOUBLE) END),6) AS avg_turnover, round(sum(CASE WHEN np=0 THEN 0 ELSE sd//2 END)::DOUBLE/count(*),6) AS swaps_per_period FROM mv GROUP BY strategy_id"))
 def turnover_series(spark, sf_dir):
     """Symmetric difference over union of consecutive pick sets, the first 1, averaged per strategy."""
-    f, cal = frame(spark, sf_dir).persist(), calendar.calendar(spark, START, END)
-    out, ready = None, screen.by_chain(f, VARIANTS)
-    for v in VARIANTS:
-        p = screen.screen(f, v, ready[repr(v.chain())]).filter(F.col("as_of") < F.lit(END)).select(F.lit(v.name).alias("strategy_id"), "as_of", "ticker", "target_weight")
-        out = p if out is None else out.unionByName(p)
-    t = portfolio.turnover(out, cal, 10.0, ("strategy_id",))
+    panel = staged(frame(spark, sf_dir).filter(F.col("as_of") < F.lit(END)), "frame")
+    picks = staged(screen.picks_by_strategy(panel, VARIANTS), "picks")
+    t = portfolio.turnover(picks, calendar.calendar(spark, START, END), 10.0, ("strategy_id",))
     union = (F.col("n") + F.col("n_before") + F.col("symdiff")) / 2
     one = F.when(F.col("n_before") == 0, F.lit(1.0)).otherwise(F.col("symdiff") / union)
     g = t.groupBy("strategy_id").agg(F.count(F.lit(1)).alias("n"), F.avg(one).alias("avg_turnover"), F.try_divide(F.sum("swaps"), F.count(F.lit(1))).alias("swaps_per_period"))
@@ -256,18 +321,61 @@ def guardrails(spark, sf_dir):
     return evaluate.guardrails(m, least_periods=60, least_sharpe=0.3, worst_drawdown=-0.02).select("strategy_id", F.concat_ws(",", "warnings").alias("warnings"))
 
 
-@query("q14_experiment")
+def _part_sql(name: str, where: str) -> str:
+    """(strategy_id, n, sharpe, cagr, maxdd) of the periods that meet a condition."""
+    return f"""{name}e AS (SELECT *, greatest(1.0::DOUBLE, max(e) OVER (PARTITION BY strategy_id ORDER BY t)) AS pk FROM (SELECT strategy_id, t, ret, exp(sum(ln(1+ret)) OVER (PARTITION BY strategy_id ORDER BY t)) AS e FROM bt WHERE {where})),
+ {name} AS (SELECT strategy_id, count(*) AS n, CASE WHEN stddev_samp(ret) IS NULL OR stddev_samp(ret)=0 THEN 0 ELSE avg(ret)/stddev_samp(ret)*sqrt(12.0::DOUBLE) END AS sharpe, pow(arg_max(e,t),12.0::DOUBLE/count(*))-1 AS cagr, min(e/pk-1) AS maxdd FROM {name}e GROUP BY strategy_id)"""
+
+
+_EXPERIMENT = (_part_sql("tr", f"as_of<DATE '{DATES[40]}'"), _part_sql("ho", f"as_of>=DATE '{DATES[40]}'"), """ex AS (SELECT *, row_number() OVER (ORDER BY w='' DESC, train_sharpe DESC, strategy_id)=1 AND w='' AS best FROM
+ (SELECT strategy_id, n, sharpe AS train_sharpe, cagr, maxdd, concat_ws(',', CASE WHEN n<30 THEN 'sample_size' END, CASE WHEN sharpe<0.5 THEN 'low_sharpe' END, CASE WHEN maxdd<-0.3 THEN 'deep_drawdown' END) AS w FROM tr))""")
+
+
+@query("q14_experiment", using(*_BT, *_EXPERIMENT, query="SELECT strategy_id, round(train_sharpe,6) AS train_sharpe, w AS warnings, best, CASE WHEN best THEN round(ho.sharpe,6) END AS holdout_sharpe FROM ex LEFT JOIN ho USING (strategy_id)"))
 def experiment(spark, sf_dir):
     """Variations on the training window, the best clean one on the holdout, all in one job."""
     e = evaluate.experiment(all_returns(spark, sf_dir), holdout_from=DATES[40])
-    return rounded(e, "train_sharpe", "holdout_sharpe")
+    return rounded(e, "train_sharpe", "holdout_sharpe").select("strategy_id", "train_sharpe", "warnings", "best", "holdout_sharpe")
+
+
+@query("s25_experiment_report", using(*_BT, *_EXPERIMENT, query="SELECT 'momentum against value' AS experiment_name, (SELECT max(strategy_id) FILTER (best) FROM ex) AS best_variation, strategy_id AS name, round(train_sharpe,6) AS sharpe, round(maxdd,6) AS max_drawdown, n AS sample_size, w AS warnings, (SELECT round(ho.sharpe,6) FROM ex JOIN ho USING (strategy_id) WHERE best) AS holdout_sharpe FROM ex"))
+def experiment_report(spark, sf_dir):
+    """The experiment's report document, read back: a row for each of its variations."""
+    e = evaluate.experiment(all_returns(spark, sf_dir), holdout_from=DATES[40])
+    doc = evaluate.experiment_report(e, "momentum against value", "Mixed signals hold up better out of sample")
+    d = doc.select(F.from_json("document", evaluate.EXPERIMENT_REPORT).alias("d")).select("d.experiment_name", "d.best_variation", F.col("d.holdout.sharpe").alias("holdout_sharpe"), F.explode("d.results").alias("r"))
+    return d.select("experiment_name", "best_variation", "r.name", "r.sharpe", "r.max_drawdown", "r.sample_size", F.array_join("r.warnings", ",").alias("warnings"), "holdout_sharpe")
+
 
+_MARKET = "mk AS (SELECT c.t, avg(within_ret) AS mkt FROM rets r JOIN cal c ON c.as_of=r.as_of GROUP BY c.t)"
+_REPORT = (BENCHMARK, _BM, _MARKET, _EQ, _MET, _MC, _FACTOR, _OLS, *_RANKS, "fd AS (" + " UNION ALL ".join(f"SELECT {i} AS fold, DATE '{b}' AS test_start, DATE '{c}' AS test_end" for i, (_, b, c) in enumerate(_FOLDS)) + ")",
+ """rp AS (SELECT strategy_id, sxy/sxx AS beta, (my-sxy/sxx*mx)/nullif(sqrt(greatest(syy-sxy/sxx*sxy,0)/(k-2)*(1.0::DOUBLE/k+mx*mx/sxx)),0) AS t_alpha FROM (SELECT strategy_id, count(*) AS k, regr_sxx(ret,mkt) AS sxx, regr_sxy(ret,mkt) AS sxy, regr_syy(ret,mkt) AS syy, avg(ret) AS my, avg(mkt) AS mx FROM bt JOIN bm USING (t) GROUP BY strategy_id)),
+ rg AS (SELECT strategy_id, count(*) AS bull_n, avg(ret) AS bull_ret FROM bt JOIN mk USING (t) WHERE mkt>0.02 GROUP BY strategy_id),
+ wf AS (SELECT strategy_id, count(*) AS folds, avg(CASE WHEN s>0 THEN 1.0::DOUBLE ELSE 0 END) AS consistency FROM (SELECT strategy_id, fold, CASE WHEN stddev_samp(ret) IS NULL OR stddev_samp(ret)=0 THEN 0 ELSE avg(ret)/stddev_samp(ret) END AS s FROM bt JOIN fd ON as_of>=test_start AND as_of<test_end GROUP BY strategy_id, fold) GROUP BY strategy_id),
+ pc AS (SELECT strategy_id, avg(CASE WHEN t.sharpe<m.sharpe THEN 1.0::DOUBLE ELSE 0 END)*100 AS percentile FROM m3 m, tr0 t GROUP BY strategy_id),
+ hc AS (SELECT count(*) AS n_pairs, coalesce(max(abs(corr)),0) AS strongest FROM (SELECT a, b, avg(c) AS corr FROM cr WHERE n>=20 AND c IS NOT NULL AND as_of>=DATE '2000-01-01' AND as_of<DATE '2001-01-01' GROUP BY a, b))""")
 
-@query("b14_s24_evaluation_report")
+
+@query("b14_s24_evaluation_report", using(*_BT, *(x.replace(" tr AS", " tr0 AS") if x is _MC else x for x in _REPORT), query=f"""SELECT strategy_id, n, round(sharpe,6) AS sharpe, round(cagr,6) AS cagr, round(maxdd,6) AS max_drawdown, round(CASE WHEN n<2 THEN 0 WHEN se=0 THEN 0.5 ELSE {cdf_sql('(sr/se)')} END,6) AS psr, round(beta,6) AS beta, coalesce(bull_n,0) AS bull_periods, round(bull_ret,6) AS bull_ret, folds, round(consistency,6) AS consistency, round(percentile,6) AS percentile, round(coef,6) AS market_loading, round(r2,6) AS factor_r2, n_pairs, round(strongest,6) AS strongest_pair,
+ (n>=30)::INT+(sharpe>0.5)::INT+coalesce((t_alpha>2)::INT,0)+(consistency>=0.6)::INT+(percentile>=95)::INT AS passed FROM m3 JOIN rp USING (strategy_id) LEFT JOIN rg USING (strategy_id) LEFT JOIN wf USING (strategy_id) JOIN pc USING (strategy_id) JOIN (SELECT * FROM load WHERE term='market') USING (strategy_id), hc"""))
 def evaluation_report(spark, sf_dir):
-    """One JSON document per strategy with metrics, regression, regimes and verdict flags."""
-    r = all_returns(spark, sf_dir)
-    return evaluate.report(r, benchmark_returns(spark, sf_dir), backtest.equal_weight_market(returns(spark, sf_dir), DATES), evaluate.walk_forward(r, _FOLDS))
+    """One JSON document per strategy with all of the evaluation's parts, read back for its main figures."""
+    panel = staged(frame(spark, sf_dir), "frame")
+    rets = staged(returns(spark, sf_dir), "periods")
+    r = staged(backtest.without_feedback(panel, rets, DATES, VARIANTS), "returns")
+    members = staged(asof.universe_as_of(domain.membership(spark, sf_dir), domain.bars(spark, sf_dir), DATES), "universe")
+    trials = resample.random_portfolios(members.filter(F.col("as_of") < F.lit(END)), rets, _ITER, 5)
+    factors = metrics.ols(r.join(factor_returns(spark, sf_dir), "as_of"), "ret", ["market", "momentum", "value", "quality"])
+    middle = panel.filter((F.col("as_of") >= F.lit(date(2000, 1, 1))) & (F.col("as_of") < F.lit(date(2001, 1, 1))))
+    doc = evaluate.report(r, benchmark_returns(spark, sf_dir), backtest.equal_weight_market(rets, DATES), evaluate.walk_forward(r, _FOLDS), trials, factors, correlations(middle), years=YEARS)
+    d = doc.select("strategy_id", "passed", F.from_json("document", evaluate.REPORT).alias("d"))
+    bull = F.get(F.filter("d.regimes", lambda g: g.regime == "Bull"), F.lit(0))
+    market = F.get(F.filter("d.factors.loadings", lambda g: g.term == "market"), F.lit(0))
+    m = "d.metrics"
+    return d.select(
+        "strategy_id", f"{m}.n", f"{m}.sharpe", f"{m}.cagr", f"{m}.max_drawdown", f"{m}.psr", "d.regression.beta", F.coalesce(bull.n, F.lit(0)).alias("bull_periods"), bull.avg_ret.alias("bull_ret"), "d.walk_forward.folds", "d.walk_forward.consistency",
+        F.col("d.monte_carlo.percentile").alias("percentile"), market.coef.alias("market_loading"), F.col("d.factors.r2").alias("factor_r2"), F.size("d.correlations").cast("long").alias("n_pairs"), F.coalesce(F.array_max(F.transform("d.correlations", lambda c: F.abs(c.corr))), F.lit(0.0)).alias("strongest_pair"), "passed",
+    )
 
 
 @query("h09_h10_normal_functions", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, round({cdf_sql('((l_quantity-25)/10)')},9) AS cdf, round({ppf_sql('(l_quantity/51)')},7) AS ppf FROM lineitem""")
@@ -280,5 +388,3 @@ def normal_functions(spark, sf_dir):
 def hash_draws(spark, sf_dir):
     return domain.read(spark, sf_dir, "orders").select("o_orderkey", F.round(scalar.draw(7, F.col("o_orderkey")), 12).alias("u"))
 
-
-__all__ = ["SCORED"]

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from equiscope.functions.scalar import date_prefix
 from equiscope.operators import asof, facts
+from equiscope.plans import load
 from equiscope.plans.catalog import query
 from equiscope.sources import domain, tables
 from equiscope.sources.domain_sql import BARS, MEMBERSHIP, RAW_BARS, SECTORS, STATEMENTS, using
+from equiscope.sources.stage import scratch
 
 PRICE_COLS = "ticker, date, open, high, low, close, volume"
 
@@ -32,7 +34,7 @@ _FACT = """facts AS (SELECT ticker, 'roe' AS field, round(netinc/nullif(equity,0
 @query("s02_fact_scan", using(STATEMENTS, MEMBERSHIP, _FACT, query="SELECT ticker, field, value, report_date, CAST(observed_at AS DATE) AS observed FROM facts WHERE observed_at <= TIMESTAMP '1999-06-30' AND ticker IN (SELECT ticker FROM membership WHERE index_name='EUROPE')"))
 def fact_scan(spark, sf_dir):
     f = facts.quarterly_facts(domain.statements(spark, sf_dir)).filter(F.col("field").isin("roe", "roa") & (F.col("observed_at") <= F.lit("1999-06-30").cast("timestamp")))
-    return f.join(F.broadcast(in_region(spark, sf_dir, "EUROPE")), "ticker", "left_semi").select("ticker", "field", "value", "report_date", F.to_date("observed_at").alias("observed"))
+    return f.join(in_region(spark, sf_dir, "EUROPE"), "ticker", "left_semi").select("ticker", "field", "value", "report_date", F.to_date("observed_at").alias("observed"))
 
 
 @query("s03_membership_scan", using(MEMBERSHIP, query="SELECT ticker, added_date, removed_date, is_delisted FROM membership WHERE index_name='AMERICA'"))
@@ -75,7 +77,7 @@ def append_absent_bars(spark, sf_dir):
  (SELECT ticker, calendardate, CAST(datekey AS VARCHAR) || 'T09:30:00Z' AS txt, revenue, row_number() OVER (PARTITION BY ticker, calendardate ORDER BY datekey DESC) AS rn FROM statements) WHERE rn=1"""))
 def upsert_facts(spark, sf_dir):
     s = domain.statements(spark, sf_dir).select("ticker", F.col("calendardate").alias("report_date"), F.concat(F.col("datekey").cast("string"), F.lit("T09:30:00Z")).alias("txt"), F.col("revenue").alias("value"), "datekey")
-    s = s.withColumn("observed_at", date_prefix(F.col("txt"))).drop("txt")
+    s = tables.parsed_observations(s.withColumnRenamed("txt", "observed_at")).withColumn("observed_at", F.to_date("observed_at"))
     first = s.filter(F.datediff("datekey", "report_date") < 100)
     return tables.upsert(first, s, ["ticker", "report_date"], ["datekey"]).drop("datekey")
 
@@ -110,8 +112,11 @@ def sector_upsert(spark, sf_dir):
 def replace_index(spark, sf_dir):
     m = domain.membership(spark, sf_dir).select("ticker", "index_name", "added_date", "removed_date")
     text = F.when(F.col("ticker").cast("long") % 4 == 0, F.lit("soon")).otherwise(F.col("added_date").cast("string"))
-    new = m.filter("index_name = 'ASIA'").withColumn("added_date", date_prefix(text))
-    return m.filter("index_name <> 'ASIA'").unionByName(new)
+    new = m.filter("index_name = 'ASIA'").withColumn("added_date", text)
+    at = scratch(spark, "membership")
+    tables.replace_index(spark, at, m)
+    tables.replace_index(spark, at, new)
+    return spark.read.schema(m.schema).parquet(at)
 
 
 @query("s22_routed_sources", using(BARS, RAW_BARS, query="SELECT ticker, date, close FROM bars WHERE CAST(ticker AS BIGINT)%10<>0 UNION ALL SELECT ticker, date, close FROM raw_bars WHERE CAST(ticker AS BIGINT)%10=0"))
@@ -124,9 +129,9 @@ def routed_sources(spark, sf_dir):
 @query("s21_vendor_bars", using(BARS, query="SELECT ticker, date, open, close, volume FROM bars"))
 def vendor_bars(spark, sf_dir):
     b = domain.bars(spark, sf_dir)
-    record = F.to_json(F.struct(F.col("ticker").alias("symbol"), F.col("date").cast("string").alias("date"), "open", "close", "volume"))
-    j = b.select(F.from_json(record, "symbol string, date string, open double, close double, volume double").alias("j"))
-    return j.select(F.col("j.symbol").alias("ticker"), F.to_date("j.date").alias("date"), "j.open", "j.close", "j.volume")
+    at = scratch(spark, "vendor")
+    b.select(F.col("ticker").alias("symbol"), F.col("date").cast("string").alias("date"), "open", "close", "volume").write.json(at)
+    return tables.vendor_bars(spark, at).select("ticker", "date", "open", "close", "volume")
 
 
 @query("s23_vendor_fields", """SELECT CAST(s_suppkey AS VARCHAR) AS ticker, s_acctbal AS market_cap, CASE WHEN s_suppkey%3=0 THEN NULL ELSE s_acctbal/100 END AS roe, CAST(NULL AS DOUBLE) AS roa, CAST(s_nationkey AS DOUBLE) AS beta FROM supplier""")
@@ -176,22 +181,21 @@ FACTS = ",\n".join(
 
 
 def all_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = domain.statements(spark, sf_dir)
-    return facts.quarterly_facts(s).unionByName(facts.annual_facts(s))
+    return facts.filing_facts(domain.statements(spark, sf_dir))
 
 
-@query("q01_statement_facts", using(FACTS, query="SELECT ticker, field, report_date, observed_at AS observed, round(value,6) AS value FROM facts"))
+@query("q01_statement_facts", using(FACTS, query="SELECT ticker, field, report_date, observed_at AS observed, value FROM facts"))
 def statement_facts(spark, sf_dir):
-    return all_facts(spark, sf_dir).select("ticker", "field", "report_date", F.to_date("observed_at").alias("observed"), F.round("value", 6).alias("value"))
+    return all_facts(spark, sf_dir).select("ticker", "field", "report_date", F.to_date("observed_at").alias("observed"), "value")
 
 
-@query("q02_latest_screen", using(STATEMENTS, BARS, query="""SELECT t.ticker, t.calendardate, round(netinc/nullif(equity,0),6) AS roe, round(marketcap,6) AS market_cap, round(CASE WHEN y.rev>0 THEN revenue/y.rev-1 END,6) AS revenue_growth, v.close, round(v.avol,6) AS avg_volume_20d
+@query("q02_latest_screen", using(STATEMENTS, BARS, query="""SELECT t.ticker, t.calendardate, round(netinc/nullif(equity,0),9) AS roe, round(marketcap,9) AS market_cap, round(CASE WHEN y.rev>0 THEN revenue/y.rev-1 END,9) AS revenue_growth, v.close, round(v.avol,6) AS avg_volume_20d
  FROM (SELECT * FROM statements QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY calendardate DESC, datekey DESC)=1) t
  LEFT JOIN (SELECT ticker, calendardate, arg_max(revenue,datekey) AS rev FROM statements GROUP BY ALL) y ON y.ticker=t.ticker AND last_day(CAST(y.calendardate + INTERVAL 12 MONTH AS DATE))=t.calendardate
  LEFT JOIN (SELECT ticker, arg_max(close,date) AS close, avg(volume) AS avol FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r FROM bars) WHERE r<=20 GROUP BY ticker) v ON v.ticker=t.ticker"""))
 def latest_screen(spark, sf_dir):
     out = facts.latest_screen(domain.statements(spark, sf_dir), domain.bars(spark, sf_dir))
-    return out.select("ticker", "calendardate", *(F.round(c, 6).alias(c) for c in ("roe", "market_cap", "revenue_growth")), "close", F.round("avg_volume_20d", 6).alias("avg_volume_20d"))
+    return out.select("ticker", "calendardate", "roe", "market_cap", "revenue_growth", "close", F.round("avg_volume_20d", 6).alias("avg_volume_20d"))
 
 
 _STALE = """SELECT ticker, latest, cadence, expected, days_overdue, CAST(floor(days_overdue/cadence)+1 AS INTEGER) AS quarters_behind FROM (
@@ -256,16 +260,22 @@ def vendor_facts(spark, sf_dir):
     return a.unionByName(q).select("ticker", "field", "report_date", F.to_date("observed_at").alias("observed"), F.round("value", 6).alias("value"))
 
 
-@query("q09_merged_live", using(STATEMENTS, """o AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY calendardate DESC) AS r FROM statements WHERE datekey-calendardate<100),
- q AS (SELECT ticker, max(CASE WHEN r=1 AND CAST(ticker AS BIGINT)%4<>0 THEN grossmargin END) AS gm, max(CASE WHEN r=1 THEN revenue END) AS r0, max(CASE WHEN r=2 THEN revenue END) AS r1, max(CASE WHEN r=5 THEN revenue END) AS r4, max(CASE WHEN r=6 THEN revenue END) AS r5,
+@query("q09_merged_live", using(STATEMENTS, """o AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY calendardate DESC) AS r FROM statements WHERE datekey-calendardate<100 AND NOT (CAST(ticker AS BIGINT)%6=0 AND calendardate<DATE '2001-01-01')),
+ yr AS (SELECT ticker, rev/nullif(lag(rev) OVER w,0)-1 AS rg, CASE WHEN lag(eps) OVER w>0 THEN eps/lag(eps) OVER w-1 END AS eg, row_number() OVER (PARTITION BY ticker ORDER BY y DESC) AS r FROM (SELECT ticker, year(calendardate) AS y, sum(revenue) AS rev, sum(eps) AS eps FROM statements WHERE datekey-calendardate<100 GROUP BY ALL) WINDOW w AS (PARTITION BY ticker ORDER BY y)),
+ yg AS (SELECT ticker, max(rg) FILTER (r=1) AS rg0, max(rg) FILTER (r=2) AS rg1, max(eg) FILTER (r=1) AS eg0, max(eg) FILTER (r=2) AS eg1 FROM yr GROUP BY ticker),
+ q AS (SELECT ticker, count(*) AS nq, max(CASE WHEN r=1 AND CAST(ticker AS BIGINT)%4<>0 THEN grossmargin END) AS gm, max(CASE WHEN r=1 THEN revenue END) AS r0, max(CASE WHEN r=2 THEN revenue END) AS r1, max(CASE WHEN r=5 THEN revenue END) AS r4, max(CASE WHEN r=6 THEN revenue END) AS r5,
   max(CASE WHEN r=1 THEN eps END) AS e0, max(CASE WHEN r=2 THEN eps END) AS e1, max(CASE WHEN r=5 THEN eps END) AS e4, max(CASE WHEN r=6 THEN eps END) AS e5 FROM o GROUP BY ticker),
  y AS (SELECT ticker, arg_max(grossmargin,calendardate) AS gm FROM o WHERE month(calendardate)=12 GROUP BY ticker)""",
- query="""SELECT ticker, round(coalesce(q.gm,y.gm),6) AS grossmargin, round(CASE WHEN r4>0 THEN r0/r4-1 END,6) AS rev_growth_current, round(CASE WHEN r5>0 THEN r1/r5-1 END,6) AS rev_growth_prior, round(CASE WHEN e4>0 THEN e0/e4-1 END,6) AS eps_growth_current, round(CASE WHEN e5>0 THEN e1/e5-1 END,6) AS eps_growth_prior FROM q FULL JOIN y USING (ticker)"""))
+ query="""SELECT ticker, round(coalesce(q.gm,y.gm),6) AS grossmargin, CASE WHEN coalesce(nq,0)<5 THEN rg0 WHEN r4>0 THEN r0/r4-1 END AS rev_growth_current, CASE WHEN coalesce(nq,0)<5 THEN rg1 WHEN r5>0 THEN r1/r5-1 END AS rev_growth_prior, CASE WHEN coalesce(nq,0)<5 THEN eg0 WHEN e4>0 THEN e0/e4-1 END AS eps_growth_current, CASE WHEN coalesce(nq,0)<5 THEN eg1 WHEN e5>0 THEN e1/e5-1 END AS eps_growth_prior FROM q FULL JOIN y USING (ticker) LEFT JOIN yg USING (ticker)"""))
 def merged_live(spark, sf_dir):
-    s = domain.statements(spark, sf_dir).filter(F.datediff("datekey", "calendardate") < 100).withColumn("date", F.col("calendardate"))
+    first = domain.statements(spark, sf_dir).filter(F.datediff("datekey", "calendardate") < 100).withColumn("date", F.col("calendardate"))
+    year = first.groupBy("ticker", F.trunc("date", "year").alias("date")).agg(F.sum("revenue").alias("revenue"), F.sum("eps").alias("eps"))
+    before = lambda c: F.lag(c).over(Window.partitionBy("ticker").orderBy("date"))
+    yearly = year.select("ticker", "date", (F.try_divide(F.col("revenue"), before("revenue")) - 1).alias("rev_growth"), F.when(before("eps") > 0, F.col("eps") / before("eps") - 1).alias("eps_growth"))
+    s = first.filter(~((F.col("ticker").cast("long") % 6 == 0) & (F.col("date") < F.lit(date(2001, 1, 1)))))
     quarterly = s.withColumn("grossmargin", F.when(F.col("ticker").cast("long") % 4 != 0, F.col("grossmargin")))
-    out = facts.merged_live(s.filter(F.month("date") == 12), quarterly, ["grossmargin"])
-    return out.select("ticker", *(F.round(c, 6).alias(c) for c in out.columns if c != "ticker"))
+    out = facts.merged_live(s.filter(F.month("date") == 12), quarterly, ["grossmargin"], yearly)
+    return out.withColumn("grossmargin", F.round("grossmargin", 6))
 
 
 _EVENTS = """ev AS (SELECT ticker, added_date AS date, 'added' AS action FROM membership WHERE CAST(ticker AS BIGINT)%6<>1
@@ -298,17 +308,20 @@ def membership_sync(spark, sf_dir):
     return tables.sync_members(m.filter(k % 10 != 9), m.filter(k % 8 != 3).select("ticker", "index_name"), date(2001, 6, 30)).drop("is_delisted")
 
 
-@query("q15_history_load", using(FACTS, BARS, MEMBERSHIP, query="""SELECT 'members' AS part, count(*) AS n, count(DISTINCT ticker) AS tickers FROM membership UNION ALL SELECT 'facts', count(*), count(DISTINCT ticker) FROM facts
- UNION ALL SELECT 'bars', count(*), count(DISTINCT ticker) FROM bars UNION ALL SELECT 'benchmark', count(DISTINCT date), 1 FROM bars"""))
+_LOADED = "wanted AS (SELECT DISTINCT ticker FROM membership WHERE index_name IN ('ASIA','EUROPE') AND (removed_date IS NULL OR removed_date>=DATE '1996-01-01'))"
+
+
+@query("q15_history_load", using(FACTS, BARS, MEMBERSHIP, SECTORS, _LOADED, f"rep AS (SELECT DISTINCT ticker, report_date AS d FROM facts WHERE ticker IN (SELECT ticker FROM wanted)), late AS ({_STALE})", query="""SELECT 'members' AS part, count(*) AS n, count(DISTINCT ticker) AS tickers FROM membership WHERE index_name IN ('ASIA','EUROPE')
+ UNION ALL SELECT 'facts', count(*), count(DISTINCT ticker) FROM facts WHERE ticker IN (SELECT ticker FROM wanted)
+ UNION ALL SELECT 'prices', count(*), count(DISTINCT ticker) FROM bars WHERE ticker IN (SELECT ticker FROM wanted) AND date>=DATE '1996-01-01'
+ UNION ALL SELECT 'benchmark', count(DISTINCT date), 1 FROM bars WHERE date>=DATE '1996-01-01' UNION ALL SELECT 'sectors', count(*), count(DISTINCT ticker) FROM sectors WHERE ticker IN (SELECT ticker FROM wanted) UNION ALL SELECT 'overdue', coalesce(sum(quarters_behind),0)::BIGINT, count(*) FROM late"""))
 def history_load(spark, sf_dir):
-    """Membership, facts, bars and benchmark of one load, as the counts that its report shows."""
+    """Membership, facts, prices, benchmark and sectors of one load, read back from its tables as the counts of its report."""
+    m = domain.membership(spark, sf_dir).filter(F.col("index_name").isin("ASIA", "EUROPE"))
     b = domain.bars(spark, sf_dir)
-    parts = {"members": domain.membership(spark, sf_dir), "facts": all_facts(spark, sf_dir), "bars": b, "benchmark": domain.benchmark(b).withColumn("ticker", F.lit("x"))}
-    out = None
-    for name, df in parts.items():
-        n = df.groupBy("ticker").count().agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("tickers")).select(F.lit(name).alias("part"), "n", "tickers")
-        out = n if out is None else out.unionByName(n)
-    return out
+    at = scratch(spark, "history")
+    load.history(spark, at, m, all_facts(spark, sf_dir), b, domain.benchmark(b), domain.sectors(spark, sf_dir), date(1996, 1, 1))
+    return load.report(spark, at, date(2002, 6, 30))
 
 
 @query("j09_filing_as_of", using(STATEMENTS, query="""SELECT r.ticker, r.calendardate, r.datekey, arg_max(f.revenue, f.datekey) AS revenue_then, max(f.datekey) AS filed FROM statements r JOIN statements f ON f.ticker=r.ticker AND f.calendardate=r.calendardate AND f.datekey<=r.datekey GROUP BY ALL"""))
@@ -327,5 +340,3 @@ def preceding_period(spark, sf_dir):
 def latest_filing(spark, sf_dir):
     return asof.latest_filing(domain.statements(spark, sf_dir)).select("ticker", "calendardate", "datekey", "revenue")
 
-
-__all__ = ["FACTS", "Window", "all_facts"]

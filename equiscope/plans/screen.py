@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from equiscope.functions.normalize import composite, zscores
 from equiscope.operators.asof import facts_as_of, pivoted, universe_as_of
-from equiscope.operators.portfolio import equal_weight, inverse_vol_weight, top_n
+from equiscope.operators.portfolio import by_score, equal_weight, inverse_vol_weight, top_n
 from equiscope.operators.rolling import FEATURES, features_as_of
 from equiscope.operators.signals import SIGNALS, SpecError, apply_filters, normalized_weights, with_signals
 from equiscope.sources.schemas import FIELDS
@@ -49,9 +49,11 @@ class Spec:
 def screening_frame(facts: DataFrame, bars: DataFrame, sectors: DataFrame, dates: list[date], universe: DataFrame | None = None, load_from: date | None = None) -> DataFrame:
     """(as_of, ticker, fields, close, avg_volume_20d, sector, features): rows are the tickers with any fact at the date.
 
-    Facts go long to wide after the as-of intervals are sampled; market close and volume replace stored ones.
+    Facts go long to wide after the as-of intervals are sampled; market close and volume replace stored ones. With a universe
+    (as_of, ticker), only its names. What was observed after the last date is not read on.
     """
-    wide = pivoted(facts_as_of(facts, dates), ["as_of", "ticker"], FIELDS)
+    seen = facts.filter(F.col("observed_at") <= F.lit(max(dates)).cast("timestamp"))
+    wide = pivoted(facts_as_of(seen, dates), ["as_of", "ticker"], FIELDS)
     if universe is not None:
         wide = wide.join(universe, ["as_of", "ticker"], "left_semi")
     market = features_as_of(bars, dates, load_from).select("as_of", "ticker", "close", "avg_volume_20d", *FEATURES)
@@ -64,28 +66,60 @@ def standardized(frame: DataFrame, chain: list[tuple[str, dict]], names: list[st
     return zscores(with_signals(kept, names), {s: SIGNALS.items[s][1]["higher"] for s in names})
 
 
-def scored(frame: DataFrame, spec: Spec, ready: DataFrame | None = None) -> DataFrame:
-    """Filtered rows with z_<signal> and composite_score; ready rows of the same chain are taken as they are."""
+def scored(frame: DataFrame, spec: Spec) -> DataFrame:
+    """Filtered rows with z_<signal> and composite_score."""
     weights = normalized_weights(spec.signals)
-    rows = standardized(frame, spec.chain(), list(weights)) if ready is None else ready
-    return rows.withColumn("composite_score", F.round(composite(weights), 9))
+    return standardized(frame, spec.chain(), list(weights)).withColumn("composite_score", F.round(composite(weights), 9))
 
 
-def by_chain(frame: DataFrame, specs: list[Spec]) -> dict[str, DataFrame]:
-    """One persisted standardized frame per distinct filter chain, with the signals of all specs that share it."""
+STRATEGY = ("strategy_id", "as_of")
+
+
+def scored_by_strategy(frame: DataFrame, specs: list[Spec]) -> DataFrame:
+    """(strategy_id, as_of, ticker, sector, realized_vol_20d, composite_score, top_n, max_per_sector, by_vol, bps, hold_bonus): every strategy's rows.
+
+    Strategies are rows of an array that is exploded over the standardized rows of the filter chain that they share, so a plan
+    grows with the number of chains and not with that of strategies.
+    """
     groups: dict[str, list[Spec]] = {}
     for s in specs:
         groups.setdefault(repr(s.chain()), []).append(s)
-    return {k: standardized(frame, v[0].chain(), sorted({n for s in v for n in s.signals})).persist() for k, v in groups.items()}
+    out = None
+    for group in groups.values():
+        names = sorted({n for s in group for n in s.signals})
+        settings = {s.name: {"strategy_id": s.name, "top_n": s.top_n, "max_per_sector": s.max_per_sector, "by_vol": s.weighting == "inverse_vol", "bps": float(s.cost_bps), "hold_bonus": float(s.hold_bonus)} for s in group}
+        each = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in settings[s.name].items()), *(F.lit(float(normalized_weights(s.signals).get(n, 0.0))).alias(f"w_{n}") for n in names)) for s in group))
+        score = sum((F.col(f"z_{n}") * F.col(f"s.w_{n}") for n in names), F.lit(0.0))
+        rows = standardized(frame, group[0].chain(), names).withColumn("s", F.explode(each))
+        rows = rows.select("as_of", "ticker", "sector", "realized_vol_20d", F.round(score, 9).alias("composite_score"), *(f"s.{k}" for k in settings[group[0].name]))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def picks_by_strategy(frame: DataFrame, specs: list[Spec]) -> DataFrame:
+    """(strategy_id, by_vol, bps, as_of, ticker, rank, target_weight): the picks of every strategy and date."""
+    rows = scored_by_strategy(frame, specs)
+    if any(s.max_per_sector for s in specs):
+        of_sector = F.row_number().over(Window.partitionBy(*STRATEGY, F.coalesce("sector", F.lit("__unknown__"))).orderBy(*by_score()))
+        rows = rows.withColumn("_s", of_sector).filter("max_per_sector = 0 or _s <= max_per_sector")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*STRATEGY).orderBy(*by_score())))
+    rows = rows.filter((F.col("rank") <= max(s.top_n for s in specs)) & (F.col("rank") <= F.col("top_n")))
+    weight = F.when(F.col("by_vol"), inverse_vol_weight(keys=STRATEGY)).otherwise(equal_weight(STRATEGY))
+    return rows.select("strategy_id", "by_vol", "bps", "as_of", "ticker", "rank", weight.alias("target_weight"))
 
 
 def weighted(picks: DataFrame, weighting: str, keys: tuple[str, ...] = ("as_of",)) -> DataFrame:
     return picks.withColumn("target_weight", equal_weight(keys) if weighting == "equal" else inverse_vol_weight(keys=keys))
 
 
-def screen(frame: DataFrame, spec: Spec, ready: DataFrame | None = None) -> DataFrame:
+def screen(frame: DataFrame, spec: Spec) -> DataFrame:
     """The picks of every date with rank and target_weight."""
-    return weighted(top_n(scored(frame, spec, ready), spec.top_n, spec.max_per_sector), spec.weighting)
+    return weighted(top_n(scored(frame, spec), spec.top_n, spec.max_per_sector), spec.weighting)
+
+
+def candidates(frame: DataFrame, spec: Spec, least: int = 50, times: int = 5) -> DataFrame:
+    """The picks of a wider screen, from which a live account may skip names that it can't trade: max(least, times x top_n) of them."""
+    return screen(frame, replace(spec, top_n=max(least, times * spec.top_n)))
 
 
 def index_universe(members: DataFrame, index: str, bars: DataFrame, dates: list[date]) -> DataFrame:

@@ -75,9 +75,9 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = line.groupBy(ticker("l_suppkey"), quarter.alias("calendardate")).agg(
         *total(price, "rev"), *total(price * F.col("l_discount"), "disc"), *total(price * F.col("l_tax"), "tax"), *total(F.col("l_quantity"), "qty"), F.count(F.when(kept, 1)).alias("n_a")
     )
-    first = sums.select("ticker", "calendardate", F.date_add("calendardate", 45).alias("datekey"), "rev", "disc", "tax", "qty")
-    amended = sums.filter("n_a > 0").select("ticker", "calendardate", F.date_add("calendardate", 120).alias("datekey"), *(F.col(f"{c}_a").alias(c) for c in ("rev", "disc", "tax", "qty")))
-    both = first.unionByName(amended)
+    first = F.struct(F.lit(45).alias("lag"), "rev", "disc", "tax", "qty")
+    amended = F.when(F.col("n_a") > 0, F.struct(F.lit(120).alias("lag"), *(F.col(f"{c}_a").alias(c) for c in ("rev", "disc", "tax", "qty"))))
+    both = sums.select("ticker", "calendardate", F.explode(F.array_compact(F.array(first, amended))).alias("v")).select("ticker", "calendardate", F.date_add("calendardate", F.col("v.lag")).alias("datekey"), "v.*")
     made = [F.round(sum(w * F.col(c) for w, c in zip(ws, ("rev", "disc", "tax", "qty"), strict=True)), 4).alias(name) for name, ws in STATEMENT.items()]
     rows = both.select("ticker", "calendardate", "datekey", *made)
     ratio = F.try_divide(F.col("cashnequsd") + F.col("receivables"), F.col("payables") + 0.1 * F.col("revenue"))

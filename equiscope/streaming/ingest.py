@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from equiscope.sources.tables import upsert
-
 
 def bar_stream(stream: DataFrame, delay: str = "7 days") -> DataFrame:
     """Bars with event time `ts`, the first of each (ticker, date) within the watermark."""
@@ -23,20 +21,30 @@ def daily_bars(ticks: DataFrame, delay: str = "2 hours") -> DataFrame:
     return bars.select("ticker", F.to_date("w.start").alias("date"), "open", "high", "low", "close", "volume")
 
 
-def upsert_facts(spark: SparkSession, path: str, keys: list[str], order: list[str]):
-    """A foreachBatch function: each batch becomes the next version of the table under path, last write wins.
+def current_facts(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key."""
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)))
+    return rows.withColumn("_r", last).filter("_r = 1").drop("_r")
+
+
+def upsert_facts(path: str, keys: list[str], order: list[str]):
+    """A foreachBatch function that adds each batch's last rows to the table under path; current_facts of it is the upserted table.
 
-    A batch is written whole under its own number before it counts, so a batch that is run again after a failure gives the same.
+    A batch costs its own rows and not the table's. It goes whole under its own number, so one that is run again after a failure
+    replaces itself. `compacted` bounds what a reader has to sort out.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        s = batch.sparkSession
-        old = s.read.schema(batch.schema).parquet(f"{path}/v={number - 1}") if number else batch.limit(0)
-        upsert(old, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v={number}")
+        current_facts(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return run
 
 
+def compacted(spark: SparkSession, path: str, into: str, keys: list[str], order: list[str]) -> None:
+    """The table of what is stored under path, one row a key, as batch -1 of a new path; later batches go on from there."""
+    current_facts(spark.read.parquet(path).drop("batch"), keys, order).write.parquet(f"{into}/batch=-1")
+
+
 def drained(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now, into Parquet, and read the result."""
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", sink).trigger(availableNow=True).start().awaitTermination()

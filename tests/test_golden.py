@@ -255,3 +255,88 @@ def test_fold_pruning_changes_nothing(spark):
         whole, part = df.toPandas(), pruned(df, spec).toPandas()
         assert len(part) < len(whole)
         pd.testing.assert_frame_equal(fold(whole, spec, dates), fold(part, spec, dates))
+
+
+def test_flows_fall_into_the_period_that_holds_their_time(spark):
+    at = lambda d, h: datetime(2024, 1, d, h)
+    p = spark.createDataFrame([("b", at(1, 10), at(10, 10)), ("b", at(10, 10), at(20, 10)), ("c", at(1, 10), at(5, 10))], "broker string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    f = spark.createDataFrame([("b", D(2024, 1, 1), at(1, 10), 1.0), ("b", D(2024, 1, 10), at(10, 10), 2.0), ("b", D(2024, 1, 10), None, 4.0), ("b", D(2024, 1, 20), at(20, 10), 8.0), ("b", D(2024, 1, 21), None, 16.0), ("c", D(2024, 1, 6), None, 32.0)], "broker string, date date, ts timestamp_ntz, amount double")
+    assert rows(tracking.flows_inside(p, f), "broker", "start_ts", "flows") == [("b", at(1, 10), 2.0), ("b", at(10, 10), 12.0), ("c", at(1, 10), 0.0)]
+
+
+def test_unresolvable_account_fails(spark):
+    p = spark.createDataFrame([(1, "A", 0.5), (1, "B", 0.5), (2, "B", 1.0)], "account int, ticker string, weight double")
+    known = lambda *t: spark.createDataFrame([(x,) for x in t], "ticker string")
+    assert rows(tracking.resolvable_picks(p, known("B")), "account", "weight") == [(1, 1.0), (2, 1.0)]
+    with pytest.raises(Exception, match="no tradeable pick"):
+        tracking.resolvable_picks(p, known("A")).collect()
+
+
+def test_log_files_and_their_times(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "20240102_101500_a.json").write_text('{\n "date":"2024-01-02","mode":"live","account":{"equity":5},"picks":["A"],"weights":{"A":1.0}\n}')
+    (tmp_path / "logs" / "other.json").write_text('{"date":"2024-01-03","account":"robin","holdings":["Z"]}')
+    got = {r["broker"]: r for r in tracking.read_log_files(spark, str(tmp_path / "logs")).collect()}
+    assert got["alpaca-live"]["ts"] == datetime(2024, 1, 2, 10, 15) and got["alpaca-live"]["weights"] == {"A": 1.0}
+    assert got["robin"]["ts"] == datetime(2024, 1, 3, 12) and got["robin"]["holdings"] == ["Z"]
+
+
+def test_ledger_is_seeded_once(spark, tmp_path):
+    flow = lambda x: spark.createDataFrame([("b", D(2024, 1, 2), datetime(2024, 1, 2, 9), x)], "broker string, date date, ts timestamp_ntz, amount double")
+    at = str(tmp_path / "ledger")
+    assert [tracking.ledger(spark, at, flow(x), again).first()["amount"] for x, again in ((1.0, False), (2.0, False), (3.0, True))] == [1.0, 1.0, 3.0]
+    assert tracking.ledger(spark, at, flow(0.0)).first()["ts"] == datetime(2024, 1, 2, 9)
+
+
+def test_history_load_twice_adds_nothing(spark, tmp_path):
+    from equiscope.plans import load
+
+    m = spark.createDataFrame([("A", "I", D(2020, 1, 1), None), ("B", "I", D(2000, 1, 1), D(2001, 1, 1))], "ticker string, index_name string, added_date date, removed_date date")
+    b = bars(spark, [("A", D(2021, 1, 4), 1.0), ("A", D(2021, 1, 5), 2.0), ("B", D(2021, 1, 4), 1.0)])
+    f = spark.createDataFrame([("A", "roe", 0.1, D(2021, q * 3, 28), datetime(2021, 12, 1)) for q in (1, 2, 3)], "ticker string, field string, value double, report_date date, observed_at timestamp")
+    s = spark.createDataFrame([("A", "x"), ("B", "y")], "ticker string, sector string")
+    bench = b.groupBy("date").agg(F.avg("close").alias("close"))
+    for again in range(2):
+        load.history(spark, str(tmp_path), m, f, b.withColumn("close", F.col("close") + again), bench, s, D(2021, 1, 1))
+    got = {r["part"]: (r["n"], r["tickers"]) for r in load.report(spark, str(tmp_path), D(2023, 1, 1)).collect()}
+    assert got == {"members": (2, 2), "facts": (3, 1), "prices": (2, 1), "benchmark": (2, 1), "sectors": (1, 1), "overdue": (4, 1)}
+    assert rows(spark.read.parquet(f"{tmp_path}/prices"), "close") == [(1.0,), (2.0,)]
+
+
+def test_research_log_replaces_runs_and_counts_budgets(spark):
+    make = lambda *r: spark.createDataFrame([(i, "e", "{}", datetime(2024, 1, 1), datetime(2024, 1, d), h, m, "completed") for i, d, h, m in r], "experiment_id string, experiment_name string, config_json string, started_at timestamp, completed_at timestamp, holdout_used boolean, metrics_json string, status string")
+    log = evaluate.append_runs(make(("1", 2, False, "a"), ("2", 2, False, "b")), make(("2", 3, True, "c"), ("3", 3, False, "d")))
+    assert rows(log, "experiment_id", "metrics_json") == [("1", "a"), ("2", "c"), ("3", "d")]
+    assert rows(evaluate.budgets(log, 5), "n", "holdout_used", "left", "may_use_holdout") == [(3, 1, 2, False)]
+
+
+def test_streamed_facts_compact(spark, tmp_path):
+    from equiscope.streaming import ingest
+
+    make = lambda *r: spark.createDataFrame(r, "k string, v int, o int")
+    put = ingest.upsert_facts(str(tmp_path / "t"), ["k"], ["o"])
+    put(make(("a", 1, 1), ("a", 2, 2), ("b", 1, 1)), 0)
+    for _ in range(2):  # a batch that is run again
+        put(make(("a", 9, 9), ("b", 0, 0)), 1)
+    now = lambda at: rows(ingest.current_facts(spark.read.parquet(str(tmp_path / at)), ["k"], ["o"]), "k", "v")
+    assert now("t") == [("a", 9), ("b", 1)]
+    ingest.compacted(spark, str(tmp_path / "t"), str(tmp_path / "u"), ["k"], ["o"])
+    assert now("u") == [("a", 9), ("b", 1)] and spark.read.parquet(str(tmp_path / "u")).count() == 2
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from equiscope.sources import stage
+
+    conf = SimpleNamespace(get=lambda k, d: None)
+    with pytest.raises(RuntimeError):
+        stage.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
+def test_growth_falls_back_to_years_below_five_quarters(spark):
+    q = spark.createDataFrame([("A", D(2024, m, 28), 10.0 + m, 1.0) for m in (3, 6, 9)] + [("B", D(2023 + i // 4, 3 * (i % 4) + 3, 28), 10.0 + i, 1.0) for i in range(6)], "ticker string, date date, revenue double, eps double").withColumn("roe", F.lit(0.5))
+    y = spark.createDataFrame([("A", D(2023, 12, 31), 0.3, 0.4), ("A", D(2022, 12, 31), 0.1, None), ("B", D(2023, 12, 31), 9.0, 9.0)], "ticker string, date date, rev_growth double, eps_growth double")
+    got = {r["ticker"]: r for r in facts.merged_live(q.select("ticker", "date", "roe"), q, ["roe"], y).collect()}
+    assert (got["A"]["rev_growth_current"], got["A"]["rev_growth_prior"], got["A"]["eps_growth_prior"]) == (0.3, 0.1, None)
+    assert got["B"]["rev_growth_current"] == pytest.approx(15 / 11 - 1) and got["B"]["rev_growth_prior"] == pytest.approx(14 / 10 - 1)
