@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -57,180 +58,229 @@ class Gru:
             i += old.size
         return Gru(**out, per_class=self.per_class)
 
-    def step(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(new state, update gate, reset gate, candidate, recurrent part of the candidate)."""
+    def step(self, h: np.ndarray, x: np.ndarray, g: np.ndarray, n: np.ndarray, new: np.ndarray) -> None:
+        """One step from states h and the words' inputs x; columns are slots. g takes both gates and the recurrent part of the
+        candidate, n the candidate and new the new states."""
         m = self.hidden
-        x, g = self.x[ids], h @ self.u
-        g += self.ub
-        zr = x[:, : 2 * m] + g[:, : 2 * m]
+        np.matmul(self.u.T, h, out=g)
+        g += self.ub[:, None]
+        zr = g[: 2 * m]
+        zr += x[: 2 * m]
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r, q = zr[:, :m], zr[:, m:], g[:, 2 * m :]
-        n = np.tanh(x[:, 2 * m :] + r * q)
-        return n + z * (h - n), z, r, n, q
+        np.multiply(g[m : 2 * m], g[2 * m :], out=n)
+        n += x[2 * m :]
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=new)
+        new *= g[:m]
+        new += n
+
+    def inputs(self, ids: np.ndarray) -> np.ndarray:
+        """(T, 3H, S) rows of x of a window's ids (S, T)."""
+        return np.ascontiguousarray(self.x.take(ids.T, axis=0).transpose(0, 2, 1))
 
     def states(self, h: np.ndarray, ids: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """States before each step of a window (S, T) and the last one; a fresh place starts from zero."""
-        out = np.empty((ids.shape[1], *h.shape), F32)
-        for t in range(ids.shape[1]):
-            if fresh[:, t].any():
-                h = np.where(fresh[:, t, None], F32(0), h)
-            out[t] = h
-            h = self.step(h, ids[:, t])[0]
-        return out, h
+        """States (H, T * S) before each step of a window (S, T) and the last one (H, S); a fresh place starts from zero."""
+        s, t_max = ids.shape
+        out = np.empty((t_max + 1, self.hidden, s), F32)
+        out[0] = h
+        x, g, n = self.inputs(ids), np.empty((3 * self.hidden, s), F32), np.empty((self.hidden, s), F32)
+        begins = fresh.any(axis=0)
+        for t in range(t_max):
+            if begins[t]:
+                out[t][:, fresh[:, t]] = 0
+            self.step(out[t], x[t], g, n, out[t + 1])
+        return _flat(out[:t_max]), out[t_max]
 
-    def log_prob(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Natural log probability of each id given the state before it."""
-        n = len(self.x) - 1
-        logits = h @ self.c
-        logits += self.cb
-        top = logits.max(axis=1)
+    def _classes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class of each id, their order by class, and where each class begins in it."""
         cls = ids // self.per_class
-        cls[ids == n] = logits.shape[1] - 1
-        out = logits[np.arange(len(ids)), cls] - top
-        logits -= top[:, None]
-        out -= np.log(np.exp(logits, out=logits).sum(axis=1))
+        cls[ids == len(self.x) - 1] = len(self.w)
         order = np.argsort(cls.astype(np.uint16), kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(logits.shape[1]))
+        return cls, order, np.searchsorted(cls[order], np.arange(len(self.w) + 1))
+
+    def log_prob(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Natural log probability of each id given the state before it, a row of h."""
+        cls, order, edge = self._classes(ids)
+        h = h.T
+        logits = self.c.T @ h
+        logits += self.cb[:, None]
+        logits -= logits.max(axis=0)
+        out = logits[cls, np.arange(len(ids))]
+        out -= np.log(np.exp(logits, out=logits).sum(axis=0))
+        order = order[: edge[-1]]
+        h, place, hit = h.take(order, axis=1), ids[order] % self.per_class, np.empty(len(order), F32)
         for k in range(len(self.w)):
-            at = order[edge[k] : edge[k + 1]]
-            if len(at):
-                s = h[at] @ self.w[k]
-                s += self.wb[k]
-                top = s.max(axis=1)
-                hit = s[np.arange(len(at)), ids[at] % self.per_class] - top
-                s -= top[:, None]
-                out[at] += hit - np.log(np.exp(s, out=s).sum(axis=1))
+            at = slice(edge[k], edge[k + 1])
+            if at.stop > at.start:
+                s = self.w[k].T @ h[:, at]
+                s += self.wb[k][:, None]
+                s -= s.max(axis=0)
+                hit[at] = s[place[at], np.arange(at.stop - at.start)]
+                hit[at] -= np.log(np.exp(s, out=s).sum(axis=0))
+        out[order] += hit
         return out
 
     def gradients(self, h: np.ndarray, ids: np.ndarray, fresh: np.ndarray, real: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """Gradients of the mean loss over the real places of one window, back to its start only; the ids whose rows of x
         they are for, and the last state."""
         s, t_max = ids.shape
-        m, n = self.hidden, len(self.x) - 1
-        kept = []
+        m = self.hidden
+        held, gates, n = np.empty((t_max + 1, m, s), F32), np.empty((t_max, 3 * m, s), F32), np.empty((t_max, m, s), F32)
+        held[0] = h
+        x, begins = self.inputs(ids), fresh.any(axis=0)
         for t in range(t_max):
-            h = np.where(fresh[:, t, None], F32(0), h)
-            new, *gates = self.step(h, ids[:, t])
-            kept.append((h, *gates))
-            h = new
-        before = np.stack([k[0] for k in kept])  # (T, S, H)
-        flat, target, weight = before.reshape(-1, m), ids.T.ravel(), real.T.ravel().astype(F32)
+            if begins[t]:
+                held[t][:, fresh[:, t]] = 0
+            self.step(held[t], x[t], gates[t], n[t], held[t + 1])
+        before, h = held[:t_max], held[t_max]
+        flat, target, weight = _flat(before), ids.T.ravel(), real.T.ravel().astype(F32)
         weight /= max(1.0, float(weight.sum()))
-        g = {a: np.zeros_like(getattr(self, a)) for a in self.names if a != "x"}
-        cls = target // self.per_class
-        cls[target == n] = len(self.w)
-        p = flat @ self.c + self.cb
-        p = np.exp(p - p.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(target)), cls] -= 1
-        p *= weight[:, None]
-        g["c"], g["cb"] = flat.T @ p, p.sum(axis=0)
-        back = p @ self.c.T
+        g = {a: np.zeros_like(getattr(self, a)) for a in ("w", "wb")}
+        cls, order, edge = self._classes(target)
+        p = self.c.T @ flat
+        p += self.cb[:, None]
+        p -= p.max(axis=0)
+        np.exp(p, out=p)
+        p *= weight / p.sum(axis=0)
+        p[cls, np.arange(len(target))] -= weight
+        g["c"], g["cb"] = flat @ p.T, p.sum(axis=1)
+        back = self.c @ p
+        order = order[: edge[-1]]
+        here, place, w = flat.take(order, axis=1), target[order] % self.per_class, weight[order]
+        more = np.empty_like(here)
         for k in range(len(self.w)):
-            at = np.flatnonzero(cls == k)
-            if len(at):
-                q = flat[at] @ self.w[k] + self.wb[k]
-                q = np.exp(q - q.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(len(at)), target[at] % self.per_class] -= 1
-                q *= weight[at, None]
-                g["w"][k], g["wb"][k] = flat[at].T @ q, q.sum(axis=0)
-                back[at] += q @ self.w[k].T
-        back = back.reshape(t_max, s, m)
-        inputs = np.empty((t_max, s, 3 * m), F32)
-        dh = np.zeros((s, m), F32)
+            at = slice(edge[k], edge[k + 1])
+            if at.stop > at.start:
+                r = self.w[k].T @ here[:, at]
+                r += self.wb[k][:, None]
+                r -= r.max(axis=0)
+                np.exp(r, out=r)
+                r *= w[at] / r.sum(axis=0)
+                r[place[at], np.arange(at.stop - at.start)] -= w[at]
+                g["w"][k], g["wb"][k] = here[:, at] @ r.T, r.sum(axis=1)
+                np.matmul(self.w[k], r, out=more[:, at])
+        back[:, order] += more
+        back = back.reshape(m, t_max, s)
+        z, r, q = gates[:, :m], gates[:, m : 2 * m], gates[:, 2 * m :]
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (before - n) * z * (1 - z)
+        to_r = q * r * (1 - r)
+        du, dn = np.empty((t_max, 3 * m, s), F32), np.empty((t_max, m, s), F32)
+        dh = np.zeros((m, s), F32)
         for t in range(t_max - 1, -1, -1):
-            old, z, r, nn, q = kept[t]
-            dn = dh * (1 - z) * (1 - nn * nn)
-            dz = dh * (old - nn) * z * (1 - z)
-            dr = dn * q * r * (1 - r)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            inputs[t] = np.concatenate([dz, dr, dn], axis=1)
-            g["u"] += old.T @ du
-            g["ub"] += du.sum(axis=0)
-            dh = dh * z + du @ self.u.T
-            dh = np.where(fresh[:, t, None], F32(0), dh + back[t])
-        order = np.argsort(target, kind="stable")
+            np.multiply(dh, to_n[t], out=dn[t])
+            np.multiply(dh, to_z[t], out=du[t, :m])
+            np.multiply(dn[t], to_r[t], out=du[t, m : 2 * m])
+            np.multiply(dn[t], r[t], out=du[t, 2 * m :])
+            dh *= z[t]
+            dh += self.u @ du[t]
+            dh += back[:, t]
+            if begins[t]:
+                dh[:, fresh[:, t]] = 0
+        every = _flat(du)
+        g["u"], g["ub"] = flat @ every.T, every.sum(axis=1)
+        every[2 * m :] = _flat(dn)
+        order = np.argsort(target.astype(np.uint16) if len(self.x) <= 1 << 16 else target, kind="stable")
         met = target[order]
         first = np.flatnonzero(np.append(True, met[1:] != met[:-1]))
-        g["x"] = np.add.reduceat(inputs.reshape(-1, 3 * m)[order], first, axis=0)
+        g["x"] = np.add.reduceat(every.take(order, axis=1), first, axis=1).T
         return g, met[first], h
 
 
-def streams(docs: list[np.ndarray], least: int = 16, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, document of each place or -1), both (slots, longest slot): documents one after the other in slots of even length."""
-    sizes = np.array([len(d) for d in docs])
-    slots = int(np.clip(sizes.sum() // max(1, sizes.max()), min(least, len(docs)), most))
-    held, fill = [[] for _ in range(slots)], np.zeros(slots, np.int64)
-    for k in np.argsort(-sizes, kind="stable"):
-        s = int(fill.argmin())
-        held[s].append(k)
-        fill[s] += sizes[k]
-    ids, owner = np.zeros((slots, fill.max()), np.int32), np.full((slots, fill.max()), -1, np.int32)
-    for s, ks in enumerate(held):
-        if ks:
-            ids[s, : fill[s]] = np.concatenate([docs[k] for k in ks])
-            owner[s, : fill[s]] = np.repeat(ks, sizes[ks])
-    return ids, owner
+def _flat(a: np.ndarray) -> np.ndarray:
+    """(T, n, S) as (n, T * S)."""
+    return np.ascontiguousarray(a.transpose(1, 0, 2)).reshape(a.shape[1], -1)
 
 
-def starts(owner: np.ndarray) -> np.ndarray:
-    """Places at which another document begins; the very first always."""
-    fresh = np.ones(owner.shape, bool)
-    fresh[:, 1:] = owner[:, 1:] != owner[:, :-1]
-    return fresh
+class Streams:
+    """Documents dealt to slots of even length, one after the other, the longest slot first.
+
+    Only the tokens are held, so a very long document costs its own length; windows take the slots that still have tokens.
+    """
+
+    def __init__(self, docs: list[np.ndarray], least: int = 16, most: int = 512):
+        sizes = np.array([len(d) for d in docs])
+        slots = int(np.clip(8 * sizes.sum() // max(1, sizes.max()), min(least, len(docs)), min(most, len(docs))))
+        held: list[list[int]] = [[] for _ in range(slots)]
+        fill = np.zeros(slots, np.int64)
+        for k in np.argsort(-sizes, kind="stable"):
+            s = int(fill.argmin())
+            held[s].append(int(k))
+            fill[s] += sizes[k]
+        order = np.argsort(-fill, kind="stable")
+        self.docs, self.fill = len(docs), fill[order]
+        self.start = np.append(0, np.cumsum(self.fill)[:-1])
+        dealt = [k for s in order for k in held[s]]
+        self.ids = np.concatenate([docs[k] for k in dealt]).astype(np.int32)
+        self.owner = np.repeat(np.array(dealt, np.int32), sizes[dealt])
+
+    def windows(self, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(ids, document of each place, whether it is its document's first, whether it is a place at all), each (slots, length)."""
+        begins = np.append(True, self.owner[1:] != self.owner[:-1])
+        begins[self.start[self.fill > 0]] = True
+        for i in range(0, int(self.fill[0]), length):
+            live = int(np.searchsorted(-self.fill, -i, side="left"))
+            at = self.start[:live, None] + np.arange(i, i + length)
+            real = np.arange(i, i + length) < self.fill[:live, None]
+            at[~real] = 0
+            yield self.ids[at], self.owner[at], begins[at] & real, real
 
 
 def score(model: Gru, docs: list[np.ndarray], window: int = 64) -> np.ndarray:
     """Natural log probability of each whole document; the state goes from window to window."""
-    if not docs:
-        return np.zeros(0)
-    ids, owner = streams(docs)
-    fresh = starts(owner)
-    h = np.zeros((len(ids), model.hidden), F32)
+    if not sum(map(len, docs)):
+        return np.zeros(len(docs))
+    held = Streams(docs)
+    h = np.zeros((model.hidden, len(held.fill)), F32)
     out = np.zeros(len(docs))
-    for i in range(0, ids.shape[1], window):
-        now, who = ids[:, i : i + window], owner[:, i : i + window]
-        before, h = model.states(h, now, fresh[:, i : i + window])
-        who = who.T.ravel()
-        real = who >= 0
-        p = model.log_prob(before.reshape(-1, model.hidden)[real], now.T.ravel()[real])
-        out += np.bincount(who[real], weights=p, minlength=len(docs))
+    for now, who, fresh, real in held.windows(window):
+        before, h = model.states(h[:, : len(now)], now, fresh)
+        real = real.T.ravel()
+        p = model.log_prob(before[:, real].T, now.T.ravel()[real])
+        out += np.bincount(who.T.ravel()[real], weights=p, minlength=len(docs))
     return out
 
 
-def train(model: Gru, docs: list[np.ndarray], rate: float = 0.03, window: int = 32, slots: int = 64, clip: float = 1.0) -> Gru:
+def train(model: Gru, docs: list[np.ndarray], rate: float = 0.03, window: int = 32, slots: int = 128, clip: float = 1.0) -> Gru:
     """One pass of truncated backpropagation with Adam over all documents; the rate falls linearly.
 
-    Every tenth document is kept back, and of the points on the way from the old weights to the new ones that score best on those
-    is taken, so that few or odd documents can't make the model worse than it was. Those kept back are then learned in the
-    same way, judged on every ninth of the others. A single document has nothing to judge it and is not learned.
+    Long documents are learned in pieces, which start from an empty state each, so that slots are of even length to the end.
+
+    Every fortieth document is kept back, and of the points on the way from the old weights to the new ones that score best on
+    those is taken, so that few or odd documents can't make the model worse than it was. Those kept back are then learned in the
+    same way, judged on as many of the others. A single document has nothing to judge it and is not learned.
     """
-    held, used = docs[::10], [d for i, d in enumerate(docs) if i % 10]
+    held, used = docs[::40], [d for i, d in enumerate(docs) if i % 40]
     if not used:
         return model
     model = _judged(model, used, held, rate, window, slots, clip)
-    return _judged(model, held, used[::9], rate, window, slots, clip)
+    return _judged(model, held, used[::39], rate, window, slots, clip)
+
+
+def pieces(docs: list[np.ndarray], longest: int = 512) -> list[np.ndarray]:
+    """The documents, those beyond `longest` tokens in parts of about even length."""
+    return [p for d in docs for p in (np.array_split(d, -(-len(d) // longest)) if len(d) > longest else (d,))]
 
 
 def _judged(model: Gru, used: list[np.ndarray], held: list[np.ndarray], rate: float, window: int, slots: int, clip: float) -> Gru:
-    ids, owner = streams(used, 8, slots)
-    fresh = starts(owner)
+    used, held = pieces(used), pieces(held)
+    streams = Streams(used, 8, slots)
     old = model.vector()
     model = model.with_vector(old)
-    h = np.zeros((len(ids), model.hidden), F32)
+    h = np.zeros((model.hidden, len(streams.fill)), F32)
     first = {a: np.zeros_like(getattr(model, a)) for a in model.names}
     second = {a: np.zeros_like(getattr(model, a)) for a in model.names}
-    total = -(-ids.shape[1] // window)
-    for k in range(total):
-        at = slice(k * window, (k + 1) * window)
-        g, rows, h = model.gradients(h, ids[:, at], fresh[:, at], owner[:, at] >= 0)
+    total = -(-int(streams.fill[0]) // window)
+    share = float(window * len(streams.fill))
+    for k, (ids, _, fresh, real) in enumerate(streams.windows(window)):
+        g, rows, h = model.gradients(h[:, : len(ids)], ids, fresh, real)
         norm = float(np.sqrt(sum(float((v * v).sum()) for v in g.values())))
         scale = F32(min(1.0, clip / (norm + 1e-12)))
-        step = rate * (1 - k / total)
+        # a window that few long documents still fill counts for less
+        step = rate * (1 - k / total) * float(np.sqrt(real.sum() / share))
         for a, v in g.items():
             where = rows if a == "x" else slice(None)  # only the input rows that were met move
             v *= scale
@@ -239,5 +289,5 @@ def _judged(model: Gru, used: list[np.ndarray], held: list[np.ndarray], rate: fl
             first[a][where], second[a][where] = m1, m2
             getattr(model, a)[where] -= F32(step / (1 - 0.9 ** (k + 1))) * m1 / (np.sqrt(m2 / F32(1 - 0.99 ** (k + 1))) + F32(1e-6))
     new = model.vector()
-    ways = [model.with_vector(old + F32(f) * (new - old)) for f in (0.0, 0.25, 0.5, 0.75, 1.0)]
+    ways = [model.with_vector(old + F32(f) * (new - old)) for f in (0.0, 0.5, 1.0)]
     return max(ways, key=lambda m: float(score(m, held).sum()))

@@ -74,41 +74,69 @@ def chance(id_col: str, salt: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(2**32)
 
 
+#: parts of a weight vector that are summed over shards apart from each other
+CHUNKS = 64
+
+
+def _sum_by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of (chunk, v, n) rows, one at a time, so that a task holds one vector for each chunk whatever the number of shards."""
+    total: dict[int, list] = {}
+    for b in batches:
+        for c, v, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            row = np.frombuffer(v.as_buffer(), np.float32).astype(np.float64) * n
+            held = total.setdefault(c, [np.zeros(len(row)), 0.0])
+            held[0] += row
+            held[1] += n
+    if total:
+        cols = pa.array(list(total)), pa.array([(v / n).astype(np.float32).tobytes() for v, n in total.values()], pa.binary()), pa.array([n for _, n in total.values()])
+        yield pa.RecordBatch.from_arrays(list(cols), ["chunk", "v", "n"])
+
+
+def sequences(docs: DataFrame, vocab: Vocabulary, text_col: str, rounds: int, u: Column) -> DataFrame:
+    """(round, ids): the word ids of every document, written once; u in [0, 1) gives the round."""
+    words = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [words.value.look_up(h)[1].astype(np.int32).tobytes() for h in tokens([v.as_py() for v in b.column(1)])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["round", "ids"])
+
+    made = docs.select(F.least(F.floor(u * rounds), F.lit(rounds - 1)).cast("int").alias("round"), utf8(text_col).alias("_text")).mapInArrow(run, "round int, ids binary")
+    return staged(made.sortWithinPartitions("round"), "sequences")
+
+
 def fit(docs: DataFrame, vocab: Vocabulary, model: gru.Gru, id_col: str, text_col: str, *, fraction: float, docs_per_shard: int) -> gru.Gru:
     """The model after one pass over all documents: each round, shards of documents train copies of it in parallel, and the weights are averaged.
 
     Each round reads another slice, a `fraction` of the documents by a hash of the id, until all are read once; shards hold
-    docs_per_shard documents on average. The average is a sum by place of the weight vector; the driver gets one vector.
+    docs_per_shard documents on average, dealt in turn. Averages are summed chunk by chunk of the weight vector, and the driver
+    gets one vector a round.
     """
-    spark = docs.sparkSession
-    n_docs = docs.count()
-    shards = max(1, math.ceil(n_docs * fraction / docs_per_shard))
-    words = spark.sparkContext.broadcast(vocab)
     rounds = max(1, math.ceil(1 / fraction))
+    every = sequences(docs, vocab, text_col, rounds, chance(id_col, "lm:"))
+    shards = max(1, math.ceil(every.count() / rounds / docs_per_shard))
     for k in range(rounds):
-        at = spark.sparkContext.broadcast(model)
-        u = chance(id_col, "lm:")
-        chosen = docs.filter((u >= k / rounds) & (u < (k + 1) / rounds)).select(utf8(text_col).alias("_text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)).alias("shard"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own: list[np.ndarray] = []
-            for b in batches:
-                own += [words.value.look_up(h)[1] for h in tokens([v.as_py() for v in b.column(0)])]
+        at = docs.sparkSession.sparkContext.broadcast(model)
+        rate = 0.03 * (1 - 0.7 * k / rounds)
+
+        def run(batches: Iterator[pa.RecordBatch], at=at, rate=rate) -> Iterator[pa.RecordBatch]:
+            own = [np.frombuffer(v.as_buffer(), np.int32) for b in batches for v in b.column(0)]
             if own:
-                size = float(sum(map(len, own)))
-                v = gru.train(at.value, own).vector().astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(v * size), pa.array(np.full(len(v), size))], ["i", "v", "n"])
-
-        dealt = chosen.repartition(shards, "shard").select("_text")
-        mean = dealt.mapInArrow(run, "i long, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
-        if len(mean):
-            model = model.with_vector(mean.sort_values("i")["v"].to_numpy())
+                parts = np.array_split(gru.train(at.value, own, rate).vector(), CHUNKS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS)), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(np.full(CHUNKS, float(sum(map(len, own)))))], ["chunk", "v", "n"])
+
+        shape = "chunk long, v binary, n double"
+        mean = every.filter(F.col("round") == k).select("ids").repartition(shards).mapInArrow(run, shape).repartition(min(shards, CHUNKS), "chunk").mapInArrow(_sum_by_chunk, shape)
+        found = sorted((r["chunk"], bytes(r["v"])) for r in mean.collect())  # one vector, in CHUNKS parts
+        if found:
+            model = model.with_vector(np.frombuffer(b"".join(v for _, v in found), np.float32))
+        at.unpersist()
     return model
 
 
 def scores(
     docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, *,
-    listed: int = 1024, frequent: int = 1 << 16, hidden: int = 32, per_class: int = 32, fraction: float = 0.08, docs_per_shard: int = 2000,
+    listed: int = 1024, frequent: int = 1 << 16, hidden: int = 16, per_class: int = 32, fraction: float = 0.125, docs_per_shard: int = 1000,
 ) -> DataFrame:
     """Per row of docs: the columns in keep, n_tokens, n_known, train_tokens, base_score, score (both log10), learned from `train`.
 
@@ -138,8 +166,8 @@ def scores(
         v, m = words.value, best.value
         row = TaskContext.get().partitionId() << 36
         for b in batches:
-            for i in range(0, b.num_rows, 5000):
-                part = b.slice(i, 5000)
+            for i in range(0, b.num_rows, 10000):
+                part = b.slice(i, 10000)
                 docs_ = tokens([x.as_py() for x in part.column(len(keep))])
                 ids, stats, rare, times = [], [], [], []
                 for h in docs_:
