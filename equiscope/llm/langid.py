@@ -57,13 +57,23 @@ def has_letter(text: bytes) -> bool:
 
 @dataclass
 class LangModel:
-    """Per bucket the product of its embedding and the softmax weights; temperature and floor from held-back training rows."""
+    """Per bucket the product of its embedding and the softmax weights, of each language and then of the background, which stands
+    for what is none of them; temperature and both bounds of the rejection from held-back training rows."""
 
     langs: list[str]
-    table: np.ndarray  # buckets x langs
+    table: np.ndarray  # buckets x (langs, background)
     bias: np.ndarray
     temperature: float
-    floor: float
+    floor: float  # the least probability of the best language among the languages
+    foreign: float = 1.0  # the most that the background may have
+
+    def judged(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(best language, its probability, whether it is rejected) from rows of probabilities."""
+        k = len(self.langs)
+        own = p[:, :k]
+        best, score = own.argmax(axis=1), own.max(axis=1)
+        other = p[:, k] if p.shape[1] > k else np.zeros(len(p))
+        return best, score, (other > self.foreign) | (score < self.floor * (1 - other))
 
     def probabilities(self, mean: np.ndarray) -> np.ndarray:
         z = (mean + self.bias) / self.temperature
@@ -95,10 +105,12 @@ class LangModel:
 
 
 def train(x: np.ndarray, y: np.ndarray, langs: list[str], dim: int = 16, epochs: int = 30, rate: float = 0.5, seed: int = 7, spare: float = 0.2, smooth: float = 0.05, refuse: float = 0.001) -> LangModel:
-    """Stochastic gradient descent on embeddings and weights, over x (which is scaled in place); the spare rows set the temperature and the rejection floor.
+    """Stochastic gradient descent on embeddings and weights, over x (which is scaled in place); the spare rows set the temperature and the rejection bounds.
 
-    The floor is the `refuse` quantile of the spare rows' best calibrated probabilities among those predicted right, at
-    most 0.5: rows that look like the learned languages stay, and rows between languages or foreign to all go.
+    The background class learns from rows whose subwords are dealt to other buckets: all of them, as in a foreign script, or all but
+    the most frequent, as in a foreign language or noise in the same letters. The floor is the `refuse` quantile of the spare
+    rows' best calibrated probabilities among those predicted right, at most 0.5, and the background may have what all but
+    `refuse` of them give it, at least 0.5: rows that look like the learned languages stay, and rows between languages or foreign to all go.
     """
     rng = np.random.default_rng(seed)
     n, k = len(y), len(langs)
@@ -107,34 +119,50 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], dim: int = 16, epochs:
     idf = 1.0 / (np.sqrt(x.mean(axis=0)) + 1e-3)
     x *= idf.astype(np.float32)  # in place: the sample is the largest thing the driver holds
     e = rng.normal(0, 0.1, (x.shape[1], dim)).astype(np.float32)
-    w, b = rng.normal(0, 0.1, (dim, k)).astype(np.float32), np.zeros(k, np.float32)
+    w, b = rng.normal(0, 0.1, (dim, k + 1)).astype(np.float32), np.zeros(k + 1, np.float32)
+    scale = idf.astype(np.float32)
+    by_use = np.argsort(-x.mean(axis=0) / scale, kind="stable")
+
+    def background(rows: np.ndarray) -> np.ndarray:
+        """Rows with their subwords dealt anew, but for the few most frequent ones in every second row."""
+        made = rows / scale
+        for i, row in enumerate(made):
+            free = by_use[rng.integers(16, 128) if i % 2 else 0 :]
+            row[free] = row[rng.permutation(free)]
+        return made * scale
+
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         rng.shuffle(used)
         for i in range(0, len(used), 16):
             at = used[i : i + 16]
-            hidden = x[at] @ e
+            rows = np.concatenate([x[at], background(x[at[:6]])])
+            goal = np.append(y[at], np.full(len(rows) - len(at), k))
+            hidden = rows @ e
             p = hidden @ w + b
             p = np.exp(p - p.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            p -= smooth / k
-            p[np.arange(len(at)), y[at]] -= 1 - smooth
-            p /= len(at)
+            p -= smooth / (k + 1)
+            p[np.arange(len(rows)), goal] -= 1 - smooth
+            p /= len(rows)
             back = p @ w.T
             w -= step * (hidden.T @ p)
             b -= step * p.sum(axis=0)
-            e -= step * (x[at].T @ back)
+            e -= step * (rows.T @ back)
     model = LangModel(langs, ((idf[:, None] * e) @ w).astype(np.float64), b.astype(np.float64), 1.0, 0.0)
     if len(held):
         means = x[held].astype(np.float64) @ (e @ w)
         losses = []
-        for t in np.geomspace(1, 16, 25):
+        for t in np.geomspace(0.25, 16, 37):
             model.temperature = float(t)
             losses.append((-np.log(model.probabilities(means)[np.arange(len(held)), y[held]] + 1e-12).mean(), float(t)))
         model.temperature = min(losses)[1]
         p = model.probabilities(means)
-        right = p.max(axis=1)[p.argmax(axis=1) == y[held]]
-        model.floor = float(min(0.5, np.quantile(right, refuse))) if len(right) else 0.0
+        best, score, _ = model.judged(p)
+        right = best == y[held]
+        if right.any():
+            model.floor = float(min(0.5, np.quantile((score / (1 - p[:, k]))[right], refuse)))
+            model.foreign = float(max(0.5, np.quantile(p[right, k], 1 - refuse)))
     return model
 
 
@@ -167,9 +195,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [histogram(v.as_py(), buckets).tobytes() for v in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(x, pa.binary())], ["i", "l", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(x, pa.binary()), b.column(3)], ["i", "l", "x", "h"])
 
-    chosen = rows.filter(u < share).mapInArrow(shares, "i string, l string, x binary").limit(2 * sample).toPandas().sort_values(["i", "l", "x"], kind="stable")
+    # an id that repeats very often could take more than its share: then the least hashes of whole rows stay, and the bound holds
+    chosen = rows.filter(u < share).select("_id", "_lang", "_text", F.xxhash64("_id", "_lang", "_text").alias("_h")).mapInArrow(shares, "i string, l string, x binary, h long")
+    chosen = chosen.orderBy("h", "i", "l").limit(2 * sample).toPandas().sort_values(["i", "l", "x"], kind="stable")
     if not len(chosen):
         return LangModel(["und"], np.zeros((buckets, 1)), np.zeros(1), 1.0, 0.0)
     y = np.array([place[v] for v in chosen["l"]])
@@ -181,7 +211,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row: the columns in keep (the id by default), lang_pred, score (calibrated probability), rejected (score below the floor, or und).
+    """Per row: the columns in keep (the id by default), lang_pred, score (calibrated probability), rejected (foreign to all
+    languages, between them, or und; see train).
 
     A null text, or one without a letter, is `und` with score 0 and rejected. Repeated rows each give a row; an empty table
     none. Whole texts are read, in pieces where long.
@@ -195,12 +226,11 @@ def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col:
         for b in batches:
             texts = [v.as_py() for v in b.column(len(keep))]
             known = [has_letter(t) for t in texts]
-            p = m.predict(texts) if texts else np.zeros((0, len(m.langs)))
-            best, score = p.argmax(axis=1), p.max(axis=1)
+            best, score, refused = m.judged(m.predict(texts) if texts else np.zeros((0, len(m.langs))))
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(len(keep))), pa.array([m.langs[k] if a else "und" for k, a in zip(best, known, strict=True)], pa.string()),
                  pa.array([float(s) if a else 0.0 for s, a in zip(score, known, strict=True)], pa.float64()),
-                 pa.array([not a or m.langs[k] == "und" or bool(s < m.floor) for k, s, a in zip(best, score, known, strict=True)], pa.bool_())],
+                 pa.array([not a or m.langs[k] == "und" or bool(r) for k, r, a in zip(best, refused, known, strict=True)], pa.bool_())],
                 [*keep, "lang_pred", "score", "rejected"],
             )
 

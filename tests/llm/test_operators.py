@@ -207,6 +207,28 @@ def test_language_id_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+FOREIGN = [
+    "Быстрая коричневая лиса прыгает через ленивую собаку и бежит дальше в лес, где никто её не видел.", "الثعلب البني السريع يقفز فوق الكلب الكسول ويجري في الغابة بعيدا",
+    "快速的棕色狐狸跳过懒狗然后跑进森林里没有人看见它的踪影", "Η γρήγορη καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί και τρέχει στο δάσος",
+    "Nopea ruskea kettu hyppää laiskan koiran yli ja juoksee metsään, jossa kukaan ei ole nähnyt sitä koskaan aikaisemmin.",
+    "xkcd brtl mnpq vwzx ghjk lrtp sdfg qwrt bnmv zxcv plkj hgfd trwq mnbv cxzl kjhg fdsp rtwq vbnm lkjh",
+]
+
+
+def test_foreign_texts_and_noise_are_rejected_and_clean_ones_kept(spark):
+    docs = read(spark, "/root/testdata/sf0.01")
+    model = langid.fit(docs.filter(~langid.held_out()))
+    got = langid.predict(table(spark, list(enumerate(FOREIGN))), model).collect()
+    assert len(got) == len(FOREIGN) and all(r["rejected"] for r in got)
+    held = langid.predict(docs.filter(langid.held_out()), model).collect()
+    assert sum(r["rejected"] for r in held) <= 0.01 * len(held)
+
+
+def test_sample_of_one_repeated_id_is_bounded(spark):
+    rows = spark.createDataFrame([(1, f"der die das und {i}", "de") for i in range(60)], "doc_id long, text string, lang string")
+    assert langid.fit(rows, sample=5).langs in (["de"], ["und"])
+
+
 def test_language_id_of_odd_rows(spark, sf):
     model = langid.fit(read(spark, sf))
     rows = {r["doc_id"]: r for r in langid.predict(table(spark, ODD + [(20, "12 34 --"), (21, "٣٤")]), model).collect()}
