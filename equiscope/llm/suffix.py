@@ -72,6 +72,7 @@ def runs_by_text(texts: list[bytes], length: int, limit: int = 1 << 18) -> Itera
 
 #: a piece or part in one number: first window (36 bits), windows (7), minimizer's distance from it (7), text tag (13)
 PACK_A, PACK_W, PACK_M = 27, 20, 13
+MOST_LENGTH = 127 + GRAM - 1
 PLACE = ("h", "ph", "doc", "at", "late")
 
 
@@ -297,10 +298,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A byte goes when a string of `length` bytes that covers it also starts earlier (smaller id, or earlier in the same text);
     strings overlap, lie within one text and are judged on the input. A null text is empty; a null id counts as the smallest;
     repeated rows (equal id and text) are one document, and each gives the same row; an empty table gives none; other columns
-    are not read. length is at least 64.
+    are not read. length is 64 to 158, as a piece's number of windows is kept in 7 bits.
     """
-    if length < 2 * GRAM:
-        raise ValueError(f"length {length}: at least {2 * GRAM} is needed")
+    if not 2 * GRAM <= length <= MOST_LENGTH:
+        raise ValueError(f"length {length}: from {2 * GRAM} to {MOST_LENGTH}")
     cuts = by_document(repeated_strings(numbered(docs, id_col, text_col), length, crowd, block_bytes))
 
     def make(text: bytes, cut: list[tuple[int, int]]) -> tuple:

@@ -513,6 +513,31 @@ def test_names_alone_do_not_drop_an_article():
     assert htmltext.article(f"<article>{story}</article><div class=comments><article>{story}</article></div>", set()) == text
 
 
+def test_deep_and_open_markup_costs_its_size():
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    assert htmltext.article("<div class=share>" * 50_000 + "deep" + "</div>" * 50_000, set()) == "deep"
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    began = time.time()
+    htmltext.article('<a b="' * 40_000 + "'x", set())
+    htmltext.article("<a '" * 40_001, set())
+    assert time.time() - began < 5
+
+
+def test_heading_of_an_article_is_its_own():
+    assert htmltext.article("<header>Site</header><article><header><h1>Head</h1></header><p>Text of it.</p><footer>by me</footer></article>", set()) == "Head Text of it."
+
+
+def test_banner_without_a_telling_name_goes_by_its_class(spark):
+    page = "<body><div class=x1><p>We use cookies, dear reader.</p></div><div class=x2><p>Story {i} begins here.</p><p>And ends {i}.</p></div><div class=x3>Call us at 5550 today</div></body>"
+    rows = [(i, f"http://b.example/{i}", page.replace("{i}", f"n{i}")) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story n{i} begins here. And ends n{i}." for i in range(8)}
+
+
 def test_broken_markup():
     assert htmltext.article("a < b <p title=\"x>y\">c</p <i>d</i> <!-- e", set()) is not None
     for s in ("<", "</", "<a href='", "<script>", "<p" * 50, "<!doctype", "&#x110000; &bogus;", "</p></p>"):
