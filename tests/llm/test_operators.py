@@ -454,6 +454,15 @@ def test_automaton_with_short_and_overlapping_items(spark):
         assert got == brute.contaminated(texts, items, 5)
 
 
+def test_many_automata_find_what_one_finds(spark, sf):
+    docs, bench = read(spark, sf), read(spark, sf, "benchmark")
+    odd = spark.createDataFrame([(None, "one"), (None, "lead"), (7, None), (8, "ünï códe")], "item_id long, text string")
+    docs, bench = docs.unionByName(table(spark, ODD), allowMissingColumns=True), bench.unionByName(odd)
+    rows = lambda most: Counter(tuple(r) for r in decontaminate.contamination(docs, bench, most_words=most, keep_text=True).collect())
+    assert decontaminate.shard_count(bench, "text", 300) > 3
+    assert rows(10**6) == rows(300)
+
+
 def test_items_without_an_id_hit(spark):
     bench = spark.createDataFrame([(None, "alpha beta gamma"), (7, "delta")], "item_id long, text string")
     rows = table(spark, [(1, "say alpha beta gamma delta"), (2, "alpha beta")])
@@ -566,6 +575,21 @@ def test_pipeline_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).agg(F.count("doc_id")).first()[0] == docs.count()
 
 
+def test_stages_leave_one_of_repeated_rows_and_take_empty_tables(spark, sf):
+    import corpus_pipeline as pipe
+
+    words = "aa bb cc dd ee ff gg hh ii jj kk ll mm nn oo pp qq rr ss tt uu vv ww xx yy zz"
+    rows = [(1, words, "en", "s", 1), (1, words, "en", "s", 1), (2, words, "en", "s", 1), (2, words[:40], "en", "s", 1), (None, None, "en", "s", 1), (3, "", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    kept = sorted(((r["doc_id"], r["text"]) for r in pipe.exact_copies(spark, docs, sf).collect()), key=str)
+    assert kept == sorted([(2, words), (2, words[:40]), (3, "")], key=str)
+    assert pipe.near_copies(spark, docs.dropDuplicates(), sf).filter("doc_id = 1").count() == 1
+    for _, stage in pipe.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    for _, stage in pipe.STAGES[1:]:
+        assert stage(spark, docs, sf).count() > 0
+
+
 def test_pipeline_keeps_clean_rows_without_an_id(spark, sf):
     import corpus_pipeline
 
