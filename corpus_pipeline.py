@@ -11,38 +11,54 @@ from equiscope.llm import decontaminate, exact, langid, minhash, mixing
 from equiscope.llm.common import staged
 
 
-def judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], null_last: bool) -> DataFrame:
-    """The rows whose ids `judge` gives. A row without an id goes under a hash of its columns, beyond all other ids on one side."""
+def with_key(docs: DataFrame, null_last: bool) -> DataFrame:
+    """docs with `_id`: the id, or for a row without one a hash of its columns, beyond all other ids on one side."""
     h = F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 61)) + F.lit(1 << 62)
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), h if null_last else -h))
+    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), h if null_last else -h))
+
+
+def judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], null_last: bool) -> DataFrame:
+    """The rows whose ids `judge` gives; rows of one id with different texts stay or go together, and stay if one of them does."""
+    keyed = with_key(docs, null_last)
     kept = judge(keyed.withColumn("doc_id", F.col("_id")).select(docs.columns)).select(F.col("doc_id").alias("_id")).distinct()
     return keyed.join(kept, "_id", "left_semi").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the language model, learned from the labelled rows that are not held out, rejects."""
+    """Drop the documents that the language model, learned from the labelled rows that are not held out, rejects.
+
+    A null text, or one without a letter, is rejected; rows without an id are judged as any other; repeated rows all stay.
+    """
     model = langid.fit(docs.filter(~langid.held_out()))
     return langid.predict(docs, model, keep=docs.columns).filter(~F.col("rejected")).select(docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of equal texts the row with the largest doc_id; one without an id only if no other has its text."""
-    return judged(docs, lambda d: exact.exact_dedup(d).filter("kept"), null_last=False)
+    """Keep of equal texts the row with the largest doc_id, once if it repeats; one without an id only if no other has its text.
+
+    Null counts as the empty text. A row is told by its id and text, so rows of one id with other texts are judged apart.
+    """
+    keyed = with_key(docs, null_last=False).withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256))
+    kept = exact.exact_dedup(keyed.withColumn("doc_id", F.col("_id")).select(docs.columns)).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text")).distinct()
+    return keyed.join(kept, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near-duplicates; a row without an id only if no other is in its group."""
+    """Keep the smallest doc_id of each group of near-duplicates; a row without an id only if no other is in its group.
+
+    A text without words is near to nothing and stays.
+    """
     return judged(docs, lambda d: minhash.near_duplicates(d).filter("kept"), null_last=True)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop contaminated documents; the others stay as they are."""
+    """Drop contaminated documents; the others, those without words too, stay as they are."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return judged(docs, lambda d: decontaminate.contamination(d, bench).filter("not contaminated"), null_last=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document how many of its words the mix takes."""
+    """Per document how many of its words the mix takes; a null text has none, a null source is a source."""
     return mixing.mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
