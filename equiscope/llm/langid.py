@@ -194,7 +194,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [histogram(v.as_py(), buckets).tobytes() for v in b.column(2)]
+            x = [(histogram(v.as_py(), buckets) * 1024).astype(np.float16).tobytes() for v in b.column(2)]  # half of the driver's memory
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(x, pa.binary()), b.column(3)], ["i", "l", "x", "h"])
 
     # an id that repeats very often could take more than its share: then the least hashes of whole rows stay, and the bound holds
@@ -205,7 +205,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     y = np.array([place[v] for v in chosen["l"]])
     x = np.empty((len(chosen), buckets), np.float32)
     for i, row in enumerate(chosen.pop("x")):
-        x[i] = np.frombuffer(row, np.float32)
+        x[i] = np.frombuffer(row, np.float16)
+    x /= 1024
     del chosen
     return train(x, y, langs, **how)
 
