@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from equiscope.llm.common import mix
 from equiscope.llm.spans import batch_firsts, by_document, numbered, sha256, union_spans, with_cuts
 from equiscope.llm.spans import outside as without_spans
 
@@ -118,6 +119,9 @@ def span_rows(docs: DataFrame, least: int, words: int) -> DataFrame:
             k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             doc_a, at_a = np.array(doc, np.int64), np.array(at, np.int64)
             first = batch_firsts(k[:, 0] ^ (k[:, 1] << 1), doc_a, at_a)
+            # those that are known not to be first get a key of their own, so that a passage in many documents makes no large group
+            own = mix(doc_a.view(np.uint64) ^ (at_a.view(np.uint64) << np.uint64(40)))
+            k = np.where(first[:, None], k, np.stack([own, mix(own + np.uint64(1))], 1).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(doc_a), pa.array(th, pa.int32()), pa.array(at_a.astype(np.int32)), pa.array(to, pa.int32()), pa.array(first)], ["k1", "k2", "doc", "th", "s", "e", "first"])
 
     return docs.mapInArrow(run, "k1 long, k2 long, doc long, th int, s int, e int, first boolean")
@@ -125,11 +129,8 @@ def span_rows(docs: DataFrame, least: int, words: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, least: int, words: int) -> DataFrame:
     """(doc, th, s, e) of every run that also starts earlier (smaller doc, or earlier in the same one)."""
-    rows = span_rows(docs, least, words)
-    # a batch gives one row per run to the shuffle, so that a passage in many documents makes no large group; the others are known not to be first
     rank = F.rank().over(Window.partitionBy("k1", "k2").orderBy("doc", "s"))
-    late = rows.filter("not first").select("doc", "th", "s", "e")
-    return late.unionByName(rows.filter("first").withColumn("r", rank).filter("r > 1").select("doc", "th", "s", "e"))
+    return span_rows(docs, least, words).withColumn("r", rank).filter("r > 1 or not first").select("doc", "th", "s", "e")
 
 
 def sentence_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: int = 2, words: int = 20) -> DataFrame:
