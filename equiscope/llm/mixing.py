@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from equiscope.llm.common import staged
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -44,6 +46,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), key.alias("key"))
+    rows = staged(rows, "sizes")  # three passes follow, none over texts
     # the key's first 32 bits choose the range
     u = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
