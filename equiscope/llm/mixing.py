@@ -34,7 +34,7 @@ def targets(sizes: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (
     return s.withColumn("level", level).withColumn("level", F.max("level").over(all_)).select("source", "source_size", F.least(F.col("cap"), F.col("level") * F.col("w")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: float = 2.0, seed: str = "mix", rows_per_range: int = 16_384) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: float = 2.0, seed: str = "mix", rows_per_range: int = 4_096) -> DataFrame:
     """Per row: id, size (words), source, source_size, target, taken (words the mix takes, repeats counted), epochs (whole times).
 
     Each document gets a hash-random key. Within its source the keys are cut into equal ranges (a range per rows_per_range
