@@ -39,6 +39,14 @@ r AS (SELECT a AS x, a AS y FROM u UNION SELECT r.x, u.b FROM r JOIN u ON u.a=r.
 c AS (SELECT x, min(y) AS m FROM r GROUP BY x)
 SELECT d.doc_id, coalesce(n.n,0) AS n_shingles, coalesce(c.m,d.doc_id) AS component_id, coalesce(c.m,d.doc_id)=d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x=d.doc_id"""
 
+OP13 = r"""WITH d AS (SELECT doc_id, coalesce(text,'') AS t, regexp_extract_all(coalesce(text,''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR),'null')) AS h FROM documents),
+g AS (SELECT *, len(u) AS n, [CAST('0x' || substr(h, 8*k+1, 8) AS BIGINT) FOR k IN range(4)] AS g FROM d),
+c AS (SELECT *, least(g[1]%(n+1), g[2]%(n+1)) AS a, greatest(g[1]%(n+1), g[2]%(n+1)) AS b,
+ CASE WHEN t='' OR contains(t,'<P>') OR contains(t,'<S>') OR contains(t,'<M>') OR g[3]%100>=100 THEN 'plain' WHEN g[4]%100<50 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, array_to_string(u[1:a],'') AS pre, array_to_string(u[a+1:b],'') AS mid, array_to_string(u[b+1:n],'') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form<>'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form<>'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>'||pre||'<S>'||suf||'<M>'||mid ELSE '<S>'||suf||'<P>'||pre||'<M>'||mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op6_minhash_near_dedup": OP6, "op8_mixing": OP8, "op9_decontamination": OP9}
+    return {"op3_exact_dedup": OP3, "op6_minhash_near_dedup": OP6, "op8_mixing": OP8, "op9_decontamination": OP9, "op13_fill_in_middle": OP13}

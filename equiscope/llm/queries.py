@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equiscope.llm import decontaminate, exact, htmltext, langid, lm, minhash, mixing, sentences, suffix, tokens
+from equiscope.llm import decontaminate, exact, htmltext, infill, langid, lm, minhash, mixing, sentences, suffix, tokens, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,11 +60,28 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    learned = docs.filter(~F.col("held_out"))
+    return toxicity.predict(docs, toxicity.fit(learned, table(spark, sf_dir, "labels")), keep=["doc_id", "held_out"])
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    again = infill.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
     ops = (
         op1_token_counts, op2_suffix_dedup, op3_exact_dedup, op4_sentence_dedup, op5_language_id,
         op6_minhash_near_dedup, op7_lm_scoring, op8_mixing, op9_decontamination, op10_html_extraction,
+        op11_embedding_whitening, op12_toxicity, op13_fill_in_middle,
     )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
