@@ -1,43 +1,76 @@
-"""Backtests of many strategies at once: set-based without feedback, a pruned fold per strategy with it."""
+"""Backtests of many strategies over many windows at once: set-based without feedback, a fold inside the plan with it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equiscope.operators.metrics import bundle
 from equiscope.operators.portfolio import by_score, portfolio_returns, turnover
-from equiscope.plans.screen import STRATEGY, Spec, picks_by_strategy, scored_by_strategy
+from equiscope.plans.screen import STRATEGY, Spec, picks_by_strategy, scored_by_strategy, strategy_table
 from equiscope.sources.stage import staged
 
-RETURNS = "strategy_id string, t int, as_of date, ret double, n int, swaps int, cost double, stopped int"
+#: a window of its own for a backtest: (name, start, end); every one opens empty and forgets what another held
+Span = tuple[str, date, date]
+Specs = list[Spec] | DataFrame
+PERIOD = "struct<t:int,as_of:date,ret:double,n:int,swaps:int,cost:double,stopped:int>"
 
 
 def calendar_frame(like: DataFrame, dates: list[date]) -> DataFrame:
     return like.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(dates, dates[1:], strict=False))], "t int, as_of date, next_as_of date")
 
 
-def without_feedback(frame: DataFrame, returns: DataFrame, dates: list[date], specs: list[Spec]) -> DataFrame:
-    """(strategy_id, t, as_of, ret, n, swaps, cost) of strategies whose picks don't depend on what was held.
+def run_calendar(like: DataFrame, dates: list[date], spans: list[Span]) -> DataFrame:
+    """(run, t, as_of, next_as_of): the periods of each span on the grid of dates, t from 0; a span's last date only ends its last period.
+
+    A span that does not start and end on the grid raises: its own calendar would have other periods.
+    """
+    at = {d: i for i, d in enumerate(dates)}
+    rows = []
+    for name, start, end in spans:
+        if start not in at or end not in at:
+            raise ValueError(f"run {name}: {start} to {end} is not on the calendar")
+        own = dates[at[start] : at[end] + 1]
+        rows += [(name, i, a, b) for i, (a, b) in enumerate(zip(own, own[1:], strict=False))]
+    return like.sparkSession.createDataFrame(rows, "run string, t int, as_of date, next_as_of date")
+
+
+def whole(dates: list[date]) -> list[Span]:
+    return [("", dates[0], dates[-1])]
+
+
+def _table(like: DataFrame, specs: Specs) -> DataFrame:
+    return specs if isinstance(specs, DataFrame) else strategy_table(like.sparkSession, specs)
+
+
+def without_feedback(frame: DataFrame, returns: DataFrame, dates: list[date], specs: Specs, spans: list[Span] | None = None) -> DataFrame:
+    """(strategy_id, run, t, as_of, ret, n, swaps, cost) of strategies whose picks don't depend on what was held; run only with spans.
 
     A period without picks returns 0; one whose picks have no price at all returns minus its cost. The picks, a few rows a date
-    and strategy, are written once and read by the returns and by the turnover.
+    and strategy, are written once and read by the returns and by the turnover; a span pays for its first purchase again.
     """
-    cal = calendar_frame(frame, dates)
-    picks = staged(picks_by_strategy(frame.filter(F.col("as_of") < F.lit(dates[-1])), specs), "picks")
+    table, cal = _table(frame, specs), run_calendar(frame, dates, spans or whole(dates))
+    picks = staged(picks_by_strategy(frame.filter(F.col("as_of") < F.lit(dates[-1])), table), "picks")
     keys = ("strategy_id", "bps", "by_vol")
-    gross = portfolio_returns(picks, returns, keys)
-    moved = turnover(picks, cal, 10000.0, keys)
+    gross = portfolio_returns(picks, returns, keys).select(*keys, "as_of", "n", "gross")
+    held = picks.join(cal.select("run", "as_of"), "as_of")
+    moved = turnover(held, calendar_frame(frame, dates), 10000.0, (*keys, "run"))  # what a run holds at its end meets nothing of it
     cost = (F.col("traded") + F.when(F.col("by_vol"), F.col("drift")).otherwise(0.0)) * F.col("bps") / 10000
-    net = gross.join(moved.drop("n", "n_before", "cost"), [*keys, "as_of"]).withColumn("cost", cost)
-    grid = cal.withColumn("strategy_id", F.explode(F.array(*(F.lit(s.name) for s in specs))))
-    out = grid.join(net, ["strategy_id", "as_of"], "left")
+    net = moved.drop("n", "n_before", "cost").join(gross, [*keys, "as_of"]).withColumn("cost", cost)
+    out = grid(table, cal).join(net.drop("bps", "by_vol"), ["strategy_id", "run", "as_of"], "left")
     zero = F.lit(0)
-    return out.select("strategy_id", "t", "as_of", F.coalesce(F.col("gross") - F.col("cost"), F.lit(0.0)).alias("ret"), F.coalesce("n", zero).alias("n"), F.coalesce("swaps", zero).alias("swaps"), F.coalesce("cost", F.lit(0.0)).alias("cost"))
+    run = ["run"] if spans else []
+    return out.select("strategy_id", *run, "t", "as_of", F.coalesce(F.col("gross") - F.col("cost"), F.lit(0.0)).alias("ret"), F.coalesce("n", zero).alias("n"), F.coalesce("swaps", zero).alias("swaps"), F.coalesce("cost", F.lit(0.0)).alias("cost"))
+
+
+def grid(table: DataFrame, cal: DataFrame) -> DataFrame:
+    """Each strategy with every period of every span: both are parameters, a row each."""
+    periods = cal.agg(F.collect_list(F.struct("run", "t", "as_of")).alias("p"))
+    return table.select("strategy_id").join(periods, F.lit(True)).select("strategy_id", F.inline("p"))
 
 
 def within_bonus(scores: DataFrame) -> DataFrame:
@@ -60,87 +93,117 @@ def pruned(scores: DataFrame, spec: Spec) -> DataFrame:
     return within_bonus(scores.withColumns({k: F.lit(v) for k, v in own.items()})).drop(*own)
 
 
-def _weights(vols: pd.Series, how: str) -> pd.Series:
-    if how == "equal" or not len(vols):
-        return pd.Series(1.0 / max(1, len(vols)), index=vols.index)
-    inverse = (1 / vols.where(vols > 0)).astype(float)
-    filled = inverse.fillna(inverse.median())
-    return filled / filled.sum() if filled.notna().all() else pd.Series(1.0 / len(vols), index=vols.index)
-
-
-def fold(rows: pd.DataFrame, spec: Spec, dates: list[date]) -> pd.DataFrame:
-    """One strategy through its dates in order, with what it holds, its last weights and whether it sits in cash."""
-    by_date = dict(tuple(rows.groupby("as_of")))
-    held: set[str] = set()
-    weights = pd.Series(dtype=float)
-    cash, out = False, []
-    for t, d in enumerate(dates[:-1]):
-        if spec.portfolio_stop_loss > 0 and out:
-            cash = out[-1][3] < -spec.portfolio_stop_loss
-        if cash or d not in by_date:
-            out.append((spec.name, t, d, 0.0, 0, 0, 0.0, 0))
-            held = set()
-            continue
-        p = by_date[d]
-        p = p.assign(s=p["composite_score"] + p["ticker"].isin(held) * (spec.hold_bonus if spec.hold_bonus > 0 else 0.0)).sort_values(["s", "ticker"], ascending=[False, True])
-        if spec.max_per_sector:
-            p = p[p.groupby(p["sector"].fillna("__unknown__")).cumcount() < spec.max_per_sector]
-        p = p.head(spec.top_n).set_index("ticker")
-        picks = set(p.index)
-        now = _weights(p["realized_vol_20d"], spec.weighting)
-        rate = spec.cost_bps / 10000
-        change = len(held ^ picks)
-        traded, swaps = (change / len(picks), change // 2) if held else (1.0, 0)
-        cost = traded * rate
-        if spec.weighting != "equal" and len(weights):
-            both = sorted(held & picks)
-            delta = (now[both] - weights.reindex(both).fillna(0.0)).abs()
-            cost += float(delta[delta > 0.05 * now[both]].sum()) * rate
-        if p["ret"].isna().all():
-            out.append((spec.name, t, d, -cost, len(picks), swaps, cost, 0))
-            held, weights = picks, now if spec.weighting != "equal" else pd.Series(dtype=float)
-            continue
-        ret, stopped = p["ret"].fillna(0.0), set()
-        if spec.position_stop_loss > 0:
-            hit = p["min_low"] < p["start_price"] * (1 - spec.position_stop_loss)
-            ret = ret.mask(hit, -spec.position_stop_loss)
-            stopped = set(p.index[hit])
-            cost += len(stopped) / len(picks) * rate
-        out.append((spec.name, t, d, float((now * ret).sum()) - cost, len(picks), swaps + len(stopped), cost, len(stopped)))
-        held, weights = picks - stopped, now if spec.weighting != "equal" else pd.Series(dtype=float)
-    return pd.DataFrame(out, columns=[c.split()[0] for c in RETURNS.split(", ")])
-
-
-def with_feedback(frame: DataFrame, returns: DataFrame, dates: list[date], specs: list[Spec]) -> DataFrame:
-    """(strategy_id, t, as_of, ret, n, swaps, cost, stopped) of strategies with hold bonus or stops.
-
-    Spark scores every date at once and prunes what can't be picked; what is left, a few rows more than the picks of each date, is
-    folded per strategy, all strategies in parallel. A fold's task holds dates x (top_n + names within the bonus of the last pick)
-    rows of one strategy: with n names in all and a bonus beyond their spread, dates x n, a few hundred thousand for a market of
-    thousands of names.
-    """
-    cols = ["strategy_id", "as_of", "ticker", "composite_score", "sector", "realized_vol_20d", "ret", "min_low", "start_price"]
-    rows = within_bonus(scored_by_strategy(frame, specs)).join(returns.select("as_of", "ticker", "ret", "min_low", "start_price"), ["as_of", "ticker"], "left").select(cols)
-    # a strategy without any row still has its periods
-    names = frame.sparkSession.createDataFrame([(s.name,) for s in specs], "strategy_id string")
-    rows = rows.join(names, "strategy_id", "right")
-    by_name = {s.name: s for s in specs}
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: a lambda over an array of one element binds it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+
+def _selected(candidates: Column, held: Column) -> Column:
+    """The picks of one date, best first: scores with the bonus of what is held, a cap on sectors, the first top_n."""
+    bonus = lambda c: F.when(F.array_contains(held, c["ticker"]), F.col("hold_bonus")).otherwise(0.0)
+    ranked = F.array_sort(F.transform(candidates, lambda c: F.struct((-(c["score"] + bonus(c))).alias("k"), *(c[n].alias(n) for n in ("ticker", "sector", "vol", "ret", "low", "start")))))
+
+    def capped(best: Column) -> Column:
+        room = lambda got, x: (F.size(got) < F.col("top_n")) & (F.size(F.filter(got, lambda y: y["sector"] == x["sector"])) < F.col("max_per_sector"))
+        return F.aggregate(best, F.slice(best, 1, 0), lambda got, x: F.when(room(got, x), F.array_append(got, x)).otherwise(got))
+
+    return let(ranked, lambda best: F.when(F.col("max_per_sector") == 0, F.slice(best, F.lit(1), F.col("top_n"))).otherwise(capped(best)))
+
 
-    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        return fold(p[p["as_of"].notna()], by_name[key[0]], dates)
+def _weighted(picks: Column) -> Column:
+    """Weights in the order of the picks: equal, or 1 / vol with the median of the usable ones for those without."""
+    n = F.size(picks)
+    equal = F.transform(picks, lambda p: 1.0 / n)
 
-    return rows.groupBy("strategy_id").applyInPandas(run, RETURNS)
+    def inverse(inv: Column) -> Column:
+        def filled(good: Column) -> Column:
+            m = F.size(good)
+            median = (F.get(good, F.floor((m - 1) / 2).cast("int")) + F.get(good, F.floor(m / 2).cast("int"))) / 2
+            some = lambda f: F.transform(f, lambda x: x / _total(f))
+            return F.when(m > 0, let(F.transform(inv, lambda x: F.coalesce(x, median)), some)).otherwise(equal)
+
+        return let(F.array_sort(F.filter(inv, lambda x: x.isNotNull())), filled)
+
+    return F.when(F.col("by_vol"), let(F.transform(picks, lambda p: F.when(p["vol"] > 0, 1 / p["vol"])), inverse)).otherwise(equal)
+
+
+def _period(state: Column, day: Column) -> Column:
+    """The state after one period: what is held, its weights, the last return, whether any period was, and the periods so far."""
+    held, before = state["held"], state["weights"]
+    cash = (F.col("portfolio_stop") > 0) & state["started"] & (state["last"] < -F.col("portfolio_stop"))
+    rate = F.col("bps") / 10000
+
+    def after(ret: Column, n: Column, swaps: Column, cost: Column, stopped: Column, left: Column, weights: Column) -> Column:
+        row = F.struct(day["t"].alias("t"), day["as_of"].alias("as_of"), ret.alias("ret"), n.cast("int").alias("n"), swaps.cast("int").alias("swaps"), cost.alias("cost"), stopped.cast("int").alias("stopped"))
+        return F.struct(left.alias("held"), weights.alias("weights"), ret.alias("last"), F.lit(True).alias("started"), F.array_append(state["out"], row).alias("out"))
+
+    def traded(rows: Column) -> Column:
+        n, names = F.size(rows), F.transform(rows, lambda r: r["ticker"])
+        change = F.size(held) + n - 2 * F.size(F.array_intersect(held, names))
+        moved = lambda r: F.abs(r["w"] - F.coalesce(F.element_at(before, r["ticker"]), F.lit(0.0)))
+        stays = lambda r: F.array_contains(held, r["ticker"]) & (moved(r) > 0.05 * r["w"])
+        drift = F.when(F.col("by_vol") & (F.size(before) > 0), _total(F.transform(rows, lambda r: F.when(stays(r), moved(r)).otherwise(0.0)))).otherwise(0.0)
+        swaps = F.when(F.size(held) > 0, F.floor(change / 2)).otherwise(F.lit(0))
+        share = F.when(F.size(held) > 0, change / n).otherwise(1.0)
+        weights = F.when(F.col("by_vol"), F.map_from_arrays(names, F.transform(rows, lambda r: r["w"]))).otherwise(_no_weights())
+
+        def priced(cost: Column) -> Column:
+            stopped = F.size(F.filter(rows, lambda r: r["hit"]))
+            net = _total(F.transform(rows, lambda r: r["w"] * F.when(r["hit"], -F.col("position_stop")).otherwise(F.coalesce(r["ret"], F.lit(0.0)))))
+            left = F.transform(F.filter(rows, lambda r: ~r["hit"]), lambda r: r["ticker"])
+            full = let(cost + stopped / n * rate, lambda c: after(net - c, n, swaps + stopped, c, stopped, left, weights))
+            return F.when(F.exists(rows, lambda r: r["ret"].isNotNull()), full).otherwise(after(-cost, n, swaps, cost, F.lit(0), names, weights))
+
+        return let(share * rate + drift * rate, priced)
+
+    def bought(picks: Column) -> Column:
+        hit = lambda p: F.coalesce((F.col("position_stop") > 0) & (p["low"] < p["start"] * (1 - F.col("position_stop"))), F.lit(False))
+        return let(F.zip_with(picks, _weighted(picks), lambda p, w: F.struct(p["ticker"].alias("ticker"), w.alias("w"), p["ret"].alias("ret"), hit(p).alias("hit"))), traded)
+
+    zero = F.lit(0)
+    idle = after(F.lit(0.0), zero, zero, F.lit(0.0), zero, F.slice(held, 1, 0), before)
+    return F.when(cash | (F.coalesce(F.size(day["names"]), zero) <= 0), idle).otherwise(let(_selected(day["names"], held), bought))
+
+
+def _no_weights() -> Column:
+    return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+
+
+def with_feedback(frame: DataFrame, returns: DataFrame, dates: list[date], specs: Specs, spans: list[Span] | None = None) -> DataFrame:
+    """(strategy_id, run, t, as_of, ret, n, swaps, cost, stopped) of strategies with hold bonus or stops; run only with spans.
+
+    Every date is scored at once and pruned of what can't be picked; what is left of each date, a few names more than the picks,
+    becomes one array, and a run is a fold over its array of dates: an expression, so rows never leave the JVM. A run's row holds dates x
+    (top_n + names within the bonus of the last pick) names: with n names in all and a bonus beyond their spread, dates x n,
+    a few hundred thousand for a market of thousands of names.
+    """
+    table, cal = _table(frame, specs), run_calendar(frame, dates, spans or whole(dates))
+    met = frame.join(returns.select("as_of", "ticker", "ret", "min_low", "start_price"), ["as_of", "ticker"], "left")
+    rows = within_bonus(scored_by_strategy(met, table, ("ret", "min_low", "start_price")))
+    name = F.struct("ticker", F.col("composite_score").alias("score"), F.coalesce("sector", F.lit("__unknown__")).alias("sector"), F.col("realized_vol_20d").alias("vol"), "ret", F.col("min_low").alias("low"), F.col("start_price").alias("start"))
+    days = rows.groupBy(*STRATEGY).agg(F.collect_list(name).alias("names"))
+    # a strategy without any row still has its periods
+    path = grid(table, cal).join(days, list(STRATEGY), "left").groupBy("strategy_id", "run").agg(F.array_sort(F.collect_list(F.struct("t", "as_of", "names"))).alias("days"))
+    start = F.struct(F.array().cast("array<string>").alias("held"), _no_weights().alias("weights"), F.lit(0.0).alias("last"), F.lit(False).alias("started"), F.array().cast(f"array<{PERIOD}>").alias("out"))
+    folded = path.join(table, "strategy_id").select("strategy_id", "run", F.inline(F.aggregate("days", start, _period, lambda s: s["out"])))
+    return folded if spans else folded.drop("run")
 
 
-def backtest(frame: DataFrame, returns: DataFrame, dates: list[date], specs: list[Spec]) -> DataFrame:
-    """Period returns of all strategies; only those that need it go through the fold."""
-    needs = lambda s: s.hold_bonus > 0 or s.position_stop_loss > 0 or s.portfolio_stop_loss > 0
-    plain, path = [s for s in specs if not needs(s)], [s for s in specs if needs(s)]
-    parts: Iterator[DataFrame] = iter([*([without_feedback(frame, returns, dates, plain)] if plain else []), *([with_feedback(frame, returns, dates, path).drop("stopped")] if path else [])])
-    out = next(parts)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+def backtest(frame: DataFrame, returns: DataFrame, dates: list[date], specs: Specs, spans: list[Span] | None = None) -> DataFrame:
+    """Period returns of all strategies over all spans; only those that need it go through the fold."""
+    table = _table(frame, specs)
+    needs = (F.col("hold_bonus") > 0) | (F.col("position_stop") > 0) | (F.col("portfolio_stop") > 0)
+    some = table.agg(F.count_if(~needs).alias("plain"), F.count_if(needs).alias("path")).first()
+    parts = []
+    if some["plain"]:
+        parts.append(without_feedback(frame, returns, dates, table.filter(~needs), spans))
+    if some["path"]:
+        parts.append(with_feedback(frame, returns, dates, table.filter(needs), spans).drop("stopped"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def years_between(start: date, end: date) -> float:
@@ -159,4 +222,4 @@ def equal_weight_market(returns: DataFrame, dates: list[date]) -> DataFrame:
     return returns.groupBy("as_of").agg(F.avg("within_ret").alias("mkt")).join(F.broadcast(cal), "as_of").select("t", "mkt")
 
 
-__all__ = ["backtest", "calendar_frame", "equal_weight_market", "fold", "pruned", "summary", "with_feedback", "within_bonus", "without_feedback", "years_between"]
+__all__ = ["Span", "backtest", "calendar_frame", "equal_weight_market", "pruned", "run_calendar", "summary", "with_feedback", "within_bonus", "without_feedback", "years_between"]

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, fields, replace
 from datetime import date
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from equiscope.functions.normalize import composite, zscores
 from equiscope.operators.asof import facts_as_of, pivoted, universe_as_of
 from equiscope.operators.portfolio import by_score, equal_weight, inverse_vol_weight, top_n
 from equiscope.operators.rolling import FEATURES, features_as_of
-from equiscope.operators.signals import SIGNALS, SpecError, apply_filters, normalized_weights, with_signals
+from equiscope.operators.signals import FILTERS, SIGNALS, SpecError, apply_filters, normalized_weights, with_signals
 from equiscope.sources.schemas import FIELDS
 
 
@@ -75,35 +78,63 @@ def scored(frame: DataFrame, spec: Spec) -> DataFrame:
 STRATEGY = ("strategy_id", "as_of")
 
 
-def scored_by_strategy(frame: DataFrame, specs: list[Spec]) -> DataFrame:
-    """(strategy_id, as_of, ticker, sector, realized_vol_20d, composite_score, top_n, max_per_sector, by_vol, bps, hold_bonus): every strategy's rows.
+STRATEGIES = "strategy_id string, chain string, signals map<string,double>, top_n int, max_per_sector int, by_vol boolean, bps double, hold_bonus double, position_stop double, portfolio_stop double"
+#: strategies that meet the panel's rows in one block
+BLOCK = 1000
 
-    Strategies are rows of an array that is exploded over the standardized rows of the filter chain that they share, so a plan
-    grows with the number of chains and not with that of strategies.
-    """
-    groups: dict[str, list[Spec]] = {}
+
+def strategy_table(spark: SparkSession, specs: list[Spec]) -> DataFrame:
+    """The strategies as rows of STRATEGIES: chain is a JSON of filter names to parameters, signals are weights that add up to 1."""
+    rows = []
     for s in specs:
-        groups.setdefault(repr(s.chain()), []).append(s)
-    out = None
-    for group in groups.values():
-        names = sorted({n for s in group for n in s.signals})
-        settings = {s.name: {"strategy_id": s.name, "top_n": s.top_n, "max_per_sector": s.max_per_sector, "by_vol": s.weighting == "inverse_vol", "bps": float(s.cost_bps), "hold_bonus": float(s.hold_bonus)} for s in group}
-        each = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in settings[s.name].items()), *(F.lit(float(normalized_weights(s.signals).get(n, 0.0))).alias(f"w_{n}") for n in names)) for s in group))
-        score = sum((F.col(f"z_{n}") * F.col(f"s.w_{n}") for n in names), F.lit(0.0))
-        rows = standardized(frame, group[0].chain(), names).withColumn("s", F.explode(each))
-        rows = rows.select("as_of", "ticker", "sector", "realized_vol_20d", F.round(score, 9).alias("composite_score"), *(f"s.{k}" for k in settings[group[0].name]))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def picks_by_strategy(frame: DataFrame, specs: list[Spec]) -> DataFrame:
+        filters = {name: {k: float(v) for k, v in params.items()} for name, params in s.chain()}
+        for name, params in filters.items():
+            FILTERS.bind(name, params)
+        rows.append((s.name, json.dumps(filters, sort_keys=True), normalized_weights(s.signals), s.top_n, s.max_per_sector, s.weighting == "inverse_vol", float(s.cost_bps), float(s.hold_bonus), float(s.position_stop_loss), float(s.portfolio_stop_loss)))
+    return spark.createDataFrame(rows, STRATEGIES)
+
+
+def scored_by_strategy(frame: DataFrame, specs: list[Spec] | DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(strategy_id, as_of, ticker, sector, realized_vol_20d, composite_score, carry, settings): every strategy's rows.
+
+    The strategies are a table. Its distinct filter chains and signal names, a few values, are asked for first; each chain's rows
+    are standardized once, and the strategies meet them by an equi join on (chain, block), so that the plan is the same for three
+    strategies and for thousands. A block of at most about BLOCK strategies is broadcast; of several, each is joined by its key.
+    """
+    table = specs if isinstance(specs, DataFrame) else strategy_table(frame.sparkSession, specs)
+    about = table.agg(F.collect_set("chain").alias("chains"), F.array_distinct(F.flatten(F.collect_set(F.map_keys("signals")))).alias("names"), F.count(F.lit(1)).alias("n")).first()
+    names, blocks = sorted(about["names"]), max(1, -(-about["n"] // BLOCK))
+    normalized_weights(dict.fromkeys(names, 1.0))
+    chains = {c: list(json.loads(c).items()) for c in sorted(about["chains"])}
+    passes = [F.when(_passed(chain), F.lit(c)) for c, chain in chains.items()]
+    day = Window.partitionBy("chain", "as_of")
+    rows = frame.withColumn("chain", F.explode(F.array_compact(F.array(*passes))))
+    rows = zscores(with_signals(rows, names, day), {s: SIGNALS.items[s][1]["higher"] for s in names}, day)
+    rows = rows.select("chain", "as_of", "ticker", "sector", "realized_vol_20d", *carry, *(f"z_{n}" for n in names))
+    if blocks == 1:
+        met = rows.join(F.broadcast(table), "chain")  # at most BLOCK rows
+    else:
+        rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = rows.join(table.withColumn("_b", F.pmod(F.hash("strategy_id"), F.lit(blocks))), ["chain", "_b"])
+    score = sum((F.col(f"z_{n}") * F.coalesce(F.element_at("signals", n), F.lit(0.0)) for n in names), F.lit(0.0))
+    settings = ("top_n", "max_per_sector", "by_vol", "bps", "hold_bonus")
+    return met.select("strategy_id", "as_of", "ticker", "sector", "realized_vol_20d", F.round(score, 9).alias("composite_score"), *carry, *settings)
+
+
+def _passed(chain: list[tuple[str, dict]]) -> Column:
+    return reduce(and_, (FILTERS.bind(name, params)() for name, params in chain), F.lit(True))
+
+
+def picks_by_strategy(frame: DataFrame, specs: list[Spec] | DataFrame) -> DataFrame:
     """(strategy_id, by_vol, bps, as_of, ticker, rank, target_weight): the picks of every strategy and date."""
-    rows = scored_by_strategy(frame, specs)
-    if any(s.max_per_sector for s in specs):
+    table = specs if isinstance(specs, DataFrame) else strategy_table(frame.sparkSession, specs)
+    most = table.agg(F.coalesce(F.max("top_n"), F.lit(0)).alias("n"), F.coalesce(F.max("max_per_sector"), F.lit(0)).alias("cap")).first()
+    rows = scored_by_strategy(frame, table)
+    if most["cap"]:
         of_sector = F.row_number().over(Window.partitionBy(*STRATEGY, F.coalesce("sector", F.lit("__unknown__"))).orderBy(*by_score()))
         rows = rows.withColumn("_s", of_sector).filter("max_per_sector = 0 or _s <= max_per_sector")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*STRATEGY).orderBy(*by_score())))
-    rows = rows.filter((F.col("rank") <= max(s.top_n for s in specs)) & (F.col("rank") <= F.col("top_n")))
+    rows = rows.filter((F.col("rank") <= most["n"]) & (F.col("rank") <= F.col("top_n")))
     weight = F.when(F.col("by_vol"), inverse_vol_weight(keys=STRATEGY)).otherwise(equal_weight(STRATEGY))
     return rows.select("strategy_id", "by_vol", "bps", "as_of", "ticker", "rank", weight.alias("target_weight"))
 

@@ -245,7 +245,8 @@ def test_fold_pruning_changes_nothing(spark):
 
     import pandas as pd
 
-    from equiscope.plans.backtest import fold, pruned
+    from equiscope.plans.backtest import pruned
+    from tests.plain_backtest import fold
 
     rng = random.Random(3)
     dates = calendar.rebalance_dates(D(2024, 1, 1), D(2024, 9, 1))
