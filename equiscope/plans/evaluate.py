@@ -46,6 +46,18 @@ def walk_forward(returns: DataFrame, folds: list[tuple[date, date, date]], ppy:
     return s.withColumn("consistency", F.avg((F.col("sharpe") > 0).cast("double")).over(Window.partitionBy("strategy_id")))
 
 
+def walk_forward_runs(runs: DataFrame, folds: int, ppy: int = 12) -> DataFrame:
+    """(strategy_id, run, test_start, n, swaps, sharpe, total_return, max_drawdown, consistency) of folds that were run on their own.
+
+    runs are period returns by (strategy_id, run); the consistency is the share of all `folds` with a positive ratio.
+    """
+    keys = ("strategy_id", "run")
+    m = bundle(runs.select(*keys, "t", "ret"), ppy, keys)
+    about = runs.groupBy(*keys).agg(F.min("as_of").alias("test_start"), F.sum("swaps").alias("swaps"))
+    good = F.sum((F.col("sharpe") > 0).cast("int")).over(Window.partitionBy("strategy_id")) / folds
+    return m.join(about, list(keys)).withColumn("consistency", good).select(*keys, "test_start", "n", "swaps", "sharpe", "total_return", "max_drawdown", "consistency")
+
+
 def benchmark_summary(bench: DataFrame, ppy: int = 12) -> DataFrame:
     """Month-end statistics of one price series: population deviation, and a drawdown without the starting value."""
     m = bench.groupBy(F.trunc("date", "month").alias("m")).agg(F.max_by("close", "date").alias("c"))

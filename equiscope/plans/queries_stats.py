@@ -63,41 +63,69 @@ def backtest_without_feedback(spark, sf_dir):
     return rounded(rounded(all_returns(spark, sf_dir), "ret"), "cost", digits=8)
 
 
+def _span_sql(spans: list[backtest.Span]) -> str:
+    """win: the first and the last-but-one period of each run, by the number of its first date."""
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS run, DATE '{a}' AS a, DATE '{b}' AS b" for name, a, b in spans)
+    return f"win AS (SELECT run, x.t AS t0, y.t AS t1 FROM ({rows}) s JOIN cal x ON x.as_of=s.a JOIN cal y ON y.as_of=s.b)"
+
+
 def _fold_sql(v: Spec) -> str:
-    """The backtest of one strategy with feedback as a recursive query: a row per period carries what is held, its weights and the last return."""
+    """The runs of one strategy as a recursive query: a row per run and period carries what is held, its weights and the last return."""
     n, cap = v.name, v.max_per_sector
-    near = f"""SELECT s.t AS ot, p.t, p.as_of, p.ticker, p.realized_vol_20d AS vol, p.ret, p.min_low, p.start_price, p.sector, s.held, s.weights, p.composite_score+CASE WHEN list_contains(s.held, p.ticker) THEN {v.hold_bonus!r}::DOUBLE ELSE 0 END AS s
-   FROM st_{n} s JOIN cand_{n} p ON p.t=s.t+1 WHERE NOT ({v.portfolio_stop_loss!r}>0 AND s.t>=0 AND s.ret < -{v.portfolio_stop_loss!r}::DOUBLE)"""
-    capped = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(sector,'__unknown__') ORDER BY s DESC, ticker) AS ks FROM ({near})) WHERE {cap}=0 OR ks<={cap}"
-    top = f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY s DESC, ticker) AS k FROM ({capped})) WHERE k<={v.top_n}"
-    weight = "1.0::DOUBLE/count(*) OVER ()" if v.weighting == "equal" else "coalesce(f/nullif(sum(f) OVER (),0), 1.0::DOUBLE/count(*) OVER ())"
+    near = f"""SELECT s.run, p.t, p.as_of, p.ticker, p.realized_vol_20d AS vol, p.ret, p.min_low, p.start_price, p.sector, s.held, s.weights,
+    p.composite_score+CASE WHEN list_contains(s.held, p.ticker) THEN {v.hold_bonus!r}::DOUBLE ELSE 0 END AS s
+   FROM st_{n} s JOIN win w ON w.run=s.run JOIN cand_{n} p ON p.t=s.t+1 AND p.t<w.t1
+   WHERE NOT ({v.portfolio_stop_loss!r}>0 AND s.t>=w.t0 AND s.ret < -{v.portfolio_stop_loss!r}::DOUBLE)"""
+    capped = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, coalesce(sector,'__unknown__') ORDER BY s DESC, ticker) AS ks FROM ({near})) WHERE {cap}=0 OR ks<={cap}"
+    top = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY s DESC, ticker) AS k FROM ({capped})) WHERE k<={v.top_n}"
+    each = "OVER (PARTITION BY run)"
+    weight = f"1.0::DOUBLE/count(*) {each}" if v.weighting == "equal" else f"coalesce(f/nullif(sum(f) {each},0), 1.0::DOUBLE/count(*) {each})"
     inverse = "CASE WHEN vol>0 THEN 1/vol END"
-    now = f"SELECT *, {weight} AS w FROM (SELECT *, coalesce({inverse}, median({inverse}) OVER ()) AS f, coalesce({v.position_stop_loss!r}>0 AND min_low<start_price*(1-{v.position_stop_loss!r}::DOUBLE),false) AS hit FROM ({top}))"
-    drift = "0" if v.weighting == "equal" else "coalesce(sum(CASE WHEN list_contains(held,ticker) AND len(map_keys(weights))>0 AND abs(w-coalesce(weights[ticker],0))>0.05::DOUBLE*w THEN abs(w-coalesce(weights[ticker],0)) END),0)"
+    now = f"""SELECT *, {weight} AS w FROM (SELECT *, coalesce({inverse}, median({inverse}) {each}) AS f,
+    coalesce({v.position_stop_loss!r}>0 AND min_low<start_price*(1-{v.position_stop_loss!r}::DOUBLE),false) AS hit FROM ({top}))"""
+    moved = "abs(w-coalesce(weights[ticker],0))"
+    drift = "0" if v.weighting == "equal" else f"coalesce(sum(CASE WHEN list_contains(held,ticker) AND len(map_keys(weights))>0 AND {moved}>0.05::DOUBLE*w THEN {moved} END),0)"
     rate = f"({v.cost_bps!r}::DOUBLE/10000)"
-    one = f"""SELECT t, as_of, count(*) AS n, count(ret) AS priced, sum(w*CASE WHEN hit THEN -{v.position_stop_loss!r}::DOUBLE ELSE coalesce(ret,0) END) AS gross, count(*) FILTER (hit) AS stopped, list(ticker) FILTER (NOT hit) AS left_, list(ticker) AS all_, map_from_entries(list((ticker,w))) AS ws, {drift} AS drift,
-   any_value(len(held)) AS nh, any_value(len(held))+count(*)-2*count(*) FILTER (list_contains(held,ticker)) AS sd FROM ({now}) GROUP BY t, as_of"""
+    one = f"""SELECT run, t, as_of, count(*) AS n, count(ret) AS priced, sum(w*CASE WHEN hit THEN -{v.position_stop_loss!r}::DOUBLE ELSE coalesce(ret,0) END) AS gross,
+    count(*) FILTER (hit) AS stopped, list(ticker) FILTER (NOT hit) AS left_, list(ticker) AS all_, map_from_entries(list((ticker,w))) AS ws, {drift} AS drift,
+    any_value(len(held)) AS nh, any_value(len(held))+count(*)-2*count(*) FILTER (list_contains(held,ticker)) AS sd FROM ({now}) GROUP BY run, t, as_of"""
     priced = f"SELECT *, priced>0 AS ok, ((CASE WHEN nh=0 THEN 1.0::DOUBLE ELSE sd::DOUBLE/n END)+drift)*{rate} AS c0, CASE WHEN nh=0 THEN 0 ELSE sd//2 END AS sw FROM ({one})"
     weights = "MAP {}::MAP(VARCHAR,DOUBLE)" if v.weighting == "equal" else "ws"
-    return f"""cand_{n} AS (SELECT c.t, k.as_of, k.ticker, k.composite_score, k.sector, k.realized_vol_20d, r.ret, r.min_low, r.start_price FROM sc_{n} k JOIN cal c ON c.as_of=k.as_of AND c.next_as_of IS NOT NULL LEFT JOIN rets r ON r.as_of=k.as_of AND r.ticker=k.ticker),
- st_{n} AS (SELECT CAST(-1 AS INTEGER) AS t, CAST(NULL AS DATE) AS as_of, 0.0::DOUBLE AS ret, 0::BIGINT AS n, 0::BIGINT AS swaps, 0.0::DOUBLE AS cost, 0::BIGINT AS stopped, []::VARCHAR[] AS held, MAP {{}}::MAP(VARCHAR,DOUBLE) AS weights
-  UNION ALL SELECT c.t, c.as_of, coalesce(CASE WHEN ok THEN gross-c0-x.stopped::DOUBLE/x.n*{rate} ELSE -c0 END,0.0::DOUBLE), coalesce(x.n,0)::BIGINT, coalesce(sw+CASE WHEN ok THEN x.stopped ELSE 0 END,0)::BIGINT, coalesce(c0+CASE WHEN ok THEN x.stopped::DOUBLE/x.n*{rate} ELSE 0 END,0.0::DOUBLE), coalesce(CASE WHEN ok THEN x.stopped END,0)::BIGINT,
+    return f"""cand_{n} AS (SELECT c.t, k.as_of, k.ticker, k.composite_score, k.sector, k.realized_vol_20d, r.ret, r.min_low, r.start_price
+  FROM sc_{n} k JOIN cal c ON c.as_of=k.as_of AND c.next_as_of IS NOT NULL LEFT JOIN rets r ON r.as_of=k.as_of AND r.ticker=k.ticker),
+ st_{n} AS (SELECT run, CAST(t0-1 AS INTEGER) AS t, CAST(NULL AS DATE) AS as_of, 0.0::DOUBLE AS ret, 0::BIGINT AS n, 0::BIGINT AS swaps, 0.0::DOUBLE AS cost, 0::BIGINT AS stopped, []::VARCHAR[] AS held, MAP {{}}::MAP(VARCHAR,DOUBLE) AS weights FROM win
+  UNION ALL SELECT s.run, c.t, c.as_of, coalesce(CASE WHEN ok THEN gross-c0-x.stopped::DOUBLE/x.n*{rate} ELSE -c0 END,0.0::DOUBLE), coalesce(x.n,0)::BIGINT,
+   coalesce(sw+CASE WHEN ok THEN x.stopped ELSE 0 END,0)::BIGINT, coalesce(c0+CASE WHEN ok THEN x.stopped::DOUBLE/x.n*{rate} ELSE 0 END,0.0::DOUBLE), coalesce(CASE WHEN ok THEN x.stopped END,0)::BIGINT,
    CASE WHEN x.t IS NULL THEN []::VARCHAR[] WHEN ok THEN coalesce(left_,[]::VARCHAR[]) ELSE all_ END, CASE WHEN x.t IS NULL THEN s.weights ELSE {weights} END
-  FROM st_{n} s JOIN cal c ON c.t=s.t+1 AND c.next_as_of IS NOT NULL LEFT JOIN ({priced}) x ON x.t=c.t)"""
+  FROM st_{n} s JOIN win w ON w.run=s.run JOIN cal c ON c.t=s.t+1 AND c.t<w.t1 LEFT JOIN ({priced}) x ON x.t=c.t AND x.run=s.run)"""
+
+
+def _runs_sql(specs: list[Spec], spans: list[backtest.Span]) -> tuple[str, ...]:
+    """runs (strategy_id, run, t, as_of, ret, n, swaps, cost, stopped): every strategy over every span, t from 0."""
+    own = []
+    for v in specs:
+        cap = f" WHERE momentum_12m_return IS NULL OR momentum_12m_return<={v.momentum_cap}" if v.momentum_cap else ""
+        own += [f"kept_{v.name} AS (SELECT * FROM kept{cap})", scores_sql(v.signals, f"kept_{v.name}", f"sc_{v.name}"), _fold_sql(v)]
+    rows = " UNION ALL ".join(f"SELECT '{v.name}' AS strategy_id, run, (s.t-t0)::INTEGER AS t, as_of, ret, n, swaps, cost, stopped FROM st_{v.name} s JOIN win USING (run) WHERE s.t>=t0" for v in specs)
+    return *PANEL[:9], RETS, _span_sql(spans), *own, f"runs AS ({rows})"
+
 
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
-_FOLD = (*PANEL[:9], RETS, *(f"kept_{v.name} AS (SELECT * FROM kept),\n{scores_sql(v.signals, f'kept_{v.name}', f'sc_{v.name}')},\n{_fold_sql(v)}" for v in FEEDBACK))
 
+_FOLD = _runs_sql(FEEDBACK, [("", START, DATES[-1])])
 
-@query("b12_backtest_with_feedback", using(*_FOLD, query=" UNION ALL ".join(f"SELECT '{v.name}' AS strategy_id, t, as_of, round(ret,6) AS ret, n, swaps, round(cost,6) AS cost, stopped FROM st_{v.name} WHERE t>=0" for v in FEEDBACK)).replace("WITH ", "WITH RECURSIVE ", 1))
+
+@query("b12_backtest_with_feedback", recursive(using(*_FOLD, query="SELECT strategy_id, t, as_of, round(ret,6) AS ret, n, swaps, round(cost,6) AS cost, stopped FROM runs")))
 def backtest_with_feedback(spark, sf_dir):
     """Hold bonus, position and portfolio stops: a fold over the dates."""
     return rounded(backtest.with_feedback(frame(spark, sf_dir), returns(spark, sf_dir), DATES, FEEDBACK), "ret", "cost")
 
 
-@query("b12_backtest_summary", using(*_FOLD, "al AS (" + " UNION ALL ".join(f"SELECT '{v.name}' AS strategy_id, t, ret, swaps, cost FROM st_{v.name} WHERE t>=0" for v in FEEDBACK) + ")",
- f"ga AS (SELECT strategy_id, count(*) AS n, sum(swaps)::BIGINT AS swaps, avg(cost) AS mean_cost, CASE WHEN stddev_samp(ret)=0 THEN 0 ELSE avg(ret)/stddev_samp(ret)*sqrt(12.0::DOUBLE) END AS sharpe, exp(sum(ln(1+ret)))-1 AS total FROM al GROUP BY strategy_id)",
- query=f"SELECT strategy_id, n, swaps, round(mean_cost,6) AS mean_cost, round(sharpe,6) AS sharpe, round(total,6) AS total_return, round(pow(1+total,1/{YEARS!r}::DOUBLE)-1,6) AS cagr FROM ga").replace("WITH ", "WITH RECURSIVE ", 1))
+@query("b12_backtest_summary", recursive(using(*_FOLD,
+ "ga AS (SELECT strategy_id, count(*) AS n, sum(swaps)::BIGINT AS swaps, avg(cost) AS mean_cost, CASE WHEN stddev_samp(ret)=0 THEN 0 ELSE avg(ret)/stddev_samp(ret)*sqrt(12.0::DOUBLE) END AS sharpe, exp(sum(ln(1+ret)))-1 AS total FROM runs GROUP BY strategy_id)",
+ query=f"SELECT strategy_id, n, swaps, round(mean_cost,6) AS mean_cost, round(sharpe,6) AS sharpe, round(total,6) AS total_return, round(pow(1+total,1/{YEARS!r}::DOUBLE)-1,6) AS cagr FROM ga")))
 def backtest_summary(spark, sf_dir):
     """The metric rows of one backtest call with strategies of both kinds."""
     panel = staged(frame(spark, sf_dir), "frame")
@@ -288,10 +316,24 @@ def deflated_sharpe(spark, sf_dir):
 _FOLDS = calendar.folds(START, END, 24, 6, 6)
 
 
-@query("a32_a33_walk_forward", using(*_BT, "fd AS (" + " UNION ALL ".join(f"SELECT {i} AS fold, DATE '{a}' AS train_start, DATE '{b}' AS test_start, DATE '{c}' AS test_end" for i, (a, b, c) in enumerate(_FOLDS)) + ")", query="""SELECT strategy_id, fold, test_start, test_end, n, round(s,5) AS sharpe, round(avg(CASE WHEN s>0 THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY strategy_id),6) AS consistency FROM
- (SELECT strategy_id, fold, test_start, test_end, count(*) AS n, CASE WHEN stddev_samp(ret) IS NULL OR stddev_samp(ret)=0 THEN 0 ELSE avg(ret)/stddev_samp(ret)*sqrt(12.0::DOUBLE) END AS s FROM bt JOIN fd ON as_of>=test_start AND as_of<test_end GROUP BY strategy_id, fold, test_start, test_end)"""))
+SPANS = [(f"fold {i}", b, c) for i, (_, b, c) in enumerate(_FOLDS)]
+WALKED = [VARIANTS[0], VARIANTS[1], VARIANTS[3], FEEDBACK[1], FEEDBACK[3]]
+_WALK = """wf AS (SELECT strategy_id, run, min(as_of) AS test_start, count(*) AS n, sum(swaps)::BIGINT AS swaps, CASE WHEN stddev_samp(ret) IS NULL OR stddev_samp(ret)=0 THEN 0 ELSE avg(ret)/stddev_samp(ret)*sqrt(12.0::DOUBLE) END AS sharpe,
+  exp(sum(ln(1+ret)))-1 AS total FROM runs GROUP BY strategy_id, run)"""
+
+
+def walked(spark, sf_dir, panel=None, rets=None, specs=WALKED):
+    """The returns of every strategy's own backtest of each fold."""
+    panel = panel or staged(frame(spark, sf_dir), "frame")
+    return staged(backtest.backtest(panel, rets or returns(spark, sf_dir), DATES, specs, SPANS), "folds")
+
+
+@query("a32_a33_walk_forward", recursive(using(*_runs_sql(WALKED, SPANS), _WALK, query="""SELECT strategy_id, run, test_start, n, swaps, round(sharpe,5) AS sharpe, round(total,6) AS total_return,
+ round(avg(CASE WHEN sharpe>0 THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY strategy_id),6) AS consistency FROM wf""")))
 def walk_forward(spark, sf_dir):
-    return rounded(rounded(evaluate.walk_forward(all_returns(spark, sf_dir), _FOLDS), "sharpe", digits=5), "consistency")
+    """A backtest of its own for each fold: it opens empty, pays its first purchase and forgets what was held before."""
+    w = evaluate.walk_forward_runs(walked(spark, sf_dir), len(SPANS))
+    return rounded(rounded(w, "sharpe", digits=5), "total_return", "consistency").select("strategy_id", "run", "test_start", "n", "swaps", "sharpe", "total_return", "consistency")
 
 
 _MONTHLY = "mc AS (SELECT CAST(date_trunc('month',date) AS DATE) AS m, arg_max(close,date) AS c FROM bench GROUP BY 1), mr AS (SELECT m, c, c/nullif(lag(c) OVER (ORDER BY m),0)-1 AS r FROM mc)"
