@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 from equiscope.functions import scalar
 from equiscope.operators import asof, calendar, metrics, portfolio, resample, rolling
-from equiscope.plans import backtest, evaluate, screen
+from equiscope.plans import backtest, evaluate, research, screen
 from equiscope.plans.catalog import query
 from equiscope.plans.queries_panel import BASE, CAL, DATES, END, EQUAL, INVERSE, PANEL, RETS, START, UNIVERSE, frame, returns, rounded, scores_sql
 from equiscope.plans.queries_tables import all_facts
 from equiscope.plans.screen import Spec
 from equiscope.sources import domain
 from equiscope.sources.domain_sql import BARS, BENCHMARK, MEMBERSHIP, using
-from equiscope.sources.stage import staged
+from equiscope.sources.schemas import RESEARCH_LOG
+from equiscope.sources.stage import scratch, staged
+from equiscope.sources.versioned import Versioned
 
 VARIANTS = [
     Spec("equal"), Spec("inverse_vol", weighting="inverse_vol"), Spec("value", signals={"low_leverage_growth": 0.5, "quality_midcap": 0.5}, top_n=5),
@@ -363,28 +365,52 @@ def guardrails(spark, sf_dir):
     return evaluate.guardrails(m, least_periods=60, least_sharpe=0.3, worst_drawdown=-0.02).select("strategy_id", F.concat_ws(",", "warnings").alias("warnings"))
 
 
-def _part_sql(name: str, where: str) -> str:
-    """(strategy_id, n, sharpe, cagr, maxdd) of the periods that meet a condition."""
-    return f"""{name}e AS (SELECT *, greatest(1.0::DOUBLE, max(e) OVER (PARTITION BY strategy_id ORDER BY t)) AS pk FROM (SELECT strategy_id, t, ret, exp(sum(ln(1+ret)) OVER (PARTITION BY strategy_id ORDER BY t)) AS e FROM bt WHERE {where})),
- {name} AS (SELECT strategy_id, count(*) AS n, CASE WHEN stddev_samp(ret) IS NULL OR stddev_samp(ret)=0 THEN 0 ELSE avg(ret)/stddev_samp(ret)*sqrt(12.0::DOUBLE) END AS sharpe, pow(arg_max(e,t),12.0::DOUBLE/count(*))-1 AS cagr, min(e/pk-1) AS maxdd FROM {name}e GROUP BY strategy_id)"""
+EXPERIMENT = research.Experiment(
+    "momentum against value", "Mixed signals hold up better out of sample", Spec("base", weighting="inverse_vol", hold_bonus=0.3, max_per_sector=2),
+    ({"name": "mixed"}, {"name": "value", "signals": {"low_leverage_growth": 0.5, "quality_midcap": 0.5}}, {"name": "margins", "signals": {"margin_expansion": 1.0}, "momentum_cap": 0.05}, {"name": "trend", "signals": {"momentum_12m": 1.0}}),
+    START, DATES[40], DATES[-1], most_runs=7, limits={"least_sharpe": 0.1},
+)
 
 
-_EXPERIMENT = (_part_sql("tr", f"as_of<DATE '{DATES[40]}'"), _part_sql("ho", f"as_of>=DATE '{DATES[40]}'"), """ex AS (SELECT *, row_number() OVER (ORDER BY w='' DESC, train_sharpe DESC, strategy_id)=1 AND w='' AS best FROM
- (SELECT strategy_id, n, sharpe AS train_sharpe, cagr, maxdd, concat_ws(',', CASE WHEN n<30 THEN 'sample_size' END, CASE WHEN sharpe<0.5 THEN 'low_sharpe' END, CASE WHEN maxdd<-0.3 THEN 'deep_drawdown' END) AS w FROM tr))""")
+def _judged_sql(e: research.Experiment) -> str:
+    """met (strategy_id, run, n, sharpe, maxdd), ex (the variations in their order, judged on their training) and ho (the best's holdout)."""
+    order = ", ".join(f"('{s.name}', {i})" for i, s in enumerate(e.specs()))
+    return f"""re AS (SELECT *, greatest(1.0::DOUBLE, max(e) OVER (PARTITION BY strategy_id, run ORDER BY t)) AS pk FROM (SELECT strategy_id, run, t, ret, exp(sum(ln(1+ret)) OVER (PARTITION BY strategy_id, run ORDER BY t)) AS e FROM runs)),
+ met AS (SELECT strategy_id, run, count(*) AS n, CASE WHEN stddev_samp(ret) IS NULL OR stddev_samp(ret)=0 THEN 0 ELSE avg(ret)/stddev_samp(ret)*sqrt(12.0::DOUBLE) END AS sharpe, arg_max(e,t)-1 AS total, min(e/pk-1) AS maxdd FROM re GROUP BY strategy_id, run),
+ ex AS (SELECT strategy_id, k, n, sharpe AS train_sharpe, total, maxdd, concat_ws(',', CASE WHEN n<30 THEN 'sample_size' END, CASE WHEN sharpe<{e.limits['least_sharpe']} THEN 'low_sharpe' END, CASE WHEN maxdd<-0.3 THEN 'deep_drawdown' END) AS w FROM met JOIN (VALUES {order}) o(strategy_id, k) USING (strategy_id) WHERE run='train'),
+ ho AS (SELECT strategy_id, sharpe AS holdout_sharpe FROM met WHERE run='holdout')"""
 
 
-@query("q14_experiment", using(*_BT, *_EXPERIMENT, query="SELECT strategy_id, round(train_sharpe,6) AS train_sharpe, w AS warnings, best, CASE WHEN best THEN round(ho.sharpe,6) END AS holdout_sharpe FROM ex LEFT JOIN ho USING (strategy_id)"))
-def experiment(spark, sf_dir):
-    """Variations on the training window, the best clean one on the holdout, all in one job."""
-    e = evaluate.experiment(all_returns(spark, sf_dir), holdout_from=DATES[40])
-    return rounded(e, "train_sharpe", "holdout_sharpe").select("strategy_id", "train_sharpe", "warnings", "best", "holdout_sharpe")
+_EXPERIMENT = (*_runs_sql(EXPERIMENT.specs(), [("train", START, DATES[40]), ("holdout", DATES[40], DATES[-1])]), _judged_sql(EXPERIMENT))
+#: what is logged before each call: the first one logs its four runs and the use of the holdout
+_CALLS = "calls AS (SELECT 1 AS call, 4 AS runs, true AS open UNION ALL SELECT 2, 2, false), jd AS (SELECT call, open, ex.*, w='' AND row_number() OVER (PARTITION BY call ORDER BY w='' DESC, train_sharpe DESC, strategy_id)=1 AS best FROM ex JOIN calls ON k<runs)"
+
 
+def _experiment_log(spark):
+    return Versioned(spark, scratch(spark, "research-log"), RESEARCH_LOG)
 
-@query("s25_experiment_report", using(*_BT, *_EXPERIMENT, query="SELECT 'momentum against value' AS experiment_name, (SELECT max(strategy_id) FILTER (best) FROM ex) AS best_variation, strategy_id AS name, round(train_sharpe,6) AS sharpe, round(maxdd,6) AS max_drawdown, n AS sample_size, w AS warnings, (SELECT round(ho.sharpe,6) FROM ex JOIN ho USING (strategy_id) WHERE best) AS holdout_sharpe FROM ex"))
+
+@query("q14_experiment", recursive(using(*_EXPERIMENT, _CALLS, query="SELECT call, strategy_id, round(train_sharpe,6) AS train_sharpe, w AS warnings, best, CASE WHEN best AND open THEN round(holdout_sharpe,6) END AS holdout_sharpe FROM jd LEFT JOIN ho USING (strategy_id)")))
+def experiment(spark, sf_dir):
+    """An experiment that is run until its log lets it run no more: the second call has two runs left and no holdout, the third none."""
+    panel, rets, log = staged(frame(spark, sf_dir), "frame"), staged(returns(spark, sf_dir), "periods"), _experiment_log(spark)
+    out, call = None, 0
+    while True:
+        call += 1
+        try:
+            e = research.run(log, EXPERIMENT, panel, rets, DATES).withColumn("call", F.lit(call))
+        except research.BudgetExhausted:
+            break
+        out = e if out is None else out.unionByName(e)
+    return rounded(out, "train_sharpe", "holdout_sharpe").select("call", "strategy_id", "train_sharpe", "warnings", "best", "holdout_sharpe")
+
+
+@query("s25_experiment_report", recursive(using(*_EXPERIMENT, _CALLS, query="""SELECT 'momentum against value' AS experiment_name, (SELECT max(strategy_id) FILTER (best) FROM jd WHERE call=1) AS best_variation, strategy_id AS name, round(train_sharpe,6) AS sharpe, round(maxdd,6) AS max_drawdown, n AS sample_size, w AS warnings,
+ (SELECT round(holdout_sharpe,6) FROM jd JOIN ho USING (strategy_id) WHERE best AND call=1) AS holdout_sharpe FROM jd WHERE call=1""")))
 def experiment_report(spark, sf_dir):
     """The experiment's report document, read back: a row for each of its variations."""
-    e = evaluate.experiment(all_returns(spark, sf_dir), holdout_from=DATES[40])
-    doc = evaluate.experiment_report(e, "momentum against value", "Mixed signals hold up better out of sample")
+    e = research.run(_experiment_log(spark), EXPERIMENT, staged(frame(spark, sf_dir), "frame"), staged(returns(spark, sf_dir), "periods"), DATES)
+    doc = evaluate.experiment_report(e, EXPERIMENT.name, EXPERIMENT.hypothesis)
     d = doc.select(F.from_json("document", evaluate.EXPERIMENT_REPORT).alias("d")).select("d.experiment_name", "d.best_variation", F.col("d.holdout.sharpe").alias("holdout_sharpe"), F.explode("d.results").alias("r"))
     return d.select("experiment_name", "best_variation", "r.name", "r.sharpe", "r.max_drawdown", "r.sample_size", F.array_join("r.warnings", ",").alias("warnings"), "holdout_sharpe")
 
