@@ -2,32 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equiscope.functions.scalar import EULER_GAMMA, draw, normal_ppf, per_period_sharpe
 from equiscope.operators.metrics import cagr, equity, psr, sharpe
 
 
-def random_portfolios(universe: DataFrame, returns: DataFrame, iterations: int, n: int, bps: float = 10.0, ppy: int = 12, seed: int = 42) -> DataFrame:
-    """(iteration, sharpe): each iteration holds n names drawn anew every period from that period's universe.
+Leg = tuple[int, float]
+
 
-    A period's return is the mean of the drawn names that have one, less twice the cost. Names are drawn by the order of a hash,
-    over (iteration, period) windows: as many tasks as wanted, each of one cross-section.
+def drawn_places(periods: DataFrame, iterations: int, most: int, seed: int = 42) -> DataFrame:
+    """(iteration, as_of, size, k, place): for each iteration and date the first `most` places of a cross-section of `size` names.
+
+    periods are (as_of, size). Of a large cross-section places are drawn one after the other and repeats skipped, which costs a few draws a
+    place and nothing for the names that are not drawn. One of at most four times as many names as wanted, or draws that
+    repeat too often, take all its places in the order of a hash. Everything happens within a row: no sort of names, no shuffle.
+    """
+    size, it, day = F.col("size"), F.col("iteration"), F.col("as_of")
+    grid = periods.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    grid = grid.repartition(grid.sparkSession.sparkContext.defaultParallelism, "iteration")
+    some = F.transform(F.sequence(F.lit(0), F.lit(3 * most + 39)), lambda j: F.floor(draw(seed, it, day, j) * size).cast("int"))
+    some = F.when(size > 4 * most, F.slice(F.array_distinct(some), 1, most))
+    every = F.transform(F.sequence(F.lit(0), size - 1), lambda p: F.struct(draw(seed, it, day, F.lit("p"), p).alias("u"), p.alias("p")))
+    every = F.slice(F.transform(F.array_sort(every), lambda s: s["p"]), 1, most)
+    grid = grid.withColumn("_s", some)
+    places = F.when(F.size("_s") >= most, F.col("_s")).when(size > 0, every)
+    return grid.select("iteration", "as_of", "size", F.posexplode_outer(places).alias("k", "place"))
+
+
+def random_portfolios(universe: DataFrame, returns: DataFrame, dates: list[date], legs: list[Leg], iterations: int = 500, bps: float = 10.0, ppy: int = 12, seed: int = 42) -> DataFrame:
+    """(n, stop, iteration, sharpe): portfolios of n names drawn anew every period from that period's universe, for each leg (n, stop).
+
+    A period with fewer than n names, or without a return among those drawn, gives 0 and costs nothing; else the mean of the returns that there
+    are, less twice the cost. With a stop, a name whose low fell below (1 - stop) of its start returns -stop.
+    All legs share the draws: the first n of the largest leg's. What moves is iterations x dates x names drawn.
     """
-    drawn = universe.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    w = Window.partitionBy("iteration", "as_of").orderBy(draw(seed, F.col("iteration"), F.col("as_of"), F.col("ticker")), "ticker")
-    drawn = drawn.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n)
-    met = drawn.join(returns.select("as_of", "ticker", "within_ret"), ["as_of", "ticker"], "left")
-    by_period = met.groupBy("iteration", "as_of").agg((F.coalesce(F.avg("within_ret"), F.lit(0.0)) - 2 * bps / 10000).alias("ret"))
-    return by_period.groupBy("iteration").agg(sharpe(F.lit(ppy), F.stddev_samp("ret"), F.avg("ret")).alias("sharpe"))
+    most = max(n for n, _ in legs)
+    day = Window.partitionBy("as_of")
+    names = universe.select("as_of", "ticker").withColumn("place", F.row_number().over(day.orderBy("ticker")) - 1)
+    periods = universe.sparkSession.createDataFrame([(d,) for d in dates[:-1]], "as_of date").join(universe.groupBy("as_of").agg(F.count(F.lit(1)).cast("int").alias("size")), "as_of", "left")
+    drawn = drawn_places(periods.withColumn("size", F.coalesce("size", F.lit(0))), iterations, most, seed)
+    own = names.join(returns.select("as_of", "ticker", "within_ret", "min_low", "start_price"), ["as_of", "ticker"]).drop("ticker")
+    met = drawn.join(own, ["as_of", "place"], "left")
+
+    def period(n: int, stop: float) -> Column:
+        r = F.when(F.col("min_low") < F.col("start_price") * (1 - stop), F.lit(-stop)).otherwise(F.col("within_ret")) if stop else F.col("within_ret")
+        return F.coalesce(F.when(F.first("size") >= n, F.avg(F.when(F.col("k") < n, r)) - 2 * bps / 10000), F.lit(0.0))
+
+    rows = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(float(stop)).alias("stop"), F.col(f"r{i}").alias("ret")) for i, (n, stop) in enumerate(legs)))
+    by_period = met.groupBy("iteration", "as_of").agg(*(period(n, stop).alias(f"r{i}") for i, (n, stop) in enumerate(legs))).select("iteration", F.inline(rows))
+    return by_period.groupBy("n", "stop", "iteration").agg(sharpe(F.lit(ppy), F.stddev_samp("ret"), F.avg("ret")).alias("sharpe"))
 
 
 def percentile_of(trials: DataFrame, actual: DataFrame) -> DataFrame:
-    """(strategy_id, sharpe, n_trials, mean_trial, percentile): the share of trials below each strategy; actual is (strategy_id, sharpe)."""
-    a = actual.select("strategy_id", F.col("sharpe").alias("own"))
-    met = trials.join(F.broadcast(a), F.lit(True))  # strategies of one job are a handful
-    return met.groupBy("strategy_id", F.col("own").alias("sharpe")).agg(F.count(F.lit(1)).alias("n_trials"), F.avg(trials["sharpe"]).alias("mean_trial"), (F.avg((trials["sharpe"] < F.col("own")).cast("double")) * 100).alias("percentile"))
+    """(strategy_id, n, sharpe, n_trials, mean_trial, percentile): the share of the trials of its own leg below each strategy.
+
+    actual is (strategy_id, n, sharpe), with its stop where the trials were to match it.
+    """
+    keys = [k for k in ("n", "stop") if k in actual.columns]
+    met = trials.withColumnRenamed("sharpe", "trial").join(actual.select("strategy_id", *keys, "sharpe"), keys)
+    return met.groupBy("strategy_id", "n", "sharpe").agg(F.count(F.lit(1)).alias("n_trials"), F.avg("trial").alias("mean_trial"), (F.avg((F.col("trial") < F.col("sharpe")).cast("double")) * 100).alias("percentile"))
 
 
 def bootstrap_samples(series: DataFrame, reps: int, mean_block: float = 3.0, seed: int = 42) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from equiscope.operators.calendar import dates_between
+from equiscope.operators.calendar import dates_between, period_of
 
 FEATURES = ["sma_200", "momentum_12m_return", "realized_vol_20d", "n_days"]
 
@@ -44,9 +44,7 @@ def period_returns(bars: DataFrame, dates: list[date]) -> DataFrame:
     The period ends at the first close on or after the next date, so that periods chain; else at the last one inside. within_ret
     goes from the first to the last close inside and does not chain.
     """
-    pairs = list(zip(dates, dates[1:], strict=False))
-    periods = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
-    inside = bars.withColumn("p", F.explode(F.filter(periods, lambda p: (p.a <= F.col("date")) & (F.col("date") < p.b))))
+    inside = bars.withColumn("p", F.explode(period_of(dates, F.col("date"))))
     stats = inside.groupBy(F.col("p.a").alias("as_of"), F.col("p.b").alias("next_as_of"), "ticker").agg(
         F.min_by("close", "date").alias("start_price"), F.max_by("close", "date").alias("last_within"), F.min("low").alias("min_low")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 from functools import reduce
 
@@ -206,6 +207,17 @@ def backtest(frame: DataFrame, returns: DataFrame, dates: list[date], specs: Spe
     return reduce(DataFrame.unionByName, parts)
 
 
+def monte_carlo_leg(specs: list[Spec], match_strategy: bool = False) -> tuple[list[Spec], list[tuple[int, float]]]:
+    """(strategies to compare, legs of random portfolios to compare them with).
+
+    By default a strategy is compared without hold bonus and stops, which random portfolios do not have; with match_strategy it
+    keeps them, and its random portfolios have its position stop.
+    """
+    if match_strategy:
+        return specs, sorted({(s.top_n, s.position_stop_loss) for s in specs})
+    return [replace(s, hold_bonus=0.0, position_stop_loss=0.0, portfolio_stop_loss=0.0) for s in specs], sorted({(s.top_n, 0.0) for s in specs})
+
+
 def years_between(start: date, end: date) -> float:
     return (end - start).days / 365.25
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equiscope.operators.metrics import bundle, cagr, capm, regimes, sharpe
-from equiscope.operators.resample import percentile_of
 from equiscope.sources.tables import upsert
 
 
@@ -118,15 +117,15 @@ def budgets(log: DataFrame, most: int) -> DataFrame:
 REPORT = "metrics struct<n:bigint,total_return:double,sharpe:double,cagr:double,max_drawdown:double,psr:double>, regression struct<beta:double,alpha_annual:double,t_alpha:double,r2:double>, regimes array<struct<regime:string,n:bigint,avg_ret:double,sharpe:double>>, walk_forward struct<folds:bigint,consistency:double>, monte_carlo struct<trials:bigint,mean:double,percentile:double>, factors struct<r2:double,loadings:array<struct<term:string,coef:double>>>, correlations array<struct<a:string,b:string,corr:double,high:boolean>>, verdict map<string,int>"
 
 
-def report(returns: DataFrame, bench: DataFrame, market: DataFrame, folds: DataFrame, trials: DataFrame, factors: DataFrame, correlations: DataFrame, ppy: int = 12, years: float | None = None) -> DataFrame:
+def report(returns: DataFrame, bench: DataFrame, market: DataFrame, folds: DataFrame, placed: DataFrame, factors: DataFrame, correlations: DataFrame, ppy: int = 12, years: float | None = None) -> DataFrame:
     """(strategy_id, passed, document): all parts of an evaluation with 0/1 verdicts, as JSON of the schema REPORT.
 
-    Metrics, regression on the benchmark, regimes, walk-forward, place among random portfolios (trials), loadings of each strategy
+    Metrics, regression on the benchmark, regimes, walk-forward, place among random portfolios of its size (placed, as resample.percentile_of gives it), loadings of each strategy
     (factors, as metrics.ols gives them) and the rank correlations of the signals, which are the same for all.
     """
     series = returns.select("strategy_id", "t", "ret")
     m, c = bundle(series, ppy, years=years), capm(series, bench, ppy)
-    mc = percentile_of(trials, m.select("strategy_id", "sharpe")).select("strategy_id", F.struct(F.col("n_trials").alias("trials"), F.round("mean_trial", 6).alias("mean"), F.round("percentile", 6).alias("percentile")).alias("monte_carlo"))
+    mc = placed.select("strategy_id", F.struct(F.col("n_trials").alias("trials"), F.round("mean_trial", 6).alias("mean"), F.round("percentile", 6).alias("percentile")).alias("monte_carlo"))
     fa = factors.groupBy("strategy_id").agg(F.struct(F.round(F.max("r2"), 6).alias("r2"), F.array_sort(F.collect_list(F.struct("term", F.round("coef", 6).alias("coef")))).alias("loadings")).alias("factors"))
     pairs = correlations.agg(F.array_sort(F.collect_list(F.struct("a", "b", F.round("corr", 6).alias("corr"), "high"))).alias("correlations"))
     g = regimes(series, market, ppy).groupBy("strategy_id").agg(F.array_sort(F.collect_list(F.struct("regime", "n", F.round("avg_ret", 6).alias("avg_ret"), F.round("sharpe", 4).alias("sharpe")))).alias("regimes"))

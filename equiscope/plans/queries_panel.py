@@ -37,7 +37,10 @@ ROLLED = """r0 AS (SELECT *, close/nullif(lag(close) OVER w,0)-1 AS ret, row_num
   close/nullif(first_value(close) OVER (PARTITION BY ticker ORDER BY date ROWS 251 PRECEDING),0)-1 AS trailing_return FROM r0 WINDOW w AS (PARTITION BY ticker ORDER BY date)),
  feat AS (SELECT c.as_of, r.* FROM rolled r JOIN cal c ON r.date < c.as_of AND (r.next_date IS NULL OR c.as_of <= r.next_date))"""
 UNIVERSE = "mem AS (SELECT DISTINCT c.as_of, m.ticker FROM cal c JOIN membership m ON m.added_date<=c.as_of AND (m.removed_date IS NULL OR m.removed_date<=m.added_date OR m.removed_date>c.as_of)), uni AS (SELECT m.* FROM mem m JOIN (SELECT DISTINCT c.as_of, b.ticker FROM cal c JOIN bars b ON b.date BETWEEN c.as_of-30 AND c.as_of) USING (as_of, ticker))"
-FRAME = ",\n".join([MEMBERSHIP, UNIVERSE, "frame AS (SELECT p.*, f.close, f.avg_volume_20d, f.sma_200, f.momentum_12m_return, f.realized_vol_20d, f.n_days, s.sector FROM pit p SEMI JOIN uni USING (as_of, ticker) LEFT JOIN feat f USING (as_of, ticker) LEFT JOIN sectors s USING (ticker))"])
+TRADEABLE = "trd AS (SELECT DISTINCT c.as_of, b.ticker FROM cal c JOIN bars b ON b.date BETWEEN c.as_of-30 AND c.as_of)"
+#: the screening frame under a name, of the names in a table of (as_of, ticker)
+FRAMED = "{} AS (SELECT p.*, f.close, f.avg_volume_20d, f.sma_200, f.momentum_12m_return, f.realized_vol_20d, f.n_days, s.sector FROM pit p SEMI JOIN {} USING (as_of, ticker) LEFT JOIN feat f USING (as_of, ticker) LEFT JOIN sectors s USING (ticker))"
+FRAME = ",\n".join([MEMBERSHIP, UNIVERSE, FRAMED.format("frame", "uni")])
 FILTERED = "kept AS (SELECT * FROM frame WHERE market_cap>=1e6 AND avg_volume_20d>=10 AND coalesce(realized_vol_20d,1.0::DOUBLE)>=0.01)"
 
 
@@ -137,7 +140,6 @@ def facts_as_of_one(spark, sf_dir):
 
 
 _MEMBERS = "mem AS (SELECT DISTINCT c.as_of, m.ticker FROM cal c JOIN membership m ON m.added_date<=c.as_of AND (m.removed_date IS NULL OR m.removed_date<=m.added_date OR m.removed_date>c.as_of) {})"
-_TRADE = "trd AS (SELECT DISTINCT c.as_of, b.ticker FROM cal c JOIN bars b ON b.date BETWEEN c.as_of-30 AND c.as_of)"
 
 
 @query("j02_members_as_of", using(MEMBERSHIP, CAL, _MEMBERS.format(""), query="SELECT * FROM mem"))
@@ -145,12 +147,12 @@ def members_as_of(spark, sf_dir):
     return asof.members_as_of(domain.membership(spark, sf_dir), DATES)
 
 
-@query("a07_tradeable_as_of", using(BARS, CAL, _TRADE, query="SELECT * FROM trd"))
+@query("a07_tradeable_as_of", using(BARS, CAL, TRADEABLE, query="SELECT * FROM trd"))
 def tradeable_as_of(spark, sf_dir):
     return asof.tradeable_as_of(domain.bars(spark, sf_dir), DATES)
 
 
-@query("j03_universe_as_of", using(BARS, MEMBERSHIP, CAL, _MEMBERS.format("WHERE index_name='ASIA'"), _TRADE, query="""SELECT as_of, ticker FROM (SELECT as_of, ticker, m.ticker IS NOT NULL AS im, t.ticker IS NOT NULL AS it, count(m.ticker) OVER d>0 AS am, count(t.ticker) OVER d>0 AS atr
+@query("j03_universe_as_of", using(BARS, MEMBERSHIP, CAL, _MEMBERS.format("WHERE index_name='ASIA'"), TRADEABLE, query="""SELECT as_of, ticker FROM (SELECT as_of, ticker, m.ticker IS NOT NULL AS im, t.ticker IS NOT NULL AS it, count(m.ticker) OVER d>0 AS am, count(t.ticker) OVER d>0 AS atr
  FROM mem m FULL JOIN trd t USING (as_of, ticker) WINDOW d AS (PARTITION BY as_of)) WHERE (im OR NOT am) AND (it OR NOT atr)"""))
 def universe_as_of(spark, sf_dir):
     return screen.index_universe(domain.membership(spark, sf_dir), "ASIA", domain.bars(spark, sf_dir), DATES)

@@ -10,7 +10,7 @@ from equiscope.functions import scalar
 from equiscope.operators import asof, calendar, metrics, portfolio, resample, rolling
 from equiscope.plans import backtest, evaluate, research, screen
 from equiscope.plans.catalog import query
-from equiscope.plans.queries_panel import BASE, CAL, DATES, END, EQUAL, INVERSE, PANEL, RETS, START, UNIVERSE, frame, returns, rounded, scores_sql
+from equiscope.plans.queries_panel import CAL, DATES, END, EQUAL, FRAMED, INVERSE, PANEL, RETS, START, TRADEABLE, UNIVERSE, frame, returns, rounded, scores_sql
 from equiscope.plans.queries_tables import all_facts
 from equiscope.plans.screen import Spec
 from equiscope.sources import domain
@@ -204,21 +204,22 @@ def regimes(spark, sf_dir):
     return rounded(rounded(r, "avg_ret"), "sharpe", digits=5)
 
 
-_FACTOR = f"""fr AS (SELECT r.as_of, r.ticker, r.within_ret AS r, trailing_return AS mom, earnings_yield, roe, p.ticker IS NOT NULL AS has FROM rets r JOIN uni u USING (as_of, ticker) LEFT JOIN feat f USING (as_of, ticker) LEFT JOIN pit p USING (as_of, ticker)),
- mo AS (SELECT f.as_of, f.ticker, f.trailing_return AS mom FROM feat f JOIN uni USING (as_of, ticker)),
+_FACTOR = f"""{TRADEABLE},
+ fr AS (SELECT r.as_of, r.ticker, r.within_ret AS r, trailing_return AS mom, earnings_yield, roe, p.ticker IS NOT NULL AS has FROM rets r JOIN trd u USING (as_of, ticker) LEFT JOIN feat f USING (as_of, ticker) LEFT JOIN pit p USING (as_of, ticker)),
+ mo AS (SELECT f.as_of, f.ticker, f.trailing_return AS mom FROM feat f JOIN trd USING (as_of, ticker)),
  mp AS (SELECT as_of, ticker FROM (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY mom DESC NULLS LAST, ticker) AS k, count(*) OVER (PARTITION BY as_of) AS n FROM mo) WHERE k<=greatest(n//10,1)),
  dec AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY has DESC, earnings_yield DESC NULLS LAST, ticker) AS kv, row_number() OVER (PARTITION BY as_of ORDER BY has DESC, roe DESC NULLS LAST, ticker) AS kq, count(*) FILTER (has) OVER (PARTITION BY as_of) AS n FROM fr),
  fac0 AS (SELECT as_of, avg(r) AS market, coalesce(avg(r) FILTER ((as_of,ticker) IN (SELECT (as_of,ticker) FROM mp)),0) AS momentum, avg(r) FILTER (kv<=greatest(n//10,1) AND has) AS value, avg(r) FILTER (kq<=greatest(n//10,1) AND has) AS quality FROM dec GROUP BY as_of),
- fac AS (SELECT as_of, CASE WHEN k>=20 THEN market ELSE 0 END AS market, CASE WHEN k>=20 THEN momentum ELSE 0 END AS momentum, CASE WHEN k>=20 THEN coalesce(value,market) ELSE 0 END AS value, CASE WHEN k>=20 THEN coalesce(quality,market) ELSE 0 END AS quality FROM fac0 JOIN (SELECT as_of, count(*) AS k FROM uni GROUP BY as_of) USING (as_of))"""
+ fac AS (SELECT as_of, CASE WHEN k>=20 THEN market ELSE 0 END AS market, CASE WHEN k>=20 THEN momentum ELSE 0 END AS momentum, CASE WHEN k>=20 THEN coalesce(value,market) ELSE 0 END AS value, CASE WHEN k>=20 THEN coalesce(quality,market) ELSE 0 END AS quality FROM fac0 JOIN (SELECT as_of, count(*) AS k FROM trd GROUP BY as_of) USING (as_of))"""
 
 
 def factor_returns(spark, sf_dir):
     b = domain.bars(spark, sf_dir)
-    u = asof.universe_as_of(domain.membership(spark, sf_dir), b, DATES)
+    u = asof.tradeable_as_of(b, DATES)
     return evaluate.factor_returns(screen.pivoted(asof.facts_as_of(all_facts(spark, sf_dir), DATES), ["as_of", "ticker"], ["earnings_yield", "roe"]), rolling.features_as_of(b, DATES), rolling.period_returns(b, DATES), u)
 
 
-@query("a24_factor_returns", using(*PANEL[:7], MEMBERSHIP, UNIVERSE, RETS, _FACTOR, query="SELECT as_of, round(market,6) AS market, round(momentum,6) AS momentum, round(value,6) AS value, round(quality,6) AS quality FROM fac"))
+@query("a24_factor_returns", using(*PANEL[:7], RETS, _FACTOR, query="SELECT as_of, round(market,6) AS market, round(momentum,6) AS momentum, round(value,6) AS value, round(quality,6) AS quality FROM fac"))
 def factor_portfolios(spark, sf_dir):
     return rounded(factor_returns(spark, sf_dir), "market", "momentum", "value", "quality")
 
@@ -250,19 +251,26 @@ def factor_attribution(spark, sf_dir):
 _CORR = ["momentum_12m", "quality_score", "margin_expansion", "low_leverage_growth"]
 
 
-_RANKS = (scores_sql(dict.fromkeys(_CORR, 1.0), "kept", "c4"), "lng AS (" + " UNION ALL ".join(f"SELECT as_of, ticker, '{s}' AS sg, round(s_{s},9) AS v FROM c4" for s in _CORR) + ")",
+_RANKS = (scores_sql(dict.fromkeys(_CORR, 1.0), "allt", "c4"), "lng AS (" + " UNION ALL ".join(f"SELECT as_of, ticker, '{s}' AS sg, round(s_{s},9) AS v FROM c4" for s in _CORR) + ")",
  "rk AS (SELECT as_of, ticker, sg, rank() OVER (PARTITION BY as_of, sg ORDER BY v)+(count(*) OVER (PARTITION BY as_of, sg, v)-1)/2.0::DOUBLE AS r FROM lng)",
  "cr AS (SELECT x.as_of, x.sg AS a, y.sg AS b, covar_samp(x.r,y.r)/nullif(stddev_samp(x.r)*stddev_samp(y.r),0) AS c, count(*) AS n FROM rk x JOIN rk y ON x.as_of=y.as_of AND x.ticker=y.ticker AND x.sg<y.sg GROUP BY ALL)")
+_ALL_TRADED = FRAMED.format("allt", "trd")
 
 
-@query("a25_signal_correlations", using(*PANEL[:9], *_RANKS, query="SELECT a, b, count(c) AS n_dates, round(avg(c),6) AS corr, abs(avg(c))>0.7 AS high FROM cr WHERE n>=20 AND c IS NOT NULL GROUP BY a, b"))
+@query("a25_signal_correlations", using(*PANEL[:7], TRADEABLE, _ALL_TRADED, *_RANKS, query="SELECT a, b, count(c) AS n_dates, round(avg(c),6) AS corr, abs(avg(c))>0.7 AS high FROM cr WHERE n>=20 AND c IS NOT NULL GROUP BY a, b"))
 def signal_correlations(spark, sf_dir):
-    return rounded(correlations(frame(spark, sf_dir)), "corr")
+    return rounded(correlations(traded_frame(spark, sf_dir)), "corr")
+
+
+def traded_frame(spark, sf_dir, dates=DATES):
+    """The screening frame of everything that trades, whether in an index or not."""
+    bars = domain.bars(spark, sf_dir)
+    return screen.screening_frame(all_facts(spark, sf_dir), bars, domain.sectors(spark, sf_dir), dates, asof.tradeable_as_of(bars, dates))
 
 
 def correlations(panel):
-    """Mean rank correlations of four signals over the dates of a screening frame."""
-    s = screen.with_signals(screen.apply_filters(panel, BASE.chain()), _CORR)
+    """Mean rank correlations of four signals over the dates of a screening frame, none of whose rows are filtered."""
+    s = screen.with_signals(panel, _CORR)
     long = s.select("as_of", "ticker", *(F.round(c, 9).alias(c) for c in _CORR)).unpivot(["as_of", "ticker"], _CORR, "signal", "value")
     return metrics.rank_correlations(long)
 
@@ -272,26 +280,73 @@ def _draw(*key: str) -> str:
 
 
 _ITER = 500
-_MC = f"""dr AS (SELECT i, as_of, ticker FROM uni, range({_ITER}) q(i) WHERE as_of<DATE '2001-11-01' QUALIFY row_number() OVER (PARTITION BY i, as_of ORDER BY {_draw("'42'", "i::VARCHAR", "as_of::VARCHAR", "ticker")}, ticker)<=5),
- mp0 AS (SELECT i, d.as_of, coalesce(avg(within_ret),0)-0.002::DOUBLE AS ret FROM dr d LEFT JOIN rets USING (as_of, ticker) GROUP BY ALL),
- tr AS (SELECT i, CASE WHEN stddev_samp(ret) IS NULL OR stddev_samp(ret)=0 THEN 0 ELSE avg(ret)/stddev_samp(ret)*sqrt(12.0::DOUBLE) END AS sharpe FROM mp0 GROUP BY i)"""
 
 
-def _trials(spark, sf_dir):
-    b = domain.bars(spark, sf_dir)
-    u = asof.universe_as_of(domain.membership(spark, sf_dir), b, DATES).filter(F.col("as_of") < F.lit(END))
-    return resample.random_portfolios(u, rolling.period_returns(b, DATES), _ITER, 5)
+def _trials_sql(legs: list[tuple[int, float]]) -> str:
+    """tr (n, stop, i, sharpe): the trials of each leg; large cross-sections by draws without repeats, small ones by a hash of every place."""
+    most = max(n for n, _ in legs)
+    ret = lambda stop: f"CASE WHEN min_low<start_price*(1-{stop!r}::DOUBLE) THEN -{stop!r}::DOUBLE ELSE within_ret END" if stop else "within_ret"
+    rows = " UNION ALL ".join(f"SELECT {n} AS n, {stop!r}::DOUBLE AS stop, i, as_of, coalesce(CASE WHEN any_value(size)>={n} THEN avg({ret(stop)}) FILTER (k<={n})-0.002::DOUBLE END,0) AS ret FROM dm GROUP BY i, as_of" for n, stop in legs)
+    return f"""per AS (SELECT c.as_of, coalesce(u.size,0) AS size FROM cal c LEFT JOIN (SELECT as_of, count(*) AS size FROM uni GROUP BY as_of) u USING (as_of) WHERE c.next_as_of IS NOT NULL),
+ dj AS (SELECT i, as_of, j, CAST(floor({_draw("'42'", "i::VARCHAR", "as_of::VARCHAR", "j::VARCHAR")}*size) AS BIGINT) AS place FROM per, range({_ITER}) q(i), range({3 * most + 40}) r(j) WHERE size>{4 * most}),
+ dk AS (SELECT i, as_of, place, row_number() OVER (PARTITION BY i, as_of ORDER BY j) AS k FROM (SELECT i, as_of, place, min(j) AS j FROM dj GROUP BY ALL)),
+ ok AS (SELECT i, as_of FROM dk GROUP BY ALL HAVING count(*)>={most}),
+ al AS (SELECT i, as_of, unnest(range(size)) AS place FROM per, range({_ITER}) q(i) WHERE (i, as_of) NOT IN (SELECT (i, as_of) FROM ok)),
+ pl AS (SELECT as_of, ticker, row_number() OVER (PARTITION BY as_of ORDER BY ticker)-1 AS place FROM uni),
+ dd AS (SELECT i, as_of, place, k FROM dk JOIN ok USING (i, as_of) WHERE k<={most} UNION ALL SELECT * FROM (SELECT i, as_of, place, row_number() OVER (PARTITION BY i, as_of ORDER BY {_draw("'42'", "i::VARCHAR", "as_of::VARCHAR", "'p'", "place::VARCHAR")}, place) AS k FROM al) WHERE k<={most}),
+ dm AS (SELECT q.i, per.as_of, per.size, k, within_ret, min_low, start_price FROM per CROSS JOIN range({_ITER}) q(i) LEFT JOIN dd ON dd.i=q.i AND dd.as_of=per.as_of LEFT JOIN pl ON pl.as_of=dd.as_of AND pl.place=dd.place LEFT JOIN rets r ON r.as_of=pl.as_of AND r.ticker=pl.ticker),
+ tr AS (SELECT n, stop, i, CASE WHEN stddev_samp(ret) IS NULL OR stddev_samp(ret)=0 THEN 0 ELSE avg(ret)/stddev_samp(ret)*sqrt(12.0::DOUBLE) END AS sharpe FROM ({rows}) GROUP BY n, stop, i)"""
+
+
+def _sizes_sql(specs: list[Spec], stops: bool = False) -> str:
+    return "sz(strategy_id, n, stop) AS (VALUES " + ", ".join(f"('{s.name}', {s.top_n}, {(s.position_stop_loss if stops else 0.0)!r}::DOUBLE)" for s in specs) + ")"
+
+
+_PLACED = """SELECT strategy_id, z.n, round(s,6) AS sharpe, count(*) AS n_trials, round(avg(sharpe),6) AS mean_trial, round(avg(CASE WHEN sharpe<s THEN 1.0::DOUBLE ELSE 0 END)*100,6) AS percentile
+ FROM own JOIN sz z USING (strategy_id) JOIN tr ON tr.n=z.n AND tr.stop=z.stop GROUP BY strategy_id, z.n, s"""
+_OWN = "own AS (SELECT strategy_id, CASE WHEN stddev_samp(ret)=0 OR stddev_samp(ret) IS NULL THEN 0 ELSE avg(ret)/stddev_samp(ret)*sqrt(12.0::DOUBLE) END AS s FROM {} GROUP BY strategy_id)"
+
+
+def members(spark, sf_dir):
+    return asof.universe_as_of(domain.membership(spark, sf_dir), domain.bars(spark, sf_dir), DATES)
+
 
+def own_sharpe(returns, specs, stops=False):
+    """(strategy_id, n, stop, sharpe) of each strategy, with the leg of random portfolios that it is compared with."""
+    legs = returns.sparkSession.createDataFrame([(s.name, s.top_n, float(s.position_stop_loss if stops else 0.0)) for s in specs], "strategy_id string, n int, stop double")
+    return metrics.bundle(returns.select("strategy_id", "t", "ret")).select("strategy_id", "sharpe").join(F.broadcast(legs), "strategy_id")  # a row for each strategy of the list
 
-@query("a27_random_portfolios", using(BARS, MEMBERSHIP, CAL, UNIVERSE, RETS, _MC, query="SELECT i AS iteration, round(sharpe,6) AS sharpe FROM tr"))
+
+_LEGS = backtest.monte_carlo_leg(VARIANTS)[1]
+
+
+@query("a27_random_portfolios", using(BARS, MEMBERSHIP, CAL, UNIVERSE, RETS, _trials_sql(_LEGS), query="SELECT n, i AS iteration, round(sharpe,6) AS sharpe FROM tr"))
 def random_portfolios(spark, sf_dir):
-    return rounded(_trials(spark, sf_dir), "sharpe")
+    """The ratios of 500 random portfolios for each number of names that a strategy holds."""
+    t = resample.random_portfolios(members(spark, sf_dir), returns(spark, sf_dir), DATES, _LEGS, _ITER)
+    return rounded(t, "sharpe").drop("stop")
 
 
-@query("a27_monte_carlo_percentile", using(*_BT, _MC, "own AS (SELECT strategy_id, CASE WHEN stddev_samp(ret)=0 OR stddev_samp(ret) IS NULL THEN 0 ELSE avg(ret)/stddev_samp(ret)*sqrt(12.0::DOUBLE) END AS s FROM bt GROUP BY strategy_id)", query="SELECT strategy_id, round(s,6) AS sharpe, count(*) AS n_trials, round(avg(sharpe),6) AS mean_trial, round(avg(CASE WHEN sharpe<s THEN 1.0::DOUBLE ELSE 0 END)*100,6) AS percentile FROM own, tr GROUP BY strategy_id, s"))
+@query("a27_monte_carlo_percentile", using(*_BT, _trials_sql(_LEGS), _sizes_sql(VARIANTS), _OWN.format("bt"), query=_PLACED))
 def monte_carlo_percentile(spark, sf_dir):
-    own = metrics.bundle(all_returns(spark, sf_dir).select("strategy_id", "t", "ret")).select("strategy_id", "sharpe")
-    return rounded(resample.percentile_of(_trials(spark, sf_dir), own), "sharpe", "mean_trial", "percentile")
+    rets = staged(returns(spark, sf_dir), "periods")
+    own = staged(backtest.without_feedback(staged(frame(spark, sf_dir), "frame"), rets, DATES, VARIANTS), "returns")
+    trials = resample.random_portfolios(members(spark, sf_dir), rets, DATES, _LEGS, _ITER)
+    return rounded(resample.percentile_of(trials, own_sharpe(own, VARIANTS)), "sharpe", "mean_trial", "percentile")
+
+
+_MATCHED = [FEEDBACK[0], FEEDBACK[3]]
+_MATCHED_LEGS = backtest.monte_carlo_leg(_MATCHED, match_strategy=True)[1]
+
+
+@query("a27_matched_percentile", recursive(using(*_runs_sql(_MATCHED, [("", START, DATES[-1])]), _trials_sql(_MATCHED_LEGS), _sizes_sql(_MATCHED, stops=True), _OWN.format("runs"), query=_PLACED)))
+def matched_percentile(spark, sf_dir):
+    """Strategies with their hold bonus and stops among random portfolios of their size with their position stop."""
+    rets = staged(returns(spark, sf_dir), "periods")
+    specs, legs = backtest.monte_carlo_leg(_MATCHED, match_strategy=True)
+    own = backtest.backtest(staged(frame(spark, sf_dir), "frame"), rets, DATES, specs)
+    trials = resample.random_portfolios(members(spark, sf_dir), rets, DATES, legs, _ITER)
+    return rounded(resample.percentile_of(trials, own_sharpe(own, specs, stops=True)), "sharpe", "mean_trial", "percentile")
 
 
 _REPS = 5000
@@ -416,26 +471,29 @@ def experiment_report(spark, sf_dir):
 
 
 _MARKET = "mk AS (SELECT c.t, avg(within_ret) AS mkt FROM rets r JOIN cal c ON c.as_of=r.as_of GROUP BY c.t)"
-_REPORT = (BENCHMARK, _BM, _MARKET, _EQ, _MET, _MC, _FACTOR, _OLS, *_RANKS, "fd AS (" + " UNION ALL ".join(f"SELECT {i} AS fold, DATE '{b}' AS test_start, DATE '{c}' AS test_end" for i, (_, b, c) in enumerate(_FOLDS)) + ")",
- """rp AS (SELECT strategy_id, sxy/sxx AS beta, (my-sxy/sxx*mx)/nullif(sqrt(greatest(syy-sxy/sxx*sxy,0)/(k-2)*(1.0::DOUBLE/k+mx*mx/sxx)),0) AS t_alpha FROM (SELECT strategy_id, count(*) AS k, regr_sxx(ret,mkt) AS sxx, regr_sxy(ret,mkt) AS sxy, regr_syy(ret,mkt) AS syy, avg(ret) AS my, avg(mkt) AS mx FROM bt JOIN bm USING (t) GROUP BY strategy_id)),
+_ALL = ("all", START, DATES[-1])
+_REPORT = (*_runs_sql(VARIANTS, [_ALL, *SPANS]), "bt AS (SELECT strategy_id, t, as_of, ret, n, swaps, cost FROM runs WHERE run='all')", BENCHMARK, _BM, _MARKET, _EQ, _MET, _trials_sql(_LEGS), _sizes_sql(VARIANTS), _FACTOR, _OLS, _ALL_TRADED, *_RANKS,
+ f"""rp AS (SELECT strategy_id, sxy/sxx AS beta, (my-sxy/sxx*mx)/nullif(sqrt(greatest(syy-sxy/sxx*sxy,0)/(k-2)*(1.0::DOUBLE/k+mx*mx/sxx)),0) AS t_alpha FROM (SELECT strategy_id, count(*) AS k, regr_sxx(ret,mkt) AS sxx, regr_sxy(ret,mkt) AS sxy, regr_syy(ret,mkt) AS syy, avg(ret) AS my, avg(mkt) AS mx FROM bt JOIN bm USING (t) GROUP BY strategy_id)),
  rg AS (SELECT strategy_id, count(*) AS bull_n, avg(ret) AS bull_ret FROM bt JOIN mk USING (t) WHERE mkt>0.02 GROUP BY strategy_id),
- wf AS (SELECT strategy_id, count(*) AS folds, avg(CASE WHEN s>0 THEN 1.0::DOUBLE ELSE 0 END) AS consistency FROM (SELECT strategy_id, fold, CASE WHEN stddev_samp(ret) IS NULL OR stddev_samp(ret)=0 THEN 0 ELSE avg(ret)/stddev_samp(ret) END AS s FROM bt JOIN fd ON as_of>=test_start AND as_of<test_end GROUP BY strategy_id, fold) GROUP BY strategy_id),
- pc AS (SELECT strategy_id, avg(CASE WHEN t.sharpe<m.sharpe THEN 1.0::DOUBLE ELSE 0 END)*100 AS percentile FROM m3 m, tr0 t GROUP BY strategy_id),
+ wf AS (SELECT strategy_id, count(*) AS folds, sum(CASE WHEN s>0 THEN 1.0::DOUBLE ELSE 0 END)/{len(SPANS)} AS consistency FROM (SELECT strategy_id, run, CASE WHEN stddev_samp(ret) IS NULL OR stddev_samp(ret)=0 THEN 0 ELSE avg(ret)/stddev_samp(ret) END AS s FROM runs WHERE run<>'all' GROUP BY strategy_id, run) GROUP BY strategy_id),
+ pc AS (SELECT strategy_id, avg(CASE WHEN t.sharpe<m.sharpe THEN 1.0::DOUBLE ELSE 0 END)*100 AS percentile FROM m3 m JOIN sz USING (strategy_id) JOIN tr t ON t.n=sz.n GROUP BY strategy_id),
  hc AS (SELECT count(*) AS n_pairs, coalesce(max(abs(corr)),0) AS strongest FROM (SELECT a, b, avg(c) AS corr FROM cr WHERE n>=20 AND c IS NOT NULL AND as_of>=DATE '2000-01-01' AND as_of<DATE '2001-01-01' GROUP BY a, b))""")
 
 
-@query("b14_s24_evaluation_report", using(*_BT, *(x.replace(" tr AS", " tr0 AS") if x is _MC else x for x in _REPORT), query=f"""SELECT strategy_id, n, round(sharpe,6) AS sharpe, round(cagr,6) AS cagr, round(maxdd,6) AS max_drawdown, round(CASE WHEN n<2 THEN 0 WHEN se=0 THEN 0.5 ELSE {cdf_sql('(sr/se)')} END,6) AS psr, round(beta,6) AS beta, coalesce(bull_n,0) AS bull_periods, round(bull_ret,6) AS bull_ret, folds, round(consistency,6) AS consistency, round(percentile,6) AS percentile, round(coef,6) AS market_loading, round(r2,6) AS factor_r2, n_pairs, round(strongest,6) AS strongest_pair,
- (n>=30)::INT+(sharpe>0.5)::INT+coalesce((t_alpha>2)::INT,0)+(consistency>=0.6)::INT+(percentile>=95)::INT AS passed FROM m3 JOIN rp USING (strategy_id) LEFT JOIN rg USING (strategy_id) LEFT JOIN wf USING (strategy_id) JOIN pc USING (strategy_id) JOIN (SELECT * FROM load WHERE term='market') USING (strategy_id), hc"""))
+@query("b14_s24_evaluation_report", recursive(using(*_REPORT, query=f"""SELECT strategy_id, m3.n, round(sharpe,6) AS sharpe, round(cagr,6) AS cagr, round(maxdd,6) AS max_drawdown, round(CASE WHEN m3.n<2 THEN 0 WHEN se=0 THEN 0.5 ELSE {cdf_sql('(sr/se)')} END,6) AS psr, round(beta,6) AS beta, coalesce(bull_n,0) AS bull_periods, round(bull_ret,6) AS bull_ret, folds, round(consistency,6) AS consistency, round(percentile,6) AS percentile, round(coef,6) AS market_loading, round(r2,6) AS factor_r2, n_pairs, round(strongest,6) AS strongest_pair,
+ (m3.n>=30)::INT+(sharpe>0.5)::INT+coalesce((t_alpha>2)::INT,0)+(consistency>=0.6)::INT+(percentile>=95)::INT AS passed FROM m3 JOIN rp USING (strategy_id) LEFT JOIN rg USING (strategy_id) LEFT JOIN wf USING (strategy_id) JOIN pc USING (strategy_id) JOIN (SELECT * FROM load WHERE term='market') USING (strategy_id), hc""")))
 def evaluation_report(spark, sf_dir):
     """One JSON document per strategy with all of the evaluation's parts, read back for its main figures."""
     panel = staged(frame(spark, sf_dir), "frame")
     rets = staged(returns(spark, sf_dir), "periods")
-    r = staged(backtest.without_feedback(panel, rets, DATES, VARIANTS), "returns")
-    members = staged(asof.universe_as_of(domain.membership(spark, sf_dir), domain.bars(spark, sf_dir), DATES), "universe")
-    trials = resample.random_portfolios(members.filter(F.col("as_of") < F.lit(END)), rets, _ITER, 5)
+    runs = staged(backtest.without_feedback(panel, rets, DATES, VARIANTS, [_ALL, *SPANS]), "runs")
+    r = runs.filter("run = 'all'").drop("run")
+    trials = resample.random_portfolios(staged(members(spark, sf_dir), "universe"), rets, DATES, _LEGS, _ITER)
     factors = metrics.ols(r.join(factor_returns(spark, sf_dir), "as_of"), "ret", ["market", "momentum", "value", "quality"])
-    middle = panel.filter((F.col("as_of") >= F.lit(date(2000, 1, 1))) & (F.col("as_of") < F.lit(date(2001, 1, 1))))
-    doc = evaluate.report(r, benchmark_returns(spark, sf_dir), backtest.equal_weight_market(rets, DATES), evaluate.walk_forward(r, _FOLDS), trials, factors, correlations(middle), years=YEARS)
+    middle = traded_frame(spark, sf_dir, [d for d in DATES if date(2000, 1, 1) <= d < date(2001, 1, 1)])
+    folds = evaluate.walk_forward_runs(runs.filter("run <> 'all'"), len(SPANS))
+    placed = resample.percentile_of(trials, own_sharpe(r, VARIANTS))
+    doc = evaluate.report(r, benchmark_returns(spark, sf_dir), backtest.equal_weight_market(rets, DATES), folds, placed, factors, correlations(middle), years=YEARS)
     d = doc.select("strategy_id", "passed", F.from_json("document", evaluate.REPORT).alias("d"))
     bull = F.get(F.filter("d.regimes", lambda g: g.regime == "Bull"), F.lit(0))
     market = F.get(F.filter("d.factors.loadings", lambda g: g.term == "market"), F.lit(0))

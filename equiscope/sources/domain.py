@@ -78,7 +78,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.struct(F.lit(45).alias("lag"), "rev", "disc", "tax", "qty")
     amended = F.when(F.col("n_a") > 0, F.struct(F.lit(120).alias("lag"), *(F.col(f"{c}_a").alias(c) for c in ("rev", "disc", "tax", "qty"))))
     both = sums.select("ticker", "calendardate", F.explode(F.array_compact(F.array(first, amended))).alias("v")).select("ticker", "calendardate", F.date_add("calendardate", F.col("v.lag")).alias("datekey"), "v.*")
-    made = [F.round(sum(w * F.col(c) for w, c in zip(ws, ("rev", "disc", "tax", "qty"), strict=True)), 4).alias(name) for name, ws in STATEMENT.items()]
+    made = [F.expr("round(" + " + ".join(f"{w!r}D * {c}" for w, c in zip(ws, ("rev", "disc", "tax", "qty"), strict=True)) + f", 4) as {name}") for name, ws in STATEMENT.items()]
     rows = both.select("ticker", "calendardate", "datekey", *made)
     ratio = F.try_divide(F.col("cashnequsd") + F.col("receivables"), F.col("payables") + 0.1 * F.col("revenue"))
     return rows.withColumn("currentratio", ratio).withColumn("grossmargin", F.try_divide(F.col("revenue") - F.col("cor"), F.col("revenue")))

@@ -1,6 +1,7 @@
 """Backtests over spans and strategy tables against a plain loop."""
 
 import random
+from datetime import date
 from datetime import date as D
 
 import pandas as pd
@@ -100,3 +101,19 @@ def test_spans_must_lie_on_the_calendar(spark):
         screen.strategy_table(spark, [Spec("x", filters=(("no_such", {}),))])
     with pytest.raises(screen.SpecError):
         screen.strategy_table(spark, [Spec("x", signals={"no_such": 1.0})])
+
+
+def test_dates_are_found_without_trying_all(spark):
+    rng = random.Random(7)
+    day = lambda n: date.fromordinal(D(2000, 1, 1).toordinal() + n)
+    lists = [calendar.rebalance_dates(D(2000, 1, 1), D(2009, 6, 1)), calendar.rebalance_dates(D(2000, 1, 1), D(2003, 6, 1), "weekly"), calendar.rebalance_dates(D(2000, 2, 1), D(2008, 1, 1), "quarterly"), sorted({day(rng.randrange(900)) for _ in range(40)} | {day(3000)}), [day(5), day(9)]]
+    rows = [(day(a), None if rng.random() < 0.1 else day(a + rng.choice([0, 1, 20, 31, 400, -3]))) for a in (rng.randrange(-60, 3600) for _ in range(400))] + [(d, d) for own in lists for d in own[:5] + own[-3:]]
+    df = spark.createDataFrame(rows, "a date, b date")
+    for dates in lists:
+        for low_in in (False, True):
+            for high_in in (False, True):
+                at = calendar.dates_between(dates, F.col("a"), F.col("b"), low_in, high_in)
+                for r in df.select("a", "b", at.alias("at"), F.size(calendar.period_of(dates, F.col("a"))).alias("n"), F.get(calendar.period_of(dates, F.col("a")), F.lit(0)).alias("p")).collect():
+                    assert r["at"] == [d for d in dates if (d >= r["a"] if low_in else d > r["a"]) and (r["b"] is None or (d <= r["b"] if high_in else d < r["b"]))]
+                    own = [(x, y) for x, y in zip(dates, dates[1:]) if x <= r["a"] < y]
+                    assert r["n"] == len(own) and (not own or tuple(r["p"]) == own[0])
