@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,6 +59,7 @@ def members_as_of(members: DataFrame, dates: list[date]) -> DataFrame:
 def tradeable_as_of(bars: DataFrame, dates: list[date], lookback: int = 30) -> DataFrame:
     """(as_of, ticker) with a bar within lookback days before the date, both ends included."""
     at = dates_between(dates, F.col("date"), F.date_add("date", lookback), low_in=True)
+    bars = bars.filter(F.col("date").between(F.lit(min(dates) - timedelta(days=lookback)), F.lit(max(dates))))
     return bars.select("ticker", F.explode(at).alias("as_of")).distinct()
 
 

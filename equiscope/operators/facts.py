@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from equiscope.functions.scalar import clip, growth, ratio
 from equiscope.operators import asof
 from equiscope.operators.asof import latest_filing
+from equiscope.operators.calendar import dates_between
 
 
 def statement_fields() -> dict[str, Column]:
@@ -64,10 +65,39 @@ def annual_facts(filings: DataFrame) -> DataFrame:
     return to_facts(rows, margins(), "calendardate", F.col("datekey").cast("timestamp"), "ary")
 
 
+def _compared(filings: DataFrame) -> DataFrame:
+    return asof.with_compared(filings, compared_periods(), ["revenue", "eps", "sgna", "grossmargin", "opinc"])
+
+
+def filing_fields() -> dict[str, Column]:
+    return statement_fields() | comparisons() | margins()
+
+
+def filings_known(filings: DataFrame, dates: list[date], fields: list[str] | None = None) -> DataFrame:
+    """(as_of, ticker, a column per field): what filing_facts, facts_as_of and a pivot give, without taking the rows apart.
+
+    A filing stays one row. Per field a running maximum by (report date, observation) over the ticker's filings is what is known from
+    it on, until the next one; the dates between are read off. One shuffle on ticker after the comparisons, of rows that are
+    as many as filings, and none for the pivot. What is observed after the last date is left out before the windows.
+    A row is a ticker with any field at the date; a field that filings don't have is null.
+    """
+    made = filing_fields()
+    names = [f for f in fields or list(made) if f in made]
+    seen = _compared(filings.filter(F.col("calendardate") <= F.lit(max(dates)))).filter(F.col("datekey") <= F.lit(max(dates)))
+    rows = seen.select("ticker", F.col("calendardate").alias("r"), F.col("datekey").alias("o"), *(F.round(made[f].cast("double"), 9).alias(f) for f in names))
+    order = Window.partitionBy("ticker").orderBy("o")
+    known = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    best = {f"_{f}": F.max(F.when(F.col(f).isNotNull(), F.struct("r", "o", F.col(f).alias("v")))).over(known) for f in names}
+    until = F.lead("o").over(order)  # of several filings on a day all but the last serve no date
+    rows = rows.withColumns({**best, "_until": until}).filter(F.coalesce(*(F.col(f"_{f}.r") for f in names)).isNotNull())
+    at = dates_between(dates, F.col("o"), F.col("_until"), low_in=True, high_in=False)
+    empty = [F.lit(None).cast("double").alias(f) for f in fields or [] if f not in made]
+    return rows.select(F.explode(at).alias("as_of"), "ticker", *(F.col(f"_{f}.v").alias(f) for f in names), *empty)
+
+
 def filing_facts(filings: DataFrame) -> DataFrame:
     """quarterly_facts and annual_facts of the same filings in one pass over them."""
-    rows = asof.with_compared(filings, compared_periods(), ["revenue", "eps", "sgna", "grossmargin", "opinc"])
-    out = to_facts(rows, statement_fields() | comparisons() | margins(), "calendardate", F.col("datekey").cast("timestamp"), "arq")
+    out = to_facts(_compared(filings), filing_fields(), "calendardate", F.col("datekey").cast("timestamp"), "arq")
     return out.withColumn("source", F.when(F.col("field").isin(list(margins())), "ary").otherwise("arq"))
 
 

@@ -31,9 +31,10 @@ def rolled(bars: DataFrame) -> DataFrame:
 def features_as_of(bars: DataFrame, dates: list[date], load_from: date | None = None) -> DataFrame:
     """(as_of, ticker, close, avg_volume_20d, features): strictly before each date, from its latest bar.
 
-    load_from bounds the scan; only bars after it count, also in n_days.
+    load_from bounds the scan; only bars after it count, also in n_days. Bars from the last date on are not read.
     """
-    b = bars if load_from is None else bars.filter(F.col("date") >= F.lit(load_from))
+    b = bars.filter(F.col("date") < F.lit(max(dates)))
+    b = b if load_from is None else b.filter(F.col("date") >= F.lit(load_from))
     at = dates_between(dates, F.col("date"), F.col("next_date"))
     return rolled(b).withColumn("as_of", F.explode(at)).select("as_of", "ticker", "close", "avg_volume_20d", *FEATURES, "trailing_return")
 

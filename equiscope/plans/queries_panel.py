@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from equiscope.functions.normalize import zscores
 from equiscope.functions.scalar import periods_per_year
-from equiscope.operators import asof, calendar, portfolio, rolling, signals
+from equiscope.operators import asof, calendar, facts, portfolio, rolling, signals
 from equiscope.plans import screen
 from equiscope.plans.catalog import query
 from equiscope.plans.queries_tables import FACTS, all_facts
@@ -106,9 +106,14 @@ def rounded(df, *cols, digits: int = 6):
 
 def frame(spark, sf_dir, dates=DATES):
     """What a screen sees at every date: the members that trade then, and nothing of names that left or came later."""
-    bars = domain.bars(spark, sf_dir)
+    bars = domain.bars(spark, sf_dir, max(dates))
     members = asof.universe_as_of(domain.membership(spark, sf_dir), bars, dates)
-    return screen.screening_frame(all_facts(spark, sf_dir), bars, domain.sectors(spark, sf_dir), dates, members)
+    return screen.framed(known(spark, sf_dir, dates), bars, domain.sectors(spark, sf_dir), dates, members)
+
+
+def known(spark, sf_dir, dates=DATES, fields=FIELDS):
+    """(as_of, ticker, fields) of the filings that were public at every date; what came later is not read."""
+    return facts.filings_known(domain.statements(spark, sf_dir, max(dates)), dates, fields)
 
 
 def returns(spark, sf_dir, dates=DATES):
@@ -171,8 +176,12 @@ def features_in_loaded_window(spark, sf_dir):
 
 @query("b02_screening_frame", using(*PANEL[:8], query="SELECT as_of, ticker, sector, close, n_days, round(roe,6) AS roe, round(market_cap,6) AS market_cap, round(fcf_yield,6) AS fcf_yield, round(gross_margin_prior,6) AS gross_margin_prior, round(rev_growth_current,6) AS rev_growth_current, round(realized_vol_20d,6) AS realized_vol_20d FROM frame"))
 def screening_frame(spark, sf_dir):
+    """The frame from a long table of facts, as a fact log gives it; the other queries keep filings wide."""
     nums = ["roe", "market_cap", "fcf_yield", "gross_margin_prior", "rev_growth_current", "realized_vol_20d"]
-    return rounded(frame(spark, sf_dir), *nums).select("as_of", "ticker", "sector", "close", "n_days", *nums)
+    bars = domain.bars(spark, sf_dir)
+    members = asof.universe_as_of(domain.membership(spark, sf_dir), bars, DATES)
+    f = screen.screening_frame(all_facts(spark, sf_dir), bars, domain.sectors(spark, sf_dir), DATES, members)
+    return rounded(f, *nums).select("as_of", "ticker", "sector", "close", "n_days", *nums)
 
 
 @query("f01_f05_filter_chain", using(*PANEL[:8], query="""SELECT as_of, step, filter, before, after, before-after AS removed FROM (SELECT as_of, unnest([1,2,3,4]) AS step, unnest(['momentum_cap','market_cap','volume','low_volatility']) AS filter, unnest([n0,n1,n2,n3]) AS before, unnest([n1,n2,n3,n4]) AS after FROM

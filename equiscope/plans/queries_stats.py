@@ -10,8 +10,7 @@ from equiscope.functions import scalar
 from equiscope.operators import asof, calendar, metrics, portfolio, resample, rolling
 from equiscope.plans import backtest, evaluate, research, screen
 from equiscope.plans.catalog import query
-from equiscope.plans.queries_panel import CAL, DATES, END, EQUAL, FRAMED, INVERSE, PANEL, RETS, START, TRADEABLE, UNIVERSE, frame, returns, rounded, scores_sql
-from equiscope.plans.queries_tables import all_facts
+from equiscope.plans.queries_panel import CAL, DATES, END, EQUAL, FRAMED, INVERSE, PANEL, RETS, START, TRADEABLE, UNIVERSE, frame, known, returns, rounded, scores_sql
 from equiscope.plans.screen import Spec
 from equiscope.sources import domain
 from equiscope.sources.domain_sql import BARS, BENCHMARK, MEMBERSHIP, using
@@ -216,7 +215,7 @@ _FACTOR = f"""{TRADEABLE},
 def factor_returns(spark, sf_dir):
     b = domain.bars(spark, sf_dir)
     u = asof.tradeable_as_of(b, DATES)
-    return evaluate.factor_returns(screen.pivoted(asof.facts_as_of(all_facts(spark, sf_dir), DATES), ["as_of", "ticker"], ["earnings_yield", "roe"]), rolling.features_as_of(b, DATES), rolling.period_returns(b, DATES), u)
+    return evaluate.factor_returns(known(spark, sf_dir, DATES, ["earnings_yield", "roe"]), rolling.features_as_of(b, DATES), rolling.period_returns(b, DATES), u)
 
 
 @query("a24_factor_returns", using(*PANEL[:7], RETS, _FACTOR, query="SELECT as_of, round(market,6) AS market, round(momentum,6) AS momentum, round(value,6) AS value, round(quality,6) AS quality FROM fac"))
@@ -264,8 +263,8 @@ def signal_correlations(spark, sf_dir):
 
 def traded_frame(spark, sf_dir, dates=DATES):
     """The screening frame of everything that trades, whether in an index or not."""
-    bars = domain.bars(spark, sf_dir)
-    return screen.screening_frame(all_facts(spark, sf_dir), bars, domain.sectors(spark, sf_dir), dates, asof.tradeable_as_of(bars, dates))
+    bars = domain.bars(spark, sf_dir, max(dates))
+    return screen.framed(known(spark, sf_dir, dates), bars, domain.sectors(spark, sf_dir), dates, asof.tradeable_as_of(bars, dates))
 
 
 def correlations(panel):

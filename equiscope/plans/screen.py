@@ -56,11 +56,15 @@ def screening_frame(facts: DataFrame, bars: DataFrame, sectors: DataFrame, dates
     (as_of, ticker), only its names. What was observed after the last date is not read on.
     """
     seen = facts.filter(F.col("observed_at") <= F.lit(max(dates)).cast("timestamp"))
-    wide = pivoted(facts_as_of(seen, dates), ["as_of", "ticker"], FIELDS)
+    return framed(pivoted(facts_as_of(seen, dates), ["as_of", "ticker"], FIELDS), bars, sectors, dates, universe, load_from)
+
+
+def framed(known: DataFrame, bars: DataFrame, sectors: DataFrame, dates: list[date], universe: DataFrame | None = None, load_from: date | None = None) -> DataFrame:
+    """The screening frame of facts that are wide already, as facts.filings_known gives them."""
     if universe is not None:
-        wide = wide.join(universe, ["as_of", "ticker"], "left_semi")
+        known = known.join(universe, ["as_of", "ticker"], "left_semi")
     market = features_as_of(bars, dates, load_from).select("as_of", "ticker", "close", "avg_volume_20d", *FEATURES)
-    return wide.join(market, ["as_of", "ticker"], "left").join(sectors, "ticker", "left")
+    return known.join(market, ["as_of", "ticker"], "left").join(sectors, "ticker", "left")
 
 
 def standardized(frame: DataFrame, chain: list[tuple[str, dict]], names: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ the order of a distributed sum never decides a rank.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,15 @@ def ticker(col: str) -> Column:
     return F.col(col).cast("string").alias("ticker")
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, until: date | None = None) -> DataFrame:
+    """Line items, with until those shipped by then: the bound reaches the scan."""
+    line = read(spark, sf_dir, "lineitem")
+    return line if until is None else line.filter(F.col("l_shipdate") <= F.lit(until))
+
+
+def bars(spark: SparkSession, sf_dir: str, until: date | None = None) -> DataFrame:
     """(ticker, date, open, high, low, close, volume): daily bars at discounted retail prices."""
-    line = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_discount", "l_quantity")
+    line = lines(spark, sf_dir, until).select("l_partkey", "l_suppkey", "l_shipdate", "l_discount", "l_quantity")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     price = F.col("p_retailprice") * (1 - F.col("l_discount"))
     by_day = line.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(ticker("l_suppkey"), F.to_date("l_shipdate").alias("date"))
@@ -63,9 +71,12 @@ def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(ticker("s_suppkey"), F.when(F.col("s_suppkey") % 13 != 0, F.col("n_name")).alias("sector"))
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ticker, calendardate, datekey, raw columns): each quarter's filing after 45 days, and an amendment without returns after 120."""
-    line = read(spark, sf_dir, "lineitem")
+def statements(spark: SparkSession, sf_dir: str, until: date | None = None) -> DataFrame:
+    """(ticker, calendardate, datekey, raw columns): each quarter's filing after 45 days, and an amendment without returns after 120.
+
+    With until, all filings that are public by then, as they are without it; later ones may be there too, and incomplete.
+    """
+    line = lines(spark, sf_dir, until)
     quarter = F.last_day(F.add_months(F.trunc("l_shipdate", "quarter"), 2))
     price, kept = F.col("l_extendedprice"), F.col("l_returnflag") != "R"
 
