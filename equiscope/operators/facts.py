@@ -85,13 +85,17 @@ def filings_known(filings: DataFrame, dates: list[date], fields: list[str] | Non
     names = [f for f in fields or list(made) if f in made]
     seen = _compared(filings.filter(F.col("calendardate") <= F.lit(max(dates)))).filter(F.col("datekey") <= F.lit(max(dates)))
     rows = seen.select("ticker", F.col("calendardate").alias("r"), F.col("datekey").alias("o"), *(F.round(made[f].cast("double"), 9).alias(f) for f in names))
+    empty = [F.lit(None).cast("double").alias(f) for f in fields or [] if f not in made]
+    newest = lambda f: F.max(F.when(F.col(f).isNotNull(), F.struct("r", "o", F.col(f).alias("v"))))
+    if len(dates) == 1:  # one date needs no windows: the newest of each field, combined before the shuffle
+        one = rows.groupBy("ticker").agg(*(newest(f).alias(f"_{f}") for f in names)).filter(F.coalesce(*(F.col(f"_{f}.r") for f in names)).isNotNull())
+        return one.select(F.lit(dates[0]).alias("as_of"), "ticker", *(F.col(f"_{f}.v").alias(f) for f in names), *empty)
     order = Window.partitionBy("ticker").orderBy("o")
     known = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    best = {f"_{f}": F.max(F.when(F.col(f).isNotNull(), F.struct("r", "o", F.col(f).alias("v")))).over(known) for f in names}
+    best = {f"_{f}": newest(f).over(known) for f in names}
     until = F.lead("o").over(order)  # of several filings on a day all but the last serve no date
     rows = rows.withColumns({**best, "_until": until}).filter(F.coalesce(*(F.col(f"_{f}.r") for f in names)).isNotNull())
     at = dates_between(dates, F.col("o"), F.col("_until"), low_in=True, high_in=False)
-    empty = [F.lit(None).cast("double").alias(f) for f in fields or [] if f not in made]
     return rows.select(F.explode(at).alias("as_of"), "ticker", *(F.col(f"_{f}.v").alias(f) for f in names), *empty)
 
 

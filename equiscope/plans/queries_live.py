@@ -14,6 +14,7 @@ from equiscope.plans.queries_panel import rounded
 from equiscope.sources import domain
 from equiscope.sources.domain_sql import ACCOUNT_OBS, BARS, BENCHMARK, using
 from equiscope.sources.stage import scratch
+from equiscope.sources.versioned import Versioned
 from equiscope.streaming import ingest
 
 SINCE = date(1994, 1, 1)
@@ -309,3 +310,20 @@ def streamed_fact_upsert(spark, sf_dir):
     q = s.writeStream.foreachBatch(ingest.upsert_facts(f"{at}/table", ["ticker", "field"], ["ts", "event_id"])).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return ingest.current_facts(spark.read.parquet(f"{at}/table"), ["ticker", "field"], ["ts", "event_id"]).select("ticker", "field", "value")
+
+
+_FACT_LOG = "ticker string, field string, value double, ts timestamp_ntz, event_id bigint"
+
+
+@query("x02_compacted_while_streaming", "SELECT CAST(user_id AS VARCHAR) AS ticker, event_type AS field, arg_max(value,(ts,event_id)) AS value FROM events GROUP BY ALL")
+def compacted_while_streaming(spark, sf_dir):
+    """The same table under versions, compacted while batches come: every second batch, and once more at the end."""
+    at = scratch(spark, "stream")
+    e = domain.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("ticker"), F.col("event_type").alias("field"), "value", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
+    e.repartitionByRange(6, "ts", "event_id").write.parquet(f"{at}/in")
+    table, keys, order = Versioned(spark, f"{at}/table", _FACT_LOG), ["ticker", "field"], ["ts", "event_id"]
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    s.writeStream.foreachBatch(ingest.upsert_versioned(table, keys, order, compact_after=2)).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    ingest.compact(table, keys, order)
+    table.clean(keep=1)
+    return table.read().select("ticker", "field", "value")

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from equiscope.functions.normalize import zscores
 from equiscope.functions.scalar import periods_per_year
 from equiscope.operators import asof, calendar, facts, portfolio, rolling, signals
-from equiscope.plans import screen
+from equiscope.plans import screen, views
 from equiscope.plans.catalog import query
 from equiscope.plans.queries_tables import FACTS, all_facts
 from equiscope.plans.screen import Spec
-from equiscope.sources import domain
+from equiscope.sources import domain, sinks
 from equiscope.sources.domain_sql import BARS, MEMBERSHIP, SECTORS, using
 from equiscope.sources.schemas import FIELDS
+from equiscope.sources.stage import scratch
 
 START, END = date(1997, 1, 1), date(2001, 11, 1)
 DATES = calendar.rebalance_dates(START, END)
@@ -217,6 +218,36 @@ def screen_all_dates(spark, sf_dir):
     return rounded(screen.screen(frame(spark, sf_dir), BASE), "target_weight").select("as_of", "ticker", "rank", "composite_score", "target_weight")
 
 
+def _through(spark, sf_dir, kind):
+    """The picks of all dates, through files of a kind and back."""
+    rows = screen_all_dates(spark, sf_dir)
+    at = scratch(spark, f"ranked-{kind}")
+    sinks.put(rows, at, kind, ["as_of", "rank"])
+    return sinks.get(rows, at, kind)
+
+
+_RANKED = using(*PANEL, EQUAL, query="SELECT as_of, ticker, rank, composite_score, round(target_weight,6) AS target_weight FROM wts")
+
+
+@query("s15_json_sink", _RANKED)
+def json_sink(spark, sf_dir):
+    return _through(spark, sf_dir, "json")
+
+
+@query("s16_csv_sink", _RANKED)
+def csv_sink(spark, sf_dir):
+    return _through(spark, sf_dir, "csv")
+
+
+@query("v01_sql_over_stages", using(*PANEL, RETS, query="""SELECT p.sector, count(*) AS n, round(avg(t.composite_score),6) AS mean_score, round(avg(r.ret),6) AS mean_ret, round(max(p.roe),6) AS best_roe
+ FROM top t JOIN frame p ON p.as_of=t.as_of AND p.ticker=t.ticker LEFT JOIN rets r ON r.as_of=t.as_of AND r.ticker=t.ticker GROUP BY p.sector"""))
+def sql_over_stages(spark, sf_dir):
+    """A user's statement over the stages of a screen, which are views by their names."""
+    v = views.Views(spark, sf_dir, START, END, BASE)
+    return v.sql("""SELECT p.sector, count(*) AS n, round(avg(t.composite_score), 6) AS mean_score, round(avg(r.ret), 6) AS mean_ret, round(max(p.roe), 6) AS best_roe
+        FROM picks t JOIN panel p ON p.as_of = t.as_of AND p.ticker = t.ticker LEFT JOIN returns r ON r.as_of = t.as_of AND r.ticker = t.ticker GROUP BY p.sector""")
+
+
 @query("b06_screen_inverse_vol", using(BARS, SECTORS, FACTS, ONE_CAL, LONG, WIDE, ROLLED, FRAME, FILTERED, SCORED, TOP, INVERSE, query="SELECT as_of, ticker, rank, composite_score, round(target_weight,6) AS target_weight FROM wts"))
 def screen_inverse_vol(spark, sf_dir):
     """The flagship: one cross-section, ranked and weighted by inverse volatility."""
