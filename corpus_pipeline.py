@@ -11,26 +11,38 @@ from equiscope.llm import decontaminate, exact, langid, minhash, mixing
 from equiscope.llm.common import staged
 
 
-def with_key(docs: DataFrame, null_last: bool) -> DataFrame:
-    """docs with `_id`: the id, or for a row without one a hash of its columns, beyond all other ids on one side."""
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def with_key(docs: DataFrame, name: str, null_last: bool) -> DataFrame:
+    """docs with a key: the id, or for a row without one a hash of its columns, beyond all other ids on one side."""
     h = F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 61)) + F.lit(1 << 62)
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), h if null_last else -h))
+    return docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), h if null_last else -h))
 
 
 def judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], null_last: bool) -> DataFrame:
     """The rows whose ids `judge` gives; rows of one id with different texts stay or go together, and stay if one of them does."""
-    keyed = with_key(docs, null_last)
-    kept = judge(keyed.withColumn("doc_id", F.col("_id")).select(docs.columns)).select(F.col("doc_id").alias("_id")).distinct()
-    return keyed.join(kept, "_id", "left_semi").select(docs.columns)
+    key = free(docs, "_id")
+    keyed = with_key(docs, key, null_last)
+    kept = judge(keyed.withColumn("doc_id", F.col(key)).select(docs.columns)).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the language model, learned from the labelled rows that are not held out, rejects.
 
     A null text, or one without a letter, is rejected; rows without an id are judged as any other; repeated rows all stay.
+    Columns go by place past the prediction, so that none of theirs can meet one of its own.
     """
     model = langid.fit(docs.filter(~langid.held_out()))
-    return langid.predict(docs, model, keep=docs.columns).filter(~F.col("rejected")).select(docs.columns)
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    text = places[docs.columns.index("text")]
+    return langid.predict(docs.toDF(*places), model, text_col=text, keep=places).filter(~F.col("rejected")).select(places).toDF(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +50,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null counts as the empty text. A row is told by its id and text, so rows of one id with other texts are judged apart.
     """
-    keyed = with_key(docs, null_last=False).withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256))
-    kept = exact.exact_dedup(keyed.withColumn("doc_id", F.col("_id")).select(docs.columns)).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text")).distinct()
-    return keyed.join(kept, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select(docs.columns)
+    key, text = free(docs, "_id"), free(docs, "_text")
+    keyed = with_key(docs, key, null_last=False).withColumn(text, F.sha2(F.coalesce("text", F.lit("")), 256))
+    kept = exact.exact_dedup(keyed.withColumn("doc_id", F.col(key)).select(docs.columns)).filter("kept")
+    kept = kept.select(F.col("doc_id").alias(key), F.col("text_sha256").alias(text)).distinct()
+    return keyed.join(kept, [key, text], "left_semi").dropDuplicates([key, text]).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

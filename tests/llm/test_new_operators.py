@@ -237,3 +237,23 @@ def test_exception_index_in_both_directions():
         for k in range(len(t) + 1):
             at = len(t[:k].encode())
             assert x.to_byte(k) == at and x.to_char(at) == k and b[:at].decode() == t[:k]
+
+
+# the pipeline
+
+
+def test_stages_give_extra_columns_back(spark, sf):
+    """Columns that carry names which stages use inside come through with their values."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    extra = {"_id": F.lit("mine"), "_text": F.lit("kept"), "score": F.col("doc_id") + 1, "rejected": F.lit("no"), "lang_pred": F.lit(7), "kept": F.lit(1.5), "c0": F.lit("c"), "_id_": F.lit("too"), "text_sha256": F.lit("t"), "contaminated": F.lit("x")}
+    plain = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = plain.withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert {r["doc_id"] for r in stage(spark, plain, sf).collect()} == set(got), name
+        assert all((r["_id"], r["_text"], r["score"], r["rejected"], r["lang_pred"], r["kept"], r["c0"], r["_id_"], r["text_sha256"], r["contaminated"]) == ("mine", "kept", i + 1, "no", 7, 1.5, "c", "too", "t", "x") for i, r in got.items()), name
+    assert corpus_pipeline.mixed(spark, docs, sf).count() == docs.count()
