@@ -59,12 +59,6 @@ def margins() -> dict[str, Column]:
     return {"gross_margin_current": c("grossmargin"), "op_margin_current": ratio(c("opinc"), c("revenue")), "gross_margin_prior": c("grossmargin_a"), "op_margin_prior": ratio(c("opinc_a"), c("revenue_a"))}
 
 
-def annual_facts(filings: DataFrame) -> DataFrame:
-    """Margins of a filing and of the period before it."""
-    rows = asof.with_compared(filings, {"a": F.col("prev_period")}, ["grossmargin", "opinc", "revenue"])
-    return to_facts(rows, margins(), "calendardate", F.col("datekey").cast("timestamp"), "ary")
-
-
 def _compared(filings: DataFrame) -> DataFrame:
     return asof.with_compared(filings, compared_periods(), ["revenue", "eps", "sgna", "grossmargin", "opinc"])
 
@@ -100,7 +94,7 @@ def filings_known(filings: DataFrame, dates: list[date], fields: list[str] | Non
 
 
 def filing_facts(filings: DataFrame) -> DataFrame:
-    """quarterly_facts and annual_facts of the same filings in one pass over them."""
+    """quarterly_facts, and the margins of a filing and of the period before it, in one pass over the filings."""
     out = to_facts(_compared(filings), filing_fields(), "calendardate", F.col("datekey").cast("timestamp"), "arq")
     return out.withColumn("source", F.when(F.col("field").isin(list(margins())), "ary").otherwise("arq"))
 

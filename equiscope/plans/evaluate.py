@@ -37,14 +37,6 @@ def factor_returns(facts: DataFrame, features: DataFrame, returns: DataFrame, un
     return f.join(names, "as_of").select("as_of", *(F.when(ok, c).otherwise(0.0).alias(k) for k, c in filled.items()))
 
 
-def walk_forward(returns: DataFrame, folds: list[tuple[date, date, date]], ppy: int = 12) -> DataFrame:
-    """(strategy_id, fold, test_start, test_end, n, sharpe, consistency): each fold's test window, and the share of positive ones."""
-    rows = F.array(*(F.struct(F.lit(i).alias("fold"), F.lit(b).alias("test_start"), F.lit(c).alias("test_end")) for i, (_, b, c) in enumerate(folds)))
-    inside = returns.withColumn("f", F.explode(F.filter(rows, lambda f: (f.test_start <= F.col("as_of")) & (F.col("as_of") < f.test_end)))).select("strategy_id", "ret", "f.*")
-    s = inside.groupBy("strategy_id", "fold", "test_start", "test_end").agg(F.count("ret").alias("n"), sharpe(F.lit(ppy), F.stddev_samp("ret"), F.avg("ret")).alias("sharpe"))
-    return s.withColumn("consistency", F.avg((F.col("sharpe") > 0).cast("double")).over(Window.partitionBy("strategy_id")))
-
-
 def walk_forward_runs(runs: DataFrame, folds: int, ppy: int = 12) -> DataFrame:
     """(strategy_id, run, test_start, n, swaps, sharpe, total_return, max_drawdown, consistency) of folds that were run on their own.
 
