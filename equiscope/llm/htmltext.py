@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -74,6 +75,7 @@ class Page:
         self.paths: dict[int, int] = {}
         self.before: dict[int, int] = {0: 0}
         self.stack: list[tuple[str, int, bool, bool, int]] = []  # (tag, path of its block, outside, in the article, evidence)
+        self.open: Counter[str] = Counter()  # elements on the stack by tag: an end tag without one need not look for it
         self.parts: list[str] = []
         self.linked = self.links = 0
         i, n = 0, len(source)
@@ -122,6 +124,7 @@ class Page:
         path, outside, inside, evidence = self._here()
         if tag in INLINE and not out and not maybe:
             self.stack.append((tag, path, outside, inside, evidence))
+            self.open[tag] += 1
             self.links += tag == "a"
             return
         self._flush()
@@ -141,17 +144,21 @@ class Page:
             if tag in ("article", "main") and not inside and not outside:
                 self.articles.append(evidence)
             self.stack.append((tag, path, outside or out, inside or tag in ("article", "main"), evidence))
+            self.open[tag] += 1
             self.links += tag == "a"
             self.paths[path] = self.paths.get(path, 0) + 1
 
     def _close(self, tag: str, within: set[str] | None = None) -> None:
         """Close the nearest such element; not past one of `within`, nor, for an implied end, past another block."""
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             t = self.stack[k][0]
             if t == tag:
                 if tag not in INLINE or self.stack[k][1] != (self.stack[k - 1][1] if k else ""):
                     self._flush()
                 self.links -= sum(s[0] == "a" for s in self.stack[k:]) if self.links else 0
+                self.open.subtract(s[0] for s in self.stack[k:])
                 del self.stack[k:]
                 return
             if within is not None and (t in within or not within and t not in INLINE):

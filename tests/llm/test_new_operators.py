@@ -257,3 +257,16 @@ def test_stages_give_extra_columns_back(spark, sf):
         assert {r["doc_id"] for r in stage(spark, plain, sf).collect()} == set(got), name
         assert all((r["_id"], r["_text"], r["score"], r["rejected"], r["lang_pred"], r["kept"], r["c0"], r["_id_"], r["text_sha256"], r["contaminated"]) == ("mine", "kept", i + 1, "no", 7, 1.5, "c", "too", "t", "x") for i, r in got.items()), name
     assert corpus_pipeline.mixed(spark, docs, sf).count() == docs.count()
+
+
+# 10
+
+
+def test_end_tags_without_an_element_cost_nothing():
+    import time
+
+    from equiscope.llm import htmltext
+
+    began = time.time()
+    page = htmltext.Page("<p>" + "<b>x" * 20000 + "</i>" * 20000 + " end")
+    assert time.time() - began < 2 and page.blocks[-1][1].endswith("end")
