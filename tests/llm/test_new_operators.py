@@ -270,3 +270,48 @@ def test_end_tags_without_an_element_cost_nothing():
     began = time.time()
     page = htmltext.Page("<p>" + "<b>x" * 20000 + "</i>" * 20000 + " end")
     assert time.time() - began < 2 and page.blocks[-1][1].endswith("end")
+
+
+def test_names_against_the_article_hold_whatever_their_size():
+    from equiscope.llm.htmltext import article
+
+    story, long = "<p>A short story.</p>", "<p>" + "and much more of this " * 50 + "</p>"
+    for beside in (f"<div class=comments>{long}</div>", f"<div id=cookie-notice>{long}</div>", f"<div class=menu>{long}</div>", f"<form>{long}</form>", f"<div role=dialog>{long}</div>"):
+        assert article(f"<body><div>{story}</div>{beside}</body>", set()) == "A short story.", beside
+        assert article(f"<body>{beside}<article>{story}</article></body>", set()) == "A short story.", beside
+    assert article("<form><p>hello form</p></form>", set()) == ""
+    assert article(f"<form id=page><div class=menu>{long}</div><h1>Head</h1>{story}</form>", set()) == "Head A short story."
+    both = article("<div class=content>story</div><article>teaser one</article><article>teaser two</article>", set())
+    assert both.startswith("story")
+
+
+def test_main_slot_follows_nested_classes():
+    from equiscope.llm.htmltext import main_slot
+
+    page = [(1, 0, 4000), (2, 1, 4000), (3, 2, 3800), (4, 2, 200), (5, 3, 2000), (6, 3, 1800)]
+    assert main_slot(page, 0.8) == 3
+    assert main_slot([(1, 0, 600), (2, 0, 400)], 0.8) is None
+    assert main_slot([], 0.8) is None
+
+
+def test_classes_find_articles_without_any_names(spark):
+    """Elements of the table's pages as div without class, id or role: of a host with two pages that differ, articles are what they are with names."""
+    from pyspark.sql import functions as F
+
+    from equiscope.llm import htmltext
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = F.regexp_replace(F.regexp_replace("html", r"<(/?)(nav|header|footer|aside|article|main)\b", "<$1div"), r'<div class="[^"]*">', "<div>")
+    named = {r["page_id"]: r["text"] for r in htmltext.main_text(pages).collect()}
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(pages.withColumn("html", bare)).collect()}
+    assert all(set(named[k].split()) <= set(got[k].split()) for k in named)
+    assert sum(got[k] == named[k] for k in named) >= 0.9 * len(named)
+
+
+def test_headings_around_the_main_slot_stay(spark):
+    from equiscope.llm import htmltext
+
+    page = "<body><div>Buy now at shop {i}</div><div><h2>Head {i}</h2><div>" + "<p>One of {i} and more text of this kind.</p>" * 6 + "</div></div><div>seen {i} times</div></body>"
+    rows = [(i, f"http://s.example/{i}", page.replace("{i}", f"n{i}")) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join([f"Head n{i}"] + [f"One of n{i} and more text of this kind."] * 6) for i in range(5)}
