@@ -88,14 +88,26 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 SLOTS = 1 << 20
+#: prefix rows of one token and length class that one task sets against the rows that look for partners
+ROWS_PER_WAY = 4096
+
+
+def length_classes(percent: int) -> np.ndarray:
+    """Least sizes of the length classes: a set finds partners that are no smaller in its own class and the next one only."""
+    edges = [1]
+    while edges[-1] < 1 << 31:
+        edges.append(edges[-1] * 100 // percent + 1)
+    return np.array(edges, np.int64)
 
 
 def left_over(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(c, d): the pairs of `left` (doc, label) with different labels whose similarity can reach the bound, by an exact prefix filter.
 
-    Shingles are ordered from rare to frequent (counts by hash slot, a fixed 1M of them; any order is exact). Two sets that reach
-    the bound share one of the first n - ceil(n * percent / 100) + 1 shingles of both, so a template that a family shares makes
-    no pairs unless it is that large a part of its texts; the first shared place bounds the overlap.
+    Shingles are ordered from rare to frequent (counts by hash slot, a fixed 1M of them; any order is exact). Of two sets of n <= m
+    shingles that reach the bound, at least percent * 2n / (100 + percent) are shared, so the first shared shingle stands among the first
+    n - that + 1 of the smaller and the first m - percent * m / 100 + 1 of the larger. Only the former, which are few, are found, and only
+    the latter look for them, within two length classes: what a family shares comes after what its texts have alone, so texts of one
+    template below the bound meet nowhere. Rows of a token that many share are dealt to ways of ROWS_PER_WAY.
     """
     kind = left.schema["doc"].dataType.simpleString()
     wanted = staged(left.select("doc", "label").distinct().join(texts, "doc"), "leftover")
@@ -111,9 +123,12 @@ def left_over(left: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     often[met["slot"].to_numpy(np.int64)] = met["n"].to_numpy(np.int64)
     shared = left.sparkSession.sparkContext.broadcast(often)
 
+    edges = length_classes(percent) if percent < 100 else None
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, place, n, token = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+            early, band = [np.zeros(0, bool)], [np.zeros(0, np.int32)]
             for i, h in words_by_text([v.as_py() for v in b.column(2)]):
                 s = shingles(h, size)
                 k = len(s) - -(-len(s) * percent // 100) + 1
@@ -122,18 +137,24 @@ def left_over(left: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                 place.append(np.arange(len(first), dtype=np.int32))
                 n.append(np.full(len(first), len(s), np.int32))
                 token.append(first)
+                early.append(np.arange(len(first)) <= len(s) - -(-len(s) * 2 * percent // (100 + percent)))
+                band.append(np.full(len(first), len(s) if edges is None else np.searchsorted(edges, len(s), "right"), np.int32))
             at = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(place)), pa.array(np.concatenate(n))], ["doc", "label", "token", "place", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(place)), pa.array(np.concatenate(n)), pa.array(np.concatenate(early)), pa.array(np.concatenate(band))], ["doc", "label", "token", "place", "n", "early", "band"])
 
-    rows = wanted.select("doc", "label", "text").mapInArrow(prefixes, f"doc {kind}, label {kind}, token long, place int, n int")
+    rows = wanted.select("doc", "label", "text").mapInArrow(prefixes, f"doc {kind}, label {kind}, token long, place int, n int, early boolean, band int")
     rows = staged(rows, "prefixes")
-    several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    rows = staged(rows.join(several, "token"), "prefixes")
-    other = rows.select("token", *(F.col(x).alias(f"_{x}") for x in ("doc", "label", "place", "n")))
+    found = rows.filter("early").drop("early")
+    heads = found.groupBy("token", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.floor(F.count(F.lit(1)) / ROWS_PER_WAY).cast("int").alias("more"))
+    heads = staged(heads, "heads")
+    look = rows.drop("early").withColumn("band", F.explode(F.array("band", F.col("band") - 1))).join(heads, ["token", "band"])
+    look = look.filter("lo <> label or hi <> label").withColumn("way", F.explode(F.sequence(F.lit(0), "more"))).select("token", "band", "way", *(F.col(x).alias(f"_{x}") for x in ("doc", "label", "place", "n")))
+    found = found.join(heads.select("token", "band", "more"), ["token", "band"]).withColumn("way", F.pmod(F.hash("doc"), F.col("more") + 1))
     # overlap needed: o >= percent * (n + _n) / (100 + percent); what a shared place leaves is the most there can be
     most = F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place"))
-    near = (F.col("doc") < F.col("_doc")) & (F.col("label") != F.col("_label")) & (most * (100 + percent) >= percent * (F.col("n") + F.col("_n")))
-    return rows.hint("merge").join(other, "token").filter(near).select(F.col("doc").alias("c"), F.col("_doc").alias("d")).distinct()
+    near = (F.struct("n", "doc") < F.struct("_n", "_doc")) & (F.col("label") != F.col("_label")) & (most * (100 + percent) >= percent * (F.col("n") + F.col("_n")))
+    met = look.hint("merge").join(found, ["token", "band", "way"]).filter(near)
+    return met.select(F.least("doc", "_doc").alias("c"), F.greatest("doc", "_doc").alias("d")).distinct()
 
 
 def named(links: DataFrame) -> DataFrame:

@@ -315,3 +315,37 @@ def test_headings_around_the_main_slot_stay(spark):
     rows = [(i, f"http://s.example/{i}", page.replace("{i}", f"n{i}")) for i in range(5)]
     got = {r["page_id"]: r["text"] for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: " ".join([f"Head n{i}"] + [f"One of n{i} and more text of this kind."] * 6) for i in range(5)}
+
+
+# 6
+
+
+def test_left_over_pairs_of_a_template_family(spark):
+    """Texts of one template just below the bound make no candidates; those above it, of like and unlike sizes, are all there."""
+    from equiscope.llm import minhash
+
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(460)]
+    texts = {i: " ".join(base + [f"own{i}x{j}" for j in range(46)]) for i in range(150)}
+    for i in range(150, 300):  # each a near copy of another, longer or shorter by some words
+        words = texts[i - 150].split()
+        cut = rng.randrange(0, 30)
+        texts[i] = " ".join(words[:460] + words[460 : 506 - cut] + [f"end{i}x{j}" for j in range(rng.randrange(0, 20))])
+    texts |= {300: "a b c d e f", 301: "a b c d e f", 302: "a b", 303: ""}
+
+    def sets(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    s = {i: sets(t) for i, t in texts.items()}
+    links = {(a, b) for a in s for b in s if a < b and s[a] and s[b] and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b])}
+    for ways in (4096, 7):
+        minhash.ROWS_PER_WAY = ways
+        try:
+            docs = spark.createDataFrame([(i, i, t.encode()) for i, t in texts.items()], "doc long, label long, text binary")
+            got = {(r["c"], r["d"]) for r in minhash.left_over(docs.select("doc", "label"), docs.select("doc", "text"), 5, 85).collect()}
+        finally:
+            minhash.ROWS_PER_WAY = 4096
+        assert len(links) > 50 and links <= got
+        assert len(got) <= 3 * len(links)
+    assert minhash.length_classes(50).tolist()[:5] == [1, 3, 7, 15, 31]
