@@ -58,10 +58,14 @@ def sync_members(stored: DataFrame, current: DataFrame, today: date) -> DataFram
     return old.unionByName(new.select("ticker", "index_name", F.lit(today).alias("added_date"), F.lit(None).cast("date").alias("removed_date"), F.lit(False).alias("is_delisted")).select(*old.columns))
 
 
+def with_dates(members: DataFrame) -> DataFrame:
+    """Membership with dates; those in text that are none become null."""
+    return members.withColumns({c: date_prefix(F.col(c).cast("string")) for c in ("added_date", "removed_date")})
+
+
 def replace_index(spark: SparkSession, path: str, rows: DataFrame) -> None:
     """Replace the membership of the indexes in rows, atomically per index; dates in text that are none become null."""
-    parse = {c: date_prefix(F.col(c).cast("string")) for c in ("added_date", "removed_date")}
-    rows.withColumns(parse).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index_name").parquet(path)
+    with_dates(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index_name").parquet(path)
 
 
 def vendor_fields(records: DataFrame, passed: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 from datetime import date as D
+from datetime import datetime
 from statistics import mean, stdev
 
 import duckdb
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from equiscope.operators import asof, calendar, facts, resample
-from equiscope.plans import backtest, catalog, evaluate, research, screen, views
+from equiscope.plans import backtest, catalog, evaluate, load, research, screen, views
 from equiscope.plans.screen import Spec
 from equiscope.sources import domain, sinks
 from equiscope.sources.schemas import FIELDS, RESEARCH_LOG
@@ -63,6 +64,50 @@ def test_batches_and_compactions_in_any_order(spark, tmp_path):
     assert now() == {"a": 3, "b": 6, "c": 5, "d": 1} and len(t.folders(t.version())) == 1
 
 
+def history_inputs(spark, days, price=1.0, index="I"):
+    m = spark.createDataFrame([("A", index, D(2020, 1, 1), None)], "ticker string, index_name string, added_date date, removed_date date")
+    b = spark.createDataFrame([("A", D(2021, 1, d), price, 1.0) for d in days], "ticker string, date date, close double, volume double")
+    f = spark.createDataFrame([("A", "roe", 0.1, D(2021, 3, d), datetime(2021, 12, 1)) for d in days], "ticker string, field string, value double, report_date date, observed_at timestamp")
+    return m, f, b, b.select("date", "close"), spark.createDataFrame([("A", "x")], "ticker string, sector string"), D(2021, 1, 1)
+
+
+def test_a_load_that_is_cut_off_leaves_the_last_one(spark, tmp_path, monkeypatch):
+    at = str(tmp_path / "h")
+    counts = lambda v=None: {r["part"]: r["n"] for r in load.report(spark, at, D(2021, 6, 1), v).collect()}
+    with pytest.raises(ValueError):
+        load.report(spark, at, D(2021, 6, 1))
+    assert load.history(spark, at, *history_inputs(spark, [4, 5])) == 0
+    first = counts()
+
+    def broken(*a):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(Versioned, "commit", broken)
+        with pytest.raises(OSError):
+            load.history(spark, at, *history_inputs(spark, [4, 5, 6]))
+    assert counts() == first and first["prices"] == 2
+    assert len(load.swept(spark, at)) == 5 and counts() == first, "all that it wrote"
+    assert load.history(spark, at, *history_inputs(spark, [4, 5, 6], index="J")) == 1
+    assert (counts()["prices"], counts()["facts"], counts()["members"], counts(0)) == (3, 3, 2, first)
+
+
+def test_of_two_loads_at_once_none_stores_a_key_twice(spark, tmp_path, monkeypatch):
+    at, commit, raced = str(tmp_path / "h"), Versioned.commit, []
+
+    def late(self, after, folders):
+        if not raced:  # another load comes first
+            raced.append(True)
+            load.history(spark, at, *history_inputs(spark, [5, 6], price=7.0))
+        return commit(self, after, folders)
+
+    monkeypatch.setattr(Versioned, "commit", late)
+    assert load.history(spark, at, *history_inputs(spark, [4, 5])) == 1
+    log = Versioned(spark, at, "ticker string")
+    got = sorted((r["date"].day, r["close"]) for r in load.stored(log, 1, "prices").collect())
+    assert got == [(4, 1.0), (5, 7.0), (6, 7.0)] and load.stored(log, 1, "membership").count() == 1
+
+
 # experiments
 
 
