@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -75,3 +76,31 @@ def contaminated(texts, items, window=13):
                     hit |= set(range(k, k + n))
         out[i] = (len(w), len(hit), len(found), sha(",".join(sorted(found)).encode()), bool(hit) and 20 * len(hit) >= len(w))
     return out
+
+
+def gru_log_probs(model, ids):
+    """Natural log probability of each word id in turn, one step and one unit at a time, in doubles."""
+    m, n = model.hidden, len(model.x) - 1
+    at = lambda a, *i: float(a[i])
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+
+    def log_softmax(v, k):
+        top = max(v)
+        return v[k] - top - math.log(sum(math.exp(x - top) for x in v))
+
+    h, out = [0.0] * m, []
+    for i in ids:
+        k = len(model.w) if i == n else i // model.per_class
+        p = log_softmax([sum(at(model.c, a, j) * h[a] for a in range(m)) + at(model.cb, j) for j in range(len(model.cb))], k)
+        if i < n:
+            p += log_softmax([sum(at(model.w, k, a, j) * h[a] for a in range(m)) + at(model.wb, k, j) for j in range(model.per_class)], i % model.per_class)
+        out.append(p)
+        g = [sum(at(model.u, a, j) * h[a] for a in range(m)) + at(model.ub, j) for j in range(3 * m)]
+        x = [at(model.x, i, j) for j in range(3 * m)]
+        new = []
+        for a in range(m):
+            z, r = sigmoid(g[a] + x[a]), sigmoid(g[m + a] + x[m + a])
+            c = math.tanh(r * g[2 * m + a] + x[2 * m + a])
+            new.append((1 - z) * c + z * h[a])
+        h = new
+    return out

@@ -341,6 +341,58 @@ def test_counts_and_base_scores(spark, sf):
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel=1e-9)
 
 
+def test_scores_match_a_plain_network(spark, monkeypatch):
+    """Every score again: words by a pattern, counts by a Counter, the network unit by unit, words outside the list by their count."""
+    import math
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("The the cat Dog é 漢 runs far a b c d e f g h".split()) for _ in range(rng.randrange(90)))) for i in range(30)]
+    rows += [(30, None), (31, "never met " * 3), (32, "cat " * 200)]
+    train, made = rows[:25], []
+
+    def fit(docs, vocab, model, *a, **k):
+        noise = np.random.default_rng(1).normal(0, 0.4, len(model.vector()))
+        made.append((vocab, model.with_vector(model.vector() + noise)))
+        return made[0][1]
+
+    monkeypatch.setattr(lm, "fit", fit)
+    got = as_dict(lm.scores(table(spark, rows), table(spark, train), listed=9, frequent=12, hidden=3, per_class=4), "n_tokens", "score")
+    vocab, model = made[0]
+    words = {i: [*brute.WORD.findall((t or "").translate(brute.LOW)), "\0"] for i, t in rows}
+    c = Counter(w for i, _ in train for w in words[i])
+    place = {w: int(vocab.look_up(lm.tokens([w.encode() if w != "\0" else b""])[0][:1])[1][0]) for w in c}
+    listed = [w for w in c if place[w] < 9]
+    assert len(listed) == 9 and min(c[w] for w in listed if w != "\0") >= max(n for w, n in c.items() if place[w] == 9)
+    outside = sum(c.values()) - sum(c[w] for w in listed) + 0.5 * (len(c) - 9) + 0.5
+    for i, ws in words.items():
+        ids = [place.get(w, 9) for w in ws]
+        want = sum(brute.gru_log_probs(model, ids)) / math.log(10) + sum(math.log10((c[w] + 0.5) / outside) for w, k in zip(ws, ids, strict=True) if k == 9)
+        assert got[i] == (len(ws), pytest.approx(want, rel=2e-5, abs=1e-4))
+
+
+def test_gradients_match_differences():
+    """The gradient of a window, over a document's border, against differences of the plain network's loss."""
+    rng = np.random.default_rng(2)
+    model = gru.Gru.start(np.array([9, 7, 5, 3, 2]), 4.0, 3, 3)
+    model = model.with_vector(np.where(model.vector() < -100, -3, model.vector()) + rng.normal(0, 0.5, len(model.vector())))
+    parts = [[0, 5, 2, 1], [4, 3, 3]]
+    fresh = np.zeros((1, 7), bool)
+    fresh[0, [0, 4]] = True
+    g, rows, _ = model.gradients(np.zeros((3, 1), np.float32), np.array([sum(parts, [])], np.int32), fresh, np.ones((1, 7), bool))
+    loss = lambda: -sum(sum(brute.gru_log_probs(model, p)) for p in parts) / 7
+    for a in model.names:
+        v = getattr(model, a)
+        setattr(model, a, v := v.astype(np.float64))
+        full = np.zeros(v.shape)
+        full[rows if a == "x" else slice(None)] = g[a]
+        for i in np.ndindex(v.shape):
+            v[i] += 1e-5
+            up = loss()
+            v[i] -= 2e-5
+            assert full[i] == pytest.approx((up - loss()) / 2e-5, abs=2e-5), (a, i)
+            v[i] += 1e-5
+
+
 def test_rare_words_are_joined_whatever_the_broadcast(spark, sf):
     docs = read(spark, sf)
     few = as_dict(lm.scores(docs, docs, listed=64, frequent=128, hidden=4, per_class=8), "n_known", "base_score", "score")
