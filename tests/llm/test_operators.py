@@ -323,6 +323,18 @@ def test_components(spark):
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_an_append_adds_one_file_to_a_bucket(spark, tmp_path):
+    made = lambda lo, hi: spark.range(lo, hi, numPartitions=5).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    index = exact.DigestIndex(spark, f"file://{tmp_path}/index", buckets=6)
+    for k, (lo, hi) in enumerate([(0, 300), (200, 500)], 1):
+        index.add(made(lo, hi))
+        files = Counter(f.name.split("_")[-1].split(".")[0] for f in (tmp_path / "index").glob("*.parquet"))
+        assert len(files) == 6 and set(files.values()) == {k}
+    assert sorted(r["keep_id"] for r in index.table().collect()) == list(range(500))
+    assert index.table().filter(F.col("digest") == F.unhex(F.sha2(F.lit("7"), 256))).first()["keep_id"] == 7, "a bucket that is pruned to holds its rows"
+    assert [exact.buckets_for(n) for n in (0, 1, 10**6, 10**8, 10**10, 10**13)] == [64, 64, 64, 128, 16384, 65536]
+
+
 # 7
 
 
