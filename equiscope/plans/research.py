@@ -66,7 +66,7 @@ def run(log: Versioned, e: Experiment, frame: DataFrame, returns: DataFrame, dat
     """Rows of RESULT, one a variation that the budget lets run; the holdout's figures only with the best clean one, and only once ever.
 
     The log is read before anything is planned, and an exhausted budget raises. All variations are one backtest over the training
-    window. The best clean one (by its ratio, then by name) is run on the holdout, from nothing held, if the log has no use of
+    window. The best clean one (by its ratio to nine digits, so that the order of a sum decides no tie, then by name) is run on the holdout, from nothing held, if the log has no use of
     it. The runs and that use are one commit: if another call has logged in between, the log is judged again, and what the budget no longer covers or
     the holdout that was used meanwhile is not shown. A call that fails before its commit leaves the log as it was. `between` runs before the commit.
     """
@@ -94,7 +94,7 @@ def run(log: Versioned, e: Experiment, frame: DataFrame, returns: DataFrame, dat
 
     while True:
         mine = ordered[:room]
-        clean = sorted((r for r in mine if not r["warnings"]), key=lambda r: (-r["train_sharpe"], r["strategy_id"]))
+        clean = sorted((r for r in mine if not r["warnings"]), key=lambda r: (-round(r["train_sharpe"], 9), r["strategy_id"]))
         best = clean[0]["strategy_id"] if clean else None
         held = holdout(best) if best and open_ else None
         between()
