@@ -48,3 +48,9 @@ def test_bars_are_made_once(spark, sf, monkeypatch):
 
 def test_parts_of_filings_are_not_made_fewer(spark):
     assert "REPARTITION_BY_NUM" in asof.by_ticker(spark.range(5).withColumnRenamed("id", "ticker"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_row_for_each_ticker_and_date_goes_on_and_not_one_for_each_bar(spark, sf):
+    plan = rolling.market(domain.bars(spark, sf), DATES)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
+    assert plan.index("Generate explode") < plan.index("Aggregate [ticker")  # what is taken apart stands above the aggregate of the bars
