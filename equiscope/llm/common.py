@@ -34,8 +34,8 @@ def maybe_among(ids: DataFrame, *keys: str) -> Callable[..., Column]:
     h = F.pmod(F.xxhash64(*keys), F.lit(BITMAP_BITS))
     words = ids.select(h.alias("h")).selectExpr("cast(h div 32 as int) as w", "shiftleft(1L, cast(h % 32 as int)) as b")
     bits = np.zeros(BITMAP_BITS // 32, np.uint32)
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most a row for each word of the bitmap
-    bits[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most a row for each word of the bitmap
+    bits[found["w"].to_numpy()] = found["b"].to_numpy()
     shared = ids.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
@@ -46,6 +46,11 @@ def maybe_among(ids: DataFrame, *keys: str) -> Callable[..., Column]:
     return lambda *cols: test(F.pmod(F.xxhash64(*cols), F.lit(BITMAP_BITS)))
 
 
+def merged(df: DataFrame, name: str) -> DataFrame:
+    """staged for what is joined again and again: a broadcast of each small table, pages of some MB, would stay in the driver's heap until a collection."""
+    return staged(df, name).hint("merge")
+
+
 def utf8(col: str) -> Column:
     """A text column as bytes, null as empty."""
     return F.coalesce(F.col(col).cast("binary"), F.lit(b"").cast("binary"))

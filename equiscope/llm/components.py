@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equiscope.llm.common import staged
+from equiscope.llm.common import merged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -13,11 +13,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = edges.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = edges.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        out = edges.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter("u <> v").distinct()
 
 
@@ -27,10 +27,10 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     Each round halves the distance to the root, so rounds grow with the logarithm of a component's width. Only aggregates and
     equi-joins; each round is written to the shared folder. An empty edge table gives no rows; loops and nulls are dropped.
     """
-    edges = staged(edges.select("u", "v").filter("u <> v").distinct(), "edges")
+    edges = merged(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     state = None
     for _ in range(most_rounds):
-        edges = staged(_star(_star(edges, True), False), "stars")
+        edges = merged(_star(_star(edges, True), False), "stars")
         # a fixed point has one edge per node that is not a root, straight to its root
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:

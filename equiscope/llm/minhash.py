@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equiscope.llm.common import maybe_among, mix, shingles, staged, utf8, words_by_text
+from equiscope.llm.common import maybe_among, merged, mix, shingles, utf8, words_by_text
 from equiscope.llm.components import components
 
 
@@ -66,7 +66,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int, id_col: str, t
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (c, d) whose whole shingle sets have 100 * intersection >= percent * union."""
-    right = pairs.join(texts.select(F.col("doc").alias("d"), F.col("text").alias("dt")), "d")
+    right = pairs.join(texts.select(F.col("doc").alias("d"), F.col("text").alias("dt")).hint("merge"), "d")
     both = right.hint("merge").join(texts.select(F.col("doc").alias("c"), F.col("text").alias("ct")).hint("merge"), "c")
     kind = pairs.schema["c"].dataType.simpleString()
 
@@ -110,7 +110,7 @@ def left_over(left: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     template below the bound meet nowhere. Rows of a token that many share are dealt to ways of ROWS_PER_WAY.
     """
     kind = left.schema["doc"].dataType.simpleString()
-    wanted = staged(left.select("doc", "label").distinct().join(texts, "doc"), "leftover")
+    wanted = merged(left.select("doc", "label").distinct().join(texts, "doc"), "leftover")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,9 +118,9 @@ def left_over(left: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             slot, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]) % np.uint64(SLOTS), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(n.astype(np.int64))], ["slot", "n"])
 
-    met = wanted.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
+    met = wanted.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
     often = np.zeros(SLOTS, np.int64)
-    often[met["slot"].to_numpy(np.int64)] = met["n"].to_numpy(np.int64)
+    often[met["slot"].to_numpy()] = met["n"].to_numpy()
     shared = left.sparkSession.sparkContext.broadcast(often)
 
     edges = length_classes(percent) if percent < 100 else None
@@ -143,10 +143,10 @@ def left_over(left: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(place)), pa.array(np.concatenate(n)), pa.array(np.concatenate(early)), pa.array(np.concatenate(band))], ["doc", "label", "token", "place", "n", "early", "band"])
 
     rows = wanted.select("doc", "label", "text").mapInArrow(prefixes, f"doc {kind}, label {kind}, token long, place int, n int, early boolean, band int")
-    rows = staged(rows, "prefixes")
+    rows = merged(rows, "prefixes")
     found = rows.filter("early").drop("early")
     heads = found.groupBy("token", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.floor(F.count(F.lit(1)) / ROWS_PER_WAY).cast("int").alias("more"))
-    heads = staged(heads, "heads")
+    heads = merged(heads, "heads")
     look = rows.drop("early").withColumn("band", F.explode(F.array("band", F.col("band") - 1))).join(heads, ["token", "band"])
     look = look.filter("lo <> label or hi <> label").withColumn("way", F.explode(F.sequence(F.lit(0), "more"))).select("token", "band", "way", *(F.col(x).alias(f"_{x}") for x in ("doc", "label", "place", "n")))
     found = found.join(heads.select("token", "band", "more"), ["token", "band"]).withColumn("way", F.pmod(F.hash("doc"), F.col("more") + 1))
@@ -159,7 +159,7 @@ def left_over(left: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
 def named(links: DataFrame) -> DataFrame:
     """(doc, label): the smallest class that each linked class reaches."""
-    return staged(components(links.select(F.col("c").alias("u"), F.col("d").alias("v"))).withColumnsRenamed({"id": "doc", "component": "label"}), "labels")
+    return merged(components(links.select(F.col("c").alias("u"), F.col("d").alias("v"))).withColumnsRenamed({"id": "doc", "component": "label"}), "labels")
 
 
 def near_duplicates(docs: DataFrame, *, bands: int = 26, rows: int = 5, size: int = 5, percent: int = 85, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,17 +175,17 @@ def near_duplicates(docs: DataFrame, *, bands: int = 26, rows: int = 5, size: in
     Repeated rows fall into one class; null text counts as empty; rows with a null id get a null component and are not kept.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    sig = staged(signatures(docs, bands, rows, size, id_col, text_col), "signatures")
-    classes = staged(sig.filter("fp is not null and doc is not null").groupBy("fp").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    sig = merged(signatures(docs, bands, rows, size, id_col, text_col), "signatures")
+    classes = merged(sig.filter("fp is not null and doc is not null").groupBy("fp").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = sig.join(classes.select(F.col("rep").alias("doc"), F.col("fp").alias("f")), "doc").filter("fp = f").dropDuplicates(["doc"])
-    entries = staged(reps.select("doc", "n", F.explode("keys").alias("key")), "entries")
+    entries = merged(reps.select("doc", "n", F.explode("keys").alias("key")), "entries")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    hits = staged(entries.join(shared, "key"), "hits")
+    hits = merged(entries.join(shared, "key"), "hits")
     fame = hits.groupBy("doc").agg(F.sum("m").alias("fame"))
-    hits = staged(hits.join(fame, "doc").select("key", "doc", "n", "fame"), "famed")
-    wanted = staged(hits.select("doc").distinct(), "wanted")
+    hits = merged(hits.join(fame, "doc").select("key", "doc", "n", "fame"), "famed")
+    wanted = merged(hits.select("doc").distinct(), "wanted")
     near = docs.filter(maybe_among(wanted, "doc")(id_col))
-    texts = staged(near.select(F.col(id_col).alias("doc"), utf8(text_col).alias("text")).join(wanted, "doc").dropDuplicates(["doc"]), "texts")
+    texts = merged(near.select(F.col(id_col).alias("doc"), utf8(text_col).alias("text")).join(wanted, "doc").dropDuplicates(["doc"]), "texts")
     links = tested = used = None
     for _ in range(rounds):
         rest = hits.withColumn("label", F.col("doc"))
@@ -194,16 +194,16 @@ def near_duplicates(docs: DataFrame, *, bands: int = 26, rows: int = 5, size: in
             star = links.groupBy("d").agg(F.min("c").alias("label")).withColumnRenamed("d", "doc")
             rest = hits.join(star, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
         if used is not None:
-            rest = rest.join(used.withColumn("was", F.lit(True)).withColumnRenamed("c", "doc"), ["key", "doc"], "left")
-            several = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-            rest = staged(rest.join(several, "key"), "rest")
+            rest = rest.join(used.withColumn("was", F.lit(True)).withColumnRenamed("c", "doc").hint("merge"), ["key", "doc"], "left")
+            several = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key").hint("merge")
+            rest = merged(rest.join(several, "key"), "rest")
         fresh = rest if used is None else rest.filter("was is null")
         centre = fresh.groupBy("key").agg(F.max_by(F.struct(F.col("doc").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl")), F.struct("fame", F.hash("doc"), "doc")).alias("s")).select("key", "s.*")
-        centre = staged(centre, "centres")
+        centre = merged(centre, "centres")
         pairs = rest.join(centre, "key").filter("label <> cl").filter(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent).select("c", F.col("doc").alias("d")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["c", "d"], "left_anti")
-        pairs = staged(pairs, "pairs")
+            pairs = pairs.join(tested.hint("merge"), ["c", "d"], "left_anti")
+        pairs = merged(pairs, "pairs")
         used = centre.select("key", "c") if used is None else used.unionByName(centre.select("key", "c"))
         if pairs.isEmpty():
             if centre.isEmpty():
@@ -211,25 +211,25 @@ def near_duplicates(docs: DataFrame, *, bands: int = 26, rows: int = 5, size: in
             continue
         both = pairs.unionByName(pairs.select(F.col("d").alias("c"), F.col("c").alias("d")))
         tested = both if tested is None else tested.unionByName(both)
-        found = staged(confirmed(pairs, texts, size, percent), "links")
+        found = merged(confirmed(pairs, texts, size, percent), "links")
         links = found if links is None else links.unionByName(found)
     labels = None if links is None else named(links)
     if used is not None:
         # classes that were no centre of their bucket have not met each other there
         rest = hits.join(used.withColumnRenamed("c", "doc"), ["key", "doc"], "left_anti")
-        rest = rest.withColumn("label", F.col("doc")) if labels is None else rest.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        several = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        rest = staged(rest.join(several, "key").select("doc", "label").distinct(), "rest")
+        rest = rest.withColumn("label", F.col("doc")) if labels is None else rest.join(labels.hint("merge"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+        several = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key").hint("merge")
+        rest = merged(rest.join(several, "key").select("doc", "label").distinct(), "rest")
         if not rest.isEmpty():
             pairs = left_over(rest, texts, size, percent)
-            pairs = staged(pairs if tested is None else pairs.join(tested, ["c", "d"], "left_anti"), "pairs")
-            found = staged(confirmed(pairs, texts, size, percent), "links")
+            pairs = merged(pairs if tested is None else pairs.join(tested.hint("merge"), ["c", "d"], "left_anti"), "pairs")
+            found = merged(confirmed(pairs, texts, size, percent), "links")
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 labels = named(links)
     roots = classes.select("fp", "rep")
     if labels is not None:
         roots = roots.join(labels.select(F.col("doc").alias("rep"), "label"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("rep"))
-    out = sig.join(roots.withColumnRenamed("rep", "root"), "fp", "left")
+    out = sig.join(roots.withColumnRenamed("rep", "root").hint("merge"), "fp", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("root", "doc")).cast(kind)
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"))

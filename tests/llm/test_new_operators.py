@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from equiscope.llm import infill, queries, toxicity, whitening
+from equiscope.llm import common, infill, minhash, queries, toxicity, whitening
 
 # 11
 
@@ -349,3 +349,11 @@ def test_left_over_pairs_of_a_template_family(spark):
         assert len(links) > 50 and links <= got
         assert len(got) <= 3 * len(links)
     assert minhash.length_classes(50).tolist()[:5] == [1, 3, 7, 15, 31]
+
+
+def test_near_dedup_broadcasts_no_table(spark, sf, monkeypatch):
+    plans, write = [], common.staged
+    monkeypatch.setattr(common, "staged", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    out = minhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and not [p for p in plans if "BroadcastHashJoin" in p]
