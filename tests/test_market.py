@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from equiscope.operators import asof, calendar, rolling
-from equiscope.plans import queries_stats
+from equiscope.plans import queries_stats, queries_tables
 from equiscope.plans.queries_panel import DATES
 from equiscope.sources import domain
+from equiscope.sources.schemas import FIELDS
 
 
 def rows(df):
@@ -54,3 +55,26 @@ def test_a_row_for_each_ticker_and_date_goes_on_and_not_one_for_each_bar(spark,
     plan = rolling.market(domain.bars(spark, sf), DATES)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == 1
     assert plan.index("Generate explode") < plan.index("Aggregate [ticker")  # what is taken apart stands above the aggregate of the bars
+
+
+def test_parts_of_line_items_grow_with_them(spark, sf, monkeypatch):
+    assert domain.parts(spark, sf) == 4
+    monkeypatch.setattr(domain, "LINES_OF_PART", 1000)
+    n = -(-domain.read(spark, sf, "lineitem").count() // 1000)
+    assert domain.parts(spark, sf) == n > 4
+    plan = rolling.market(domain.bars(spark, sf), DATES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and f", {n}), REPARTITION_BY_NUM" in plan  # nothing is aggregated ahead of the one shuffle
+    assert plan.index("HashAggregate(keys=[ticker") < plan.index("Exchange hashpartitioning(")
+
+
+def test_a_fact_log_is_dealt_once_and_in_parts_that_grow(spark, sf, monkeypatch):
+    monkeypatch.setattr(domain, "LINES_OF_PART", 1000)
+    n = domain.parts(spark, sf)
+    long = asof.facts_as_of(queries_tables.all_facts(spark, sf), DATES, n)
+    plan = asof.pivoted(long, ["as_of", "ticker"], FIELDS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2 and plan.count("REPARTITION_BY_NUM") == 1  # by quarter, then by ticker for all that follows
+
+
+def test_dates_of_members_are_made_in_many_parts(spark, sf):
+    plan = asof.members_as_of(domain.membership(spark, sf), DATES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and plan.index("Generate explode") < plan.index("REPARTITION_BY_NUM")
