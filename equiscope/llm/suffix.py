@@ -193,32 +193,53 @@ class Shard:
 
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard of each merged row, class of each row): the interleave of the shards' BWTs refined `depth` times.
+    """(shard of each merged row, class of each row): the interleave of the shards' BWTs refined `depth` times, rows alone in their class included."""
+    shard, _, classes = interleaved(shards, depth, alone=True)
+    return shard, classes
+
+
+def interleaved(shards: list[Shard], depth: int, alone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, rank in it, class) of each merged row; unless alone, only of those whose first `depth` symbols another row has too.
 
     Round k takes rows in the order of their first k - 1 symbols, reads each row's BWT symbol, and deals the rows to the symbols'
     buckets in turn, which sorts them by k symbols. Neighbours of a bucket that came from one class are one class again: they have
-    k symbols in common. Row 0.. of the end symbol are each a class of their own, so a class never reaches past a string's end.
+    k symbols in common. Rows of the end symbol are each a class of their own, so a class never reaches past a string's end. Unless
+    alone, a row that is by itself goes: what is dealt from it, one symbol longer, is by itself again.
     """
     sizes = np.array([len(s.bwt) for s in shards])
+    first = np.cumsum(sizes) - sizes
     bwt = np.concatenate([s.bwt for s in shards])
-    kind = np.uint8 if len(shards) < 256 else np.uint16
-    z = np.repeat(np.arange(len(shards)), sizes).astype(kind)
-    classes = np.zeros(len(z), np.int64)
-    ended = np.repeat(np.arange(len(shards)), [s.ended for s in shards]).astype(kind)
-    e = len(ended)
+    # rows of a shard never change places among themselves, so where each goes is that of its shard dealt alone, for all rounds
+    index = np.int32 if len(bwt) < 1 << 31 else np.int64
+    step = np.empty(len(bwt), index)
+    for i, n in zip(first, sizes, strict=True):
+        step[i + np.argsort(bwt[i : i + n], kind="stable")] = np.arange(i, i + n)
+    ended = np.concatenate([np.arange(i, i + s.ended, dtype=index) for i, s in zip(first, shards, strict=True)])
+    end = bwt == 0
+    # without the end symbol a byte is enough, which deals in half the time
+    bwt = bwt if alone else (bwt - 1).astype(np.uint8)
+    at, classes = np.arange(len(bwt), dtype=index), np.zeros(len(bwt), index)
     for _ in range(depth):
-        symbols = np.empty(len(z), bwt.dtype)
-        symbols[np.argsort(z, kind="stable")] = bwt
-        order = np.argsort(symbols, kind="stable")
-        s, c = symbols[order], classes[order]
-        z = z[order]
-        z[:e] = ended
-        new = np.append(True, (s[1:] != s[:-1]) | (c[1:] != c[:-1]))
-        new[:e + 1] = True
-        classes = np.cumsum(new)
-        if new.all():
+        if not alone:
+            on = ~end[at]
+            at, classes = at[on], classes[on]
+        s = bwt[at]
+        order = np.argsort(s, kind="stable")
+        at, c = step[at[order]], classes[order]
+        new = np.ones(len(at) + 1, bool)
+        np.not_equal(c[1:], c[:-1], out=new[1:-1])
+        new[np.cumsum(np.bincount(s, minlength=256))] = True
+        if alone:
+            at[: len(ended)] = ended
+            new[: len(ended)] = True
+            classes = np.cumsum(new[:-1], dtype=index)
+        else:
+            on = ~(new[:-1] & new[1:])
+            at, classes = at[on], np.cumsum(new[:-1][on], dtype=index)
+        if not len(at) or new.all():
             break
-    return z, classes
+    shard = np.searchsorted(first, at, side="right") - 1
+    return shard, at - first[shard], classes
 
 
 def repeats(parts: list[tuple[int, int, int, bytes]], length: int, shard_bytes: int = 1 << 17) -> list[tuple[int, int, int, int]]:
@@ -226,23 +247,18 @@ def repeats(parts: list[tuple[int, int, int, bytes]], length: int, shard_bytes:
     sizes = np.array([len(p[3]) for p in parts])
     cuts = list(byte_slices(sizes, max(shard_bytes, int(sizes.sum()) // 200)))
     shards = [Shard([p[3] for p in parts[i:j]]) for i, j in cuts]
-    z, classes = merge(shards, length)
-    size = np.bincount(classes)
-    rows = np.flatnonzero(size[classes] > 1)
-    if not len(rows):
+    z, rank, classes = interleaved(shards, length)
+    if not len(z):
         return []
-    by_shard = np.argsort(z, kind="stable")
-    rank = np.empty(len(z), np.int64)
-    rank[by_shard] = np.concatenate([np.arange(len(s.bwt)) for s in shards])
-    string, offset = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
+    string, offset = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
     for k, (shard, (i, _)) in enumerate(zip(shards, cuts, strict=True)):
-        here = z[rows] == k
-        string[here], offset[here] = shard.locate(rank[rows[here]])
+        here = z == k
+        string[here], offset[here] = shard.locate(rank[here])
         string[here] += i
     doc = np.array([p[0] for p in parts], np.int64)[string]
     start = np.array([p[2] for p in parts], np.int64)[string] + offset
     whole = sizes[string] - offset >= length
-    doc, start, string, cls = doc[whole], start[whole], string[whole], classes[rows][whole]
+    doc, start, string, cls = doc[whole], start[whole], string[whole], classes[whole]
     late = ~batch_firsts(cls, doc, start)
     return [(parts[s][0], parts[s][1], int(x), int(x) + length) for s, x in zip(string[late], start[late], strict=True)]
 

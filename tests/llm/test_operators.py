@@ -117,6 +117,23 @@ def test_merged_bwt_is_the_bwt_of_all():
         assert (a[1] == b[1]) == (a[0][:8] == b[0][:8] and len(a[0]) >= 8 and len(b[0]) >= 8)
 
 
+def test_rows_alone_in_their_class_need_no_refining():
+    rng = random.Random(10)
+    for letters, depth in ((b"ab", 8), (b"ab", 3), (b"a", 12), (bytes(range(256)), 2), (b"a", 40)):
+        strings = [bytes(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(12)]
+        shards = [suffix.Shard(strings[:5]), suffix.Shard(strings[5:6]), suffix.Shard(strings[6:])]
+        z, classes = suffix.merge(shards, depth)
+        rank = [int((z[:i] == s).sum()) for i, s in enumerate(z)]
+        size = Counter(classes.tolist())
+        want, got = {}, {}
+        for s, r, k in zip(z.tolist(), rank, classes.tolist(), strict=True):
+            if size[k] > 1:
+                want.setdefault(k, []).append((s, r))
+        for s, r, k in zip(*(x.tolist() for x in suffix.interleaved(shards, depth)), strict=True):
+            got.setdefault(k, []).append((s, r))
+        assert list(got.values()) == list(want.values())
+
+
 # 3
 
 
