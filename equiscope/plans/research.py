@@ -15,7 +15,7 @@ from equiscope.plans.backtest import backtest, years_between
 from equiscope.plans.evaluate import budgets, guardrails
 from equiscope.plans.screen import Spec
 from equiscope.sources.schemas import RESEARCH_LOG
-from equiscope.sources.stage import staged
+from equiscope.sources.stage import compiled
 from equiscope.sources.versioned import Versioned
 
 RESULT = "strategy_id string, train_sharpe double, cagr double, max_drawdown double, psr double, n bigint, warnings string, best boolean, holdout_sharpe double, holdout_cagr double, holdout_max_drawdown double"
@@ -80,7 +80,7 @@ def run(log: Versioned, e: Experiment, frame: DataFrame, returns: DataFrame, dat
     train = backtest(frame, returns, dates, specs, [("train", e.start, e.holdout_from)])
     judged = guardrails(bundle(train.select(*keys, "t", "ret"), keys=keys, years=years_between(e.start, e.holdout_from)), **e.limits)
     judged = judged.select("strategy_id", F.col("sharpe").alias("train_sharpe"), "cagr", "max_drawdown", "psr", "n", F.concat_ws(",", "warnings").alias("warnings"))
-    rows = {r["strategy_id"]: r.asDict() for r in staged(judged, "train").collect()}  # a budgeted handful
+    rows = {r["strategy_id"]: r.asDict() for r in compiled(judged, "train").collect()}  # a budgeted handful
     ordered = [rows[s.name] for s in specs if s.name in rows]
     shown: dict[str, dict] = {}
 

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from equiscope.operators import asof, calendar, rolling
-from equiscope.plans import queries_stats, queries_tables
+from equiscope.plans import queries_panel, queries_stats, queries_tables, screen
 from equiscope.plans.queries_panel import DATES
-from equiscope.sources import domain
+from equiscope.sources import domain, stage
 from equiscope.sources.schemas import FIELDS
 
 
@@ -78,3 +78,25 @@ def test_a_fact_log_is_dealt_once_and_in_parts_that_grow(spark, sf, monkeypatch)
 def test_dates_of_members_are_made_in_many_parts(spark, sf):
     plan = asof.members_as_of(domain.membership(spark, sf), DATES)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 1 and plan.index("Generate explode") < plan.index("REPARTITION_BY_NUM")
+
+
+def test_equal_window_aggregates_are_worked_out_once(spark, sf):
+    frame = queries_panel.known(spark, sf).withColumns({c: F.rand() for c in ("close", "avg_volume_20d", "sma_200", "momentum_12m_return", "realized_vol_20d")}).withColumn("sector", F.lit("a"))
+    plan = screen.scored_by_strategy(frame, queries_stats.VARIANTS)._jdf.queryExecution().analyzed().toString()
+    # each of five signals has a mean and a deviation as it is and once it is cut; the close has its own for momentum
+    assert plan.count("stddev_samp(") == 11
+
+
+def test_filings_are_not_repeated_for_what_they_are_compared_with(spark, sf):
+    rows = domain.statements(spark, sf)
+    plan = asof.with_compared(rows, {"a": F.col("prev_period")}, ["revenue"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(array(struct(tag" not in plan and plan.count("Generate ") == 2  # amendments, and the filings of a period
+    assert asof.with_compared(rows, {"a": F.col("prev_period")}, ["revenue"]).count() == rows.count()
+
+
+def test_long_methods_are_not_interpreted_while_a_table_is_staged(spark, monkeypatch):
+    df, seen, before = spark.range(3), [], spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    made = type(df.write).parquet
+    monkeypatch.setattr(type(df.write), "parquet", lambda w, at: (seen.append(spark.conf.get("spark.sql.codegen.hugeMethodLimit")), made(w, at))[1])
+    assert stage.compiled(df, "limit").count() == 3
+    assert seen == ["8000"] and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
